@@ -23,4 +23,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1}
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (g) WHERE first < win.doc_id) GROUP BY doc_id),
+kept AS (SELECT d.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN gone USING (doc_id) WHERE gone IS NULL OR NOT list_contains(gone, i) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op6_substring_dedup": OP6, "op1_decontaminate": OP1}
