@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talespan.llm import planes
-from talespan.llm.words import CHUNK_BYTES, Words, byte_table, texts_of
+from talespan.llm.words import CHUNK_BYTES, Words, byte_table, mix, texts_of
 from talespan.runtime import ship
 
 SPAN = 13
@@ -39,7 +39,7 @@ BATCH_BYTES = 10 << 20
 FIRST_ID = -(1 << 63)
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
-_HITS = T.StructType().add("_id", "long").add("_crc", "long").add("_at", "binary")
+_HITS = T.StructType().add("_id", "long").add("_crc", "long").add("_found", "binary")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -73,14 +73,20 @@ def window_hashes(texts: list[bytes], span: int, table: np.ndarray) -> tuple[np.
     return np.concatenate(found), np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
 
 
-def _by_document(which: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Ascending places for each document that occurs."""
-    order = np.lexsort((at, which))
-    which, at = which[order], at[order]
-    edge = np.flatnonzero(np.diff(which)) + 1
-    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(which)], strict=True):
-        if b > a:
-            yield int(which[a]), at[a:b]
+def pack_hits(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> bytes:
+    """Found windows of many documents: one entry a document, then all places."""
+    order = np.lexsort((places, crcs, ids))
+    ids, crcs, places = ids[order], crcs[order], places[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1]))))
+    sizes = np.diff(np.append(first, len(ids)))
+    return b"".join([planes.pack(ids[first].view(np.uint64)), planes.pack(crcs[first]), planes.pack(sizes.astype(np.uint32)), planes.pack(places.astype(np.uint32))])
+
+
+def unpack_hits(data: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, at = planes.unpack(data, np.uint64, at=at)
+    crcs, at = planes.unpack(data, np.uint32, at=at)
+    sizes, at = planes.unpack(data, np.uint32, at=at)
+    return np.repeat(ids.view(np.int64), sizes), np.repeat(crcs, sizes), planes.unpack(data, np.uint32, at=at)[0]
 
 
 def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> Iterator[tuple[int, bytes]]:
@@ -101,11 +107,7 @@ def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> It
     settled = doc_ids[doc] > least
     if settled.any():
         which, at = doc[settled], sort[settled] - first[doc[settled]].astype(np.uint32)
-        found = list(_by_document(which, at))
-        of = np.array([w for w, _ in found])
-        sizes = np.array([len(a) for _, a in found], dtype=np.uint32)
-        data = b"".join([b"\1", planes.pack(doc_ids[of].view(np.uint64)), planes.pack(crc[of]), planes.pack(sizes), planes.pack(np.concatenate([a for _, a in found]).astype(np.uint32))])
-        yield int(crc.sum() % np.uint64(blocks)), data
+        yield int(crc.sum() % np.uint64(blocks)), b"\1" + pack_hits(doc_ids[which], crc[which].astype(np.uint32), at)
     hashes, sort, doc = hashes[~settled], sort[~settled], doc[~settled]
     width = (1 << 64) // blocks + 1
     cut = np.searchsorted(hashes, np.array([b * width for b in range(1, blocks)], dtype=np.uint64))
@@ -117,19 +119,13 @@ def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> It
             yield b, b"".join([b"\0", planes.pack_sorted(hashes[x:y]), planes.pack(place.astype(np.uint32)), planes.pack(doc_ids[held].view(np.uint64)), planes.pack(crc[held].astype(np.uint32)), planes.pack(counts[held].astype(np.uint32))])
 
 
-def match_rows(rows: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """All that one block found: document, crc of its text, and the packed places of found windows."""
+def match_rows(rows: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All that one block found: documents, crcs of their texts, and the places of found windows."""
     hashes, places, docs, ids, crcs = [], [], [], [], []
     base = 0
     for data in rows:
         if data[0] == 1:
-            of, at = planes.unpack(data, np.uint64, at=1)
-            crc, at = planes.unpack(data, np.uint64, at=at)
-            sizes, at = planes.unpack(data, np.uint32, at=at)
-            place, _ = planes.unpack(data, np.uint32, at=at)
-            edge = np.cumsum(sizes)
-            for i, c, a, b in zip(of.view(np.int64).tolist(), crc.tolist(), (edge - sizes).tolist(), edge.tolist(), strict=True):
-                yield i, c, planes.pack(place[a:b])
+            yield unpack_hits(data, 1)
             continue
         h, at = planes.unpack_sorted(data, 1)
         place, at = planes.unpack(data, np.uint32, at=at)
@@ -159,12 +155,14 @@ def match_rows(rows: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
     least = np.repeat(np.minimum.reduceat(all_ids[docs], group), np.diff(np.append(group, len(docs))))
     hit = ~alone & (all_ids[docs] > least)
     places = np.concatenate(places)[sort[hit]]
-    for d, at in _by_document(docs[hit], places):
-        yield int(all_ids[d]), int(all_crcs[d]), planes.pack(at)
+    yield all_ids[docs[hit]], all_crcs[docs[hit]], places
 
 
 def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = None) -> DataFrame:
-    """_id, _crc and _at (packed places): windows of a document that an earlier document has."""
+    """_id, _crc and _found (packed places): a row for each document with windows of earlier ones.
+
+    Both exchanges move one packed row for each pair of partitions.
+    """
     spark = documents.sparkSession
     ship(spark)
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -175,22 +173,33 @@ def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = N
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x.as_py() for batch in batches for x in batch.column(1))
-        held: list[tuple[int, int, bytes]] = []
-        for row in match_rows(rows):
-            held.append(row)
-            if len(held) >= 4096:
-                yield _hits(held)
-                held = []
-        if held:
-            yield _hits(held)
-
-    def _hits(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        a, b, c = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["_id", "_crc", "_at"])
+        found = [x for x in match_rows(x.as_py() for batch in batches for x in batch.column(1)) if len(x[0])]
+        if found:
+            ids, crcs, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = mix(ids.view(np.uint64)) % np.uint64(n)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64)).tolist()
+            for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+                if y > x:
+                    part = order[x:y]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_hits(ids[part], crcs[part], places[part])], pa.binary())], ["block", "data"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [unpack_hits(x.as_py()) for batch in batches for x in batch.column(1)]
+        if found:
+            ids, crcs, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((places, crcs, ids))
+            ids, crcs, places = ids[order], crcs[order], places[order]
+            edge = np.flatnonzero((ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])) + 1
+            starts, ends = [0, *edge.tolist()], [*edge.tolist(), len(ids)]
+            for at in range(0, len(starts), 4096):
+                some = starts[at : at + 4096]
+                packed = [planes.pack(places[a:b]) for a, b in zip(some, ends[at : at + 4096], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(crcs[some].astype(np.int64)), pa.array(packed, pa.binary())], ["_id", "_crc", "_found"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, _ROW)
-    return rows.repartitionById(n, F.col("block")).mapInArrow(match, _HITS)
+    found = rows.repartitionById(n, F.col("block")).mapInArrow(match, _ROW)
+    return found.repartitionById(n, F.col("block")).mapInArrow(gather, _HITS)
 
 
 def factors(found: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -204,17 +213,17 @@ def factors(found: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 def parsed(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """Documents with _found: the packed places of all found windows, a list of blocks' shares."""
-    found = found_windows(documents, span).groupBy("_id", "_crc").agg(F.collect_list("_at").alias("_found"))
+    """Documents with _found: the packed places of all found windows, or null."""
+    found = found_windows(documents, span)
     keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return keyed.join(found.hint("shuffle_hash"), ["_id", "_crc"], "left")
 
 
-def _kept(text: bytes, found: list[bytes] | None, span: int) -> tuple[list[bytes], list[bytes]]:
+def _kept(text: bytes, found: bytes | None, span: int) -> tuple[list[bytes], list[bytes]]:
     words = text.split()
     if not found:
         return words, words
-    places = np.unique(np.concatenate([planes.unpack(f, np.uint32)[0] for f in found]))
+    places = planes.unpack(found, np.uint32)[0]
     out, at = [], 0
     for a, b in factors(places, span):
         out += words[at:a] if a > at else []
