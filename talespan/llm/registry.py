@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import decontaminate, oracles, substring_dedup
+from talespan.llm import decontaminate, oracles, substring_dedup, token_store
 from talespan.runtime import table
 
 
@@ -16,5 +17,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_substring_dedup)}
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_substring_dedup, op7_token_store)}
 ORACLES = oracles.SQL
