@@ -33,4 +33,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op6_substring_dedup": OP6, "op1_decontaminate": OP1}
+OP3 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, lang, lower(unnest(w)) AS word FROM d),
+top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (SELECT lang, word, count(*) AS n FROM words GROUP BY ALL) QUALIFY rank <= 16),
+grams AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '[A-Z]')) AS c1, len(regexp_extract_all(t, '[0-9]')) AS c2, len(regexp_extract_all(t, '[.,;:!?''"()-]')) AS c4, len(regexp_extract_all(t, '[^\x00-\x7F]')) AS c5
+  FROM d LEFT JOIN rep USING (doc_id)),
+c AS (SELECT *, unnest([c1, c2, n_symbols, c4, c5, chars - word_chars, chars - c1 - c2 - n_symbols - c4 - c5 - (chars - word_chars)]) AS v, unnest(range(7)) AS k FROM f),
+cs AS (SELECT doc_id, lang, k, v / chars AS p FROM c WHERE word_chars >= 200),
+cr AS (SELECT lang, k, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS q FROM c GROUP BY lang, k),
+cd AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS dist FROM cs JOIN cr USING (lang, k) GROUP BY doc_id),
+wc AS (SELECT doc_id, rank, count(*) AS v FROM words JOIN top USING (lang, word) GROUP BY ALL),
+ln AS (SELECT lang, sum(n_words) AS total FROM f GROUP BY lang),
+wr AS (SELECT lang, rank, n / total AS q FROM top JOIN ln USING (lang) UNION ALL SELECT lang, 99, 1 - sum(n) / any_value(total) FROM top JOIN ln USING (lang) GROUP BY lang),
+wp AS (SELECT f.doc_id, f.lang, top.rank, coalesce(v, 0) / n_words AS p FROM f JOIN top USING (lang) LEFT JOIN wc ON wc.doc_id = f.doc_id AND wc.rank = top.rank WHERE n_words >= 100),
+wa AS (SELECT * FROM wp UNION ALL SELECT doc_id, lang, 99, 1 - sum(p) FROM wp GROUP BY doc_id, lang),
+wd AS (SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS dist FROM wa JOIN wr USING (lang, rank) GROUP BY doc_id),
+j AS (SELECT f.*, cd.dist AS cdist, wd.dist AS wdist, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bad FROM f LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  bad AS base_failed, coalesce(round(cdist, 6), -1) AS class_distance, coalesce(round(wdist, 6), -1) AS word_distance, NOT bad AND coalesce(cdist, 0) <= 0.20 AND coalesce(wdist, 0) <= 0.30 AS kept
+FROM j
+"""
+
+OP9 = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role NOT IN ('', 'system')),
+r AS (
+  SELECT t.conv_id, perspective, turn, role, text, coalesce(role = perspective, false) AS is_target,
+    CASE WHEN role IS NULL OR role IN ('', 'system') THEN '<|im_start|>system' WHEN role = perspective THEN '<|im_start|>assistant' ELSE '<|im_start|>user name=' || role END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id)
+SELECT conv_id, perspective, turn, role, head || text || '<|im_end|>' || chr(10) AS rendered, is_target,
+  CAST(CASE WHEN is_target THEN length(head) ELSE -1 END AS BIGINT) AS mask_start, CAST(CASE WHEN is_target THEN length(head) + length(text) + 10 ELSE -1 END AS BIGINT) AS mask_stop, CAST(length(head) + length(text) + 11 AS BIGINT) AS n_chars
+FROM r
+"""
+
+SQL = {"op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import decontaminate, oracles, substring_dedup, token_store
+from talespan.llm import attribution, chat, decontaminate, oracles, quality_rules, substring_dedup, token_store
 from talespan.runtime import table
 
 
@@ -21,5 +21,17 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_substring_dedup, op7_token_store)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_token_counts, op6_substring_dedup, op7_token_store, op9_chat_rotation)}
 ORACLES = oracles.SQL
