@@ -9,15 +9,14 @@ cut. Results equal those of encoding the text as a whole.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 #: Pieces that a worker's cache holds at most.
 CACHE_PIECES = 800_000
 _WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _BEYOND_ASCII = [c for c in _WHITE if ord(c) > 127]
+_MARKS = ".,;:!?"
 _RARE_ASCII = [c for c in _WHITE if ord(c) < 127 and c not in " \n"]
 
 
@@ -57,58 +56,97 @@ class Encoder:
         self.dtype, self.with_offsets, self.limit = dtype, with_offsets, cache_pieces // 2
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.model = self.tokenizer.model
+        # how a piece of ASCII letters looks to the model: the byte-level file writes its space as one letter
+        probe = self.tokenizer.encode(" a", add_special_tokens=False).tokens
+        self.space = "\u0120" if probe and probe[0].startswith("\u0120") else ""
+
+    def _entries(self, out: dict, encoded: Encoding, keys: list[str], lengths: list[int]) -> None:
+        """Deal the tokens of pieces that were encoded next to each other to the pieces."""
+        offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
+        ends = np.cumsum(lengths)
+        stops = np.searchsorted(offsets[:, 0], ends).tolist()
+        at = 0
+        if self.with_offsets:
+            for key, stop, end, n in zip(keys, stops, ends.tolist(), lengths, strict=True):
+                out[key] = offsets[at:stop] - np.int32(end - n)
+                at = stop
+        else:
+            raw, width = np.array(encoded.ids, dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            for key, stop in zip(keys, stops, strict=True):
+                out[key] = raw[width * at : width * stop]
+                at = stop
 
-    def _entry(self, ids: list[int], offsets: list[tuple[int, int]], shift: int) -> object:
-        if not self.with_offsets:
-            return np.array(ids, dtype=self.dtype).tobytes()
-        return np.array(offsets, dtype=np.int32).reshape(-1, 2) - np.int32(shift)
-
-    def _encode(self, missing: list[str]) -> None:
+    def _encode(self, missing: list[str]) -> dict:
         """Pieces that may stand next to each other go through the library many at a time."""
+        out: dict[str, object] = {}
         loose = []
         for p in missing:
             if p[0] == "\0":
-                e = self.tokenizer.encode(p[1:], add_special_tokens=False)
-                self.young[p] = self._entry(e.ids, e.offsets, 0)
+                self._entries(out, self.tokenizer.encode(p[1:], add_special_tokens=False), [p], [len(p)])
             else:
                 loose.append(p)
-        joined = [loose[i : i + 100] for i in range(0, len(loose), 100)]
-        for i in range(0, len(joined), 50):
-            some = joined[i : i + 50]
+        joined = [loose[i : i + 200] for i in range(0, len(loose), 200)]
+        for i in range(0, len(joined), 25):
+            some = joined[i : i + 25]
             for group, e in zip(some, self.tokenizer.encode_batch([" " + " ".join(g) for g in some], add_special_tokens=False), strict=True):
-                ids, offsets = e.ids, e.offsets
-                starts, at, shift = [o[0] for o in offsets], 0, 0
-                for p in group:
-                    stop = bisect_left(starts, shift + len(p) + 1, at)
-                    self.young[p] = self._entry(ids[at:stop], offsets[at:stop], shift)
-                    at, shift = stop, shift + len(p) + 1
-
-    def _load(self, cut: list[list[str]]) -> None:
+                self._entries(out, e, group, [len(p) + 1 for p in group])
+        return out
+
+    def _letters(self, piece: str) -> bytes:
+        """A piece of ASCII letters is one pretoken and goes to the library's model at once."""
+        return np.array([t.id for t in self.model.tokenize(self.space + (piece if self.space else piece.lower()))], dtype=self.dtype).tobytes()
+
+    def _put(self, missing: list[str]) -> None:
+        young, other = self.young, missing
+        if not self.with_offsets:
+            other = []
+            for p in missing:
+                if p.isascii():
+                    if p.isalpha():
+                        young[p] = self._letters(p)
+                        continue
+                    # a letter and a last mark are always two pretokens
+                    if p[-1] in _MARKS and (base := p[:-1]).isalpha():
+                        young[p] = (young.get(base) or self.old.get(base) or self._letters(base)) + self._mark(p[-1])
+                        continue
+                other.append(p)
+        young |= self._encode(other)
+
+    def _mark(self, mark: str) -> bytes:
+        key = "\0" + mark
+        if key not in self.young:
+            self.young |= self._encode([key])
+        return self.young[key]
+
+    def _load(self, cut: list[list[str]]) -> list[list]:
+        """The entries of all pieces: one look-up for each, and the missing ones encoded together."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
+        found = [list(map(young.get, one)) for one in cut]
+        holes = [(f, one, [i for i, e in enumerate(f) if e is None]) for f, one in zip(found, cut, strict=True) if None in f]
         missing = []
-        for p in set().union(*cut).difference(young):
+        for p in {one[i] for _, one, at in holes for i in at}:
             known = old.get(p)
             if known is None:
                 missing.append(p)
             else:
                 young[p] = known
-        self._encode(missing)
+        self._put(missing)
+        for f, one, at in holes:
+            for i in at:
+                f[i] = young[one[i]]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [pieces(t) if t else [] for t in texts]
-        self._load(cut)
-        get = self.young.__getitem__
-        return [b"".join(map(get, one)) for one in cut]
+        return [b"".join(f) for f in self._load([pieces(t) if t else [] for t in texts])]
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text an array of (start, end) rows in characters, one row a token."""
         cut = [pieces(t) if t else [] for t in texts]
-        self._load(cut)
         out = []
-        for one in cut:
-            found = [self.young[p] for p in one]
+        for one, found in zip(cut, self._load(cut), strict=True):
             if not found:
                 out.append(np.empty((0, 2), np.int64))
                 continue
