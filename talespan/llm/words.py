@@ -41,6 +41,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
 _BYTE_CODE[32] = 0
 _BASE = 0xD1342543DE82EF95
+#: Odd factors for the places of a shingle's words, without any simple relation to each other.
+PLACE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1000)) * _STEP) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -84,7 +86,7 @@ class Words:
         out = np.zeros(n, np.uint64)
         size = n - k + 1
         for j in range(k):
-            out[:size] += h[j : j + size] * np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) | 1)
+            out[:size] += h[j : j + size] * PLACE[j]
         last = np.repeat(self.first[1:], np.diff(self.first))
         return mix(out), np.arange(n) + k <= last
 
