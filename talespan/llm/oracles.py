@@ -74,4 +74,16 @@ SELECT conv_id, perspective, turn, role, head || text || '<|im_end|>' || chr(10)
 FROM r
 """
 
-SQL = {"op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS node FROM d UNION SELECT id, b FROM reach JOIN twoway ON node = a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(node) AS component_id FROM reach GROUP BY id) m USING (doc_id)
+"""
+
+SQL = {"op5_ngram_jaccard_join": OP5, "op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}

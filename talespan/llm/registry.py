@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import attribution, chat, decontaminate, oracles, packing, quality_rules, substring_dedup, token_store
+from talespan.llm import attribution, chat, decontaminate, near_duplicates, oracles, packing, quality_rules, substring_dedup, token_store
 from talespan.runtime import table
 
 
@@ -37,5 +37,9 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_token_counts, op6_substring_dedup, op7_token_store, op9_chat_rotation, op10_lexical_packing)}
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op9_chat_rotation, op10_lexical_packing)}
 ORACLES = oracles.SQL
