@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import attribution, chat, decontaminate, near_duplicates, oracles, packing, quality_rules, substring_dedup, token_store
+from talespan.llm import attribution, chat, decontaminate, near_duplicates, oracles, packing, perplexity, quality_rules, substring_dedup, token_store
 from talespan.runtime import table
 
 
@@ -21,6 +21,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op9_chat_rotation, op10_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op9_chat_rotation, op10_lexical_packing)}
 ORACLES = oracles.SQL
