@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import attribution, chat, decontaminate, near_duplicates, oracles, packing, perplexity, quality_rules, substring_dedup, token_store
+from talespan.llm import attribution, chat, decontaminate, near_duplicates, oracles, packing, perplexity, quality_rules, substring_dedup, token_store, toxicity
 from talespan.runtime import table
 
 
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotations(table(spark, sf_dir, "conversations"))
 
@@ -45,5 +49,5 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op9_chat_rotation, op10_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op8_toxicity, op9_chat_rotation, op10_lexical_packing)}
 ORACLES = oracles.SQL
