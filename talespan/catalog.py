@@ -1,4 +1,6 @@
 """Registered queries of the archive operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talespan.plans.oracles import ORACLES
+from talespan.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
