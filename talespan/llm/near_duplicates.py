@@ -251,16 +251,48 @@ def _match(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield from _match_batch(2, doc[at], member[group[at]].view(np.int64), doc[first[group[at]]])
 
 
+def shape(own: np.ndarray) -> bytes:
+    """Members of a set in each of 2^q equal parts of the hash range, about three a part, clipped to a byte."""
+    q = max(len(own) // 3, 1).bit_length()
+    return np.minimum(np.bincount((own >> np.uint64(64 - q)).astype(np.int64), minlength=1 << q), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the members in which two sets differ: the finer shape is folded to the other."""
+    p, q = (np.frombuffer(z, dtype=np.uint8).astype(np.int64) for z in (x, y))
+    if len(p) > len(q):
+        p = p.reshape(len(q), -1).sum(axis=1)
+    elif len(q) > len(p):
+        q = q.reshape(len(p), -1).sum(axis=1)
+    return int(np.abs(p - q).sum())
+
+
 def _sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the packed set of the documents asked for: the top 48 bits of each hash, ascending."""
+    """id, size, shape and the packed set of the documents asked for: the top 40 bits of each hash, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, texts in _batches(batches):
-            data = [planes.pack(np.diff(s >> np.uint64(16), prepend=np.uint64(0))) for s in shingle_sets(texts, shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(data, pa.binary())], ["id", "members"])
+            sets = shingle_sets(texts, shingle)
+            data = [planes.pack(np.diff(s >> np.uint64(24), prepend=np.uint64(0))) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(s) for s in sets], pa.int64()), pa.array([shape(s) for s in sets], pa.binary()), pa.array(data, pa.binary())], ["id", "size", "shape", "members"])
 
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), "text")
-    return keyed.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, T.StructType().add("id", "long").add("members", "binary"))
+    return keyed.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, T.StructType().add("id", "long").add("size", "long").add("shape", "binary").add("members", "binary"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose sizes and shapes allow a link; no linked pair is left out."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("shape_a").to_pylist(), batch.column("shape_b").to_pylist()
+            both = np.array(batch.column("size_a")) + np.array(batch.column("size_b"))
+            fits = [(OF + LIKE) * least_difference(p, q) <= (OF - LIKE) * n for p, q, n in zip(x, y, both.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(fits, pa.bool_())) for n in names], names)
+
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("shape").alias(f"shape_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "size_a", "size_b", "shape_a", "shape_b").mapInArrow(run, pairs.select(*names).schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,6 +342,7 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
     groups = found.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("grp"), F.col("n").alias("centre")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id")).distinct()
     sets = materialize(_sets(documents, wanted, shingle))
+    pairs = materialize(_possible(pairs, sets))
     # first the likeliest partner of each document, which settles nearly all; then what is open
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     done = materialize(_verified(best, sets))
@@ -321,7 +354,7 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
             checked = materialize(_verified(rest, sets))
             done = materialize(done.unionByName(checked))
         else:
-            checked = materialize(_verified(_across(groups, labels, done), sets))
+            checked = materialize(_verified(_possible(_across(groups, labels, done), sets), sets))
         edges = materialize(edges.unionByName(checked.where("linked").select("a", "b")))
     final = components(edges)
     out = nodes.join(final, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
