@@ -201,18 +201,18 @@ def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, block_wor
                     n_words.append(len(h))
                     hit.append([{"start": a, "stop": b} for a, b in merged(ranges)])
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words, pa.int64()), pa.array(hit, spans), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, "_n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words, pa.int64()), pa.array(hit, spans), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, "__talespan_n_words", "__talespan_spans", "__talespan_items"])
 
     span_type = T.StructType().add("start", "long").add("stop", "long")
-    schema = T.StructType([*documents.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(span_type)), T.StructField("_items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*documents.schema.fields, T.StructField("__talespan_n_words", T.LongType()), T.StructField("__talespan_spans", T.ArrayType(span_type)), T.StructField("__talespan_items", T.ArrayType(T.StringType()))])
     return documents.mapInArrow(run, schema)
 
 
 def verdicts(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage_percent: int = COVERAGE_PERCENT) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the item ids themselves."""
     found = scan(documents.select("doc_id", "text"), benchmark, span)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 100 >= F.col("_n_words") * coverage_percent)).alias("contaminated"))
+    n_hit = F.aggregate("__talespan_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select("doc_id", F.col("__talespan_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__talespan_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__talespan_items"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 100 >= F.col("__talespan_n_words") * coverage_percent)).alias("contaminated"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage_percent: int = COVERAGE_PERCENT) -> DataFrame:
@@ -223,15 +223,15 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage
     """
     spark = documents.sparkSession
     found = scan(documents, benchmark, span)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    kept = found.where((n_hit == 0) | (n_hit * 100 < F.col("_n_words") * coverage_percent))
+    n_hit = F.aggregate("__talespan_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    kept = found.where((n_hit == 0) | (n_hit * 100 < F.col("__talespan_n_words") * coverage_percent))
     ship(spark)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table("alnum-lower")
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+            texts, spans = batch.column("text").to_pylist(), batch.column("__talespan_spans").to_pylist()
             for i, hit in enumerate(spans):
                 if hit:
                     raw = texts[i].encode()

@@ -344,7 +344,7 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
     sets = materialize(_sets(documents, wanted, shingle))
     pairs = materialize(_possible(pairs, sets))
     # first the likeliest partner of each document, which settles nearly all; then what is open
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", F.bitwise_not("a"))).alias("a"))
     done = materialize(_verified(best, sets))
     edges = materialize(copies.unionByName(done.where("linked").select("a", "b")))
     for open_ in ("pairs", "groups"):

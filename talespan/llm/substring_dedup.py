@@ -39,7 +39,7 @@ BATCH_BYTES = 10 << 20
 FIRST_ID = -(1 << 63)
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
-_HITS = T.StructType().add("_id", "long").add("_crc", "long").add("_found", "binary")
+_HITS = T.StructType().add("__talespan_id", "long").add("__talespan_crc", "long").add("__talespan_found", "binary")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -195,7 +195,7 @@ def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = N
             for at in range(0, len(starts), 4096):
                 some = starts[at : at + 4096]
                 packed = [planes.pack(places[a:b]) for a, b in zip(some, ends[at : at + 4096], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(crcs[some].astype(np.int64)), pa.array(packed, pa.binary())], ["_id", "_crc", "_found"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(crcs[some].astype(np.int64)), pa.array(packed, pa.binary())], ["__talespan_id", "__talespan_crc", "__talespan_found"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, _ROW)
     found = rows.repartitionById(n, F.col("block")).mapInArrow(match, _ROW)
@@ -215,8 +215,8 @@ def factors(found: np.ndarray, span: int) -> list[tuple[int, int]]:
 def parsed(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """Documents with _found: the packed places of all found windows, or null."""
     found = found_windows(documents, span)
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return keyed.join(found.hint("shuffle_hash"), ["_id", "_crc"], "left")
+    keyed = documents.withColumn("__talespan_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))).withColumn("__talespan_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return keyed.join(found.hint("shuffle_hash"), ["__talespan_id", "__talespan_crc"], "left")
 
 
 def _kept(text: bytes, found: bytes | None, span: int) -> tuple[list[bytes], list[bytes]]:
@@ -245,7 +245,7 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([documents.schema["doc_id"]]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return parsed(documents.select("doc_id", "text"), span).select("doc_id", "text", "_found").mapInArrow(run, schema)
+    return parsed(documents.select("doc_id", "text"), span).select("doc_id", "text", "__talespan_found").mapInArrow(run, schema)
 
 
 def cut(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -255,12 +255,12 @@ def cut(documents: DataFrame, span: int = SPAN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            if batch.column("_found").null_count < batch.num_rows:
+            if batch.column("__talespan_found").null_count < batch.num_rows:
                 texts = column.to_pylist()
-                for i, found in enumerate(batch.column("_found").to_pylist()):
+                for i, found in enumerate(batch.column("__talespan_found").to_pylist()):
                     if found:
                         texts[i] = b" ".join(_kept(texts[i].encode(), found, span)[1]).decode()
                 column = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([column if n == "text" else batch.column(n) for n in names], names)
 
-    return parsed(documents, span).select(*names, "_found").mapInArrow(run, documents.schema)
+    return parsed(documents, span).select(*names, "__talespan_found").mapInArrow(run, documents.schema)
