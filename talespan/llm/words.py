@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A sub-batch holds about this many bytes of text, so that a task's arrays stay small.
 CHUNK_BYTES = 2 << 20
@@ -100,10 +101,12 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of a record batch with about limit bytes of text each, one row at least."""
-    texts = texts_of(batch.column(column))
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") + 1
-        if size >= limit or i + 1 == len(texts):
-            yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-            at, size = i + 1, 0
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(int(np.searchsorted(ends, done + limit)), at) + 1
+        part = batch.slice(at, stop - at)
+        yield part, texts_of(part.column(column))
+        at = stop
