@@ -125,7 +125,7 @@ class Encoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = [list(map(young.get, one)) for one in cut]
-        holes = [(f, one, [i for i, e in enumerate(f) if e is None]) for f, one in zip(found, cut, strict=True) if None in f]
+        holes = [(f, one, [i for i, e in enumerate(f) if e is None]) for f, one in zip(found, cut, strict=True)]
         missing = []
         for p in {one[i] for _, one, at in holes for i in at}:
             known = old.get(p)
