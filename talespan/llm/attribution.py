@@ -24,6 +24,8 @@ from talespan.llm.tokens import encoder
 from talespan.llm.words import chunks
 from talespan.runtime import ship
 
+#: Pieces that the encoder keeps; each has an array of offsets.
+CACHE_PIECES = 200_000
 RULES = ("most", "first", "last")
 
 
@@ -57,7 +59,7 @@ def counts(documents: DataFrame, tokenizer: str, rule: str = "most") -> DataFram
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, with_offsets=True)
+        encode = encoder(tokenizer, with_offsets=True, cache_pieces=CACHE_PIECES)
         for batch in batches:
             for rows, _ in chunks(batch):
                 texts = rows.column(1).to_pylist()

@@ -31,6 +31,8 @@ from talespan.runtime import materialize, ship
 
 WINDOW = 2048
 END_ID = 1
+#: Pieces that the encoder keeps: half of what it may, since this runs beside other stages' data.
+CACHE_PIECES = 400_000
 #: Rests in one block's index.
 BLOCK_RESTS = 512
 K1, B = 1.2, 0.75
@@ -56,7 +58,7 @@ def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache_pieces=CACHE_PIECES)
         for batch in batches:
             for rows, _ in chunks(batch):
                 total, full, left, key = [], [], [], []

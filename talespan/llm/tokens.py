@@ -9,6 +9,8 @@ cut. Results equal those of encoding the text as a whole.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from tokenizers import Encoding, Tokenizer
 
@@ -57,6 +59,7 @@ class Encoder:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.model = self.tokenizer.model
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         # how a piece of ASCII letters looks to the model: the byte-level file writes its space as one letter
         probe = self.tokenizer.encode(" a", add_special_tokens=False).tokens
         self.space = "\u0120" if probe and probe[0].startswith("\u0120") else ""
@@ -95,7 +98,7 @@ class Encoder:
 
     def _letters(self, piece: str) -> bytes:
         """A piece of ASCII letters is one pretoken and goes to the library's model at once."""
-        return np.array([t.id for t in self.model.tokenize(self.space + (piece if self.space else piece.lower()))], dtype=self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(self.space + (piece if self.space else piece.lower()))]).tobytes()
 
     def _put(self, missing: list[str]) -> None:
         young, other = self.young, missing
@@ -140,7 +143,9 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(f) for f in self._load([pieces(t) if t else [] for t in texts])]
+        # where the file folds case, folding an ASCII text first leaves fewer distinct pieces
+        fold = not self.space
+        return [b"".join(f) for f in self._load([pieces(t.lower() if fold and t.isascii() and "<|" not in t else t) if t else [] for t in texts])]
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text an array of (start, end) rows in characters, one row a token."""
@@ -159,9 +164,9 @@ class Encoder:
 _encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4", with_offsets: bool = False) -> Encoder:
+def encoder(path: str, dtype: str = "<u4", with_offsets: bool = False, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for each file and Python worker, kept across tasks."""
     key = (path, dtype, with_offsets)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, dtype, with_offsets)
+        _encoders[key] = Encoder(path, dtype, with_offsets, cache_pieces)
     return _encoders[key]
