@@ -86,10 +86,10 @@ def text_scores(documents: DataFrame, query: list[str], key: str = "doc_id", tex
     """
     wanted = sorted(set(query))
     tokens = documents.select(key, terms_of(F.col(text)).alias("terms")).withColumn("len", F.size("terms"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    stats = tokens.groupBy(F.lit(1).alias("all")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     posts = tokens.select(key, "len", F.explode(F.filter("terms", lambda t: t.isin(wanted))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = posts.join(F.broadcast(df), "term").join(F.broadcast(stats))  # at most one row a query term, and one row
+    joined = posts.join(F.broadcast(df), "term").withColumn("all", F.lit(1)).join(F.broadcast(stats), "all")  # one row a query term at most, and one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("mean")))
     return joined.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
