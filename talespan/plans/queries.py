@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespan.functions import text as tx
-from talespan.operators import archive, corpus, evaluate, intervals, speakers, words
+from talespan.operators import archive, assembly, corpus, evaluate, intervals, speakers, words
 from talespan.plans import views
 from talespan.runtime import ship, table
 from talespan.sources import sinks
@@ -313,3 +313,67 @@ def job_registry(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("submit", "status", "cancel", "done", "submit"))), (F.col("event_id") % 5 + 1).cast("int"))
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("slot"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("job"))
     return jobs.replay(rows)
+
+
+@query
+def vad_regions(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    speech = c.select("conv_id", (F.col("turn") * 4.0 + 0.25).alias("start"), (F.col("turn") * 4.0 + 2.5).alias("end"), F.lit(25.0).alias("total"))
+    return assembly.vad_timeline(speech, "conv_id").select("conv_id", *(F.round(x, 6).alias(x) for x in ("orig_start", "filtered_start", "duration")))
+
+
+@query
+def speaker_turns(spark, d):
+    return assembly.turns(corpus.speech_lines(views.tagged_lines(spark, d), "conv_id"), "conv_id")
+
+
+@query
+def statement_chunks(spark, d):
+    rows = views.statements(spark, d).withColumn("speaker", F.when(F.col("turn") % 4 < 3, "A").otherwise("B"))
+    return assembly.chunks(rows, "interview", 20.0).select("interview", "run", "part", "speaker", "start_time", F.round("end_time", 3).alias("end_time"), F.length("text").alias("n_chars"))
+
+
+@query
+def gold_transcript(spark, d):
+    text = F.concat(F.lit("Cover page\nInterview of X\nSARAH DOE: "), "text", F.lit("\nA PROGRAM OF y\nAF: yes"))
+    return table(spark, d, "documents").select("doc_id", assembly.gold_text(text).alias("gold"))
+
+
+@query
+def paper_match(spark, d):
+    docs = table(spark, d, "documents")
+    return assembly.prefix_match(docs.select(F.concat(F.col("doc_id") % 300, F.lit(".wav.json")).alias("file"), "doc_id"), docs.where("doc_id % 2 = 0").select(F.concat("doc_id", F.lit(" "), "source").alias("paper"))).select("doc_id", "file", F.coalesce("paper", F.lit("")).alias("paper"))
+
+
+@query
+def lexicon_phrases(spark, d):
+    ship(spark)
+    phrases = spark.createDataFrame([(["of", "the"],), (["the", "the"],), (["in", "the", "of"],)], "term array<string>")
+    tokens = table(spark, d, "documents").select("doc_id", archive.terms_of(F.col("text")).alias("tokens"))
+    every = F.broadcast(phrases.agg(F.collect_list("term").alias("terms")).withColumn("one", F.lit(1)))  # a lexicon: one row
+    return tokens.withColumn("one", F.lit(1)).join(every, "one").select("doc_id", "tokens", F.explode("terms").alias("term")).select("doc_id", F.array_join("term", " ").alias("term"), assembly.occurrences("tokens", "term").alias("n"))
+
+
+@query
+def phrase_places(spark, d):
+    ship(spark)
+    pairs = views.turn_pairs(spark, d)
+    return pairs.select("conv_id", assembly.locate("heard", F.slice("truth", 1, 5)).alias("place"))
+
+
+@query
+def diarization_score(spark, d):
+    ship(spark)
+    t = views.ticks(spark, d)
+    w = intervals.W.partitionBy("user_id").orderBy("seq")
+    spans = t.withColumn("stop", F.lead("t").over(w)).where("stop > t")
+    truth = spans.select("user_id", F.col("seq").alias("segment"), F.col("t").cast("double").alias("l_start"), F.col("stop").cast("double").alias("l_end"), F.when(F.col("value") > 50, "high").otherwise("low").alias("name"))
+    guess = spans.select("user_id", F.when(F.col("event_type").isin("purchase", "signup"), "S1").otherwise("S0").alias("speaker"), F.col("t").cast("double").alias("r_start"), F.col("stop").cast("double").alias("r_end"))
+    return assembly.diarization_score(truth, guess, "user_id", 43200.0, 3600.0)
+
+
+@query
+def scorecards(spark, d):
+    errors = evaluate.word_errors(views.positional_ops(spark, d), ["conv_id"])
+    stats = evaluate.structure(views.statements(spark, d), ["interview"]).withColumnRenamed("interview", "conv_id")
+    return assembly.scorecard(errors, stats, "conv_id")
