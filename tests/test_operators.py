@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,19 @@ def test_registry_stream(spark, tmp_path):
 def test_mono_topics(spark):
     df = spark.createDataFrame([(1, "AIDS\nfoo AZT"), (2, "nothing")], "d int, text string")
     assert [tuple(r) for r in corpus.topic_hits(corpus.lines_of(df, "d"), "d", ["aids", "azt"]).collect()] == [(1, 2)]
+
+
+def test_phrase_search():
+    from talespan.operators.assembly import locate, occurrences
+
+    t = pd.Series([["a", "b", "c", "d", "x"], ["a", "b"]])
+    assert occurrences.func(t, pd.Series([["b", "c"], ["z"]])).tolist() == [1, 0]
+    assert locate.func(t, pd.Series([["b", "c", "d", "q"], ["b"]])).tolist() == [1, 1]
+
+
+def test_vad_timeline(spark):
+    from talespan.operators.assembly import vad_timeline
+
+    df = spark.createDataFrame([("f", 2.0, 4.0, 20.0), ("f", 10.0, 25.0, 20.0), ("g", 5.0, 5.0, 20.0)], "file string, start double, end double, total double")
+    got = [tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in vad_timeline(df, "file").orderBy("orig_start").collect()]
+    assert got == [("f", 2.0, 0.0, 2.1), ("f", 10.0, 2.2, 10.0)]
