@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: A sub-batch holds about this many bytes of text, so that a task's arrays stay small.
 CHUNK_BYTES = 2 << 20
+#: Bytes of one text that are hashed at a time.
+BLOCK_BYTES = 2 << 20
 
 
 def byte_table(keep: str) -> np.ndarray:
@@ -56,6 +58,19 @@ def _power(which: str, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
+def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of folded bytes; the last byte is a gap."""
+    gap = data == 32
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[0::2], edge[1::2]
+    total = np.empty(len(data) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE_CODE[data] * _power("up", len(data)), out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * _power("down", len(data) + 1)[starts])
+
+
 class Words:
     """Hashes of all words of some texts; words of text i are first[i]:first[i + 1]."""
 
@@ -64,17 +79,19 @@ class Words:
     def __init__(self, texts: list[bytes | None], table: np.ndarray):
         joined = b" ".join(t or b"" for t in texts) + b" "
         self.data = data = table[np.frombuffer(joined, dtype=np.uint8)]
-        gap = data == 32
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if not gap[0]:
-            edge = np.concatenate(([0], edge))
-        self.starts, self.ends = starts, ends = edge[0::2], edge[1::2]
-        total = np.empty(len(data) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE_CODE[data] * _power("up", len(data)), out=total[1:])
-        self.hashes = mix((total[ends] - total[starts]) * _power("down", len(data) + 1)[starts]) if len(starts) else np.empty(0, np.uint64)
+        starts, ends, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        at = 0
+        while at < len(data):  # a long text is hashed in blocks that end between words
+            stop = min(at + BLOCK_BYTES, len(data))
+            while stop < len(data) and data[stop - 1] != 32:
+                more = np.flatnonzero(data[stop : stop + BLOCK_BYTES] == 32)
+                stop = stop + int(more[0]) + 1 if len(more) else min(stop + BLOCK_BYTES, len(data))
+            for out, part in zip((starts, ends, hashes), _hash_block(data[at:stop]), strict=True):
+                out.append(part + at if out is not hashes else part)
+            at = stop
+        self.starts, self.ends, self.hashes = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
         sizes = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
-        self.first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+        self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes))))
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

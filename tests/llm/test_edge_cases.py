@@ -290,3 +290,15 @@ def test_empty_tables(spark, empty, items):
     assert attribution.counts(empty, P.path("byte_bpe_50k.json")).count() == 0
     assert quality_rules.judged(empty).count() == 0
     assert chat.rotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_words_in_blocks(monkeypatch):
+    from talespan.llm import words
+
+    texts = [(t or "").encode() for _, t in ROWS] + [None]
+    whole = words.Words(texts, words.byte_table("space-lower"))
+    for size in (1, 50, 4096):
+        monkeypatch.setattr(words, "BLOCK_BYTES", size)
+        part = words.Words(texts, words.byte_table("space-lower"))
+        assert (part.hashes == whole.hashes).all() and (part.starts == whole.starts).all() and (part.first == whole.first).all()
+    assert whole.word(0) == texts[0].lower().split()[0] if texts[0].split() else True
