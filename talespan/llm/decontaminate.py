@@ -13,7 +13,6 @@ repeated rows too. Columns of the documents with other names pass through `clean
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ SPAN = 13
 COVERAGE_PERCENT = 5
 #: Words of items in one automaton; larger benchmarks are scanned block by block.
 BLOCK_WORDS = 2_000_000
+_ADDED = ["__talespan_n_words", "__talespan_spans", "__talespan_items"]
 
 
 class SuffixAutomaton:
@@ -176,36 +176,42 @@ def blocks(benchmark: DataFrame, span: int, block_words: int) -> Iterator[Index]
     yield Index(held, span)
 
 
+def _found(parts: list, words: Words, texts: int, span: int) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """Number of words, merged hit ranges and item ids of each text."""
+    for i in range(texts):
+        h = words.hashes[words.first[i] : words.first[i + 1]]
+        ranges, items = [], set()
+        for part in parts:
+            r, f = part.value.scan(h, span)
+            ranges, items = ranges + r, items | f
+        yield len(h), merged(ranges), sorted(items)
+
+
+def _broadcast(documents: DataFrame, benchmark: DataFrame, span: int, block_words: int) -> list:
+    spark = documents.sparkSession
+    ship(spark)
+    return [spark.sparkContext.broadcast(x) for x in blocks(benchmark, span, block_words)]
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Documents with n_words, spans (hit word ranges) and items (ids found), one row for each row.
+    """Documents with their number of words, spans (hit word ranges) and items (ids found).
 
     The items are broadcast in blocks of bounded size; a map over the documents needs no shuffle.
     """
-    spark = documents.sparkSession
-    ship(spark)
-    parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, span, block_words)]
+    parts = _broadcast(documents, benchmark, span, block_words)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table("alnum-lower")
         for batch in batches:
             for rows, texts in chunks(batch):
-                words = Words(texts, table)
-                n_words, hit, items = [], [], []
-                for i in range(len(texts)):
-                    h = words.hashes[words.first[i] : words.first[i + 1]]
-                    ranges, found = [], set()
-                    for part in parts:
-                        r, f = part.value.scan(h, span)
-                        ranges, found = ranges + r, found | f
-                    n_words.append(len(h))
-                    hit.append([{"start": a, "stop": b} for a, b in merged(ranges)])
-                    items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words, pa.int64()), pa.array(hit, spans), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, "__talespan_n_words", "__talespan_spans", "__talespan_items"])
+                found = list(_found(parts, Words(texts, table), len(texts), span))
+                added = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in r] for _, r, _ in found], spans), pa.array([i for _, _, i in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, *_ADDED])
 
     span_type = T.StructType().add("start", "long").add("stop", "long")
-    schema = T.StructType([*documents.schema.fields, T.StructField("__talespan_n_words", T.LongType()), T.StructField("__talespan_spans", T.ArrayType(span_type)), T.StructField("__talespan_items", T.ArrayType(T.StringType()))])
-    return documents.mapInArrow(run, schema)
+    added = [T.LongType(), T.ArrayType(span_type), T.ArrayType(T.StringType())]
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *(T.StructField(n, t) for n, t in zip(_ADDED, added, strict=True))]))
 
 
 def verdicts(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage_percent: int = COVERAGE_PERCENT) -> DataFrame:
@@ -221,29 +227,31 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage
     A text without hits stays as it is, byte for byte. A cut takes the bytes from the first word of
     a span to the last.
     """
-    spark = documents.sparkSession
-    found = scan(documents, benchmark, span)
-    n_hit = F.aggregate("__talespan_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    kept = found.where((n_hit == 0) | (n_hit * 100 < F.col("__talespan_n_words") * coverage_percent))
-    ship(spark)
+    parts = _broadcast(documents, benchmark, span, BLOCK_WORDS)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table("alnum-lower")
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("__talespan_spans").to_pylist()
-            for i, hit in enumerate(spans):
-                if hit:
-                    raw = texts[i].encode()
-                    words, out, at = Words([raw], table), [], 0
-                    for s in hit:
-                        out.append(raw[at : words.starts[s["start"]]])
-                        at = int(words.ends[s["stop"] - 1])
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
-
-    return kept.mapInArrow(run, documents.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+            for rows, texts in chunks(batch):
+                words, keep, changed = Words(texts, table), [], {}
+                for i, (n, hit, _) in enumerate(_found(parts, words, len(texts), span)):
+                    n_hit = sum(b - a for a, b in hit)
+                    keep.append(not hit or 100 * n_hit < coverage_percent * n)
+                    if hit and keep[-1]:
+                        changed[i] = _without(texts[i], Words([texts[i]], table), hit)
+                column = rows.column("text")
+                if changed:
+                    column = pa.array([changed.get(i, t) for i, t in enumerate(column.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([column if n == "text" else rows.column(n) for n in names], names).filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def _without(raw: bytes, words: Words, hit: list[tuple[int, int]]) -> str:
+    """The text without the bytes from the first to the last word of each range."""
+    out, at = [], 0
+    for a, b in hit:
+        out.append(raw[at : words.starts[a]])
+        at = int(words.ends[b - 1])
+    return b"".join([*out, raw[at:]]).decode()
