@@ -32,9 +32,13 @@ EXAMPLES_EACH = 4000
 FOLDS = 5
 NEIGHBOURS = 25
 BLOCK = 128
+#: Blocks scored between two looks at the bounds.
+BLOCKS_AT_ONCE = 8
 #: Standard errors by which a word's rates must differ, and examples that must have it.
 LEAST_Z = 4.0
 LEAST_EXAMPLES = 3
+#: Times by which one rate must exceed the other; long texts have more of every word, but not so much more.
+LEAST_RATIO = 3.0
 PRIOR_WEIGHT = 0.5
 #: Edges of the calibration's score bins.
 BINS = 12
@@ -64,7 +68,8 @@ def choose(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
     rate = n / (n1 + n0)
     z = (bad / n1 - (n - bad) / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    return seen[(n >= LEAST_EXAMPLES) & (np.abs(z) >= LEAST_Z)]
+    one, other = (bad + 0.5) / (n1 + 1), (n - bad + 0.5) / (n0 + 1)
+    return seen[(n >= LEAST_EXAMPLES) & (np.abs(z) >= LEAST_Z) & (np.maximum(one / other, other / one) >= LEAST_RATIO)]
 
 
 def term_rows(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,19 +136,22 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines, best first."""
         bound = weight @ self.most[term]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best, score = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(score) >= k and bound[b] < score[k - 1]:
+        for at in range(0, len(order), BLOCKS_AT_ONCE):
+            some = order[at : at + BLOCKS_AT_ONCE]
+            if len(score) >= k and bound[some[0]] < score[k - 1]:
                 break
-            got = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                x, y = self.first[t * self.blocks + b], self.first[t * self.blocks + b + 1]
-                got[self.doc[x:y] - b * BLOCK] += w * self.weight[x:y]
-            found = np.flatnonzero(got > 0)
-            found = found[found + b * BLOCK != without]
-            best, score = np.concatenate((best, found + b * BLOCK)), np.concatenate((score, got[found]))
-            order = np.lexsort((best, -score))[:k]
-            best, score = best[order], score[order]
+            cell = (term[:, None] * self.blocks + np.sort(some)).ravel()
+            first, n = self.first[cell], self.first[cell + 1] - self.first[cell]
+            row = np.arange(n.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            found, own = np.unique(self.doc[row], return_inverse=True)
+            got = np.bincount(own, weights=self.weight[row] * np.repeat(np.repeat(weight, len(some)), n), minlength=len(found))
+            other = found != without
+            best, score = np.concatenate((best, found[other])), np.concatenate((score, got[other]))
+            top = np.lexsort((best, -score))[:k]
+            best, score = best[top], score[top]
         return best, score
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
