@@ -41,6 +41,8 @@ BATCH_BYTES = 6 << 20
 FIRST_ID = -(1 << 63)
 #: A group up to this size gives all its pairs; beyond, a star and the check across components.
 SMALL_GROUP = 6
+#: Members of a large group that one task compares to as many others.
+GROUP_PART = 512
 #: A shingle in this share of a batch's documents is put late in the order; changes speed only.
 HOT_SHARE = 0.004
 HOT_LEAST = 8
@@ -354,7 +356,7 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
             checked = materialize(_verified(rest, sets))
             done = materialize(done.unionByName(checked))
         else:
-            checked = materialize(_verified(_possible(_across(groups, labels, done), sets), sets))
+            checked = materialize(_verified(materialize(_across(groups, labels, done, sets)), sets))
         edges = materialize(edges.unionByName(checked.where("linked").select("a", "b")))
     final = components(edges)
     out = nodes.join(final, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
@@ -372,18 +374,69 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs, labels, "a"), labels, "b").where("of_a <> of_b").select("a", "b")
 
 
-def _across(groups: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Open pairs of large groups with several components, but for those that distances to the
-    group's least document rule out: linked pairs differ by 1/4 at most in them."""
+def _across(groups: DataFrame, labels: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open pairs of large groups with several components that sizes, shapes and distances allow.
+
+    Linked pairs differ by 1/4 at most in their distances to the group's least document. Members of a
+    group are dealt to parts of about GROUP_PART; each task sees two parts of one group at most and
+    gives back possible pairs only.
+    """
+    spark = groups.sparkSession
     known = _label(groups, labels, "id")
-    several = known.groupBy("grp").agg(F.min("of_id").alias("lo"), F.max("of_id").alias("hi")).where("lo < hi").select("grp")
-    split = known.join(several, "grp")
+    several = known.groupBy("grp").agg(F.min("of_id").alias("lo"), F.max("of_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("grp", "members")
     far = done.select(F.col("a").alias("centre"), F.col("b").alias("id"), "far")
-    placed = materialize(split.join(far, ["centre", "id"], "left").select("grp", "id", "of_id", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("far")).alias("far")))
-    x, y = placed.select("grp", F.col("id").alias("a"), F.col("of_id").alias("of_a"), F.col("far").alias("fa")), placed.select("grp", F.col("id").alias("b"), F.col("of_id").alias("of_b"), F.col("far").alias("fb"))
-    limit = 1 - LIKE / OF + 1e-9
-    near = F.col("fa").isNull() | F.col("fb").isNull() | (F.abs(F.col("fa") - F.col("fb")) <= limit)
-    return x.join(y, "grp").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & near).select("a", "b").distinct()
+    placed = known.join(several, "grp").join(far, ["centre", "id"], "left").join(sets.select("id", "size", "shape"), "id")
+    parts = F.ceil(F.col("members") / GROUP_PART).cast("int")
+    part = F.pmod(F.xxhash64("id"), parts).cast("int")
+    far_or = F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.coalesce("far", F.lit(-1.0)))
+    dealt = placed.select("grp", "id", F.col("of_id").alias("label"), far_or.alias("far"), "size", "shape", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    together = dealt.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").select("grp", "lo", "hi", "part", "id", "label", "far", "size", "shape")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, out = [], None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    out += _near(held, key)
+                    held, key = [], row[:3]
+                held.append(row[3:])
+            if out:
+                yield _pair_batch(out)
+                out = []
+        out = _near(held, key)
+        if out:
+            yield _pair_batch(out)
+
+    return together.mapInArrow(run, T.StructType().add("a", "long").add("b", "long")).distinct()
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*sorted(set(pairs)), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _near(rows: list[tuple], key: tuple | None) -> list[tuple[int, int]]:
+    """Possible pairs between the two parts of a group, or within its one part."""
+    if len(rows) < 2:
+        return []
+    part, ids, label, far, size, shapes = zip(*rows, strict=True)
+    part, ids, label, far, size = (np.array(x) for x in (part, ids, label, far, size))
+    width = min(map(len, shapes))
+    table = np.stack([np.frombuffer(x, np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for x in shapes])
+    left = np.flatnonzero(part == key[1])
+    right = left if key[1] == key[2] else np.flatnonzero(part == key[2])
+    out = []
+    for i in left.tolist():
+        apart = np.abs(far[right] - far[i])
+        open_ = right[(label[right] != label[i]) & ((apart <= 1 - LIKE / OF + 1e-9) | (far[right] < 0) | (far[i] < 0)) & (OF * np.minimum(size[right], size[i]) >= LIKE * np.maximum(size[right], size[i]))]
+        if key[1] == key[2]:
+            open_ = open_[open_ > i]
+        if len(open_):
+            least = np.abs(table[open_] - table[i]).sum(axis=1)
+            fits = open_[(OF + LIKE) * least <= (OF - LIKE) * (size[open_] + size[i])]
+            out += [(min(x, y), max(x, y)) for x, y in zip(ids[fits].tolist(), [int(ids[i])] * len(fits), strict=True)]
+    return out
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
