@@ -302,3 +302,19 @@ def test_words_in_blocks(monkeypatch):
         part = words.Words(texts, words.byte_table("space-lower"))
         assert (part.hashes == whole.hashes).all() and (part.starts == whole.starts).all() and (part.first == whole.first).all()
     assert whole.word(0) == texts[0].lower().split()[0] if texts[0].split() else True
+
+
+def test_open_pairs_of_large_groups(spark, monkeypatch):
+    """Members in several components, parts of a few members: every linked pair comes out, none of one component."""
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64) * np.uint64(4))
+    sets = {i: np.unique(np.concatenate((base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 62, int(rng.integers(0, 20))).astype(np.uint64) * np.uint64(4) + np.uint64(1)))) for i in range(30)}
+    frame = spark.createDataFrame([(i, len(x), bytearray(near_duplicates.shape(x))) for i, x in sets.items()], "id long, size long, shape binary")
+    groups = spark.createDataFrame([(i, 77, 0) for i in sets], "id long, grp long, centre long")
+    labels = spark.createDataFrame([(i, i % 3) for i in sets], "id long, component long")
+    done = spark.createDataFrame([], "a long, b long, linked boolean, far double")
+    monkeypatch.setattr(near_duplicates, "GROUP_PART", 7)
+    got = {(r["a"], r["b"]) for r in near_duplicates._across(groups, labels, done, frame).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    assert {p for p in linked if p[0] % 3 != p[1] % 3} <= got
+    assert all(a < b and a % 3 != b % 3 for a, b in got)
