@@ -287,7 +287,8 @@ def cluster_labels(spark, d):
 @query
 def fuzzy_match(spark, d):
     ship(spark)
-    return corpus.fuzzy_best(table(spark, d, "nation").select("n_name"), table(spark, d, "supplier").select("s_name").unionByName(table(spark, d, "region").select(F.col("r_name").alias("s_name"))), "n_name", "s_name")
+    names = table(spark, d, "nation").select(F.lower(F.expr("substring(n_name, 2)")).alias("heard")).distinct()
+    return corpus.fuzzy_best(names, table(spark, d, "nation").select("n_name"), "heard", "n_name")
 
 
 @query
