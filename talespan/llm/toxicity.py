@@ -6,7 +6,9 @@ document frequencies are counted over all documents. Each feature's postings lie
 examples with the largest weight of each block. A query adds up block maxima to upper bounds, then
 scores blocks from the highest bound down until no block can reach the k-th best cosine, so the
 neighbours are exact. Ties go to the earlier example. Neighbours vote with their cosine against a
-prior; the votes are calibrated by shares of toxic examples among leave-one-out scores.
+prior; the votes are calibrated by shares of toxic examples among leave-one-out scores. Each example
+counts for as many labelled rows as were drawn for one of its label, so that prior, votes and shares
+are those of all training labels, whether the sample's bound cuts one label, both or none.
 
 Labels, language, source and doc_id are no inputs of a score. Defined results: null, empty and
 feature-free texts have no neighbours and get the share of toxic examples among such texts; a
@@ -17,6 +19,7 @@ example every score is 0. Repeated rows are scored each. A null doc_id is held o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +51,21 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def examples(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of the bounded sample, smallest hashed id first."""
+def examples(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts and labels of the bounded sample, smallest hashed id first, and the rows that an example of label 0 and 1 stands for."""
     own = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = None
-    for label in (0, 1):
-        some = own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        picked = some if picked is None else picked.unionByName(some)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.col("text").cast("binary").alias("text"), "toxic").limit(4 * each).collect()
-    return [bytes(r["text"] or b"") for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64)
+    ids = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    picked = reduce(DataFrame.unionByName, [own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for label in (0, 1)])
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    present = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    # repeated rows of one label must not push out the other label
+    bounded = reduce(DataFrame.unionByName, [found.where(F.col("toxic") == label).orderBy(*order).limit(2 * each) for label in (0, 1)])
+    rows = bounded.orderBy(*order).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
+    toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
+    drawn = np.bincount(toxic, minlength=2)
+    stands_for = np.array([ids.get(k, 0) / max(min(ids.get(k, 0), each), 1) * present.get(k, 0) / max(drawn[k], 1) for k in (0, 1)])
+    return [bytes(r["text"] or b"") for r in rows], toxic, stands_for
 
 
 def choose(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -106,14 +115,16 @@ def document_frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[
 class Index:
     """Unit TF-IDF vectors of the examples that have features, as blocked postings."""
 
-    def __init__(self, texts: list[bytes], toxic: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray):
+    def __init__(self, texts: list[bytes], toxic: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, stands_for: np.ndarray | None = None):
         self.vocabulary, self.idf = vocabulary, idf
         doc, term, n = term_rows(Words(texts, byte_table("alnum-lower")), vocabulary)
         has = np.unique(doc)
         bare = np.setdiff1d(np.arange(len(texts)), has)
-        self.bare = float((toxic[bare].sum() + 1e-9) / max(len(bare), 1)) if len(texts) else 0.0
-        self.toxic = toxic[has].astype(np.float64)
-        self.prior = float(self.toxic.mean()) if len(has) else self.bare
+        rows = np.ones(len(texts)) if stands_for is None else stands_for[toxic]
+        rows = rows / max(rows.mean(), 1e-12) if len(texts) else rows
+        self.bare = float((rows[bare] @ toxic[bare] + 1e-9) / max(rows[bare].sum(), 1e-9)) if len(bare) else 0.0
+        self.toxic, self.stands_for = toxic[has].astype(np.float64), rows[has]
+        self.prior = float(self.stands_for @ self.toxic / self.stands_for.sum()) if len(has) else self.bare
         doc = np.searchsorted(has, doc)
         weight = self.unit(doc, term, n, len(has))
         order = np.lexsort((doc, term))
@@ -155,7 +166,8 @@ class Index:
         return best, score
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
-        return float(((score * self.toxic[best]).sum() + PRIOR_WEIGHT * self.prior) / (score.sum() + PRIOR_WEIGHT))
+        weight = score * self.stands_for[best]
+        return float((weight @ self.toxic[best] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
     def _calibrate(self, docs: int) -> None:
         """Shares of toxic examples in bins of leave-one-out votes, made to rise by pooling."""
@@ -165,7 +177,8 @@ class Index:
         cut = np.searchsorted(doc, np.arange(docs + 1))
         raw = np.array([self.vote(*self.nearest(term[a:b], weight[a:b], NEIGHBOURS, i)) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))])
         order = np.argsort(raw, kind="stable")
-        pools = [[float(raw[p].mean()), float(self.toxic[p].mean()), len(p)] for p in np.array_split(order, min(BINS, docs)) if len(p)]
+        rows = self.stands_for
+        pools = [[float(rows[p] @ raw[p] / rows[p].sum()), float(rows[p] @ self.toxic[p] / rows[p].sum()), float(rows[p].sum())] for p in np.array_split(order, min(BINS, docs)) if len(p)]
         merged: list[list[float]] = []
         for pool in pools:
             merged.append(pool)
@@ -182,11 +195,11 @@ def scores(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH, n
     """doc_id, held_out, score, predicted, and the neighbours that speak for the score."""
     spark = documents.sparkSession
     ship(spark)
-    texts, toxic = examples(documents, labels, each)
+    texts, toxic, stands_for = examples(documents, labels, each)
     words = Words(texts, byte_table("alnum-lower"))
     vocabulary = choose([np.unique(words.hashes[a:b]) for a, b in zip(words.first, words.first[1:], strict=False)], toxic) if texts else np.empty(0, np.uint64)
     df, n = document_frequencies(documents, vocabulary)
-    index = spark.sparkContext.broadcast(Index(texts, toxic, vocabulary, np.log((1 + n) / (1 + df)) + 1))
+    index = spark.sparkContext.broadcast(Index(texts, toxic, vocabulary, np.log((1 + n) / (1 + df)) + 1, stands_for))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value

@@ -238,6 +238,28 @@ def test_toxicity_learns_only_from_its_folds(spark):
     assert len(toxicity.scores(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()) == 302
 
 
+def test_toxicity_does_not_depend_on_the_bound(spark):
+    """A sample of which one label is cut, by its bound or by repeated rows, has the scores of the whole one."""
+    rng = random.Random(11)
+    # "sharp" is in most toxic texts and some others: its share depends on the labels' ratio
+    bad = {i: rng.random() < 0.1 for i in range(3000)}
+    rows = [(i, f"plain words {i % 7}" + (" sharp" if rng.random() < (0.8 if bad[i] else 0.1) else "")) for i in bad]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in bad.items()], "doc_id long, toxic int")
+    whole, cut = ({r["doc_id"]: r["score"] for r in toxicity.scores(df, labels, each).collect()} for each in (4000, 260))
+    for has in (True, False):
+        ids = [i for i, t in rows if ("sharp" in t) == has]
+        a, b = (np.mean([s[i] for i in ids]) for s in (whole, cut))
+        share = np.mean([bad[i] for i in ids])
+        assert abs(a - b) < 0.08 and abs(b - share) < 0.1
+    clean = [i for i, b in bad.items() if not b and zlib.crc32(str(i).encode()) % 5]
+    again = df.unionByName(df.where(df.doc_id.isin(clean[:40])).crossJoin(spark.range(60)).select("doc_id", "text"))
+    texts, toxic, stands_for = toxicity.examples(again, labels, 260)
+    train = [i for i in bad if zlib.crc32(str(i).encode()) % 5]
+    assert toxic.sum() == sum(bad[i] for i in train) and stands_for[1] == 1
+    assert len(texts) - toxic.sum() <= 520 and stands_for[0] > 1
+
+
 def test_attribution(docs):
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = attribution.counts(docs, P.path("byte_bpe_50k.json")).collect()
