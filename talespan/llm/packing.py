@@ -3,14 +3,15 @@
 Every document is encoded whole and gets an end id. Runs of `window` ids from its start are windows
 by themselves; the rest of a document is packed with others. Rests are range-partitioned by a
 lexical key (the least hash of their id pairs) and the document, so that like rests meet and copies
-of one text, however many, spread over the shards. A shard is read in blocks of bounded size; each
-block has a BM25 inverted index over token ids. A seed rest opens a window; its unused neighbours,
-best score first, fill it greedily, and the last is cut where the window is full; what is left of it
-stays a neighbour for later seeds. What a block can't fill goes on to the next block, so that a
-shard leaves at most one window short.
+of one text, however many, spread over the shards. A shard is searched whole: it has one BM25
+inverted index over token ids, with document frequencies and mean length counted over all rests of
+the table. A seed rest opens a window; its unused neighbours, best score first, fill it greedily,
+and the last is cut where the window is full; what is left of it stays a neighbour for later seeds.
+Postings of common ids are kept as dense rows; rests that are used up leave the index. A shard
+leaves at most one window short.
 
 Defined results: null and empty texts have the end id alone. Repeated rows are packed each by
-itself. Ties of scores go to the earlier rest of the block. No documents give no rows.
+itself. Ties of scores go to the earlier rest of the shard. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,15 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces that the encoder keeps: half of what it may, since this runs beside other stages' data.
 CACHE_PIECES = 400_000
-#: Rests in one block's index.
+#: Rests that are used up before an index drops them.
 BLOCK_RESTS = 512
+#: Rests a shard on average at most, so that a task's index is bounded. Only where one repeated id makes a shard
+#: larger than twice that, it is filled in parts.
+SHARD_RESTS = 8192
+#: Ids fit in 16 bits.
+IDS = 1 << 16
+#: Ids in more than this share of an index's rests have dense rows.
+COMMON = 1 / 8
 K1, B = 1.2, 0.75
 
 _REST = T.StructType().add("doc_id", "long").add("lexical", "long").add("doc_tokens", "long").add("full_crc", T.ArrayType(T.LongType())).add("rest", "binary")
@@ -76,13 +84,30 @@ def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _REST)
 
 
+def statistics(encoded: DataFrame) -> tuple[int, np.ndarray, float]:
+    """Rests, rests with each id, and mean length, over the whole table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(IDS + 2, dtype=np.int64)
+        for batch in batches:
+            for rest in batch.column(0).to_pylist():
+                ids = np.unique(np.frombuffer(rest, "<u2"))
+                total[ids] += 1
+                total[IDS:] += len(ids) > 0, len(rest) // 2
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    out = np.zeros(IDS + 2, dtype=np.int64)
+    for r in encoded.select("rest").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return int(out[IDS]), out[:IDS], out[IDS + 1] / max(out[IDS], 1)
+
+
 class Index:
-    """BM25 over the token ids of a block's rests."""
+    """BM25 over the token ids of rests; `live` are those that are left in it."""
 
-    def __init__(self, ids: list[np.ndarray]):
-        n = len(ids)
+    def __init__(self, ids: list[np.ndarray], corpus: tuple[int, np.ndarray, float] | None = None):
         terms, counts, docs = [], [], []
-        self.terms: list[np.ndarray] = []
         for d, own in enumerate(ids):
             t, c = np.unique(own, return_counts=True)
             terms.append(t)
@@ -91,20 +116,57 @@ class Index:
         length = np.array([len(i) for i in ids], dtype=np.float64)
         all_terms, all_docs, tf = np.concatenate(terms), np.concatenate(docs), np.concatenate(counts).astype(np.float64)
         order = np.argsort(all_terms, kind="stable")
-        vocabulary, first, df = np.unique(all_terms[order], return_index=True, return_counts=True)
+        vocabulary, term, df = np.unique(all_terms[order], return_inverse=True, return_counts=True)
+        n, mean = len(ids), length.mean()
+        if corpus is not None:
+            n, df, mean = corpus[0], corpus[1][vocabulary], corpus[2]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1.0))
-        self.docs = all_docs[order]
-        self.weights = np.repeat(idf, df) * (tf * (K1 + 1))[order] / (tf[order] + norm[self.docs])
-        self.first, self.df, self.n = first, df, n
+        norm = K1 * (1 - B + B * length / max(mean, 1.0))
+        self.term, self.doc = term.astype(np.int32), all_docs[order]
+        self.weight = idf[term] * (tf * (K1 + 1))[order] / (tf[order] + norm[self.doc])
+        self.vocabulary = len(vocabulary)
         self.terms = [np.searchsorted(vocabulary, t) for t in terms]
+        self.live = np.arange(len(ids))
+        self._lay()
+
+    def _lay(self) -> None:
+        """Dense rows of the common ids and postings of the others."""
+        n = len(self.live)
+        df = np.bincount(self.term, minlength=self.vocabulary)
+        common = df > COMMON * n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        dense = common[self.term]
+        self.dense = np.zeros((int(common.sum()), n), dtype=np.float32)
+        self.dense[self.row[self.term[dense]], self.doc[dense]] = self.weight[dense]
+        self.docs, self.weights = self.doc[~dense], self.weight[~dense]
+        self.df = np.where(common, 0, df)
+        self.first = np.cumsum(self.df) - self.df
+
+    def drop(self, open_: np.ndarray) -> None:
+        """Only open rests stay."""
+        stay = open_[self.live]
+        kept = stay[self.doc]
+        self.term, self.doc, self.weight = self.term[kept], (np.cumsum(stay) - 1).astype(np.int32)[self.doc[kept]], self.weight[kept]
+        self.live = self.live[stay]
+        self._lay()
 
     def scores(self, seed: int) -> np.ndarray:
-        rows = self.terms[seed]
-        df = self.df[rows]
-        shift = np.repeat(self.first[rows] - np.concatenate(([0], np.cumsum(df[:-1]))), df)
+        """Scores of the live rests."""
+        terms = self.terms[seed]
+        row = self.row[terms]
+        df = self.df[terms]
+        shift = np.repeat(self.first[terms] - np.cumsum(df) + df, df)
         at = np.arange(len(shift)) + shift
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        return np.bincount(self.docs[at], weights=self.weights[at], minlength=len(self.live)) + self.dense[row[row >= 0]].sum(axis=0)
+
+    def ranked(self, seed: int, open_: np.ndarray, head: int = 64) -> Iterator[int]:
+        """Open rests, best score first; all but the first few are sorted only when asked for."""
+        score, stay = self.scores(seed), open_[self.live]
+        score, live = score[stay], self.live[stay]
+        least = np.partition(score, len(score) - head)[len(score) - head] if len(score) > head else -np.inf
+        for some in (score >= least, score < least):
+            at = np.flatnonzero(some)
+            yield from live[at[np.argsort(-score[at], kind="stable")]].tolist()
 
 
 class Rest:
@@ -114,12 +176,12 @@ class Rest:
         self.doc, self.start, self.total, self.ids = doc, start, total, ids
 
 
-def fill(block: list[Rest], window: int, last: bool) -> tuple[list[list[tuple[Rest, int, int]]], list[Rest]]:
-    """Windows of (rest, from, to), and the rests of an unfilled window unless it is the last block."""
-    index = Index([r.ids for r in block])
+def fill(block: list[Rest], window: int, last: bool, corpus: tuple[int, np.ndarray, float] | None = None, drop_after: int = BLOCK_RESTS) -> tuple[list[list[tuple[Rest, int, int]]], list[Rest]]:
+    """Windows of (rest, from, to), and the rests of an unfilled window unless these are the shard's last rests."""
+    index = Index([r.ids for r in block], corpus)
     used = np.zeros(len(block), dtype=np.int64)
     size = np.array([len(r.ids) for r in block], dtype=np.int64)
-    left = int(size.sum())
+    left, gone = int(size.sum()), 0
     windows: list[list[tuple[Rest, int, int]]] = []
     for seed in range(len(block)):
         while used[seed] < size[seed] and (left >= window or last):
@@ -133,13 +195,17 @@ def fill(block: list[Rest], window: int, last: bool) -> tuple[list[list[tuple[Re
                     taken.append((block[at], int(used[at]), int(used[at]) + n))
                     used[at] += n
                     room, left = room - n, left - n
+                    gone += n == open_
                 if room:
                     if ranked is None:
-                        ranked = iter(np.argsort(-index.scores(seed), kind="stable").tolist())
+                        ranked = index.ranked(seed, used < size)
                     at = next((d for d in ranked if used[d] < size[d]), -1)
                     if at < 0:
                         break
             windows.append(taken)
+            if gone >= max(drop_after, len(index.live) // 8):
+                index.drop(used < size)
+                gone = 0
     kept = []
     for r, u in zip(block, used.tolist(), strict=True):
         if u < len(r.ids):
@@ -151,7 +217,9 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
     encoded = materialize(rests(documents, tokenizer, window, end_id))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = statistics(encoded)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted[0] // SHARD_RESTS))
+    corpus = spark.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -181,12 +249,12 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                 ids = np.frombuffer(row["rest"], "<u2")
                 if len(ids):
                     held.append(Rest(row["doc_id"], row["doc_tokens"] - len(ids), row["doc_tokens"], ids))
-                if len(held) >= block_rests:
-                    windows, held = fill(held, window, False)
+                if len(held) >= 2 * SHARD_RESTS:
+                    windows, held = fill(held, window, False, corpus.value, block_rests)
                     put(windows)
-                    yield flush()
+            yield flush()
         if held:
-            put(fill(held, window, True)[0])
+            put(fill(held, window, True, corpus.value, block_rests)[0])
         yield flush()
 
     schema = T.StructType()

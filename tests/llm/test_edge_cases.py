@@ -170,6 +170,43 @@ def test_packing(docs):
     assert max(windows.values()) <= 256 and sum(v < 256 for v in windows.values()) <= 4
 
 
+def test_packing_searches_the_whole_shard(spark):
+    """All windows equal a plain greedy search over all rests, however few rests are dropped at once."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(VOCAB) for _ in range(rng.randrange(3, 60))) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path, window = P.path("word_bpe_49k.json"), 128
+    rests = sorted(((r["lexical"], r["doc_id"], np.frombuffer(r["rest"], "<u2"), r["doc_tokens"]) for r in packing.rests(df, path, window).collect()), key=lambda r: r[:2])
+    rests = [r for r in rests if len(r[2])]
+    n, mean = len(rests), np.mean([len(r[2]) for r in rests])
+    sets = [set(r[2].tolist()) for r in rests]
+    df_of = {t: sum(t in s for s in sets) for t in set().union(*sets)}
+    counted = packing.statistics(packing.rests(df, path, window))
+    assert counted[0] == n and abs(counted[2] - mean) < 1e-9 and all(counted[1][t] == k for t, k in df_of.items()) and counted[1].sum() == sum(df_of.values())
+
+    def score(seed, d):
+        ids = rests[d][2].tolist()
+        return sum(np.log1p((n - df_of[t] + 0.5) / (df_of[t] + 0.5)) * ids.count(t) * 2.2 / (ids.count(t) + 1.2 * (0.25 + 0.75 * len(ids) / mean)) for t in sets[seed] & sets[d])
+
+    used, want = [0] * n, []
+    for seed in range(n):
+        while used[seed] < len(rests[seed][2]):
+            room = window
+            for d in [seed, *sorted((d for d in range(n) if d != seed), key=lambda d: (-round(score(seed, d), 9), d))]:
+                if room and (k := min(len(rests[d][2]) - used[d], room)):
+                    want.append((rests[d][1], rests[d][3] - len(rests[d][2]) + used[d], k))
+                    used[d], room = used[d] + k, room - k
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for block in (4, 512):
+            rows = sorted(packing.pack(df, path, window=window, block_rests=block).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+            full = {r["sequence_id"] for r in rows if r["length"] == window and r["start"] + window <= r["doc_tokens"] // window * window}
+            assert [(r["doc_id"], r["start"], r["length"]) for r in rows if r["sequence_id"] not in full] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_bm25_scores():
     block = [np.array(x) for x in ([1, 2, 2, 3], [2, 3], [9, 9, 9])]
     index = packing.Index(block)
