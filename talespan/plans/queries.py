@@ -295,10 +295,11 @@ def fuzzy_match(spark, d):
 def difflib_wer(spark, d):
     ship(spark)
     c = table(spark, d, "conversations").select("conv_id", "turn", tx.plain_tokens(F.col("text")).alias("w"))
-    pairs = c.where("turn = 0").select("conv_id", F.col("w").alias("g")).join(c.where("turn = 1").select("conv_id", F.col("w").alias("h")), "conv_id")
+    # joined on the turn too, so that one long conversation spreads over the tasks
+    pairs = c.select("conv_id", "turn", F.col("w").alias("g")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("h")), ["conv_id", "turn"])
     scored = pairs.withColumn("e", tx.block_edits("g", "h"))
     lexical = F.size(F.filter("e.pairs", lambda p: tx.classify(p["gold"], p["heard"]) == "lexical"))
-    return scored.select("conv_id", *evaluate.difference_columns(F.col("e")), tx.verdict(F.size("g"), F.size("h"), lexical).alias("verdict"))
+    return scored.select("conv_id", "turn", *evaluate.difference_columns(F.col("e")), tx.verdict(F.size("g"), F.size("h"), lexical).alias("verdict"))
 
 
 @query

@@ -187,3 +187,12 @@ def test_vad_timeline(spark):
     df = spark.createDataFrame([("f", 2.0, 4.0, 20.0), ("f", 10.0, 25.0, 20.0), ("g", 5.0, 5.0, 20.0)], "file string, start double, end double, total double")
     got = [tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in vad_timeline(df, "file").orderBy("orig_start").collect()]
     assert got == [("f", 2.0, 0.0, 2.1), ("f", 10.0, 2.2, 10.0)]
+
+
+def test_difflib_wer_compares_every_turn_with_the_next(spark):
+    from talespan import catalog
+    from tests.conftest import DATA
+
+    turns = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    got = [(r["conv_id"], r["turn"]) for r in catalog.QUERIES["difflib_wer"](spark, DATA).collect()]
+    assert sorted(got) == sorted((c, t) for c, t in turns if (c, t + 1) in turns)
