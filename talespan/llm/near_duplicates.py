@@ -2,17 +2,22 @@
 
 A document is the set of its distinct word shingles. Two sets of sizes a <= b link when their
 Jaccard similarity reaches the threshold; their symmetric difference then has at most
-(1 - t) / (1 + t) * (a + b) members. The shingle domain is cut into 2^e partitions, with e from the
-size band of the larger set, so that a set meets two bands at most. Two linked sets differ in at most
-D partitions, so among any D + 1 partitions, taken in one order that both sets share, one is equal;
-its content is the signature. The order puts partitions with rare shingles first, those of
-passages that very many documents share next, and empty ones last.
-
-Signatures travel packed: a batch sends each block of the signature space one row. A block groups
-equal signatures into candidates: all pairs of a small group, and pairs with the least document of a
-large one. Candidates are verified against the exact sets. A large group whose members do not all
-end up in one component gets its remaining pairs checked across components, as far as the triangle
-inequality leaves them open; so no link between different components is lost.
+(1 - t) / (1 + t) * (a + b) members. Sizes are cut into bands; a set meets the band of its own size
+and the next one. A band cuts the shingle domain into first-level partitions, and each of them into
+three second-level ones. A signature is the content of two of the three second-level partitions of
+one first-level partition, so all subsets of two are enumerated. D differing members change the
+most signatures when they are spread evenly over the first-level partitions. So among any one more than that, taken in an order that both sets share, one is equal. The order puts subsets
+with rare shingles first, those of passages that very many documents share next, and empty ones last.
+
+Signatures travel packed: a batch sends each block of the signature space one row. A block joins all
+documents with an equal signature to the least one of its groups, and sends each document's row to
+the document's bucket, where equal rows of different blocks become one. What these rows connect is a
+family: every pair that shares a signature lies in one. Members of families that are too large for
+one task sign again with more shingles a signature, which takes most such families apart. The exact sets of a family's different
+texts meet in one task, or, for a large family, each pair of its parts does. There a document is
+compared to all others at once, first one that joins most of them, then each that is outside the
+largest class; so a pair is left out only if both are known to be in one class. Tasks give back
+one row a document, not the pairs.
 
 Defined results: null text and text without words have no shingles and link with nothing. A text
 with fewer than `shingle` words is one shingle. Rows with equal doc_id are one node; each gives its own row. A null
@@ -21,10 +26,13 @@ doc_id is a node before all others, given back as null. Other columns pass throu
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +47,25 @@ SHINGLE = 5
 LIKE, OF = 3, 4
 BATCH_BYTES = 6 << 20
 FIRST_ID = -(1 << 63)
-#: A group up to this size gives all its pairs; beyond, a star and the check across components.
-SMALL_GROUP = 6
-#: Members of a large group that one task compares to as many others.
-GROUP_PART = 512
+#: Second-level partitions of a first-level one, how many of them may differ in linked sets, and a factor (as a fraction)
+#: for the number of first-level ones, which leaves the order something to choose from.
+COARSE = (3, 1, 5, 4)
+#: Signatures with twice as many shingles, for families that COARSE leaves too large for one task.
+FINE = (7, 3, 1, 1)
+#: Bits of a signature; more would travel for nothing, since equal signatures are only candidates.
+SIGNATURE_BITS = 48
+#: Members of sets, over all documents of a family, that one part of it holds; a task sees two parts at most.
+PART_MEMBERS = 1 << 18
+#: Rows (32 bytes each) up to which a counted table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Texts with this share of all rows, at most 1000 of them, are joined apart from the others.
+HOT_COPIES = 1 / 1000
 #: A shingle in this share of a batch's documents is put late in the order; changes speed only.
 HOT_SHARE = 0.004
 HOT_LEAST = 8
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
+_FOUND = T.StructType().add("kind", "byte").add("a", "long").add("b", "long").add("n", "long")
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -72,53 +90,71 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def _difference(a: int, b: int) -> int:
-    """Most members in which linked sets of these sizes differ."""
-    return (a + b) * (OF - LIKE) // (OF + LIKE)
-
-
-def _band(b: int) -> int:
-    """e for a larger set of size b: 2^e is at least twice one more than the difference."""
-    return (2 * (_difference(b, b) + 1) - 1).bit_length()
-
-
-def signatures(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Signatures of one ascending set, for each band that a partner may have."""
-    a = len(own)
-    most = a * OF // LIKE
-    sums = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(a, bool)
-    out = []
-    b = a
-    while b <= most:
-        e = _band(b)
-        largest = b
-        step = most - b
-        while step:  # the largest partner in this band
-            if largest + step <= most and _band(largest + step) == e:
-                largest += step
-            else:
-                step //= 2
-        need = _difference(a, largest) + 1
-        part = own >> np.uint64(64 - e)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        number = part[first]
-        content = np.add.reduceat(sums, first)
-        cold = np.flatnonzero(~np.logical_and.reduceat(late, first))
-        pick = cold[:need]
-        if len(pick) < need:
-            only_hot = np.setdiff1d(np.arange(len(first)), cold, assume_unique=True)
-            pick = np.concatenate((pick, only_hot[: need - len(pick)]))
-        number, content = number[pick], content[pick]
-        if len(pick) < need:
-            empty = np.setdiff1d(np.arange(1 << e, dtype=np.uint64), part[first], assume_unique=True)[: need - len(pick)]
-            number, content = np.concatenate((number, empty)), np.concatenate((content, np.zeros(len(empty), np.uint64)))
-        out.append(mix(content + mix(number + np.uint64(e << 40) + np.uint64(1))))
-        b = largest + 1
-    return np.concatenate(out)
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def bands(largest: int) -> np.ndarray:
+    """The greatest size of each band, up to one that holds `largest`; a partner of a set lies in its band or the next."""
+    out = [1]
+    while out[-1] < largest:
+        out.append(max(out[-1] + 1, out[-1] * OF // LIKE))
+    return np.array(out, dtype=np.int64)
+
+
+def _lost(partitions: int, differ: int, first: np.ndarray, differences: np.ndarray) -> np.ndarray:
+    """Signatures that so many differing members change at most: spread evenly over the first-level partitions they change most."""
+    whole = math.comb(partitions, differ)
+    at = np.array([whole - (math.comb(partitions - d, partitions - differ) if d <= differ else 0) for d in range(differ + 3)])
+    each, more = np.divmod(differences, first)
+    return (first - more) * at[each] + more * at[each + 1]
+
+
+def signatures(sets: list[np.ndarray], hot: np.ndarray, scheme: tuple[int, int, int, int] = COARSE) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of ascending sets that are not empty, and the set that each belongs to."""
+    partitions, differ, extra, of_extra = scheme
+    subsets = list(itertools.combinations(range(partitions), partitions - differ))
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    own = np.concatenate(sets)
+    mixed = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    cold = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] != own if len(hot) else np.ones(len(own), bool)
+    most = size * OF // LIKE
+    greatest = bands(int(most.max()))
+    band = np.searchsorted(greatest, size)
+    values, docs = [], []
+    for step in (0, 1):
+        chosen = most > greatest[band] if step else np.ones(len(sets), bool)
+        doc, inside = np.flatnonzero(chosen), np.repeat(chosen, size)
+        if not len(doc):
+            continue
+        last = greatest[band[doc] + step]
+        # enough first-level partitions that one has at most `differ` second-level ones in which linked sets differ
+        first = -(-(2 * last * (OF - LIKE) // (OF + LIKE) + 1) * extra // (of_extra * (differ + 1)))
+        differences = (size[doc] + np.minimum(last, most[doc])) * (OF - LIKE) // (OF + LIKE)
+        need = _lost(partitions, differ, first, differences) + 1
+        cells, units = np.concatenate(([0], np.cumsum(partitions * first))), np.concatenate(([0], np.cumsum(len(subsets) * first)))
+        cell = ((own[inside] >> np.uint64(32)) * np.repeat(partitions * first, size[doc]).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        at = cell + np.repeat(cells[:-1], size[doc])  # ascending, since sets are
+        run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        total = np.zeros(cells[-1], np.uint64)
+        total[at[run]] = np.add.reduceat(mixed[inside], run)
+        level = np.full(cells[-1], 2, np.int8)  # 0 with a rare shingle, 1 with frequent ones only, 2 empty
+        level[at[run]] = np.where(np.logical_or.reduceat(cold[inside], run), 0, 1)
+        total, level = total.reshape(-1, partitions), level.reshape(-1, partitions)
+        content = np.stack([sum(total[:, x] * PLACE[i] for i, x in enumerate(some)) for some in subsets], axis=1).ravel()
+        level = np.stack([level[:, list(some)].min(axis=1) for some in subsets], axis=1).ravel()
+        whose = np.repeat(np.arange(len(doc)), len(subsets) * first)
+        rank, before = np.zeros(len(level), np.int64), np.zeros(len(doc), np.int64)
+        for k in (0, 1, 2):
+            of = level == k
+            count = np.concatenate(([0], np.cumsum(of)))
+            rank = np.where(of, count[:-1] + (before - count[units[:-1]])[whose], rank)
+            before += count[units[1:]] - count[units[:-1]]
+        pick = np.flatnonzero(rank < need[whose])
+        number = (pick - units[:-1][whose[pick]]).astype(np.uint64)
+        which = (band[doc] + step).astype(np.uint64)[whose[pick]]
+        values.append(mix(content[pick] + mix(number + (which << np.uint64(40)) + np.uint64(1))) >> np.uint64(64 - SIGNATURE_BITS))
+        docs.append(doc[whose[pick]])
+    return np.concatenate(values), np.concatenate(docs).astype(np.uint32)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     ids: list[int] = []
     texts: list[bytes] = []
     size = 0
@@ -127,7 +163,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
             ids.append(FIRST_ID if i is None else i)
             texts.append(t or b"")
             size += len(texts[-1]) + 1
-            if size >= BATCH_BYTES:
+            if size >= limit:
                 yield np.array(ids, dtype=np.int64), texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -151,295 +187,243 @@ def hot_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(rows.view(np.uint64))
 
 
-def _signature_rows(ids: np.ndarray, texts: list[bytes], shingle: int, hot: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+def _signature_rows(ids: np.ndarray, texts: list[bytes], shingle: int, hot: np.ndarray, blocks: int, scheme: tuple[int, int, int, int]) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
     sets = shingle_sets(texts, shingle)
     sizes = np.array([len(s) for s in sets], dtype=np.uint32)
     prints = np.array([mix(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    yield int(prints.sum() % np.uint64(blocks)), b"\1" + planes.pack(ids.view(np.uint64)) + planes.pack(sizes) + planes.pack(prints)
-    seen: set[tuple[int, int]] = set()
-    found, doc = [], []
-    for i, own in enumerate(sets):
-        key = (len(own), int(prints[i]))
-        if len(own) and key not in seen:  # copies within a batch are linked by their fingerprint
-            seen.add(key)
-            found.append(signatures(own, hot))
-            doc.append(np.full(len(found[-1]), i, dtype=np.uint32))
-    if not found:
+    yield int(prints.sum() % np.uint64(blocks)), b"\1" + planes.pack_sorted(ids.view(np.uint64)) + planes.pack(sizes) + planes.pack(prints)
+    # copies within a batch are linked by their fingerprint; the least one signs
+    _, first = np.unique(np.stack([sizes.astype(np.uint64), prints]), axis=1, return_index=True)
+    first = np.sort(first[sizes[first] > 0])
+    if not len(first):
         return
-    values, doc = np.concatenate(found), np.concatenate(doc)
+    values, doc = signatures([sets[i] for i in first], hot, scheme)
     order = np.argsort(values)
     values, doc = values[order], doc[order]
-    width = (1 << 64) // blocks + 1
+    width = (1 << SIGNATURE_BITS) // blocks + 1
     cut = np.searchsorted(values, np.array([b * width for b in range(1, blocks)], dtype=np.uint64)).tolist()
     for b, (x, y) in enumerate(zip([0, *cut], [*cut, len(values)], strict=True)):
         if y > x:
             held, local = np.unique(doc[x:y], return_inverse=True)
-            yield b, b"".join([b"\0", planes.pack_sorted(values[x:y]), planes.pack(local.astype(np.uint32)), planes.pack(ids[held].view(np.uint64)), planes.pack(sizes[held])])
-
-
-_MATCH = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-
-def _match_batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 50_000):
-        part = slice(at, at + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int8)), *(pa.array(x[part].astype(np.int64)) for x in (a, b, n))], schema=_MATCH)
-
-
-def _match(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """kind 0: document, size, fingerprint. kind 1: candidate pair and its number of shared
-    signatures. kind 2: member of a large group, the group's number, its least document."""
-    values, docs, ids, sizes = [], [], [], []
+            yield b, b"".join([b"\0", planes.pack_sorted(values[x:y]), planes.pack(local.astype(np.uint32)), planes.pack_sorted(ids[first[held]].view(np.uint64))])
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is connected to by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+
+
+def _match(rows: Iterator[bytes], blocks: int) -> Iterator[tuple[int, bytes]]:
+    """Rows of documents as they came, and for each bucket of documents what this block connects them to."""
+    values, docs, ids, base = [], [], [], 0
     for data in rows:
         if data[0] == 1:
-            own, at = planes.unpack(data, np.uint64, at=1)
-            size, at = planes.unpack(data, np.uint32, at=at)
-            prints, _ = planes.unpack(data, np.uint64, at=at)
-            yield from _match_batch(0, own.view(np.int64), size, prints.view(np.int64))
+            yield int.from_bytes(data[-3:], "little") % blocks, data
             continue
         v, at = planes.unpack_sorted(data, 1)
         local, at = planes.unpack(data, np.uint32, at=at)
-        own, at = planes.unpack(data, np.uint64, at=at)
-        size, _ = planes.unpack(data, np.uint32, at=at)
+        own, _ = planes.unpack_sorted(data, at)
         values.append(v)
-        docs.append(own.view(np.int64)[local])
-        sizes.append(size[local])
+        docs.append(local + np.uint32(base))
+        ids.append(own.view(np.int64))
+        base += len(own)
     if not values:
         return
-    value, doc, size = np.concatenate(values), np.concatenate(docs), np.concatenate(sizes)
-    del values, docs, sizes, ids
+    value, doc = np.concatenate(values), np.concatenate(docs)
+    del values, docs
     order = np.argsort(value, kind="stable")
-    value = value[order]
-    same = value[1:] == value[:-1]
-    often = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    order, value = order[often], value[often]
-    doc, size = doc[order], size[order].astype(np.int64)
-    order = np.lexsort((doc, value))
-    value, doc, size = value[order], doc[order], size[order]
-    fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))[: len(value)]
-    value, doc, size = value[fresh], doc[fresh], size[fresh]
-    if not len(value):
-        return
+    value, doc = value[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     count = np.diff(np.append(first, len(value)))
-    group = np.repeat(np.arange(len(first)), count)
-    place = np.arange(len(value)) - first[group]
-    pairs_a, pairs_b = [], []
-    for back in range(1, SMALL_GROUP):  # all pairs of small groups: each member with the one `back` places before it
-        at = np.flatnonzero((place >= back) & (count[group] <= SMALL_GROUP))
-        pairs_a.append(at - back)
-        pairs_b.append(at)
-    at = np.flatnonzero((place > 0) & (count[group] > SMALL_GROUP))
-    pairs_a.append(first[group[at]])
-    pairs_b.append(at)
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    fits = (np.minimum(size[a], size[b]) * OF >= np.maximum(size[a], size[b]) * LIKE)
-    a, b = doc[a[fits]], doc[b[fits]]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
-    if len(new):
-        yield from _match_batch(1, a[new], b[new], np.diff(np.append(new, len(a))))
-    large = count[group] > SMALL_GROUP
-    if large.any():
-        # groups with the same members need one check only
-        member = np.add.reduceat(mix(doc.view(np.uint64)), first)
-        _, keep = np.unique(member, return_index=True)
-        chosen = np.zeros(len(first), bool)
-        chosen[keep] = True
-        at = np.flatnonzero(large & chosen[group])
-        yield from _match_batch(2, doc[at], member[group[at]].view(np.int64), doc[first[group[at]]])
-
-
-def shape(own: np.ndarray) -> bytes:
-    """Members of a set in each of 2^q equal parts of the hash range, about three a part, clipped to a byte."""
-    q = max(len(own) // 3, 1).bit_length()
-    return np.minimum(np.bincount((own >> np.uint64(64 - q)).astype(np.int64), minlength=1 << q), 255).astype(np.uint8).tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound of the members in which two sets differ: the finer shape is folded to the other."""
-    p, q = (np.frombuffer(z, dtype=np.uint8).astype(np.int64) for z in (x, y))
-    if len(p) > len(q):
-        p = p.reshape(len(q), -1).sum(axis=1)
-    elif len(q) > len(p):
-        q = q.reshape(len(p), -1).sum(axis=1)
-    return int(np.abs(p - q).sum())
-
-
-def _sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, size, shape and the packed set of the documents asked for: the top 40 bits of each hash, ascending."""
+    known, of = np.unique(np.concatenate(ids), return_inverse=True)
+    several = count > 1
+    a, b = np.repeat(of[doc[first[several]]], count[several]), of[doc[np.repeat(several, count)]]
+    root = roots(len(known), a, b)
+    child = np.flatnonzero(root != np.arange(len(known)))
+    if not len(child):
+        return
+    bucket = mix(known[child].view(np.uint64)) % np.uint64(blocks)
+    order = np.argsort(bucket, kind="stable")
+    child, edge = child[order], np.searchsorted(bucket[order], np.arange(blocks + 1, dtype=np.uint64)).tolist()
+    for k, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+        if y > x:
+            yield k, b"\0" + planes.pack_sorted(known[child[x:y]].view(np.uint64)) + planes.pack(known[root[child[x:y]]].view(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, texts in _batches(batches):
-            sets = shingle_sets(texts, shingle)
-            data = [planes.pack(np.diff(s >> np.uint64(24), prepend=np.uint64(0))) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(s) for s in sets], pa.int64()), pa.array([shape(s) for s in sets], pa.binary()), pa.array(data, pa.binary())], ["id", "size", "shape", "members"])
 
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), "text")
-    return keyed.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, T.StructType().add("id", "long").add("size", "long").add("shape", "binary").add("members", "binary"))
+def _gather(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """kind 0: document, size, fingerprint. kind 1: two documents of one family, once each."""
 
+    def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int8)), *(pa.array(x[part].astype(np.int64)) for x in (a, b, n))], _FOUND.names)
 
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes and shapes allow a link; no linked pair is left out."""
-    names = pairs.columns
+    low, high = [], []
+    for data in rows:
+        own, at = planes.unpack_sorted(data, 1)
+        if data[0] == 1:
+            size, at = planes.unpack(data, np.uint32, at=at)
+            yield from batch(0, own.view(np.int64), size, planes.unpack(data, np.uint64, at=at)[0].view(np.int64))
+        else:
+            high.append(own.view(np.int64))
+            low.append(planes.unpack(data, np.uint64, at=at)[0].view(np.int64))
+    if low:
+        a, b = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
+        yield from batch(1, a, b, np.zeros(len(a), np.int64))
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents that links connect, the least id and each other one.
+
+    A document is compared to all at once. Those in the largest class need no look of their own:
+    a link that is left leads to a document outside of it, which is compared to all.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    known, label = np.unique(ids, return_inverse=True)  # labels are places of ids, so the least is a class's least id
+    own, asked = label.copy(), np.zeros(len(sets), bool)
+    mark = np.zeros(int(member.max()) + 1, bool)
+    while True:
+        open_ = np.flatnonzero((label != np.bincount(label).argmax()) & ~asked)
+        if not len(open_):
+            break
+        one = open_[len(open_) // 2]
+        asked[one] = True
+        # sets of sizes that can link lie next to each other
+        x, y = np.searchsorted(size, (-(-size[one] * LIKE // OF), size[one] * OF // LIKE + 1))
+        mine = member[start[one] : start[one + 1]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[member[start[x] : start[y]]], start[x:y] - start[x], dtype=np.int64)
+        mark[mine] = False
+        near = np.unique(label[x:y][OF * both >= LIKE * (size[x:y] + size[one] - both)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+    own, at = np.unique(own, return_index=True)
+    child = own[label[at] != own]
+    return known[label[at][label[at] != own]], known[child]
+
+
+def _families(groups: DataFrame) -> DataFrame:
+    """The linked documents of (family, lo, hi, id, members), each family's rows together: (a, b) for a class's least id and another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                a, b = linked(np.array(ids, dtype=np.int64), sets)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            x, y = batch.column("shape_a").to_pylist(), batch.column("shape_b").to_pylist()
-            both = np.array(batch.column("size_a")) + np.array(batch.column("size_b"))
-            fits = [(OF + LIKE) * least_difference(p, q) <= (OF - LIKE) * n for p, q, n in zip(x, y, both.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(fits, pa.bool_())) for n in names], names)
+            for *own, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield from done()
+                    key, ids, sets = own, [], []
+                ids.append(i)
+                sets.append(planes.unpack_sorted(data)[0])
+        yield from done()
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("shape").alias(f"shape_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "size_a", "size_b", "shape_a", "shape_b").mapInArrow(run, pairs.select(*names).schema)
+    return groups.mapInArrow(run, T.StructType().add("a", "long").add("b", "long"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked and the Jaccard distance of every pair."""
+def _exact_sets(keyed: DataFrame, shingle: int) -> DataFrame:
+    """family, part, parts, id and the packed set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, far, known = [], [], {}
-            for key, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if key not in known:
-                    known = {key: np.cumsum(planes.unpack(x, np.uint64)[0], dtype=np.uint64)}
-                p, q = known[key], np.cumsum(planes.unpack(y, np.uint64)[0], dtype=np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                union = len(p) + len(q) - both
-                linked.append(both > 0 and OF * both >= LIKE * union)
-                far.append(1 - both / max(union, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "linked", "far"])
-
-    schema = T.StructType().add("a", "long").add("b", "long").add("linked", "boolean").add("far", "double")
-    with_b = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("members").alias("of_b")), "b")
-    return with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")), "a").select("a", "b", "of_a", "of_b").mapInArrow(run, schema)
-
-
-def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that links reach."""
-    spark = documents.sparkSession
-    ship(spark)
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = spark.sparkContext.broadcast(hot_shingles(documents, shingle))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = shingle_sets([t or b"" for t in texts_of(some.column(4))], shingle)
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array([planes.pack_sorted(s) for s in sets], pa.binary())], ["family", "part", "parts", "id", "members"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
-            for block, data in _signature_rows(ids, texts, shingle, hot.value, n):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+    return keyed.select("family", "part", "parts", "id", "text").mapInArrow(run, T.StructType().add("family", "long").add("part", "integer").add("parts", "integer").add("id", "long").add("members", "binary"))
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _match(x.as_py() for batch in batches for x in batch.column(1))
 
-    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, _ROW)
-    schema = T.StructType().add("kind", "byte").add("a", "long").add("b", "long").add("n", "long")
-    found = materialize(rows.repartitionById(n, F.col("block")).mapInArrow(match, schema))
-    nodes = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("size"), F.col("n").alias("print"))
-    # copies: every document with the least one of its fingerprint
-    least = nodes.where("size > 0").groupBy("size", "print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = nodes.join(least, ["size", "print"]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    groups = found.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("grp"), F.col("n").alias("centre")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id")).distinct()
-    sets = materialize(_sets(documents, wanted, shingle))
-    pairs = materialize(_possible(pairs, sets))
-    # first the likeliest partner of each document, which settles nearly all; then what is open
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", F.bitwise_not("a"))).alias("a"))
-    done = materialize(_verified(best, sets))
-    edges = materialize(copies.unionByName(done.where("linked").select("a", "b")))
-    for open_ in ("pairs", "groups"):
-        labels = components(edges)
-        if open_ == "pairs":
-            rest = _apart(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), labels)
-            checked = materialize(_verified(rest, sets))
-            done = materialize(done.unionByName(checked))
-        else:
-            checked = materialize(_verified(materialize(_across(groups, labels, done, sets)), sets))
-        edges = materialize(edges.unionByName(checked.where("linked").select("a", "b")))
-    final = components(edges)
-    out = nodes.join(final, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
-    given = lambda c: F.when(F.col(c) != FIRST_ID, F.col(c))
-    return out.select(given("id").alias("doc_id"), F.col("size").alias("n_shingles"), given("component").alias("component_id"))
+def _beside(frame: DataFrame, other: DataFrame, on: str, how: str) -> DataFrame:
+    """Join to a materialised table: broadcast when its counted size is within the bound."""
+    return frame.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other.hint("shuffle_hash"), on, how)
 
 
-def _label(pairs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    named = labels.select(F.col("id").alias(column), F.col("component").alias(f"of_{column}"))
-    return pairs.join(named, column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", column))
+def _copies(nodes: DataFrame) -> DataFrame:
+    """size, print, least and copies of every text."""
+    return nodes.where("size > 0").groupBy("size", "print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components."""
-    return _label(_label(pairs, labels, "a"), labels, "b").where("of_a <> of_b").select("a", "b")
+def _found(texts: DataFrame, shingle: int, hot: Broadcast, blocks: int, scheme: tuple[int, int, int, int]) -> DataFrame:
+    """Documents (kind 0) and what connects families (kind 1), materialised."""
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, some in _batches(batches, BATCH_BYTES * 3 // math.comb(*scheme[:2])):
+            for block, data in _signature_rows(ids, some, shingle, hot.value, blocks, scheme):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], _ROW.names)
 
-def _across(groups: DataFrame, labels: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
-    """Open pairs of large groups with several components that sizes, shapes and distances allow.
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data in _match((x.as_py() for batch in batches for x in batch.column(1)), blocks):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], _ROW.names)
 
-    Linked pairs differ by 1/4 at most in their distances to the group's least document. Members of a
-    group are dealt to parts of about GROUP_PART; each task sees two parts of one group at most and
-    gives back possible pairs only.
-    """
-    spark = groups.sparkSession
-    known = _label(groups, labels, "id")
-    several = known.groupBy("grp").agg(F.min("of_id").alias("lo"), F.max("of_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("grp", "members")
-    far = done.select(F.col("a").alias("centre"), F.col("b").alias("id"), "far")
-    placed = known.join(several, "grp").join(far, ["centre", "id"], "left").join(sets.select("id", "size", "shape"), "id")
-    parts = F.ceil(F.col("members") / GROUP_PART).cast("int")
-    part = F.pmod(F.xxhash64("id"), parts).cast("int")
-    far_or = F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.coalesce("far", F.lit(-1.0)))
-    dealt = placed.select("grp", "id", F.col("of_id").alias("label"), far_or.alias("far"), "size", "shape", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = dealt.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").select("grp", "lo", "hi", "part", "id", "label", "far", "size", "shape")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gather(x.as_py() for batch in batches for x in batch.column(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    out += _near(held, key)
-                    held, key = [], row[:3]
-                held.append(row[3:])
-            if out:
-                yield _pair_batch(out)
-                out = []
-        out = _near(held, key)
-        if out:
-            yield _pair_batch(out)
-
-    return together.mapInArrow(run, T.StructType().add("a", "long").add("b", "long")).distinct()
-
-
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(set(pairs)), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _near(rows: list[tuple], key: tuple | None) -> list[tuple[int, int]]:
-    """Possible pairs between the two parts of a group, or within its one part."""
-    if len(rows) < 2:
-        return []
-    part, ids, label, far, size, shapes = zip(*rows, strict=True)
-    part, ids, label, far, size = (np.array(x) for x in (part, ids, label, far, size))
-    width = min(map(len, shapes))
-    table = np.stack([np.frombuffer(x, np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for x in shapes])
-    left = np.flatnonzero(part == key[1])
-    right = left if key[1] == key[2] else np.flatnonzero(part == key[2])
-    out = []
-    for i in left.tolist():
-        apart = np.abs(far[right] - far[i])
-        open_ = right[(label[right] != label[i]) & ((apart <= 1 - LIKE / OF + 1e-9) | (far[right] < 0) | (far[i] < 0)) & (OF * np.minimum(size[right], size[i]) >= LIKE * np.maximum(size[right], size[i]))]
-        if key[1] == key[2]:
-            open_ = open_[open_ > i]
-        if len(open_):
-            least = np.abs(table[open_] - table[i]).sum(axis=1)
-            fits = open_[(OF + LIKE) * least <= (OF - LIKE) * (size[open_] + size[i])]
-            out += [(min(x, y), max(x, y)) for x, y in zip(ids[fits].tolist(), [int(ids[i])] * len(fits), strict=True)]
-    return out
+    matched = texts.mapInArrow(sign, _ROW).repartitionById(blocks, F.col("block")).mapInArrow(match, _ROW)
+    return materialize(matched.repartitionById(blocks, F.col("block")).mapInArrow(gather, _FOUND))
+
+
+def _parted(texts: DataFrame, edges: DataFrame, part_members: int) -> DataFrame:
+    """id, family, parts, size of the members of families with several texts, materialised."""
+    family = components(edges).withColumnRenamed("component", "family")
+    member = texts.select(F.col("least").alias("id"), "size").join(family, "id")
+    whole = member.groupBy("family").agg(F.sum("size").alias("members"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    parts = F.least(F.ceil(F.col("members") / part_members), F.col("texts")).cast("int")
+    return materialize(member.join(whole, "family").select("id", "family", parts.alias("parts"), "size").distinct())
+
+
+def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = None, part_members: int = PART_MEMBERS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that links reach."""
+    spark = documents.sparkSession
+    ship(spark)
+    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = spark.sparkContext.broadcast(hot_shingles(documents, shingle))
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), "text")
+    found = _found(texts, shingle, hot, n, COARSE)
+    nodes = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("size"), F.col("n").alias("print"))
+    unlike = materialize(_copies(nodes))
+    dealt = _parted(unlike, found.where("kind = 1").select("a", "b"), part_members)
+    large = materialize(dealt.where("parts > 1").select("id").distinct())
+    fine = _found(_beside(texts, large, "id", "inner"), shingle, hot, n, FINE)
+    again = _parted(unlike.join(large.withColumnRenamed("id", "least"), "least", "left_semi"), fine.where("kind = 1").select("a", "b"), part_members)
+    dealt = materialize(dealt.where("parts = 1").unionByName(again).select("id", "family", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).distinct())
+    exact = _exact_sets(_beside(texts, dealt, "id", "inner"), shingle)
+    # every pair of parts; a family of one part stays by itself
+    other = F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> part))"))
+    pairs = exact.select("*", other.alias("other")).select("family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "members")
+    links = _families(pairs.repartition(n, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi"))
+    # copies: every document with the least one of its text; texts with very many copies are few enough to broadcast
+    several = unlike.where("copies > 1")
+    many = F.lit(int(HOT_COPIES * nodes.count()) + 1)
+    copies = nodes.join(F.broadcast(several.where(F.col("copies") >= many)), ["size", "print"]).unionByName(nodes.join(F.broadcast(several.where(F.col("copies") >= many).select("size", "print")), ["size", "print"], "left_anti").join(several.where(F.col("copies") < many), ["size", "print"])).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    final = components(links.unionByName(copies))
+    out = nodes.join(final, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
+    given = lambda c: F.when(F.col(c) != FIRST_ID, F.col(c))
+    return out.select(given("id").alias("doc_id"), F.col("size").alias("n_shingles"), given("component").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Documents without those that link, over links, to one with a smaller doc_id."""
-    drop = classes(documents, shingle).where("component_id < doc_id or (component_id is null and doc_id is not null)").select("doc_id").distinct()
-    return documents.join(drop.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    drop = materialize(classes(documents, shingle).where("component_id < doc_id or (component_id is null and doc_id is not null)").select("doc_id").distinct())
+    return _beside(documents, drop, "doc_id", "left_anti").select(*documents.columns)

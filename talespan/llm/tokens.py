@@ -2,13 +2,16 @@
 
 Both tokenizer files used here split a text into pretokens first, and no pretoken reaches across a
 single space between two other characters: the byte-level file starts a pretoken at that space, the
-word file drops it. So a text is cut at such spaces, each distinct piece goes through the library
-once, and its ids are kept in a cache of bounded size. Pieces next to runs of white space are not
-cut. Results equal those of encoding the text as a whole.
+word file drops it. So a text is cut at such spaces and at single line ends, each distinct piece goes
+through the library once, and its ids are kept in a cache of bounded size. Pieces next to runs of
+white space are not cut. Results equal those of encoding the text as a whole; a file with other rules
+is recognised and gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 
 import numpy as np
@@ -18,7 +21,10 @@ from tokenizers import Encoding, Tokenizer
 CACHE_PIECES = 800_000
 _WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _BEYOND_ASCII = [c for c in _WHITE if ord(c) > 127]
-_MARKS = ".,;:!?"
+#: Runs of these after letters are a pretoken of their own; an apostrophe may be a part of a contraction, and <| may open a special token.
+_MARKS = ".,;:!?#*$%&()[]{}\"-_/+=~^@>"
+#: White space for Python and not for the files.
+_CONTROLS = re.compile("[\\x00\\x1c-\\x1f]")
 _RARE_ASCII = [c for c in _WHITE if ord(c) < 127 and c not in " \n"]
 
 
@@ -27,11 +33,19 @@ def pieces(text: str) -> list[str]:
     no white space at its ends; any other piece by itself after a NUL."""
     if "\0" in text:
         return ["\0" + text]
-    parts = text.split(" ")
-    odd = " \n" in text or "\n " in text or "" in parts or any(c in text for c in _RARE_ASCII)
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE_ASCII)
     if not odd and (text.isascii() or not any(c in text for c in _BEYOND_ASCII)):
-        parts[0] = "\0" + parts[0]
-        return parts
+        # a single line end between two other characters is a pretoken by itself, or is dropped
+        lines = [text] if "\n\n" in text or text[:1] == "\n" or text[-1:] == "\n" else text.split("\n")
+        out = []
+        for line in lines:
+            parts = line.split(" ")
+            parts[0] = "\0" + parts[0]
+            out += parts
+            out.append("\0\n")
+        out.pop()
+        return out
+    parts = text.split(" ")
     out, open_, free = ["\0" + parts[0]], not parts[0] or parts[0][-1] in _WHITE, False
     for p in parts[1:]:
         if open_ or not p or p[0] in _WHITE:
@@ -46,11 +60,30 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+# The two pretokenizers whose pretokens never cross a single space, with their normalizers.
+_LETTERS_OR_MARKS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTE_FORM = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _LETTERS_OR_MARKS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+#: Letters below this code are one character in any normal form, and their small letters are letters too (but for U+0130).
+_PLAIN = "\u0180"
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level files write the bytes that are no printable Latin-1 character: 256 and up, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in printable)}
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, and the character offsets of their tokens.
 
     The cache has two generations; a piece that is used again moves to the young one, and the old
-    one is dropped when the young one is full, so memory is bounded and frequent pieces stay.
+    one is dropped when the young one is full, so memory is bounded and frequent pieces stay. The
+    large cache is asked once for each distinct piece of a call. A file that doesn't split texts in
+    one of the two known ways is given whole texts.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", with_offsets: bool = False, cache_pieces: int = CACHE_PIECES):
@@ -60,9 +93,13 @@ class Encoder:
         self.old: dict[str, object] = {}
         self.model = self.tokenizer.model
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-        # how a piece of ASCII letters looks to the model: the byte-level file writes its space as one letter
-        probe = self.tokenizer.encode(" a", add_special_tokens=False).tokens
-        self.space = "\u0120" if probe and probe[0].startswith("\u0120") else ""
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        form = (parts["normalizer"], parts["pre_tokenizer"])
+        self.whole = form not in (_BYTE_FORM, _WORD_FORM) or bool(parts["model"].get("dropout")) or any(a["normalized"] or a["lstrip"] or a["rstrip"] or " " in a["content"] for a in parts["added_tokens"])
+        # the byte-level file writes the space before a piece as one letter; the other one folds case
+        self.space = "\u0120" if form == _BYTE_FORM else ""
+        self.bytes_as = _byte_letters()
 
     def _entries(self, out: dict, encoded: Encoding, keys: list[str], lengths: list[int]) -> None:
         """Deal the tokens of pieces that were encoded next to each other to the pieces."""
@@ -96,77 +133,102 @@ class Encoder:
                 self._entries(out, e, group, [len(p) + 1 for p in group])
         return out
 
-    def _letters(self, piece: str) -> bytes:
-        """A piece of ASCII letters is one pretoken and goes to the library's model at once."""
-        return array(self.code, [t.id for t in self.model.tokenize(self.space + (piece if self.space else piece.lower()))]).tobytes()
-
-    def _put(self, missing: list[str]) -> None:
-        young, other = self.young, missing
-        if not self.with_offsets:
-            other = []
-            for p in missing:
-                if p.isascii():
-                    if p.isalpha():
-                        young[p] = self._letters(p)
-                        continue
-                    # a letter and a last mark are always two pretokens
-                    if p[-1] in _MARKS and (base := p[:-1]).isalpha():
-                        young[p] = (young.get(base) or self.old.get(base) or self._letters(base)) + self._mark(p[-1])
-                        continue
-                other.append(p)
-        young |= self._encode(other)
-
-    def _mark(self, mark: str) -> bytes:
-        key = "\0" + mark
+    def _letters(self, piece: str, space: str) -> bytes | None:
+        """A piece of plain letters is one pretoken and goes to the library's model at once."""
+        if not piece.isalpha():
+            return None
+        if not self.space:
+            piece, space = piece.lower(), ""
+        if not piece.isascii():
+            if max(piece) >= _PLAIN or not piece.isalpha():
+                return None
+            piece = piece.encode().decode("latin-1").translate(self.bytes_as)
+        return array(self.code, [t.id for t in self.model.tokenize(space + piece)]).tobytes()
+
+    def _new(self, piece: str) -> bytes | None:
+        """Ids of pieces of letters, with or without marks behind: letters and a run of marks are always two pretokens."""
+        if piece[0] == "\0":
+            return self._letters(piece[1:], "")
+        ids = self._letters(piece, self.space)
+        if ids is None and piece[-1] in _MARKS:
+            base = piece.rstrip(_MARKS)
+            ids = self.young.get(base) or self.old.get(base) or self._letters(base, self.space)
+            return ids and ids + self._marks(piece[len(base) :])
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        key = "\0" + marks
         if key not in self.young:
             self.young |= self._encode([key])
         return self.young[key]
 
-    def _load(self, cut: list[list[str]]) -> list[list]:
-        """The entries of all pieces: one look-up for each, and the missing ones encoded together."""
+    def _load(self, cut: list[list[str]]) -> dict:
+        """The entries of all pieces, in a small table."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        found = [list(map(young.get, one)) for one in cut]
-        holes = [(f, one, [i for i, e in enumerate(f) if e is None]) for f, one in zip(found, cut, strict=True)]
-        missing = []
-        for p in {one[i] for _, one, at in holes for i in at}:
-            known = old.get(p)
-            if known is None:
-                missing.append(p)
+        asked = set().union(*cut)
+        here = dict(zip(asked, map(young.get, asked), strict=True))
+        other = []
+        for p in [p for p, e in here.items() if e is None]:
+            e = old.get(p)
+            if e is None and not self.with_offsets:
+                e = self._new(p)
+            if e is None:
+                other.append(p)
             else:
-                young[p] = known
-        self._put(missing)
-        for f, one, at in holes:
-            for i in at:
-                f[i] = young[one[i]]
-        return found
+                young[p] = here[p] = e
+        fresh = self._encode(other)
+        young |= fresh
+        return here | fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # where the file folds case, folding an ASCII text first leaves fewer distinct pieces
-        fold = not self.space
-        return [b"".join(f) for f in self._load([pieces(t.lower() if fold and t.isascii() and "<|" not in t else t) if t else [] for t in texts])]
+        if self.whole:
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        cut = [(pieces(t) if self.space else _dropping(_folded(t))) if t else [] for t in texts]
+        of = self._load(cut).__getitem__
+        return [b"".join(map(of, one)) for one in cut]
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text an array of (start, end) rows in characters, one row a token."""
+        if self.whole:
+            return [np.array(e.offsets, dtype=np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         cut = [pieces(t) if t else [] for t in texts]
+        of = self._load(cut).__getitem__
         out = []
-        for one, found in zip(cut, self._load(cut), strict=True):
-            if not found:
+        for one in cut:
+            if not one:
                 out.append(np.empty((0, 2), np.int64))
                 continue
+            found = list(map(of, one))
             # a bare key leaves out its space; a NUL is no character of the text
             base = np.cumsum([0, *(len(p) + (-1 if p[0] == "\0" else 1) for p in one[:-1])])
             out.append(np.concatenate(found) + np.repeat(base, [len(f) for f in found])[:, None])
         return out
 
 
-_encoders: dict[tuple[str, str, bool], Encoder] = {}
+def _dropping(text: str) -> list[str]:
+    """Pieces for ids where the file drops all white space."""
+    return pieces(text) if _CONTROLS.search(text) else text.split()
+
+
+def _folded(text: str) -> str:
+    """Where the file folds case, folding a Latin-1 text first leaves fewer distinct pieces; special tokens stay as they are."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+_encoders: dict[tuple[str, str, bool, int], Encoder] = {}
 
 
 def encoder(path: str, dtype: str = "<u4", with_offsets: bool = False, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for each file and Python worker, kept across tasks."""
-    key = (path, dtype, with_offsets)
+    key = (path, dtype, with_offsets, cache_pieces)
     if key not in _encoders:
         _encoders[key] = Encoder(path, dtype, with_offsets, cache_pieces)
     return _encoders[key]

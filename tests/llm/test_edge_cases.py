@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -86,19 +87,37 @@ def test_near_duplicates_random_families(spark):
     assert got == brute.links(rows)
 
 
+def linked_pair(rng, hot, largest):
+    n = int(rng.integers(1, largest))
+    common = np.unique(np.concatenate((rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2), hot[: int(rng.integers(0, 20))])))
+    extra = int(len(common) / 3)
+    a = int(rng.integers(0, extra + 1))
+    return [np.unique(np.concatenate((common, rng.integers(0, 1 << 63, k).astype(np.uint64)))) for k in (a, extra - a)]
+
+
+def likeness(x, y):
+    return len(np.intersect1d(x, y)) / max(len(np.union1d(x, y)), 1)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(2)
     hot = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
-    for _ in range(300):
-        n = int(rng.integers(1, 90))
-        common = np.unique(np.concatenate((rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2), hot[: int(rng.integers(0, 20))])))
-        extra = int(len(common) / 3)
-        a = int(rng.integers(0, extra + 1))
-        x, y = (np.unique(np.concatenate((common, rng.integers(0, 1 << 63, k).astype(np.uint64)))) for k in (a, extra - a))
-        both = len(np.intersect1d(x, y))
-        if 4 * both >= 3 * len(np.union1d(x, y)):
-            assert len(np.intersect1d(near_duplicates.signatures(x, hot), near_duplicates.signatures(y, hot)))
-            assert 7 * near_duplicates.least_difference(near_duplicates.shape(x), near_duplicates.shape(y)) <= len(x) + len(y)
+    for k in range(800):
+        x, y = linked_pair(rng, hot, 90 if k % 6 else 2000)
+        if likeness(x, y) >= 0.75:
+            values, doc = near_duplicates.signatures([x, y], hot, (near_duplicates.COARSE, near_duplicates.FINE)[k % 2])
+            assert len(np.intersect1d(values[doc == 0], values[doc == 1])), (len(x), len(y))
+
+
+def test_signatures_hold_several_shingles():
+    """A signature is a subset of partitions, so documents that share a few shingles have few signatures in common."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)) for _ in range(2)]
+    values, _ = near_duplicates.signatures(sets[:1], sets[0][:0])
+    assert len(values) < 1.2 * 300 and 300 * 2 * 2 / len(values) > 3
+    mixed = np.unique(np.concatenate((sets[0][::3], sets[1])))
+    values, doc = near_duplicates.signatures([sets[0], mixed], sets[0][:0])
+    assert len(np.intersect1d(values[doc == 0], values[doc == 1])) < 20
 
 
 @pytest.mark.parametrize("blocks", [1, 5])
@@ -131,6 +150,28 @@ def test_token_pieces_equal_whole_texts():
     assert pieces("a b")[0] == "\0a"
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_pieces_of_random_texts(name):
+    draw = random.Random(11)
+    parts = [" ", " ", " ", "\n", "\n\n", "  ", " \n", "\t", "\x85", "\xa0", "\u2003", "\x1f", "word", "Été", "Ünïq", "ŉ", "İ", "ß", "ſ", "ǆ", "Σς", "e\u0301", "\u0301", "a", "it's", "'ll", "'", "...", "%%%", "<|", "<|endoftext|>", "12", "½", "x²", "日本", "-", ">", "&&&", "\0"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 30))) for _ in range(1500)]
+    whole = Tokenizer.from_file(P.path(name))
+    want = [whole.encode(t, add_special_tokens=False) for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(P.path(name)).encode(texts)] == [w.ids for w in want]
+    assert [[tuple(x) for x in o.tolist()] for o in Encoder(P.path(name), with_offsets=True).offsets(texts)] == [w.offsets for w in want]
+
+
+def test_a_file_with_other_rules_gets_whole_texts(tmp_path):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        rules = json.load(file)
+    rules["pre_tokenizer"]["use_regex"] = False  # then a pretoken reaches across spaces
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    own, whole = Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert own.whole and not Encoder(P.path("byte_bpe_50k.json")).whole
+    texts = ["of the people", "", None, "a  b"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_token_store(docs, spark, tmp_path, bits):
     path = str(tmp_path / "ids")
@@ -363,17 +404,29 @@ def test_words_in_blocks(monkeypatch):
     assert whole.word(0) == texts[0].lower().split()[0] if texts[0].split() else True
 
 
-def test_open_pairs_of_large_groups(spark, monkeypatch):
-    """Members in several components, parts of a few members: every linked pair comes out, none of one component."""
+def test_families_in_parts(spark):
+    """A family around the threshold: whole in one task, and dealt to parts; every link counts."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"z{i}x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    frame, want = spark.createDataFrame(rows, "doc_id long, text string"), brute.links(rows)
+    assert len({c for _, c in want.values()}) > 1
+    for members in (1 << 18, 2000, 300):  # whole; signed again; signed again and still in parts
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(frame, part_members=members).collect()} == want
+
+
+def test_links_of_a_family():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64) * np.uint64(4))
-    sets = {i: np.unique(np.concatenate((base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 62, int(rng.integers(0, 20))).astype(np.uint64) * np.uint64(4) + np.uint64(1)))) for i in range(30)}
-    frame = spark.createDataFrame([(i, len(x), bytearray(near_duplicates.shape(x))) for i, x in sets.items()], "id long, size long, shape binary")
-    groups = spark.createDataFrame([(i, 77, 0) for i in sets], "id long, grp long, centre long")
-    labels = spark.createDataFrame([(i, i % 3) for i in sets], "id long, component long")
-    done = spark.createDataFrame([], "a long, b long, linked boolean, far double")
-    monkeypatch.setattr(near_duplicates, "GROUP_PART", 7)
-    got = {(r["a"], r["b"]) for r in near_duplicates._across(groups, labels, done, frame).collect()}
-    linked = {(a, b) for a in sets for b in sets if a < b and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
-    assert {p for p in linked if p[0] % 3 != p[1] % 3} <= got
-    assert all(a < b and a % 3 != b % 3 for a, b in got)
+    sets = [np.unique(np.concatenate((base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 62, int(rng.integers(0, 20))).astype(np.uint64) * np.uint64(4) + np.uint64(1)))) for i in range(60)]
+    pairs = [(i, j) for i in range(60) for j in range(i) if likeness(sets[i], sets[j]) >= 0.75]
+    want = near_duplicates.roots(60, *np.array(pairs).T)
+    a, b = near_duplicates.linked(np.arange(60) + 100, sets)
+    got = np.arange(60)
+    got[b - 100] = a - 100
+    assert np.array_equal(got, want) and 1 < len(np.unique(want)) < 60
