@@ -32,8 +32,8 @@ from talespan.runtime import materialize, ship
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces that the encoder keeps: half of what it may, since this runs beside other stages' data.
-CACHE_PIECES = 400_000
+#: Pieces that the encoder keeps.
+CACHE_PIECES = 800_000
 #: Rests that are used up before an index drops them.
 BLOCK_RESTS = 512
 #: Rests a shard on average at most, so that a task's index is bounded. Only where one repeated id makes a shard

@@ -159,34 +159,24 @@ class Encoder:
     def _marks(self, marks: str) -> bytes:
         key = "\0" + marks
         if key not in self.young:
-            self.young |= self._encode([key])
+            self.young[key] = self._other(key)
         return self.young[key]
 
-    def _load(self, cut: list[list[str]]) -> dict:
-        """The entries of all pieces, in a small table."""
+    def _other(self, piece: str) -> bytes:
+        encoded = self.tokenizer.encode(piece[1:] if piece[0] == "\0" else " " + piece, add_special_tokens=False)
+        return array(self.code, encoded.ids).tobytes()
+
+    def _load(self) -> dict:
+        """A small table of pieces for one call; what it lacks comes from the cache or the library."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        asked = set().union(*cut)
-        here = dict(zip(asked, map(young.get, asked), strict=True))
-        other = []
-        for p in [p for p, e in here.items() if e is None]:
-            e = old.get(p)
-            if e is None and not self.with_offsets:
-                e = self._new(p)
-            if e is None:
-                other.append(p)
-            else:
-                young[p] = here[p] = e
-        fresh = self._encode(other)
-        young |= fresh
-        return here | fresh
+        return _Here(self)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         cut = [(pieces(t) if self.space else _dropping(_folded(t))) if t else [] for t in texts]
-        of = self._load(cut).__getitem__
+        of = self._load().__getitem__
         return [b"".join(map(of, one)) for one in cut]
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -194,7 +184,10 @@ class Encoder:
         if self.whole:
             return [np.array(e.offsets, dtype=np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         cut = [pieces(t) if t else [] for t in texts]
-        of = self._load(cut).__getitem__
+        here = self._load()
+        here |= self._encode([p for p in set().union(*cut) if p not in self.young and p not in self.old])
+        self.young |= here
+        of = here.__getitem__
         out = []
         for one in cut:
             if not one:
@@ -207,6 +200,25 @@ class Encoder:
         return out
 
 
+class _Here(dict):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> object:
+        own = self.encoder
+        ids = own.young.get(piece)
+        if ids is None:
+            ids = own.old.get(piece)
+            if ids is None:
+                ids = own._new(piece)
+                if ids is None:
+                    ids = own._other(piece)
+            own.young[piece] = ids
+        self[piece] = ids
+        return ids
+
+
 def _dropping(text: str) -> list[str]:
     """Pieces for ids where the file drops all white space."""
     return pieces(text) if _CONTROLS.search(text) else text.split()
