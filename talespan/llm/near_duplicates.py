@@ -4,8 +4,8 @@ A document is the set of its distinct word shingles. Two sets of sizes a <= b li
 Jaccard similarity reaches the threshold; their symmetric difference then has at most
 (1 - t) / (1 + t) * (a + b) members. Sizes are cut into bands; a set meets the band of its own size
 and the next one. A band cuts the shingle domain into first-level partitions, and each of them into
-three second-level ones. A signature is the content of two of the three second-level partitions of
-one first-level partition, so all subsets of two are enumerated. D differing members change the
+second-level ones. A signature is the content of a subset of the second-level partitions of one
+first-level partition; all subsets of one size are enumerated. D differing members change the
 most signatures when they are spread evenly over the first-level partitions. So among any one more than that, taken in an order that both sets share, one is equal. The order puts subsets
 with rare shingles first, those of passages that very many documents share next, and empty ones last.
 
@@ -49,9 +49,9 @@ BATCH_BYTES = 6 << 20
 FIRST_ID = -(1 << 63)
 #: Second-level partitions of a first-level one, how many of them may differ in linked sets, and a factor (as a fraction)
 #: for the number of first-level ones, which leaves the order something to choose from.
-COARSE = (3, 1, 5, 4)
-#: Signatures with twice as many shingles, for families that COARSE leaves too large for one task.
-FINE = (7, 3, 1, 1)
+COARSE = (4, 2, 11, 10)
+#: Signatures with more shingles, for families that COARSE leaves too large for one task.
+FINE = (6, 3, 1, 1)
 #: Bits of a signature; more would travel for nothing, since equal signatures are only candidates.
 SIGNATURE_BITS = 48
 #: Members of sets, over all documents of a family, that one part of it holds; a task sees two parts at most.
@@ -125,7 +125,7 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray, scheme: tuple[int, int,
             continue
         last = greatest[band[doc] + step]
         # enough first-level partitions that one has at most `differ` second-level ones in which linked sets differ
-        first = -(-(2 * last * (OF - LIKE) // (OF + LIKE) + 1) * extra // (of_extra * (differ + 1)))
+        first = -(-(2 * last * (OF - LIKE) // (OF + LIKE) + 1) * extra // (of_extra * (differ + 1))) + 1
         differences = (size[doc] + np.minimum(last, most[doc])) * (OF - LIKE) // (OF + LIKE)
         need = _lost(partitions, differ, first, differences) + 1
         cells, units = np.concatenate(([0], np.cumsum(partitions * first))), np.concatenate(([0], np.cumsum(len(subsets) * first)))
@@ -369,7 +369,7 @@ def _found(texts: DataFrame, shingle: int, hot: Broadcast, blocks: int, scheme:
     """Documents (kind 0) and what connects families (kind 1), materialised."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, some in _batches(batches, BATCH_BYTES * 3 // math.comb(*scheme[:2])):
+        for ids, some in _batches(batches, BATCH_BYTES * 6 // math.comb(*scheme[:2])):
             for block, data in _signature_rows(ids, some, shingle, hot.value, blocks, scheme):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], _ROW.names)
 

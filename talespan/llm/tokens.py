@@ -152,6 +152,8 @@ class Encoder:
         ids = self._letters(piece, self.space)
         if ids is None and piece[-1] in _MARKS:
             base = piece.rstrip(_MARKS)
+            if not base.isalpha():
+                return None
             ids = self.young.get(base) or self.old.get(base) or self._letters(base, self.space)
             return ids and ids + self._marks(piece[len(base) :])
         return ids
