@@ -63,22 +63,22 @@ def lexical_key(ids: np.ndarray) -> int:
 def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row a document: its length, the checksums of its full windows, and the ids that are left."""
     ship(documents.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, cache_pieces=CACHE_PIECES)
+        encode = encoder(tokenizer, "<u2", cache_pieces=CACHE_PIECES)
         for batch in batches:
             for rows, _ in chunks(batch):
                 total, full, left, key = [], [], [], []
                 for data in encode.encode(rows.column(1).to_pylist()):
                     data += end
-                    n = len(data) // 4
+                    n = len(data) // 2
                     cut = n - n % window
                     total.append(n)
-                    full.append([zlib.crc32(data[4 * a : 4 * (a + window)]) for a in range(0, cut, window)])
-                    rest = np.frombuffer(data, "<u4")[cut:]
-                    left.append(rest.astype("<u2").tobytes())
-                    key.append(lexical_key(rest))
+                    ids = np.frombuffer(data, "<u2")
+                    full.append([crc(ids[a : a + window]) for a in range(0, cut, window)])
+                    left.append(data[2 * cut :])
+                    key.append(lexical_key(ids[cut:]))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(key, pa.int64()), pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(left, pa.binary())], _REST.names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _REST)
@@ -91,9 +91,9 @@ def statistics(encoded: DataFrame) -> tuple[int, np.ndarray, float]:
         total = np.zeros(IDS + 2, dtype=np.int64)
         for batch in batches:
             for rest in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(rest, "<u2"))
-                total[ids] += 1
-                total[IDS:] += len(ids) > 0, len(rest) // 2
+                ids = np.frombuffer(rest, "<u2")
+                total[ids] += 1  # an indexed sum counts equal ids once
+                total[IDS:] += len(ids) > 0, len(ids)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -107,25 +107,29 @@ class Index:
     """BM25 over the token ids of rests; `live` are those that are left in it."""
 
     def __init__(self, ids: list[np.ndarray], corpus: tuple[int, np.ndarray, float] | None = None):
-        terms, counts, docs = [], [], []
-        for d, own in enumerate(ids):
-            t, c = np.unique(own, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            docs.append(np.full(len(t), d, dtype=np.int32))
         length = np.array([len(i) for i in ids], dtype=np.float64)
-        all_terms, all_docs, tf = np.concatenate(terms), np.concatenate(docs), np.concatenate(counts).astype(np.float64)
+        # one sort for all rests: a cell is a rest and an id of it
+        key = np.concatenate(ids).astype(np.uint64) | np.repeat(np.arange(len(ids), dtype=np.uint64) << np.uint64(16), length.astype(np.int64))
+        key.sort()
+        cell = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf = np.diff(np.append(cell, len(key))).astype(np.float64)
+        all_terms, all_docs = (key[cell] & np.uint64(0xFFFF)).astype(np.uint16), (key[cell] >> np.uint64(16)).astype(np.int32)
         order = np.argsort(all_terms, kind="stable")
-        vocabulary, term, df = np.unique(all_terms[order], return_inverse=True, return_counts=True)
+        df = np.bincount(all_terms, minlength=IDS)
+        vocabulary = np.flatnonzero(df)
+        df = df[vocabulary]
+        place = np.zeros(IDS, dtype=np.int32)
+        place[vocabulary] = np.arange(len(vocabulary))
+        term = place[all_terms[order]]
         n, mean = len(ids), length.mean()
         if corpus is not None:
             n, df, mean = corpus[0], corpus[1][vocabulary], corpus[2]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(mean, 1.0))
-        self.term, self.doc = term.astype(np.int32), all_docs[order]
+        self.term, self.doc = term, all_docs[order]
         self.weight = idf[term] * (tf * (K1 + 1))[order] / (tf[order] + norm[self.doc])
         self.vocabulary = len(vocabulary)
-        self.terms = [np.searchsorted(vocabulary, t) for t in terms]
+        self.terms = np.split(place[all_terms], np.searchsorted(all_docs, np.arange(1, len(ids))))
         self.live = np.arange(len(ids))
         self._lay()
 

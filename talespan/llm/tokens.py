@@ -133,30 +133,33 @@ class Encoder:
                 self._entries(out, e, group, [len(p) + 1 for p in group])
         return out
 
-    def _letters(self, piece: str, space: str) -> bytes | None:
-        """A piece of plain letters is one pretoken and goes to the library's model at once."""
+    def _form(self, piece: str) -> str | None:
+        """How the library's model sees a piece of plain letters, which is one pretoken; None for any other piece."""
         if not piece.isalpha():
             return None
         if not self.space:
-            piece, space = piece.lower(), ""
-        if not piece.isascii():
-            if max(piece) >= _PLAIN or not piece.isalpha():
-                return None
-            piece = piece.encode().decode("latin-1").translate(self.bytes_as)
-        return array(self.code, [t.id for t in self.model.tokenize(space + piece)]).tobytes()
+            piece = piece.lower()
+        if piece.isascii():
+            return piece
+        if max(piece) >= _PLAIN or not piece.isalpha():
+            return None
+        return piece.encode().decode("latin-1").translate(self.bytes_as)
+
+    def _letters(self, form: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def _new(self, piece: str) -> bytes | None:
-        """Ids of pieces of letters, with or without marks behind: letters and a run of marks are always two pretokens."""
+        """Ids of pieces of plain letters, with or without marks behind: letters and a run of marks are always two pretokens."""
         if piece[0] == "\0":
-            return self._letters(piece[1:], "")
-        ids = self._letters(piece, self.space)
-        if ids is None and piece[-1] in _MARKS:
-            base = piece.rstrip(_MARKS)
-            if not base.isalpha():
-                return None
-            ids = self.young.get(base) or self.old.get(base) or self._letters(base, self.space)
-            return ids and ids + self._marks(piece[len(base) :])
-        return ids
+            form = self._form(piece[1:])
+            return None if form is None else self._letters(form)
+        base = piece.rstrip(_MARKS)
+        form = self._form(base)
+        if form is None:
+            return None
+        if base == piece:
+            return self._letters(self.space + form)
+        return (self.young.get(base) or self.old.get(base) or self._letters(self.space + form)) + self._marks(piece[len(base) :])
 
     def _marks(self, marks: str) -> bytes:
         key = "\0" + marks
