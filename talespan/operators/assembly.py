@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talespan.operators import intervals
+from talespan.operators import intervals, speakers
 from talespan.operators.evaluate import find_all
-from talespan.operators.speakers import FIRST_SAMPLE, FRAME_SAMPLES, best_mapping
+from talespan.operators.speakers import FIRST_SAMPLE, FRAME_SAMPLES
 from talespan.operators.words import LEAST_SAMPLES
 
 # Fixed values of the timeline of kept speech.
@@ -99,20 +99,17 @@ def locate(tokens: pd.Series, phrase: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
-@F.pandas_udf(T.DoubleType())
-def mapped_share(predicted: pd.Series, truth: pd.Series) -> pd.Series:
-    """Share of turns right under the best naming of the predicted labels."""
-    return pd.Series([best_mapping([x or None for x in p], list(t))[0] for p, t in zip(predicted, truth, strict=True)])
-
-
 def diarization_score(reference: DataFrame, predicted: DataFrame, key: str, width: float, reach: float = 3.0) -> DataFrame:
     """Dominant-speaker accuracy and boundary recall of each recording.
 
     reference: (key, segment, l_start, l_end, name); predicted: (key, speaker, r_start, r_end).
     """
     said = intervals.dominant(reference, predicted, [key], width).join(reference.select(key, "segment", "name"), [key, "segment"])
-    pairs = F.sort_array(F.collect_list(F.struct("segment", F.coalesce("speaker", F.lit("")).alias("speaker"), "name")))
-    named = said.groupBy(key).agg(pairs.alias("p")).select(key, F.size("p").alias("turns"), F.round(mapped_share("p.speaker", "p.name"), 6).alias("accuracy"))
+    # a label that never dominates still needs a name
+    labels = predicted.groupBy(key).agg(F.collect_set("speaker").alias("labels"))
+    shares = said.groupBy(key, F.col("speaker").alias("label"), "name").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").cast("int").alias("turns"), F.collect_set("name").alias("names"), F.collect_list(F.struct("label", "name", "n")).alias("rows"))
+    right = speakers.most_named_right(F.coalesce("labels", F.array().cast("array<string>")), "names", "rows")
+    named = shares.join(labels, key, "left").select(key, "turns", F.round(right / F.col("turns"), 6).alias("accuracy"))
     real = intervals.changes(reference, [key], ["l_start", "segment"], "name").select(key, F.col("l_start").alias("t")).distinct()
     guess = intervals.changes(predicted, [key], ["r_start", "speaker"], "speaker").select(key, F.col("r_start").alias("m"))
     recall = intervals.within(real, guess, [key], reach).groupBy(key).agg(F.count(F.lit(1)).alias("changes"), F.count_if("hit").alias("detected"))

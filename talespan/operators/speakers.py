@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,18 +54,50 @@ def pair_distances(segments: DataFrame, key: list[str], order: str, vector: str,
     return a.join(b, key).where("i < j").select(*key, "i", "j", (F.col("su") == F.col("sv")).alias("same"), cosine_distance(F.col("u"), F.col("v")).alias("distance"))
 
 
-def best_mapping(predicted: list[str | None], truth: list[str]) -> tuple[float, dict[str, str]]:
-    """Share of turns named right under the best assignment of labels to names.
+def assignment(gain: np.ndarray) -> list[int]:
+    """The column given to each row so that the sum of gains is largest; rows are at most as many as columns.
 
-    The first best one in lexicographic order counts; more labels than names give 0.
+    Rows enter one after another; each takes the cheapest chain of reassignments, by Dijkstra's
+    algorithm on costs that potentials keep non-negative.
     """
-    labels, names = sorted({p for p in predicted if p is not None}), sorted(set(truth))
-    best: tuple[float, dict[str, str]] = (0.0, {})
-    for order in permutations(names):
-        if len(order) < len(labels):
-            continue
-        named = dict(zip(labels, order, strict=False))
-        share = sum(named.get(p) == t for p, t in zip(predicted, truth, strict=True) if p is not None) / max(len(truth), 1)
-        if share > best[0]:
-            best = share, named
-    return best
+    rows, columns = gain.shape
+    cost = gain.max(initial=0) - gain
+    of_row, of_column = np.zeros(rows), np.zeros(columns)
+    owner = np.full(columns, -1)
+    for new in range(rows):
+        reach, before, open_ = np.full(columns, np.inf), np.full(columns, -1), np.ones(columns, bool)
+        row, came, far = new, -1, 0.0
+        while row >= 0:
+            step = far + cost[row] - of_row[row] - of_column
+            shorter = open_ & (step < reach)
+            reach[shorter], before[shorter] = step[shorter], came
+            came = int(np.where(open_, reach, np.inf).argmin())
+            open_[came], far, row = False, reach[came], owner[came]
+        closed = ~open_
+        of_row[owner[closed & (owner >= 0)]] += far - reach[closed & (owner >= 0)]
+        of_row[new] += far
+        of_column[closed] -= far - reach[closed]
+        while came >= 0:
+            owner[came] = owner[before[came]] if before[came] >= 0 else new
+            came = before[came]
+    out = [-1] * rows
+    for column, row in enumerate(owner.tolist()):
+        if row >= 0:
+            out[row] = column
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def most_named_right(labels: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Series:
+    """Turns named right under the best naming of labels; turns are (label, name, n). More labels than names name none."""
+
+    def one(own: list[str], names: list[str], rows: list[dict]) -> int:
+        if not own or len(own) > len(names):
+            return 0
+        gain = np.zeros((len(own), len(names)))
+        for r in rows:
+            if r["label"] is not None:
+                gain[own.index(r["label"]), names.index(r["name"])] = r["n"]
+        return int(sum(gain[i, j] for i, j in enumerate(assignment(gain))))
+
+    return pd.Series([one(sorted(x), sorted(y), z) for x, y, z in zip(labels, names, turns, strict=True)], dtype="int64")

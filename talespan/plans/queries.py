@@ -148,7 +148,7 @@ def structure_stats(spark, d):
 
 @query
 def wer_from_ops(spark, d):
-    return evaluate.word_errors(views.positional_ops(spark, d), ["conv_id"])
+    return evaluate.word_errors(views.positional_ops(spark, d), ["conv_id", "turn"])
 
 
 @query
@@ -166,8 +166,9 @@ def lexicon_recall(spark, d):
 @query
 def diagonal_votes(spark, d):
     pairs = views.turn_pairs(spark, d)
-    side = lambda c: pairs.select("conv_id", F.posexplode(c).alias("pos", "token"))
-    return evaluate.best_offsets(evaluate.diagonal_votes(side("truth"), side("heard"), ["conv_id"]), ["conv_id"])
+    keys = ["conv_id", "turn"]
+    side = lambda c: pairs.select(*keys, F.posexplode(c).alias("pos", "token"))
+    return evaluate.best_offsets(evaluate.diagonal_votes(side("truth"), side("heard"), keys), keys)
 
 
 @query
@@ -261,14 +262,14 @@ def event_windows(spark, d):
 @query
 def align_ops(spark, d):
     ship(spark)
-    return evaluate.ops_table(views.turn_pairs(spark, d), ["conv_id"])
+    return evaluate.ops_table(views.turn_pairs(spark, d), ["conv_id", "turn"])
 
 
 @query
 def insertion_classes(spark, d):
     ship(spark)
-    ops = views.turn_pairs(spark, d).select("conv_id", evaluate.align("truth", "heard").alias("ops"))
-    return ops.select("conv_id", evaluate.classify_insertions("ops").alias("k")).select("conv_id", "k.filler", "k.content")
+    ops = views.turn_pairs(spark, d).select("conv_id", "turn", evaluate.align("truth", "heard").alias("ops"))
+    return ops.select("conv_id", "turn", evaluate.classify_insertions("ops").alias("k")).select("conv_id", "turn", "k.filler", "k.content")
 
 
 @query
@@ -298,7 +299,8 @@ def difflib_wer(spark, d):
     # joined on the turn too, so that one long conversation spreads over the tasks
     pairs = c.select("conv_id", "turn", F.col("w").alias("g")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("h")), ["conv_id", "turn"])
     scored = pairs.withColumn("e", tx.block_edits("g", "h"))
-    lexical = F.size(F.filter("e.pairs", lambda p: tx.classify(p["gold"], p["heard"]) == "lexical"))
+    longer = lambda p: F.greatest(F.size(p["gold"]), F.size(p["heard"]))
+    lexical = F.aggregate(F.filter("e.pairs", lambda p: tx.classify(p["gold"], p["heard"]) == "lexical"), F.lit(0), lambda n, p: n + longer(p))
     return scored.select("conv_id", "turn", *evaluate.difference_columns(F.col("e")), tx.verdict(F.size("g"), F.size("h"), lexical).alias("verdict"))
 
 
@@ -360,7 +362,7 @@ def lexicon_phrases(spark, d):
 def phrase_places(spark, d):
     ship(spark)
     pairs = views.turn_pairs(spark, d)
-    return pairs.select("conv_id", assembly.locate("heard", F.slice("truth", 1, 5)).alias("place"))
+    return pairs.select("conv_id", "turn", assembly.locate("heard", F.slice("truth", 1, 5)).alias("place"))
 
 
 @query

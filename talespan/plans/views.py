@@ -34,18 +34,18 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a conversation's first two turns, as truth and heard."""
+    """Tokens of each turn of a conversation and of the next one, as truth and heard."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("w"))
-    a, b = c.where("turn = 0").select("conv_id", F.col("w").alias("truth")), c.where("turn = 1").select("conv_id", F.col("w").alias("heard"))
-    return a.join(b, "conv_id")
+    # joined on the turn too, so that one long conversation spreads over the tasks
+    return c.select("conv_id", "turn", F.col("w").alias("truth")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard")), ["conv_id", "turn"])
 
 
 def positional_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits by place: an ops table that SQL can make too."""
     pairs = turn_pairs(spark, sf_dir)
-    side = lambda c: pairs.select("conv_id", F.posexplode(c).alias("idx", c))
+    side = lambda c: pairs.select("conv_id", "turn", F.posexplode(c).alias("idx", c))
     op = F.when(F.col("heard").isNull(), "del").when(F.col("truth").isNull(), "ins").when(F.col("truth") == F.col("heard"), "match").otherwise("sub")
-    return side("truth").join(side("heard"), ["conv_id", "idx"], "full").select("conv_id", "idx", op.alias("op"), "truth", "heard")
+    return side("truth").join(side("heard"), ["conv_id", "turn", "idx"], "full").select("conv_id", "turn", "idx", op.alias("op"), "truth", "heard")
 
 
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from talespan.operators import archive, corpus, evaluate, intervals, speakers, words
+from talespan.operators import archive, assembly, corpus, evaluate, intervals, speakers, words
 from talespan.sources import files, sinks
 from talespan.streaming import jobs
 
@@ -33,13 +34,20 @@ def test_edit_script():
         assert [t for _, t, _ in ops if t is not None] == a and [h for _, _, h in ops if h is not None] == b
 
 
-def test_anchor():
+def test_anchors(spark):
     same = [f"w{i}" for i in range(50)]
-    assert evaluate.anchor_ranges(same, same)[:4] == (0, 50, 0, 50)
     shared, extra = [f"s{i}" for i in range(400)], [f"x{i}" for i in range(400)]
-    t0, t1, h0, h1, _, partial = evaluate.anchor_ranges(shared + extra, shared)
+    late = [f"l{i}" for i in range(300)]
+    rows = [(1, same, same), (2, shared + extra, shared), (3, [], ["a"]), (4, ["a"], ["b"]), (5, extra, late + extra), (6, None, ["a"])]
+    frame = spark.createDataFrame(rows, "k int, truth array<string>, heard array<string>").where("truth is not null")
+    got = {r["k"]: tuple(r)[1:] for r in evaluate.anchors(frame, ["k"]).collect()}
+    assert got[1] == (0, 50, 0, 50, 50, False)
+    t0, t1, h0, h1, _, partial = got[2]
     assert partial and t1 <= 480 and t1 - t0 >= 380 and (h0, h1) == (0, 400)
-    assert evaluate.anchor_ranges([], ["a"]) == (0, 0, 0, 1, 0, False)
+    assert got[3] == (0, 0, 0, 1, 0, False) and got[4] == (0, 1, 0, 1, 0, False)
+    assert got[5][:4] == (0, 400, 268, 700) and got[5][5]
+    ops = evaluate.ops_table(frame, ["k"]).where("k = 1").collect()
+    assert len(ops) == 50 and {o["op"] for o in ops} == {"match"}
 
 
 def test_insertions():
@@ -92,8 +100,25 @@ def test_clusters():
     labels = speakers.cluster_vectors(np.concatenate((big, small)), 2)
     assert set(labels[:12]) == {0} and set(labels[12:]) == {1}
     assert speakers.cluster_vectors(np.empty((0, 3)), 4) == [] and speakers.cluster_vectors(np.ones((1, 3)), 4) == [0]
-    assert speakers.best_mapping(["a", "b", None], ["X", "Y", "X"]) == (2 / 3, {"a": "X", "b": "Y"})
-    assert speakers.best_mapping(["a", "b"], ["X", "X"])[0] == 0.0
+
+
+def test_assignment():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 5))
+        gain = rng.integers(0, 9, (n, int(rng.integers(n, 6)))).astype(float)
+        chosen = speakers.assignment(gain)
+        best = max(sum(gain[i, p[i]] for i in range(n)) for p in itertools.permutations(range(gain.shape[1]), n))
+        assert len(set(chosen)) == n and sum(gain[i, j] for i, j in enumerate(chosen)) == best
+
+
+def test_diarization_score(spark):
+    turns = spark.createDataFrame([(1, i, float(i), i + 1.0, "XYX"[i]) for i in range(3)], "k int, segment int, l_start double, l_end double, name string")
+    said = [(1, "a", 0.0, 1.0), (1, "b", 1.0, 2.0), (1, "b", 2.0, 2.1)]
+    guess = lambda more: spark.createDataFrame(said + more, "k int, speaker string, r_start double, r_end double")
+    score = lambda more: assembly.diarization_score(turns, guess(more), "k", 10.0).first()["accuracy"]
+    assert score([]) == round(2 / 3, 6) and score([(1, "a", 2.1, 3.0)]) == 1.0
+    assert score([(1, "c", 2.0, 2.05)]) == 0.0  # three labels, two names
 
 
 def test_word_assembly(spark):
