@@ -60,9 +60,10 @@ PART_MEMBERS = 1 << 18
 BROADCAST_ROWS = 200_000
 #: Texts with this share of all rows, at most 1000 of them, are joined apart from the others.
 HOT_COPIES = 1 / 1000
-#: A shingle in this share of a batch's documents is put late in the order; changes speed only.
-HOT_SHARE = 0.004
-HOT_LEAST = 8
+#: A shingle in this share of all documents, seen in batches of COUNT_BYTES, is put late in the order; changes speed only.
+HOT_SHARE = 0.0004
+HOT_LEAST = 3
+COUNT_BYTES = 24 << 20
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
 _FOUND = T.StructType().add("kind", "byte").add("a", "long").add("b", "long").add("n", "long")
@@ -174,7 +175,7 @@ def hot_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that a fixed share of all documents has: at most (shingles a document) / share of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
+        for ids, texts in _batches(batches, COUNT_BYTES):
             found, n = np.unique(np.concatenate(shingle_sets(texts, shingle)), return_counts=True)
             often = n >= max(HOT_LEAST, HOT_SHARE * len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), len(ids)))], ["h", "n", "docs"])
@@ -183,7 +184,7 @@ def hot_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
     found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, schema).groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = materialize(found)
     total = found.agg(F.sum("docs")).first()[0] or 0
-    rows = found.where(F.col("n") >= max(2 * HOT_LEAST, int(HOT_SHARE * total / 2))).select("h").toArrow().column("h").to_numpy()
+    rows = found.where(F.col("n") >= max(4 * HOT_LEAST, int(HOT_SHARE * total / 2))).select("h").toArrow().column("h").to_numpy()
     return np.sort(rows.view(np.uint64))
 
 
