@@ -1,181 +1,432 @@
-"""Quality classifier: interpolated modified Kneser-Ney model and per-language perplexity quantiles.
-
-The model predicts characters. Bytes are folded to 64 symbols (letters with their case, digits,
-white space, punctuation, symbols, bytes beyond ASCII), so there are at most 64^4 n-grams of order 4:
-the tables have a proven bound of 16.8 million entries and 64 MB, whatever the corpus. Counts come
-from every trusted document. Per-task counts are summed over shards of the n-gram space; lower
-orders count distinct left neighbours; counts are joined to their contexts' sums shard by shard to
-give discounted shares and back-off weights. Documents are then scored where they lie, with no
-shuffle of text.
-
-A document is rejected when its perplexity is above its language's quantile among trusted documents,
-times a margin; languages with few trusted documents use the quantile of all trusted documents.
-
-Defined results: null and empty texts have no characters, perplexity 0 and are kept. A null lang
-is a language of its own. A document is trusted if any of its labels is; repeated rows are counted and scored each. With no
-trusted document nothing is rejected. Other columns pass through `scored()`.
+"""Quality classifier: interpolated modified Kneser-Ney model of words and per-language perplexity quantiles.
+
+The model is of order 2 over lower-cased words, hashed to 32 bits, with a start and an end for every
+text. All trusted documents but the held-out fold are counted. The n-gram space is cut into shards by
+context; contexts of a large share of all words, listed first, are dealt over all shards by the whole
+n-gram. A batch sends each shard its distinct n-grams, packed. A shard adds them up, asks the shards
+that own its words in how many contexts each word follows, and so has all counts of its n-grams: the
+tables grow with the trusted text and no table is sent whole.
+
+The logarithm of a text's probability is a sum over its n-grams. For context v and word w it is
+log g(v) + log p(w), and log(1 + (n - d) / (f(v) p(w))) more if the n-gram was counted n times, with
+back-off weight g, discount d, freed mass f, and continuation share p. Every word of a text is a
+context once, and the start stands for the end, so the shard of v adds log g(v) + log p(v). Documents' n-grams
+travel to the shards with their document's place in the batch; sums by document come back.
+
+A document is rejected when its perplexity is above its language's quantile among held-out trusted
+documents, times a margin; languages with few of these use the quantile of all. Short texts are drawn
+towards their language's mean by PRIOR_WORDS words of it.
+
+Defined results: null and empty texts have no words, perplexity 0 and are kept. A null lang is a
+language of its own. A document is trusted if any of its labels is; repeated rows are counted and
+scored each. With no trusted document nothing is rejected. Other columns pass through `keep()`.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talespan.llm.words import CHUNK_BYTES, chunks
+from talespan.llm import planes
+from talespan.llm.words import Words, byte_table, mix, texts_of
 from talespan.runtime import materialize, ship
 
-ORDER = 4
-BITS = 6
 QUANTILE = 0.995
 MARGIN = 1.1
-#: Trusted documents of a language from which it has a threshold of its own, and their least length.
+#: One of so many trusted documents, by crc32 of the id, is held out of the counts and sets the thresholds.
+FOLDS = 5
+#: Held-out documents of a language from which it has a threshold of its own.
 LEAST_TRUSTED = 30
-LEAST_CHARS = 200
-#: Ids, or languages, up to which a table is broadcast (24 bytes each); beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def symbols() -> np.ndarray:
-    """The symbol of each byte; 0 stands before a text's start."""
-    out = np.full(256, 63, dtype=np.uint32)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("A") : ord("Z") + 1] = np.arange(27, 53)
-    out[ord("0") : ord("9") + 1] = 53
-    for group, code in ((" ", 54), ("\n\r", 55), (".", 56), (",", 57), (";:!?'\"()-", 58), ("|", 59), ("#*$%&<>", 60)):
-        for c in group:
-            out[ord(c)] = code
-    out[128:192] = 61
-    out[192:] = 62
-    return out
-
-
-def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at every byte of every text, and the texts' lengths."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    pad = b"\0" * (order - 1)
-    table = symbols()
-    table[0] = 0
-    code = table[np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)]
-    gram = code.copy()
-    for back in range(1, order):
-        gram[back:] |= code[:-back] << np.uint32(BITS * back)
-    starts = np.concatenate(([0], np.cumsum(lengths + order - 1)[:-1]))
-    inside = np.ones(len(code), bool)
-    for k in range(order - 1):
-        inside[starts + k] = False
-    return gram[inside], lengths
-
-
-def _gram_counts(documents: DataFrame) -> DataFrame:
+PRIOR_WORDS = 20
+#: Bytes of text in a batch whose n-grams are sorted together.
+BATCH_BYTES = 10 << 20
+#: Rows up to which a counted table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Contexts with this share of a shard's fair load are dealt over all shards, so there are at most shards / HOT_LOAD of them.
+HOT_LOAD = 0.25
+#: Sums that a scoring task holds before it sends them.
+HELD_SUMS = 1 << 20
+FIRST_ID = -(1 << 63)
+START, END = np.uint64(1), np.uint64(2)
+_LOW = np.uint64(0xFFFFFFFF)
+
+_ROW = T.StructType().add("kind", "integer").add("block", "integer").add("data", "binary")
+_NAMES = _ROW.names
+
+
+def _row(kind: int, block: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([b"".join(parts)], pa.binary())], _NAMES)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            ids.append(FIRST_ID if i is None else i)
+            texts.append(t or b"")
+            size += len(texts[-1]) + 1
+            if size >= limit:
+                yield np.array(ids, dtype=np.int64), texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield np.array(ids, dtype=np.int64), texts
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Context << 32 | word of every n-gram of the texts that have words, and the text of each."""
+    words = Words(texts, byte_table("space-lower"))
+    count = np.diff(words.first)
+    own = np.maximum((words.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(3)).astype(np.uint64)
+    some = np.flatnonzero(count)
+    out = np.empty(len(own) + len(some), np.uint64)
+    doc = np.repeat(some, count[some] + 1)
+    last = np.cumsum(count[some] + 1) - 1
+    follows = np.ones(len(out), bool)
+    follows[last] = False
+    out[follows] = own
+    out[last] = END
+    context = np.concatenate((np.array([START]), out[:-1])) if len(out) else out
+    context[np.concatenate(([0], last[:-1] + 1))[: len(last)]] = START
+    return context << np.uint64(32) | out, doc
+
+
+def shard_of(key: np.ndarray, hot: np.ndarray, blocks: int) -> np.ndarray:
+    """Shards of n-grams: by context, or by the whole n-gram where the context is hot."""
+    context = key >> np.uint64(32)
+    by = np.where(np.isin(context, hot), mix(key), mix(context))
+    return (by % np.uint64(blocks)).astype(np.int64)
+
+
+def _dealt(key: np.ndarray, hot: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard's n-grams, in the given order."""
+    shard = shard_of(key, hot, blocks)
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(blocks + 1)).tolist()
+    for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+        if y > x:
+            yield b, order[x:y]
+
+
+def _pack_keys(key: np.ndarray) -> bytes:
+    """Ascending n-grams as contexts, how many words each has, and the words."""
+    context = (key >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    word = (key & _LOW).astype(np.uint32)
+    step = np.diff(word, prepend=np.uint32(0))
+    step[first] = word[first]
+    return planes.pack(np.diff(context[first], prepend=np.uint32(0))) + planes.pack(np.diff(np.append(first, len(key))).astype(np.uint32)) + planes.pack(step)
+
+
+def _unpack_keys(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    context, at = planes.unpack(data, np.uint32, at=at)
+    count, at = planes.unpack(data, np.uint32, at=at)
+    step, at = planes.unpack(data, np.uint32, at=at)
+    first = np.cumsum(count.astype(np.int64)) - count
+    word = np.cumsum(step.astype(np.uint64))
+    base = np.where(first > 0, word[first - 1], 0).astype(np.uint64)
+    word -= np.repeat(base, count)
+    return np.repeat(np.cumsum(context, dtype=np.uint32).astype(np.uint64), count) << np.uint64(32) | word, at
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate([np.empty(0), *counts]), minlength=len(key)).astype(np.int64)
+
+
+def _hot_contexts(trusted: DataFrame, blocks: int) -> np.ndarray:
+    """Contexts with so large a share of all words that one shard should not hold them."""
+    share = HOT_LOAD / blocks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for _, texts in _batches(batches, BATCH_BYTES):
+            word, n = np.unique(grams(texts)[0] >> np.uint64(32), return_counts=True)
+            often = n >= share / 2 * n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], 0).astype(np.int64)), pa.array(np.append(n[often], n.sum()))], ["word", "n"])
+
+    found = materialize(trusted.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = found.where("word = 0").select("n").first()
+    rows = found.where((F.col("word") != 0) & (F.col("n") >= share * (total[0] if total else 0))).select("word").toArrow()
+    return np.sort(rows.column("word").to_numpy().astype(np.uint64))
+
+
+class Discounts:
+    """Of n-grams that were counted once, twice, and more often, by how many were counted once to four times."""
+
+    def __init__(self, often: list[int]):
+        n1, n2, n3, n4 = (max(n, 1) for n in often)
+        y = n1 / (n1 + 2 * n2)
+        self.by = np.array([0.0] + [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        return self.by[np.minimum(counts, 3)]
+
+
+def _often(counts: np.ndarray) -> bytes:
+    return np.array([*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum()), len(counts), int(counts.sum())], dtype="<i8").tobytes()
+
+
+#: Kinds of rows. OWN: a shard's n-grams and counts. ASK: words of a shard and contexts there that each follows.
+#: OFTEN: counts of counts. HOT: per hot context, sums of its n-grams in a shard; per hot word, its contexts.
+OWN, TOLD, REQUEST, ASK, OFTEN, HOT = range(6)
+
+
+def _count(trusted: DataFrame, hot: Broadcast, blocks: int) -> DataFrame:
+    """OWN, ASK, OFTEN and HOT rows of every shard, materialised."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _batches(batches, BATCH_BYTES):
+            key, n = np.unique(grams(texts)[0], return_counts=True)
+            for b, at in _dealt(key, hot.value, blocks):
+                yield _row(OWN, b, _pack_keys(key[at]), planes.pack(n[at].astype(np.uint32)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, block = [], [], 0
         for batch in batches:
-            for _, texts in chunks(batch, limit=2 * CHUNK_BYTES):
-                k, c = np.unique(grams([t or b"" for t in texts])[0], return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                if len(keys) > 16:
-                    keys, counts = _merge(keys, counts)
-        keys, counts = _merge(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(counts[0])], ["gram", "n"])
-
-    return documents.select("text").mapInArrow(run, T.StructType().add("gram", "long").add("n", "long")).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return [key], [np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)]
-
-
-def _shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Discounted share of every n-gram in its context, and every context's back-off weight.
-
-    Discounts follow Chen and Goodman: by how many n-grams were counted once to four times.
-    """
-    row = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (max(row[f"n{k}"], 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    d = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    keyed = counts.withColumn("context", F.shiftrightunsigned("gram", BITS)).withColumn("cut", discount)
-    contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    joined = keyed.join(contexts, "context")
-    return joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")), contexts.select(F.col("context").alias("gram"), (F.col("freed") / F.col("total")).alias("share"))
-
-
-def train(trusted: DataFrame) -> np.ndarray:
-    """log2 of the interpolated probability of every n-gram of order 4, as 64^4 half floats."""
-    ship(trusted.sparkSession)
-    counts = materialize(_gram_counts(trusted))
-    tables = []
-    for order in range(ORDER, 0, -1):
-        share, weight = _shares(counts)
-        tables += [share.select(F.lit(2 * order).alias("kind"), "gram", "share"), weight.select(F.lit(2 * order + 1).alias("kind"), "gram", "share")]
-        if order > 1:  # a lower order counts the distinct symbols before it
-            counts = materialize(counts.groupBy(F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    rows = reduce(DataFrame.unionByName, tables).toArrow()
-    kind, gram, share = (rows.column(c).to_numpy() for c in ("kind", "gram", "share"))
-    p = np.full(1, 1.0 / (1 << BITS), dtype=np.float32)
-    for order in range(1, ORDER + 1):
-        back = np.ones(1 << BITS * (order - 1), dtype=np.float32)
-        own = kind == 2 * order + 1
-        back[gram[own]] = share[own]
-        p = (back.reshape(-1, 1) * np.broadcast_to(np.tile(p.reshape(-1), (1 << BITS) if order > 1 else 1).reshape(len(back), -1), (len(back), 1 << BITS))).reshape(-1)
-        own = kind == 2 * order
-        p[gram[own]] += share[own].astype(np.float32)
-    return np.log2(p).astype(np.float16)
-
-
-def scored(documents: DataFrame, model: object) -> DataFrame:
-    """Documents with their perplexity; `model` is a broadcast of the table."""
-    schema = T.StructType([*documents.schema.fields, T.StructField("__talespan_perplexity", T.DoubleType())])
+            for b, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                key, at = _unpack_keys(data)
+                keys.append(key)
+                counts.append(planes.unpack(data, np.uint32, at=at)[0])
+                block = b
+                if len(keys) >= 32:
+                    keys, counts = ([x] for x in _summed(keys, counts))
+        if not keys:
+            return
+        key, n = _summed(keys, counts)
+        yield _row(OWN, block, _pack_keys(key), planes.pack(n.astype(np.uint32)))
+        yield _row(OFTEN, 0, _often(n))
+        # hot contexts are in many shards, so their sums are made elsewhere
+        context = key >> np.uint64(32)
+        mine = np.isin(context, hot.value)
+        if mine.any():
+            own, at = np.unique(context[mine], return_inverse=True)
+            sums = [np.bincount(at, weights=x[mine], minlength=len(own)).astype(np.uint32) for x in (n, n == 1, n == 2, n > 2)]
+            yield _row(HOT, 0, planes.pack_sorted(own), *map(planes.pack, sums))
+        word, follows = np.unique(key & _LOW, return_counts=True)
+        asked = np.union1d(word, np.where(context == START, END, context)[~mine])
+        told = np.zeros(len(asked), np.uint32)
+        told[np.searchsorted(asked, word)] = follows
+        owner = (mix(asked) % np.uint64(blocks)).astype(np.int64)
+        for b in np.unique(owner).tolist():
+            at = np.flatnonzero(owner == b)
+            yield _row(ASK, b, np.array([block], "<i4").tobytes(), planes.pack_sorted(asked[at]), planes.pack(told[at]))
+
+    return materialize(trusted.mapInArrow(send, _ROW).repartitionById(blocks, F.col("block")).mapInArrow(add, _ROW))
+
+
+def _tell(counted: DataFrame, hot: Broadcast, blocks: int) -> DataFrame:
+    """TOLD rows for the shards that asked, OFTEN rows of continuations, HOT rows of hot words, materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
+        asked = []
         for batch in batches:
-            found = []
-            for _, texts in chunks(batch):
-                gram, lengths = grams([t or b"" for t in texts])
-                total = np.concatenate(([0.0], np.cumsum(table[gram], dtype=np.float64)))
-                ends = np.cumsum(lengths)
-                found.append(np.where(lengths > 0, np.exp2(-(total[ends] - total[ends - lengths]) / np.maximum(lengths, 1)), 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found or [np.empty(0)]))], [*batch.schema.names, "__talespan_perplexity"])
+            for data in batch.column(2).to_pylist():
+                word, at = planes.unpack_sorted(data, 4)
+                asked.append((int.from_bytes(data[:4], "little"), word, planes.unpack(data, np.uint32, at=at)[0]))
+        if not asked:
+            return
+        word, follows = _summed([a[1] for a in asked], [a[2] for a in asked])
+        yield _row(OFTEN, 0, _often(follows[follows > 0]))
+        for block, own, _ in asked:
+            yield _row(TOLD, block, planes.pack_sorted(own), planes.pack(follows[np.searchsorted(word, own)].astype(np.uint64)))
+        mine = np.isin(word, hot.value) | (word == END)
+        if mine.any():
+            yield _row(HOT, 0, planes.pack_sorted(word[mine]), planes.pack(follows[mine].astype(np.uint64)))
+
+    return materialize(counted.where(F.col("kind") == ASK).repartitionById(blocks, F.col("block")).mapInArrow(run, _ROW))
+
+
+def _small(rows: DataFrame, kind: int) -> list[bytes]:
+    """Rows of a kind that a shard makes one of, of bounded size."""
+    return [bytes(r["data"]) for r in rows.where(F.col("kind") == kind).select("data").collect()]
+
+
+class Shares:
+    """What all shards need to know: discounts, sums over all words, and the hot contexts' values."""
+
+    def __init__(self, counted: DataFrame, told: DataFrame):
+        often = [sum(np.frombuffer(x, "<i8") for x in _small(rows, OFTEN)) + np.zeros(7, np.int64) for rows in (counted, told)]
+        self.bigram, self.word = (Discounts(x[:4].tolist()) for x in often)
+        self.words, self.pairs = int(often[1][5]), max(int(often[1][6]), 1)
+        self.freed = float(self.word.by[1:] @ np.array([often[1][0], often[1][1], often[1][4]])) / self.pairs
+        self.any = self.freed / (self.words + 1) if self.words else 1.0
+        sums: dict[int, np.ndarray] = {}
+        for data in _small(counted, HOT):
+            own, at = planes.unpack_sorted(data)
+            parts = []
+            for _ in range(4):
+                part, at = planes.unpack(data, np.uint32, at=at)
+                parts.append(part)
+            for c, *row in zip(own.tolist(), *parts, strict=True):
+                sums[c] = sums.get(c, 0) + np.array(row, dtype=np.int64)
+        follows = {}
+        for data in _small(told, HOT):
+            own, at = planes.unpack_sorted(data)
+            follows |= dict(zip(own.tolist(), planes.unpack(data, np.uint64, at=at)[0].tolist(), strict=True))
+        self.hot = np.array(sorted(sums), dtype=np.uint64)
+        rows = np.array([sums[c] for c in self.hot.tolist()], dtype=np.int64).reshape(-1, 4)
+        self.hot_freed = rows[:, 1:] @ self.bigram.by[1:]
+        self.hot_base = np.log(self.hot_freed / np.maximum(rows[:, 0], 1)) + np.log(self.share(np.array([follows.get(int(END) if c == START else c, 0) for c in self.hot.tolist()], dtype=np.int64)))
+
+    def share(self, follows: np.ndarray) -> np.ndarray:
+        """Interpolated share of words that follow so many contexts."""
+        return (follows - self.word.of(follows)) / self.pairs + self.any
+
+
+class Shard:
+    """Logarithms that a shard adds: by context for each n-gram, and more for each counted one."""
+
+    def __init__(self, shares: Shares, key: np.ndarray, n: np.ndarray, words: np.ndarray, follows: np.ndarray):
+        context, word = key >> np.uint64(32), key & _LOW
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))[: len(key)]
+        own = context[first]
+        cut = shares.bigram.of(n)
+        each = np.diff(np.append(first, len(key)))
+        freed = np.add.reduceat(cut, first) if len(key) else np.empty(0)
+        total = np.add.reduceat(n, first) if len(key) else np.empty(0)
+        hot = np.isin(own, shares.hot)
+        freed[hot] = shares.hot_freed[np.searchsorted(shares.hot, own[hot])]
+        share = lambda x: shares.share(follows[np.searchsorted(words, x)])
+        self.key, self.more = key, np.log1p((n - cut) / (np.repeat(freed, each) * share(word))) if len(key) else np.empty(0)
+        cold = ~hot
+        self.context = np.concatenate((own[cold], shares.hot))
+        base = np.log(freed[cold] / total[cold]) + np.log(share(np.where(own[cold] == START, END, own[cold]))) if cold.any() else np.empty(0)
+        order = np.argsort(self.context)
+        self.context, self.base, self.unknown = self.context[order], np.concatenate((base, shares.hot_base))[order], np.log(shares.any)
+
+    def add(self, key: np.ndarray) -> np.ndarray:
+        """What each n-gram adds to its text."""
+        out = np.full(len(key), self.unknown)
+        for table, values, asked, replace in ((self.context, self.base, key >> np.uint64(32), True), (self.key, self.more, key, False)):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+                known = table[at] == asked
+                out[known] = values[at[known]] + (0 if replace else out[known])
+        return out
+
+
+def _scores(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadcast, blocks: int) -> DataFrame:
+    """id, crc, logarithm of the probability and number of words of every text with words, materialised."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _batches(batches, BATCH_BYTES):
+            key, doc = grams(texts)
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            crc = np.array([zlib.crc32(t) for t in texts], dtype=np.uint32)
+            for b, at in _dealt(key, hot.value, blocks):
+                held, local = np.unique(doc[at], return_inverse=True)
+                yield _row(REQUEST, b, _pack_keys(key[at]), planes.pack(local.astype(np.uint32)), planes.pack(ids[held].view(np.uint64)), planes.pack(crc[held]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, words, follows, shard = np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], None
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == OWN:
+                    key, at = _unpack_keys(data)
+                    n = planes.unpack(data, np.uint32, at=at)[0].astype(np.int64)
+                elif kind == TOLD:
+                    own, at = planes.unpack_sorted(data)
+                    words.append(own)
+                    follows.append(planes.unpack(data, np.uint64, at=at)[0].astype(np.int64))
+                else:
+                    if shard is None:
+                        word, first = np.unique(np.concatenate(words), return_index=True)
+                        shard = Shard(shares.value, key, n, word, np.concatenate(follows)[first])
+                    asked, at = _unpack_keys(data)
+                    local, at = planes.unpack(data, np.uint32, at=at)
+                    ids, at = planes.unpack(data, np.uint64, at=at)
+                    crc, _ = planes.unpack(data, np.uint32, at=at)
+                    held.append((ids, crc, np.bincount(local, weights=shard.add(asked), minlength=len(ids)), np.bincount(local, minlength=len(ids))))
+                    if sum(len(h[0]) for h in held) >= HELD_SUMS:
+                        yield from sums(held)
+                        held = []
+        if held:
+            yield from sums(held)
+
+    def sums(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, crc, log, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (mix(ids) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((crc, ids, bucket))
+        edge = np.searchsorted(bucket[order], np.arange(blocks + 1)).tolist()
+        for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+            if y > x:
+                at = order[x:y]
+                yield _row(0, b, planes.pack_sorted(ids[at]), planes.pack(crc[at]), planes.pack(log[at].astype(np.float32).view(np.uint32)), planes.pack(n[at].astype(np.uint32)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(2).to_pylist():
+                ids, at = planes.unpack_sorted(data)
+                crc, at = planes.unpack(data, np.uint32, at=at)
+                log, at = planes.unpack(data, np.uint32, at=at)
+                n, _ = planes.unpack(data, np.uint32, at=at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(crc.astype(np.int64)), pa.array(log.view(np.float32).astype(np.float64)), pa.array(n.astype(np.int64))], ["id", "crc", "log", "n"])
 
-    return documents.mapInArrow(run, schema)
+    requests = documents.mapInArrow(send, _ROW)
+    # the model's rows of a shard come before its requests
+    met = model.unionByName(requests).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind")
+    parts = met.mapInArrow(score, _ROW).repartitionById(blocks, F.col("block")).mapInArrow(gather, "id long, crc long, log double, n long")
+    return materialize(parts.groupBy("id", "crc").agg(F.sum("log").alias("log"), F.sum("n").alias("n")))
 
 
-def _beside(documents: DataFrame, other: DataFrame, on: str, how: str) -> DataFrame:
+def _beside(documents: DataFrame, other: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join to a materialised table: broadcast when its counted size is within the bound."""
     return documents.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
 
 
-def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """Documents with _perplexity, _threshold and _kept."""
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")]
+
+
+def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, blocks: int | None = None) -> DataFrame:
+    """id, crc, lang, perplexity, threshold and kept of every document, materialised."""
     spark = documents.sparkSession
-    ids = materialize(labels.where("quality = 1").select("doc_id").distinct())
-    trusted = _beside(documents.select("doc_id", "lang", "text"), ids, "doc_id", "left_semi")
-    model = spark.sparkContext.broadcast(train(trusted))
-    language = F.coalesce("lang", F.lit(""))
-    seen = materialize(scored(trusted, model).where(F.octet_length("text") >= LEAST_CHARS).select(language.alias("__talespan_lang"), "__talespan_perplexity"))
-    cut = F.percentile("__talespan_perplexity", quantile) * margin
-    every = seen.agg(cut.alias("x")).first()["x"]
-    own = materialize(seen.groupBy("__talespan_lang").agg(cut.alias("__talespan_own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).select("__talespan_lang", "__talespan_own"))
-    limit = F.coalesce("__talespan_own", F.lit(every).cast("double"), F.lit(float("inf")))
-    return _beside(scored(documents, model).withColumn("__talespan_lang", language), own, "__talespan_lang", "left").withColumn("__talespan_threshold", limit).withColumn("__talespan_kept", F.col("__talespan_perplexity") <= F.col("__talespan_threshold")).drop("__talespan_lang", "__talespan_own")
+    ship(spark)
+    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0).alias("held")).distinct())
+    texts = documents.select(_key()[0], "text")
+    trusted = _beside(texts, materialize(ids.where(~F.col("held")).select("id")), "id", "left_semi")
+    hot = spark.sparkContext.broadcast(_hot_contexts(trusted, n))
+    counted = _count(trusted, hot, n)
+    told = _tell(counted, hot, n)
+    shares = spark.sparkContext.broadcast(Shares(counted, told))
+    found = _scores(texts, counted.where(F.col("kind") == OWN).unionByName(told.where(F.col("kind") == TOLD)), shares, hot, n)
+    rows = documents.select(*_key(), F.col("lang").cast("string").alias("lang")).join(found, ["id", "crc"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = materialize(rows.join(ids.where("held").withColumnRenamed("held", "sets"), "id", "left").withColumn("language", F.coalesce("lang", F.lit(""))))
+    sets = rows.where("sets and n > 0")
+    mean = sets.groupBy("language").agg((F.sum("log") / F.sum("n")).alias("mean"))
+    all_mean = sets.agg(F.sum("log") / F.sum("n")).first()[0]
+    drawn = rows.join(F.broadcast(mean), "language", "left").withColumn("mean", F.coalesce("mean", F.lit(all_mean).cast("double"), F.lit(0.0)))
+    drawn = drawn.withColumn("entropy", F.when(F.col("n") > 0, -(F.coalesce("log", F.lit(0.0)) + PRIOR_WORDS * F.col("mean")) / (F.col("n") + PRIOR_WORDS)).otherwise(F.lit(0.0)))
+    # quantiles over steps of a hundredth, so that a task holds few values however many documents there are
+    steps = drawn.where("sets and n > 0").groupBy("language", F.ceil(F.col("entropy") * 100).alias("step")).agg(F.count(F.lit(1)).alias("docs"))
+    cut = (F.percentile("step", quantile, F.col("docs")) / 100).alias("cut")
+    every = steps.agg(cut).first()["cut"]
+    own = steps.groupBy("language").agg(cut, F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_TRUSTED).select("language", "cut")
+    limit = F.exp(F.coalesce("cut", F.lit(every).cast("double"), F.lit(float("inf")))) * margin
+    perplexity = F.when(F.col("n") > 0, F.exp("entropy")).otherwise(F.lit(0.0))
+    return materialize(drawn.join(F.broadcast(own), "language", "left").select("id", "crc", "lang", perplexity.alias("perplexity"), limit.alias("threshold"), (perplexity <= limit).alias("kept")))
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every document."""
-    rows = judged(documents.select("doc_id", "lang", "text"), labels)
-    return rows.select("doc_id", "lang", F.col("__talespan_perplexity").alias("perplexity"), F.col("__talespan_threshold").alias("threshold"), F.col("__talespan_kept").alias("kept"))
+    return judged(documents, labels).select(F.when(F.col("id") != FIRST_ID, F.col("id")).alias("doc_id"), "lang", "perplexity", "threshold", "kept")
 
 
 def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass."""
-    return judged(documents, labels).where("__talespan_kept").select(*documents.columns)
+    names = documents.columns
+    gone = materialize(judged(documents, labels).where(~F.col("kept")).select(F.col("id").alias("__talespan_id"), F.col("crc").alias("__talespan_crc")).distinct())
+    key, crc = _key()
+    keyed = documents.withColumns({"__talespan_id": key, "__talespan_crc": crc})
+    return _beside(keyed, gone, ["__talespan_id", "__talespan_crc"], "left_anti").select(*names)

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -64,35 +65,45 @@ def substrings(docs, span=13):
     return out
 
 
-def kneser_ney(texts, order, symbols, bits):
-    """Probabilities of an interpolated modified Kneser-Ney model, straight from its definition."""
+def kneser_ney(texts):
+    """p(word, context) of an interpolated modified Kneser-Ney model of order 2, straight from its definition."""
     counts = defaultdict(int)
     for t in texts:
-        s = [0] * (order - 1) + [int(symbols[b]) for b in t]
-        for i in range(order - 1, len(s)):
-            counts[tuple(s[i - order + 1 : i + 1])] += 1
-    levels = {order: dict(counts)}
-    for o in range(order - 1, 0, -1):
-        lower = defaultdict(int)
-        for g in levels[o + 1]:
-            lower[g[1:]] += 1
-        levels[o] = dict(lower)
-    disc = {}
-    for o, c in levels.items():
-        n1, n2, n3, n4 = (max(sum(v == k for v in c.values()), 1) for k in (1, 2, 3, 4))
+        words = ["<s>", *words_of(t), "</s>"]
+        for pair in zip(words, words[1:]) if len(words) > 2 else ():
+            counts[pair] += 1
+    follows = defaultdict(int)
+    for _, w in counts:
+        follows[w] += 1
+
+    def discounts(values):
+        n1, n2, n3, n4 = (max(sum(v == k for v in values), 1) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
-        disc[o] = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-
-    def p(g):
-        if not g:
-            return 1 / (1 << bits)
-        c = levels[len(g)]
-        same = {h: v for h, v in c.items() if h[:-1] == g[:-1]}
-        low = p(g[1:])
+        d = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        return lambda v: d[min(v, 3) - 1]
+
+    pair_cut, word_cut = discounts(counts.values()), discounts(follows.values())
+    every = sum(follows.values())
+    freed = sum(word_cut(v) for v in follows.values())
+
+    def low(w):
+        own = follows.get(w, 0)
+        return (own - word_cut(own) if own else 0) / every + freed / every / (len(follows) + 1)
+
+    def p(w, v):
+        same = {b: n for (a, b), n in counts.items() if a == v}
         if not same:
-            return low
-        d = lambda v: disc[len(g)][min(v, 3) - 1]
+            return low(w)
         total = sum(same.values())
-        return (max(same.get(g, 0) - (d(same[g]) if g in same else 0), 0) + sum(d(v) for v in same.values()) * low) / total
+        return (same[w] - pair_cut(same[w]) if w in same else 0) / total + sum(map(pair_cut, same.values())) / total * low(w)
 
     return p
+
+
+def words_of(text):
+    return SPACE.findall((text or "").translate(LOWER))
+
+
+def log_probability(p, text):
+    words = ["<s>", *words_of(text), "</s>"]
+    return (sum(math.log(p(w, v)) for v, w in zip(words, words[1:])), len(words) - 1) if len(words) > 2 else (0.0, 0)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -263,16 +264,35 @@ def test_bm25_scores():
         assert np.allclose(index.scores(seed), want)
 
 
-def test_kneser_ney_equals_definition(spark):
-    texts = [prose(RNG.randrange(3, 25)).encode() for _ in range(12)]
-    df = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
-    table = perplexity.train(df)
-    p = brute.kneser_ney(texts, perplexity.ORDER, perplexity.symbols(), perplexity.BITS)
-    grams, lengths = perplexity.grams(texts)
-    assert lengths.tolist() == [len(t) for t in texts]
-    for g in [*RNG.sample(grams.tolist(), 60), 0, 12345, 999999]:
-        parts = tuple(int(g) >> 6 * k & 63 for k in (3, 2, 1, 0))
-        assert abs(float(table[g]) - np.log2(p(parts))) < 0.02
+def held(doc):
+    return zlib.crc32(str(doc).encode()) % perplexity.FOLDS == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_perplexity_and_thresholds_equal_definition(spark, blocks, monkeypatch):
+    """One shard; contexts in shards of their own; so many shards that most contexts are hot and dealt over all."""
+    monkeypatch.setattr(perplexity, "BATCH_BYTES", 3000)
+    rng = random.Random(3)
+    vocabulary = ["the", "of", *(f"w{i}" for i in range(60))]
+    text = lambda: " ".join(rng.choice(vocabulary[: rng.choice([5, 62])]) for _ in range(rng.randrange(1, 40)))
+    rows = [(i, text(), rng.choice(["a", "b", None])) for i in range(260)] + [(900, None, "a"), (901, "", "b"), (902, "###  $$$ qq", "b"), (None, "the of", "a"), (5, "the w1", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(240) if i % 3}
+    p = brute.kneser_ney([t for d, t, _ in rows if d in good and not held(d)])
+    logs = [(d, t, lang or "", *brute.log_probability(p, t)) for d, t, lang in rows]
+    sets = [x for x in logs if x[0] in good and held(x[0]) and x[4]]
+    total = lambda some: sum(x[3] for x in some) / sum(x[4] for x in some)
+    mean = {lang: total(some) for lang in {x[2] for x in sets} if (some := [x for x in sets if x[2] == lang])}
+    entropy = lambda x: -(x[3] + perplexity.PRIOR_WORDS * mean.get(x[2], total(sets))) / (x[4] + perplexity.PRIOR_WORDS) if x[4] else None
+    cut = lambda some: np.quantile([math.ceil(entropy(x) * 100) for x in some], perplexity.QUANTILE) / 100
+    own = {lang: cut(some) for lang in mean if len(some := [x for x in sets if x[2] == lang]) >= perplexity.LEAST_TRUSTED}
+    want = sorted((-1 if x[0] is None else x[0], round(math.exp(entropy(x)), 3) if x[4] else 0.0, round(math.exp(own.get(x[2], cut(sets))) * perplexity.MARGIN, 3)) for x in logs)
+    found = perplexity.judged(docs, labels, blocks=blocks).collect()
+    got = sorted((-1 if r["id"] == perplexity.FIRST_ID else r["id"], round(r["perplexity"], 3), round(r["threshold"], 3)) for r in found)
+    assert len(got) == len(want)
+    assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 2e-3 * w[1] and abs(g[2] - w[2]) <= 0.02 * w[2] for g, w in zip(got, want, strict=True)), [x for x in zip(got, want, strict=True) if x[0] != x[1]][:3]
+    assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in found)
 
 
 def test_quality_classifier(docs, spark):
@@ -284,6 +304,18 @@ def test_quality_classifier(docs, spark):
     assert perplexity.keep(docs, labels).columns == docs.columns
 
 
+def test_junk_is_rejected(spark):
+    """Trusted prose in one language; long texts of unknown words go, prose that was not counted stays."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    prose_ = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+    junk = lambda: " ".join(f"{rng.random()}" for _ in range(60))
+    rows = [(i, prose_() if i < 400 else junk(), "a") for i in range(440)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in perplexity.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not kept & set(range(400, 440)) and len(kept & set(range(300, 400))) >= 98
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(3)
     words = [f"t{i}" for i in range(40)]
