@@ -17,7 +17,7 @@ from talespan.operators.words import LEAST_SAMPLES
 SAMPLE_RATE, OVERLAP_SECONDS, GLUE_SECONDS = 16000, 0.1, 0.1
 #: Fixed patterns of a printed transcript's labels and running lines.
 LABEL = r"\b[A-Z]{2,}(?:\s+[A-Z]{2,})*:"
-BOILERPLATE = r"(?i)ACT UP Oral History Project|A PROGRAM OF|New York Lesbian|Experimental Film Festival|Interviewee:|Interviewer:|Interview Number:|Date of Interview:|Interview of "
+BOILERPLATE = r"(?i)A PROGRAM OF|Interviewee:|Interviewer:|Interview Number:|Date of Interview:|Interview of "
 
 
 def vad_timeline(speech: DataFrame, key: str) -> DataFrame:
@@ -44,11 +44,15 @@ def usable_embeddings(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(((F.col("end") - F.col("start")) * SAMPLE_RATE >= LEAST_SAMPLES) & finite)
 
 
-def gold_text(text: Column) -> Column:
-    """The body of a printed transcript: from the first label on, without running lines and labels."""
+def gold_text(text: Column, titles: list[str] | None = None) -> Column:
+    """The body of a printed transcript: from the first label on, without running lines and labels.
+
+    titles: patterns of an archive's own running lines, besides the common ones.
+    """
+    running = "|".join([BOILERPLATE, *(titles or [])])
     at = F.regexp_instr(text, F.lit(LABEL))
     body = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
-    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(BOILERPLATE))
+    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(running))
     return F.regexp_replace(F.array_join(lines, "\n"), LABEL, " ")
 
 

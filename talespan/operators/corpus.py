@@ -14,7 +14,7 @@ FURNITURE = [
     r"^(January|February|March|April|May|June|July|August|September|October|November|December)[ \t]+[0-9]{1,2},?[ \t]*[0-9]{4}[ \t]*[0-9]*[ \t]*$",
     r"^[0-9]{1,3}$",
     r"^Tape[ \t]+[IVX0-9]+[ \t]*$",
-    r"^(ACT UP Oral History Project|Interview of|A Program of MIX)",
+    r"^(Interview of|A Program of)",
 ]
 SPEAKER_TAG = r"^([A-Z]{2,3}):[ \t]*"
 LEAST_SIMILARITY = 0.5

@@ -47,7 +47,7 @@ SELECT id, round(sum(part), 8) AS wrrf FROM (SELECT id, 1.0::DOUBLE / (60 + rank
     "bridges": f"WITH {ROSTER} SELECT doc_id, count(*) AS n_groups, string_agg(grp, ', ' ORDER BY grp) AS groups FROM r GROUP BY doc_id HAVING count(*) > 1",
     "sticky_speaker": r"""WITH l AS (SELECT conv_id, turn * 1000 + p AS line_no, CASE WHEN p = 0 AND role = 'user' THEN 'US: ' WHEN p = 0 AND role = 'assistant' THEN 'AS: ' ELSE '' END || line AS line FROM (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM conversations)),
 t AS (SELECT conv_id, line_no, trim(replace(line, chr(13), ''), ' ' || chr(9)) AS line FROM l),
-k AS (SELECT * FROM t WHERE line <> '' AND NOT regexp_matches(line, 'Interview[ \t]+[0-9]+[ \t]*$') AND NOT regexp_matches(line, '^(January|February|March|April|May|June|July|August|September|October|November|December)[ \t]+[0-9]{1,2},?[ \t]*[0-9]{4}[ \t]*[0-9]*[ \t]*$') AND NOT regexp_matches(line, '^[0-9]{1,3}$') AND NOT regexp_matches(line, '^Tape[ \t]+[IVX0-9]+[ \t]*$') AND NOT regexp_matches(line, '^(ACT UP Oral History Project|Interview of|A Program of MIX)')),
+k AS (SELECT * FROM t WHERE line <> '' AND NOT regexp_matches(line, 'Interview[ \t]+[0-9]+[ \t]*$') AND NOT regexp_matches(line, '^(January|February|March|April|May|June|July|August|September|October|November|December)[ \t]+[0-9]{1,2},?[ \t]*[0-9]{4}[ \t]*[0-9]*[ \t]*$') AND NOT regexp_matches(line, '^[0-9]{1,3}$') AND NOT regexp_matches(line, '^Tape[ \t]+[IVX0-9]+[ \t]*$') AND NOT regexp_matches(line, '^(Interview of|A Program of)')),
 b AS (SELECT conv_id, line_no, regexp_replace(line, '^Tape[ \t]+[IVX]+[ \t]+', '') AS line FROM k),
 g AS (SELECT conv_id, line_no, nullif(regexp_extract(line, '^([A-Z]{2,3}):[ \t]*', 1), '') AS tag, regexp_replace(line, '^([A-Z]{2,3}):[ \t]*', '') AS line FROM b),
 s AS (SELECT *, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_no), '?') AS speaker FROM g)
@@ -70,6 +70,6 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "vad_regions": "WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT conv_id, turn, least(turn * 4.0::DOUBLE + 0.25, 25) AS a, turn * 4.0::DOUBLE + 2.5 + CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 0 ELSE 0.1::DOUBLE END AS e FROM c), n AS (SELECT conv_id, turn, a, floor(least(greatest(e, a), 25) * 16000) - floor(a * 16000) AS k FROM s) SELECT conv_id, round(a, 6) AS orig_start, round(coalesce(sum(k + 1600) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 16000, 6) AS filtered_start, round(k / 16000, 6) AS duration FROM n WHERE k > 0",
     "statement_chunks": f"WITH s AS (SELECT *, CASE WHEN turn % 4 < 3 THEN 'A' ELSE 'B' END AS sp FROM ({STATEMENTS})), r AS (SELECT *, sum(c) OVER (PARTITION BY interview ORDER BY start_time, uid) AS run FROM (SELECT *, CASE WHEN sp IS NOT DISTINCT FROM lag(sp) OVER (PARTITION BY interview ORDER BY start_time, uid) THEN 0 ELSE 1 END AS c FROM s)), p AS (SELECT *, floor((start_time - first_value(start_time) OVER (PARTITION BY interview, run ORDER BY start_time, uid)) / 20) AS slot, lag(text) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AS pre FROM r), q AS (SELECT *, CASE WHEN slot > lag(slot) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AND coalesce(regexp_matches(pre, '[.!?]\\s*$'), false) THEN 1 ELSE 0 END AS cut FROM p), z AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AS BIGINT) AS part FROM q) SELECT interview, CAST(run AS BIGINT) AS run, part, any_value(sp) AS speaker, min(start_time) AS start_time, round(max(end_time), 3) AS end_time, CAST(length(string_agg(text, ' ' ORDER BY start_time, uid)) AS INTEGER) AS n_chars FROM z GROUP BY interview, run, part",
-    "gold_transcript": r"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split('SARAH DOE: ' || text || chr(10) || 'A PROGRAM OF y' || chr(10) || 'AF: yes', chr(10)), lambda x: NOT regexp_matches(x, '(?i)ACT UP Oral History Project|A PROGRAM OF|New York Lesbian|Experimental Film Festival|Interviewee:|Interviewer:|Interview Number:|Date of Interview:|Interview of ')), chr(10)), '\b[A-Z]{2,}(?:\s+[A-Z]{2,})*:', ' ', 'g') AS gold FROM documents",
+    "gold_transcript": r"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split('SARAH DOE: ' || text || chr(10) || 'A PROGRAM OF y' || chr(10) || 'AF: yes', chr(10)), lambda x: NOT regexp_matches(x, '(?i)A PROGRAM OF|Interviewee:|Interviewer:|Interview Number:|Date of Interview:|Interview of ')), chr(10)), '\b[A-Z]{2,}(?:\s+[A-Z]{2,})*:', ' ', 'g') AS gold FROM documents",
     "paper_match": "WITH p AS (SELECT split_part(paper, ' ', 1) AS number, min(paper) AS paper FROM (SELECT doc_id || ' ' || source AS paper FROM documents WHERE doc_id % 2 = 0) GROUP BY 1) SELECT doc_id, (doc_id % 300) || '.wav.json' AS file, coalesce(paper, '') AS paper FROM documents LEFT JOIN p ON p.number = CAST(doc_id % 300 AS VARCHAR)",
 }

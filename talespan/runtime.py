@@ -29,10 +29,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where none is set."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only in local mode where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talespan-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not shared and not one_machine:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="talespan-ckpt-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:

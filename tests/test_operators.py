@@ -16,8 +16,8 @@ def kinds(a, b):
 
 
 def test_edit_script():
-    assert kinds("act up received badly", "acta received badly").count("match") == 2
-    assert kinds("act up", "acta up") == ["sub", "match"]
+    assert kinds("cut up received badly", "cuta received badly").count("match") == 2
+    assert kinds("cut up", "cuta up") == ["sub", "match"]
     assert kinds("the cat sat on the mat", "the cat sat on a mat") == ["match"] * 4 + ["sub", "match"]
     assert kinds("x", "y") == ["sub"]
     assert kinds("", "a b") == ["ins", "ins"] and kinds("a", "") == ["del"]
