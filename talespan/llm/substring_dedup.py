@@ -1,12 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing against sharded reference blocks.
 
 Every document is a reference for the documents with larger ids. The reference is indexed in
-blocks: a block holds all word windows whose hash falls into its range. Each document's windows are
-looked up in every block that can hold them; a greedy parse then reads the document from left to
-right, opens a factor at a window that an earlier document has, and extends it as long as the next
-window is found too. Windows across the boundaries of factors are looked up like all others, so a
-copied passage of `span` words is found wherever its sources begin and end. Factors of `span` words
-and more are duplicate spans; everything else is literal.
+blocks: a block holds all word windows whose hash falls into its range, with document and place. Each
+document's windows are looked up in every block that can hold them and give the least document that
+has them; a greedy parse then reads the document from left to right, opens a factor at a window that
+an earlier document has, and extends it as long as the next window follows in the same source.
+Windows across the boundaries of factors are looked up like all others, so a copied passage of `span`
+words is found wherever its sources begin and end. Factors have `span` words at least, with source
+and place (`spans()`); they are the duplicate spans, and everything else is literal.
 
 The index travels packed: a batch of documents sends each block one row with its sorted window
 hashes. A window that several documents of a batch share is sent once, for the smallest id, and the
@@ -73,20 +74,35 @@ def window_hashes(texts: list[bytes], span: int, table: np.ndarray) -> tuple[np.
     return np.concatenate(found), np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
 
 
-def pack_hits(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> bytes:
-    """Found windows of many documents: one entry a document, then all places."""
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def pack_hits(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray, sources: np.ndarray, source_places: np.ndarray) -> bytes:
+    """Found windows of many documents: one entry a document, then all places and where each was found."""
     order = np.lexsort((places, crcs, ids))
-    ids, crcs, places = ids[order], crcs[order], places[order]
+    ids, crcs, places, sources, source_places = (x[order] for x in (ids, crcs, places, sources, source_places))
     first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1]))))
     sizes = np.diff(np.append(first, len(ids)))
-    return b"".join([planes.pack(ids[first].view(np.uint64)), planes.pack(crcs[first]), planes.pack(sizes.astype(np.uint32)), planes.pack(places.astype(np.uint32))])
+    return b"".join([planes.pack(ids[first].view(np.uint64)), planes.pack(crcs[first]), planes.pack(sizes.astype(np.uint32)), pack_places(places, sources, source_places)])
+
+
+def pack_places(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray) -> bytes:
+    """Windows of a copied passage follow each other in both texts, so differences are mostly 0 and 1."""
+    return planes.pack(np.diff(places.astype(np.uint32), prepend=np.uint32(0))) + planes.pack_sorted(sources.view(np.uint64)) + planes.pack(np.diff(source_places.astype(np.uint32), prepend=np.uint32(0)))
 
 
-def unpack_hits(data: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_places(data: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places, at = planes.unpack(data, np.uint32, at=at)
+    sources, at = planes.unpack_sorted(data, at)
+    source_places, _ = planes.unpack(data, np.uint32, at=at)
+    return np.cumsum(places, dtype=np.uint32), sources.view(np.int64), np.cumsum(source_places, dtype=np.uint32)
+
+
+def unpack_hits(data: bytes, at: int = 0) -> Hits:
     ids, at = planes.unpack(data, np.uint64, at=at)
     crcs, at = planes.unpack(data, np.uint32, at=at)
     sizes, at = planes.unpack(data, np.uint32, at=at)
-    return np.repeat(ids.view(np.int64), sizes), np.repeat(crcs, sizes), planes.unpack(data, np.uint32, at=at)[0]
+    return np.repeat(ids.view(np.int64), sizes), np.repeat(crcs, sizes), *unpack_places(data, at)
 
 
 def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> Iterator[tuple[int, bytes]]:
@@ -103,11 +119,12 @@ def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> It
     hashes = hashes[sort]
     doc = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)[sort]
     new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    least = doc_ids[doc[np.flatnonzero(new)]][np.cumsum(new) - 1]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]  # documents are in order, so the first of equal windows has the least id
+    least = doc_ids[doc[lead]]
     settled = doc_ids[doc] > least
     if settled.any():
-        which, at = doc[settled], sort[settled] - first[doc[settled]].astype(np.uint32)
-        yield int(crc.sum() % np.uint64(blocks)), b"\1" + pack_hits(doc_ids[which], crc[which].astype(np.uint32), at)
+        which, at, of = doc[settled], sort[settled] - first[doc[settled]].astype(np.uint32), lead[settled]
+        yield int(crc.sum() % np.uint64(blocks)), b"\1" + pack_hits(doc_ids[which], crc[which].astype(np.uint32), at, least[settled], sort[of] - first[doc[of]].astype(np.uint32))
     hashes, sort, doc = hashes[~settled], sort[~settled], doc[~settled]
     width = (1 << 64) // blocks + 1
     cut = np.searchsorted(hashes, np.array([b * width for b in range(1, blocks)], dtype=np.uint64))
@@ -119,8 +136,8 @@ def index_rows(ids: list[int], texts: list[bytes], span: int, blocks: int) -> It
             yield b, b"".join([b"\0", planes.pack_sorted(hashes[x:y]), planes.pack(place.astype(np.uint32)), planes.pack(doc_ids[held].view(np.uint64)), planes.pack(crc[held].astype(np.uint32)), planes.pack(counts[held].astype(np.uint32))])
 
 
-def match_rows(rows: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All that one block found: documents, crcs of their texts, and the places of found windows."""
+def match_rows(rows: Iterator[bytes]) -> Iterator[Hits]:
+    """All that one block found: documents, crcs of their texts, the places of found windows, and the least document that has each, and where."""
     hashes, places, docs, ids, crcs = [], [], [], [], []
     base = 0
     for data in rows:
@@ -152,10 +169,12 @@ def match_rows(rows: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
     group = np.flatnonzero(new)
     alone = new & np.concatenate((new[1:], [True]))
     docs = np.concatenate(docs)[sort]
-    least = np.repeat(np.minimum.reduceat(all_ids[docs], group), np.diff(np.append(group, len(docs))))
+    size = np.diff(np.append(group, len(docs)))
+    least = np.repeat(np.minimum.reduceat(all_ids[docs], group), size)
     hit = ~alone & (all_ids[docs] > least)
-    places = np.concatenate(places)[sort[hit]]
-    yield all_ids[docs[hit]], all_crcs[docs[hit]], places
+    places = np.concatenate(places)[sort]
+    first_there = np.minimum.reduceat(np.where(all_ids[docs] == least, places, np.uint32(0xFFFFFFFF)), group)
+    yield all_ids[docs[hit]], all_crcs[docs[hit]], places[hit], least[hit], np.repeat(first_there, size)[hit]
 
 
 def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = None) -> DataFrame:
@@ -175,26 +194,26 @@ def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = N
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [x for x in match_rows(x.as_py() for batch in batches for x in batch.column(1)) if len(x[0])]
         if found:
-            ids, crcs, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids, crcs, *where = (np.concatenate(x) for x in zip(*found, strict=True))
             bucket = mix(ids.view(np.uint64)) % np.uint64(n)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64)).tolist()
             for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
                 if y > x:
                     part = order[x:y]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_hits(ids[part], crcs[part], places[part])], pa.binary())], ["block", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_hits(ids[part], crcs[part], *(x[part] for x in where))], pa.binary())], ["block", "data"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [unpack_hits(x.as_py()) for batch in batches for x in batch.column(1)]
         if found:
-            ids, crcs, places = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((places, crcs, ids))
-            ids, crcs, places = ids[order], crcs[order], places[order]
+            ids, crcs, *where = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((where[0], crcs, ids))
+            ids, crcs, where = ids[order], crcs[order], [x[order] for x in where]
             edge = np.flatnonzero((ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])) + 1
             starts, ends = [0, *edge.tolist()], [*edge.tolist(), len(ids)]
             for at in range(0, len(starts), 4096):
                 some = starts[at : at + 4096]
-                packed = [planes.pack(places[a:b]) for a, b in zip(some, ends[at : at + 4096], strict=True)]
+                packed = [pack_places(*(x[a:b] for x in where)) for a, b in zip(some, ends[at : at + 4096], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(crcs[some].astype(np.int64)), pa.array(packed, pa.binary())], ["__talespan_id", "__talespan_crc", "__talespan_found"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, _ROW)
@@ -202,14 +221,19 @@ def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = N
     return found.repartitionById(n, F.col("block")).mapInArrow(gather, _HITS)
 
 
-def factors(found: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """The greedy parse: [from, to) of each factor, given the ascending places of found windows."""
-    if not len(found):
+def factors(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, span: int) -> list[tuple[int, int, int, int]]:
+    """The parse: [from, to) of each factor, its source document, and where it begins there.
+
+    A factor opens at the first window that was found and goes on as long as the next window was
+    found next in the same source. The windows across a boundary were looked up like all others, so
+    neighbouring factors overlap and what they cover has no gap where sources change.
+    """
+    if not len(places):
         return []
-    edge = np.flatnonzero(np.diff(found.astype(np.int64)) > 1)
-    starts = np.concatenate((found[:1], found[edge + 1])).tolist()
-    ends = np.concatenate((found[edge], found[-1:])).tolist()
-    return [(a, b + span) for a, b in zip(starts, ends, strict=True)]
+    goes_on = (np.diff(places.astype(np.int64)) == 1) & (sources[1:] == sources[:-1]) & (np.diff(source_places.astype(np.int64)) == 1)
+    first = np.concatenate(([0], np.flatnonzero(~goes_on) + 1))
+    last = np.append(first[1:], len(places)) - 1
+    return list(zip(places[first].tolist(), (places[last].astype(np.int64) + span).tolist(), sources[first].tolist(), source_places[first].tolist(), strict=True))
 
 
 def parsed(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -223,14 +247,29 @@ def _kept(text: bytes, found: bytes | None, span: int) -> tuple[list[bytes], lis
     words = text.split()
     if not found:
         return words, words
-    places = planes.unpack(found, np.uint32)[0]
     out, at = [], 0
-    for a, b in factors(places, span):
+    for a, b, _, _ in factors(*unpack_places(found), span):
         out += words[at:a] if a > at else []
         at = max(at, b)
     return words, out + words[at:]
 
 
+def spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id and its factors: words [start, stop), and the earlier document and the word there that they copy."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for found in batch.column(1).to_pylist():
+                own = factors(*unpack_places(found), span) if found else []
+                rows.append([{"start": a, "stop": b, "source": None if source == FIRST_ID else source, "source_start": at} for a, b, source, at in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "factors"])
+
+    factor = T.StructType().add("start", "long").add("stop", "long").add("source", "long").add("source_start", "long")
+    return parsed(documents.select("doc_id", "text"), span).select("doc_id", "__talespan_found").mapInArrow(run, T.StructType([documents.schema["doc_id"]]).add("factors", T.ArrayType(factor)))
+
+
 def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
 

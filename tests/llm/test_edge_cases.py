@@ -131,6 +131,21 @@ def test_substrings(docs, blocks, monkeypatch):
     assert all(out[d] == (want[d][2] if want[d][1] else t) for d, t in ROWS)
 
 
+def test_factors_copy_their_sources(docs):
+    """Every factor's words stand in its source at its place, sources are earlier, and factors cover what is removed."""
+    words = {d: brute.SPACE.findall(t or "") for d, t in ROWS}
+    want, seen = brute.substrings(ROWS), 0
+    for r in substring_dedup.spans(docs).collect():
+        own, covered = words[r["doc_id"]], set()
+        for f in r["factors"]:
+            assert f["source"] < r["doc_id"] and f["stop"] - f["start"] >= substring_dedup.SPAN
+            assert own[f["start"] : f["stop"]] == words[f["source"]][f["source_start"] :][: f["stop"] - f["start"]]
+            covered |= set(range(f["start"], f["stop"]))
+            seen += 1
+        assert len(covered) == want[r["doc_id"]][1]
+    assert seen > 10
+
+
 def test_repeated_ids(spark):
     rows = [(3, "a b c d e f g h i j k l m n"), (3, "a b c d e f g h i j k l m n"), (None, "a b c d e f g h i j k l m q"), (9, "z a b c d e f g h i j k l m n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
