@@ -110,3 +110,8 @@ def fused(sources: list[tuple[DataFrame, float]], limit: int = DEFAULT_LIMIT) ->
     """Weighted reciprocal-rank fusion of ranked (id, rank) sources."""
     parts = [s.select("id", (F.lit(w) / (RANK_CONSTANT + F.col("rank"))).alias("part")) for s, w in sources]
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.round(F.sum("part"), 8).alias("wrrf")).orderBy(F.desc("wrrf"), "id").limit(limit)
+
+
+def hits(found: DataFrame, statements: DataFrame, key: str) -> DataFrame:
+    """Scored keys, cut to a few before, with their statement's interview, speaker, text and times."""
+    return statements.join(F.broadcast(found), key)

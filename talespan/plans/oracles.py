@@ -72,4 +72,9 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "statement_chunks": f"WITH s AS (SELECT *, CASE WHEN turn % 4 < 3 THEN 'A' ELSE 'B' END AS sp FROM ({STATEMENTS})), r AS (SELECT *, sum(c) OVER (PARTITION BY interview ORDER BY start_time, uid) AS run FROM (SELECT *, CASE WHEN sp IS NOT DISTINCT FROM lag(sp) OVER (PARTITION BY interview ORDER BY start_time, uid) THEN 0 ELSE 1 END AS c FROM s)), p AS (SELECT *, floor((start_time - first_value(start_time) OVER (PARTITION BY interview, run ORDER BY start_time, uid)) / 20) AS slot, lag(text) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AS pre FROM r), q AS (SELECT *, CASE WHEN slot > lag(slot) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AND coalesce(regexp_matches(pre, '[.!?]\\s*$'), false) THEN 1 ELSE 0 END AS cut FROM p), z AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY interview, run ORDER BY start_time, uid) AS BIGINT) AS part FROM q) SELECT interview, CAST(run AS BIGINT) AS run, part, any_value(sp) AS speaker, min(start_time) AS start_time, round(max(end_time), 3) AS end_time, CAST(length(string_agg(text, ' ' ORDER BY start_time, uid)) AS INTEGER) AS n_chars FROM z GROUP BY interview, run, part",
     "gold_transcript": r"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split('SARAH DOE: ' || text || chr(10) || 'A PROGRAM OF y' || chr(10) || 'AF: yes', chr(10)), lambda x: NOT regexp_matches(x, '(?i)A PROGRAM OF|Interviewee:|Interviewer:|Interview Number:|Date of Interview:|Interview of ')), chr(10)), '\b[A-Z]{2,}(?:\s+[A-Z]{2,})*:', ' ', 'g') AS gold FROM documents",
     "paper_match": "WITH p AS (SELECT split_part(paper, ' ', 1) AS number, min(paper) AS paper FROM (SELECT doc_id || ' ' || source AS paper FROM documents WHERE doc_id % 2 = 0) GROUP BY 1) SELECT doc_id, (doc_id % 300) || '.wav.json' AS file, coalesce(paper, '') AS paper FROM documents LEFT JOIN p ON p.number = CAST(doc_id % 300 AS VARCHAR)",
+    "lexicon_phrases": "WITH t AS (SELECT doc_id, chr(1) || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> ''), chr(2) || chr(1)) || chr(2) AS s FROM documents), p AS (SELECT term, chr(1) || replace(term, ' ', chr(2) || chr(1)) || chr(2) AS k FROM (VALUES ('of the'), ('the the'), ('in the of')) v(term)), c AS (SELECT doc_id, term, (length(s) - length(replace(s, k, ''))) // length(k) AS n FROM t, p) SELECT doc_id, term, n FROM c WHERE n > 0",
+    "vector_norms": "SELECT label, count(*) AS n, round(avg(x), 5) AS mean_norm, round(min(x), 5) AS least_norm, round(max(x), 5) AS most_norm FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS x FROM embeddings) GROUP BY label",
+    "signal_compare": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), l AS (SELECT vec_id, a, lag, CASE WHEN lag < 0 THEN a[1 - lag:] ELSE a[:len(a) - lag] END AS x, CASE WHEN lag < 0 THEN b[:len(b) + lag] ELSE b[1 + lag:] END AS y FROM p, (VALUES (-2), (-1), (0), (1), (2)) g(lag)), c AS (SELECT vec_id, a, lag, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS r FROM l) SELECT vec_id, round(sqrt(list_dot_product(a, a) / len(a)), 5) AS level, round(sqrt(list_dot_product(a[49:], a[49:]) / len(a[49:])), 5) AS last_block, round(r, 5) AS correlation, lag FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, lag) = 1",
+    "ingest_edges": f"SELECT interview, uid AS statement_uid, speaker AS speaker_label, CASE WHEN speaker = 'system' THEN '' ELSE printf('p%d_%s', interview, speaker) END AS person_uid, start_time, round(end_time, 3) AS end_time FROM ({STATEMENTS})",
+    "search_hits": f"WITH s AS ({STATEMENTS}), t AS (SELECT uid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM s), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t), post AS (SELECT uid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT uid, len(terms) AS l, unnest(terms) AS term FROM t) WHERE term IN ('nicht', 'the', 'pour') GROUP BY uid, term), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), ts AS (SELECT uid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))), 6) AS score FROM post JOIN df USING (term), st GROUP BY uid), b AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM ts QUALIFY rank <= 15) SELECT rank, uid, interview, speaker, start_time, score FROM b JOIN s USING (uid)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespan.functions import text as tx
-from talespan.operators import archive, assembly, corpus, evaluate, intervals, speakers, words
+from talespan.operators import archive, assembly, corpus, evaluate, intervals, signals, speakers, words
 from talespan.plans import views
 from talespan.runtime import ship, table
 from talespan.sources import sinks
@@ -16,6 +16,7 @@ from talespan.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TERMS = ["the", "that", "nicht", "pour", "para"]
+PHRASES = [["of", "the"], ["the", "the"], ["in", "the", "of"]]
 TOPICS = ["thtion", "nicht", "queque"]
 GROUPS = {"North": "thtion", "East": "keit", "South": "ment", "West": "ciones"}
 
@@ -351,11 +352,37 @@ def paper_match(spark, d):
 
 @query
 def lexicon_phrases(spark, d):
-    ship(spark)
-    phrases = spark.createDataFrame([(["of", "the"],), (["the", "the"],), (["in", "the", "of"],)], "term array<string>")
     tokens = table(spark, d, "documents").select("doc_id", archive.terms_of(F.col("text")).alias("tokens"))
-    every = F.broadcast(phrases.agg(F.collect_list("term").alias("terms")).withColumn("one", F.lit(1)))  # a lexicon: one row
-    return tokens.withColumn("one", F.lit(1)).join(every, "one").select("doc_id", "tokens", F.explode("terms").alias("term")).select("doc_id", F.array_join("term", " ").alias("term"), assembly.occurrences("tokens", "term").alias("n"))
+    return assembly.phrase_counts(tokens, "doc_id", PHRASES)
+
+
+@query
+def vector_norms(spark, d):
+    norm = table(spark, d, "embeddings").select("label", signals.l2_norm(F.col("embedding")).alias("x"))
+    return norm.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(f("x"), 5).alias(f"{name}_norm") for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
+
+
+@query
+def signal_compare(spark, d):
+    rows = table(spark, d, "embeddings")
+    pairs = rows.select("vec_id", F.col("embedding").alias("a")).join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    best = signals.best_lag(F.col("a"), F.col("b"), 2)
+    return pairs.select("vec_id", F.round(signals.rms(F.col("a")), 5).alias("level"), best.alias("best"), F.round(F.element_at(signals.envelope(F.col("a"), 24), -1), 5).alias("last_block")).select("vec_id", "level", "last_block", F.round("best.correlation", 5).alias("correlation"), "best.lag")
+
+
+@query
+def ingest_edges(spark, d):
+    people = views.statements(spark, d).where("speaker <> 'system'").select("interview", "speaker").distinct().select("interview", "speaker", F.format_string("p%d_%s", "interview", "speaker").alias("person_uid"))
+    contains, says = sinks.edges(views.statements(spark, d), people)
+    both = says.join(contains, ["interview", "statement_uid"])
+    return both.select("interview", "statement_uid", "speaker_label", F.coalesce("person_uid", F.lit("")).alias("person_uid"), "start_time", F.round("end_time", 3).alias("end_time"))
+
+
+@query
+def search_hits(spark, d):
+    s = views.statements(spark, d)
+    found = archive.text_scores(s.select("uid", "text"), ["nicht", "the", "pour"], "uid", "text")
+    return archive.hits(archive.top(found, "uid", 15), s, "uid").select("rank", "uid", "interview", "speaker", "start_time", "score")
 
 
 @query

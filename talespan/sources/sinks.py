@@ -51,3 +51,13 @@ def not_written(results: DataFrame, done: DataFrame, key: str = "file") -> DataF
 def parameter(text: Column) -> Column:
     """A text as a named parameter."""
     return F.format_string(":param %s => %s", camel_name(text), F.to_json(F.struct(text.alias("text"))))
+
+
+def edges(statements: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edge rows of ingested statements: what each interview contains, with its times, and who says it.
+
+    Speakers that map to no person keep their label, with a null person.
+    """
+    contains = statements.select("interview", F.col("uid").alias("statement_uid"), "start_time", "end_time")
+    says = statements.join(people, ["interview", "speaker"], "left").select("interview", F.col("uid").alias("statement_uid"), F.col("speaker").alias("speaker_label"), "person_uid")
+    return contains, says
