@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from talespan.llm import planes
 from talespan.llm.words import Words, byte_table, mix, texts_of
-from talespan.runtime import materialize, ship
+from talespan.runtime import materialize, release, ship
 
 QUANTILE = 0.995
 MARGIN = 1.1
@@ -53,6 +54,8 @@ BROADCAST_ROWS = 200_000
 HOT_LOAD = 0.25
 #: Sums that a scoring task holds before it sends them.
 HELD_SUMS = 1 << 20
+#: Rounds in which the documents meet the shards; more rounds take less disk and more hashing of words.
+ROUNDS = 3
 FIRST_ID = -(1 << 63)
 START, END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -313,13 +316,30 @@ class Shard:
         return out
 
 
-def _scores(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadcast, blocks: int) -> DataFrame:
-    """id, crc, logarithm of the probability and number of words of every text with words, materialised."""
+def _scores(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadcast, blocks: int, rounds: int) -> DataFrame:
+    """id, crc, logarithm of the probability and number of words of every text with words.
+
+    Shards meet the documents in rounds, each over all documents and some of the shards, so that only
+    a part of all n-grams is on disk at a time; the sums of all rounds are added up.
+    """
+    edge = [blocks * k // rounds for k in range(rounds + 1)]
+    parts = []
+    for low, high in zip(edge, edge[1:], strict=False):
+        if high > low:
+            parts.append(_sums(documents, model.where(F.col("block").between(low, high - 1)), shares, hot, blocks, low, high))
+            release(documents.sparkSession)
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "crc").agg(F.sum("log").alias("log"), F.sum("n").alias("n"))
+
+
+def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadcast, blocks: int, low: int, high: int) -> DataFrame:
+    """What the shards from low to high add to every text, materialised."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batches(batches, BATCH_BYTES):
             key, doc = grams(texts)
-            order = np.argsort(key, kind="stable")
+            shard = shard_of(key, hot.value, blocks)
+            mine = np.flatnonzero((shard >= low) & (shard < high))
+            order = mine[np.argsort(key[mine], kind="stable")]
             key, doc = key[order], doc[order]
             crc = np.array([zlib.crc32(t) for t in texts], dtype=np.uint32)
             for b, at in _dealt(key, hot.value, blocks):
@@ -388,7 +408,7 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")]
 
 
-def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, blocks: int | None = None) -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, blocks: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """id, crc, lang, perplexity, threshold and kept of every document, materialised."""
     spark = documents.sparkSession
     ship(spark)
@@ -399,8 +419,9 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     hot = spark.sparkContext.broadcast(_hot_contexts(trusted, n))
     counted = _count(trusted, hot, n)
     told = _tell(counted, hot, n)
+    release(spark)
     shares = spark.sparkContext.broadcast(Shares(counted, told))
-    found = _scores(texts, counted.where(F.col("kind") == OWN).unionByName(told.where(F.col("kind") == TOLD)), shares, hot, n)
+    found = _scores(texts, counted.where(F.col("kind") == OWN).unionByName(told.where(F.col("kind") == TOLD)), shares, hot, n, rounds)
     rows = documents.select(*_key(), F.col("lang").cast("string").alias("lang")).join(found, ["id", "crc"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = materialize(rows.join(ids.where("held").withColumnRenamed("held", "sets"), "id", "left").withColumn("language", F.coalesce("lang", F.lit(""))))
     sets = rows.where("sets and n > 0")
