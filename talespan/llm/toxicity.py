@@ -51,8 +51,11 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def examples(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts and labels of the bounded sample, smallest hashed id first, and the rows that an example of label 0 and 1 stands for."""
+def examples(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
+    """Texts and labels of the bounded sample, smallest hashed id first, the rows that an example of label 0 and 1 stands for, and doc_ids.
+
+    `each` ids of a label are drawn; where ids repeat, at most twice as many rows.
+    """
     own = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = reduce(DataFrame.unionByName, [own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for label in (0, 1)])
@@ -61,11 +64,11 @@ def examples(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH)
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
     # repeated rows of one label must not push out the other label
     bounded = reduce(DataFrame.unionByName, [found.where(F.col("toxic") == label).orderBy(*order).limit(2 * each) for label in (0, 1)])
-    rows = bounded.orderBy(*order).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
+    rows = bounded.orderBy(*order).select("doc_id", F.col("text").cast("binary").alias("text"), "toxic").collect()
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
     drawn = np.bincount(toxic, minlength=2)
     stands_for = np.array([ids.get(k, 0) / max(min(ids.get(k, 0), each), 1) * present.get(k, 0) / max(drawn[k], 1) for k in (0, 1)])
-    return [bytes(r["text"] or b"") for r in rows], toxic, stands_for
+    return [bytes(r["text"] or b"") for r in rows], toxic, stands_for, [r["doc_id"] for r in rows]
 
 
 def choose(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -123,7 +126,7 @@ class Index:
         rows = np.ones(len(texts)) if stands_for is None else stands_for[toxic]
         rows = rows / max(rows.mean(), 1e-12) if len(texts) else rows
         self.bare = float((rows[bare] @ toxic[bare] + 1e-9) / max(rows[bare].sum(), 1e-9)) if len(bare) else 0.0
-        self.toxic, self.stands_for = toxic[has].astype(np.float64), rows[has]
+        self.toxic, self.stands_for, self.place = toxic[has].astype(np.float64), rows[has], has
         self.prior = float(self.stands_for @ self.toxic / self.stands_for.sum()) if len(has) else self.bare
         doc = np.searchsorted(has, doc)
         weight = self.unit(doc, term, n, len(has))
@@ -195,14 +198,15 @@ def scores(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH, n
     """doc_id, held_out, score, predicted, and the neighbours that speak for the score."""
     spark = documents.sparkSession
     ship(spark)
-    texts, toxic, stands_for = examples(documents, labels, each)
+    texts, toxic, stands_for, names = examples(documents, labels, each)
     words = Words(texts, byte_table("alnum-lower"))
     vocabulary = choose([np.unique(words.hashes[a:b]) for a, b in zip(words.first, words.first[1:], strict=False)], toxic) if texts else np.empty(0, np.uint64)
     df, n = document_frequencies(documents, vocabulary)
+    named = spark.sparkContext.broadcast(names)
     index = spark.sparkContext.broadcast(Index(texts, toxic, vocabulary, np.log((1 + n) / (1 + df)) + 1, stands_for))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+        ix, names = index.value, named.value
         for batch in batches:
             for rows, some in chunks(batch):
                 doc, term, n_ = term_rows(Words(some, byte_table("alnum-lower")), ix.vocabulary)
@@ -212,10 +216,10 @@ def scores(documents: DataFrame, labels: DataFrame, each: int = EXAMPLES_EACH, n
                 for a, b in zip(cut, cut[1:], strict=False):
                     best, cosine = ix.nearest(term[a:b], weight[a:b], neighbours) if b > a else (np.empty(0, np.int64), np.empty(0))
                     value.append(ix.score(best, cosine))
-                    near.append([{"example": int(e), "toxic": int(ix.toxic[e]), "cosine": round(float(c), 6)} for e, c in zip(best[:3], cosine[:3], strict=True)])
-                kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+                    near.append([{"doc_id": names[ix.place[e]], "toxic": int(ix.toxic[e]), "cosine": round(float(c), 6)} for e, c in zip(best[:3], cosine[:3], strict=True)])
+                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(value, pa.float64()), pa.array(near, kind)], ["doc_id", "score", "evidence"])
 
-    evidence = T.ArrayType(T.StructType().add("example", "long").add("toxic", "integer").add("cosine", "double"))
+    evidence = T.ArrayType(T.StructType().add("doc_id", "long").add("toxic", "integer").add("cosine", "double"))
     out = documents.select("doc_id", "text").mapInArrow(run, T.StructType([documents.schema["doc_id"]]).add("score", "double").add("evidence", evidence))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

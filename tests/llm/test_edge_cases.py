@@ -361,6 +361,8 @@ def test_toxicity_learns_only_from_its_folds(spark):
     held = [r for r in a if r[1] and r[0] < 1000]
     assert np.mean([r[3] == int(r[0] % 3 == 0) for r in held]) > 0.95
     assert len(toxicity.scores(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()) == 302
+    near = [e for r in toxicity.scores(df, right).collect() for e in r["evidence"]]
+    assert near and all(e["toxic"] == int(e["doc_id"] % 3 == 0) and zlib.crc32(str(e["doc_id"]).encode()) % 5 for e in near)
 
 
 def test_toxicity_does_not_depend_on_the_bound(spark):
@@ -379,7 +381,8 @@ def test_toxicity_does_not_depend_on_the_bound(spark):
         assert abs(a - b) < 0.08 and abs(b - share) < 0.1
     clean = [i for i, b in bad.items() if not b and zlib.crc32(str(i).encode()) % 5]
     again = df.unionByName(df.where(df.doc_id.isin(clean[:40])).crossJoin(spark.range(60)).select("doc_id", "text"))
-    texts, toxic, stands_for = toxicity.examples(again, labels, 260)
+    texts, toxic, stands_for, names = toxicity.examples(again, labels, 260)
+    assert [bad[i] for i in names] == toxic.astype(bool).tolist()
     train = [i for i in bad if zlib.crc32(str(i).encode()) % 5]
     assert toxic.sum() == sum(bad[i] for i in train) and stands_for[1] == 1
     assert len(texts) - toxic.sum() <= 520 and stands_for[0] > 1
