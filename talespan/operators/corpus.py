@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talespan.functions.text import similarity
+from talespan.functions.text import most_similar
 
 # Fixed patterns of lines that are no speech.
 FURNITURE = [
@@ -18,6 +18,8 @@ FURNITURE = [
 ]
 SPEAKER_TAG = r"^([A-Z]{2,3}):[ \t]*"
 LEAST_SIMILARITY = 0.5
+#: Candidates that a name is compared to in one call.
+CANDIDATES_AT_ONCE = 1000
 
 
 def lines_of(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -77,15 +79,16 @@ def best_download(files: DataFrame, key: str) -> DataFrame:
     return files.groupBy(key).agg(F.max_by("link", rank).alias("link"))
 
 
-def fuzzy_best(names: DataFrame, candidates: DataFrame, name: str, candidate: str) -> DataFrame:
-    """The most similar candidate of each name, if similar enough; the first one wins ties.
+def fuzzy_best(names: DataFrame, candidates: DataFrame, name: str, candidate: str, order: str) -> DataFrame:
+    """The most similar candidate of each distinct name, if similar enough; of equal ones the first by `order`.
 
-    Pairs are made by shared letters: without any, the similarity is 0. Meant for manifests, whose
-    names are few and short.
+    Candidates, a manifest's names, are dealt to lists of CANDIDATES_AT_ONCE; each name meets a list as a
+    whole, so that no row is made for a pair.
     """
-    letters = lambda c: F.array_distinct(F.split(F.lower(c), ""))
-    left = names.select(name, F.explode(letters(F.col(name))).alias("letter"))
-    right = candidates.select(candidate, F.explode(letters(F.col(candidate))).alias("letter"))
-    pairs = left.join(right, "letter").select(name, candidate).distinct().withColumn("ratio", similarity(name, candidate))
-    ranked = pairs.where(F.col("ratio") >= LEAST_SIMILARITY).withColumn("rn", F.row_number().over(W.partitionBy(name).orderBy(F.desc("ratio"), candidate)))
-    return ranked.where("rn = 1").select(name, candidate, F.round("ratio", 6).alias("ratio"))
+    lists = F.ceil(F.lit(candidates.count()) / CANDIDATES_AT_ONCE)
+    dealt = candidates.select(F.pmod(F.xxhash64(order), F.greatest(lists, F.lit(1))).alias("list"), F.struct(F.col(order).alias("at"), F.col(candidate).alias("name")).alias("c"))
+    listed = dealt.groupBy("list").agg(F.sort_array(F.collect_list("c")).alias("c")).select(F.lit(1).alias("one"), "c")
+    found = names.select(name).distinct().withColumn("one", F.lit(1)).join(listed, "one").withColumn("best", most_similar(name, "c.name"))
+    scored = found.select(name, F.struct("best.ratio", F.element_at("c.at", F.col("best.place") + 1).alias("at"), F.element_at("c.name", F.col("best.place") + 1).alias("name")).alias("b")).where(F.col("b.ratio") >= LEAST_SIMILARITY)
+    ranked = scored.withColumn("rn", F.row_number().over(W.partitionBy(name).orderBy(F.desc("b.ratio"), "b.at"))).where("rn = 1")
+    return ranked.select(name, F.col("b.name").alias(candidate), F.round("b.ratio", 6).alias("ratio"))

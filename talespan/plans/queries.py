@@ -289,8 +289,8 @@ def cluster_labels(spark, d):
 @query
 def fuzzy_match(spark, d):
     ship(spark)
-    names = table(spark, d, "nation").select(F.lower(F.expr("substring(n_name, 2)")).alias("heard")).distinct()
-    return corpus.fuzzy_best(names, table(spark, d, "nation").select("n_name"), "heard", "n_name")
+    names = table(spark, d, "part").select(F.upper(F.element_at(F.split("p_name", " "), 1)).alias("heard"))
+    return corpus.fuzzy_best(names, table(spark, d, "nation"), "heard", "n_name", "n_nationkey")
 
 
 @query

@@ -221,3 +221,20 @@ def test_difflib_wer_compares_every_turn_with_the_next(spark):
     turns = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
     got = [(r["conv_id"], r["turn"]) for r in catalog.QUERIES["difflib_wer"](spark, DATA).collect()]
     assert sorted(got) == sorted((c, t) for c, t in turns if (c, t + 1) in turns)
+
+
+def test_fuzzy_best(spark, monkeypatch):
+    import difflib
+
+    monkeypatch.setattr(corpus, "CANDIDATES_AT_ONCE", 3)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeXY") for _ in range(rng.randrange(0, 7)))
+    candidates = [word() for _ in range(11)] + ["tide"]
+    names = [word() for _ in range(40)] + ["diet", None]
+    got = {r["heard"]: (r["name"], r["ratio"]) for r in corpus.fuzzy_best(spark.createDataFrame([(n,) for n in names], "heard string"), spark.createDataFrame(list(enumerate(candidates)), "at int, name string"), "heard", "name", "at").collect()}
+    want = {}
+    for n in set(names):
+        ratios = [difflib.SequenceMatcher(None, c, n or "").ratio() for c in candidates]
+        if max(ratios) >= 0.5:
+            want[n] = (candidates[ratios.index(max(ratios))], round(max(ratios), 6))
+    assert got == want
