@@ -480,3 +480,26 @@ def test_links_of_a_family():
     got = np.arange(60)
     got[b - 100] = a - 100
     assert np.array_equal(got, want) and 1 < len(np.unique(want)) < 60
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, repeated rows, one very long word, very many words: every row is given back once."""
+    rows = [(None, "a b c"), (None, None), (7, "x y"), (7, "x y"), (7, "z"), (8, "w" * 200_000), (9, "to be or not " * 30_000), (10, "\n\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash", 1, 0.5) for i, t in rows], DOCS).repartition(2)
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (9, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(None, "a b c"), (1, "w" * 200_000)], "item_id long, text string")
+    ids = sorted(str(i) for i, _ in rows)
+    word, byte = (Tokenizer.from_file(P.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    size = lambda k, t: len(k.encode(t or "", add_special_tokens=False).ids)
+
+    for frame in (decontaminate.verdicts(docs, items), perplexity.verdicts(docs, labels), quality_rules.judged(docs), substring_dedup.digests(docs), near_duplicates.classes(docs), toxicity.scores(docs, labels)):
+        assert sorted(str(r["doc_id"]) for r in frame.collect()) == ids
+    hit = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontaminate.verdicts(docs, items).collect()}
+    assert hit[None, 3] == 3 and hit[None, 0] == 0 and hit[8, 1] == 1 and hit[9, 120_000] == 0
+    stored = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_store.round_trip(docs, P.path("byte_bpe_50k.json")).collect())
+    assert stored == sorted((str(i), size(byte, t) + 1) for i, t in rows)
+    packed = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
+    assert sum(r["length"] for r in packed) == sum(size(word, t) + 1 for _, t in rows)
+    assert {(r["doc_id"], r["doc_tokens"]) for r in packed} == {(i, size(word, t) + 1) for i, t in rows}
+    told = attribution.counts(docs, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r["n_tokens"] for r in told) == sum(size(byte, t) for _, t in rows)
