@@ -289,8 +289,9 @@ def cluster_labels(spark, d):
 @query
 def fuzzy_match(spark, d):
     ship(spark)
-    names = table(spark, d, "part").select(F.upper(F.element_at(F.split("p_name", " "), 1)).alias("heard"))
-    return corpus.fuzzy_best(names, table(spark, d, "nation"), "heard", "n_name", "n_nationkey")
+    nation = table(spark, d, "nation")
+    names = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.expr("substring(n_name, 2)"), F.lit(" "), F.col("c_custkey")).alias("heard"))
+    return corpus.fuzzy_best(names, nation, "heard", "n_name", "n_nationkey")
 
 
 @query

@@ -198,12 +198,11 @@ def test_mono_topics(spark):
     assert [tuple(r) for r in corpus.topic_hits(corpus.lines_of(df, "d"), "d", ["aids", "azt"]).collect()] == [(1, 2)]
 
 
-def test_phrase_search():
-    from talespan.operators.assembly import locate, occurrences
-
+def test_phrase_search(spark):
     t = pd.Series([["a", "b", "c", "d", "x"], ["a", "b"]])
-    assert occurrences.func(t, pd.Series([["b", "c"], ["z"]])).tolist() == [1, 0]
-    assert locate.func(t, pd.Series([["b", "c", "d", "q"], ["b"]])).tolist() == [1, 1]
+    tokens = spark.createDataFrame([(1, list(t[0])), (2, ["b", "b", "b", "ab", "b"]), (3, []), (4, None)], "k int, tokens array<string>")
+    assert {tuple(r) for r in assembly.phrase_counts(tokens, "k", [["b", "c"], ["b", "b"], ["b"]]).collect()} == {(1, "b c", 1), (1, "b", 1), (2, "b b", 1), (2, "b", 4)}
+    assert assembly.locate.func(t, pd.Series([["b", "c", "d", "q"], ["b"]])).tolist() == [1, 1]
 
 
 def test_vad_timeline(spark):
