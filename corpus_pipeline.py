@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from talespan.llm import decontaminate, near_duplicates, packing, perplexity, substring_dedup
 from talespan.runtime import ensure_checkpoint_dir, table
 
+#: Pieces that packing's encoder keeps: half of what it may, since it runs in workers that hold other stages' data.
+CACHE_PIECES = 400_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model's per-language thresholds reject go."""
@@ -37,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into windows of token ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_pieces=CACHE_PIECES)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", shared_passages), ("benchmark decontamination", benchmark_passages), ("lexical packing", windows)]

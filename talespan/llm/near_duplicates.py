@@ -39,14 +39,13 @@ from pyspark.sql import types as T
 
 from talespan.llm import planes
 from talespan.llm.components import components
-from talespan.llm.words import CHUNK_BYTES, PLACE, Words, byte_table, mix, texts_of
+from talespan.llm.words import CHUNK_BYTES, FIRST_ID, PLACE, Words, batched, byte_table, mix, texts_of
 from talespan.runtime import materialize, ship
 
 SHINGLE = 5
 #: The threshold 75/100 as a fraction.
 LIKE, OF = 3, 4
 BATCH_BYTES = 6 << 20
-FIRST_ID = -(1 << 63)
 #: Second-level partitions of a first-level one, how many of them may differ in linked sets, and a factor (as a fraction)
 #: for the number of first-level ones, which leaves the order something to choose from.
 COARSE = (4, 2, 11, 10)
@@ -155,27 +154,11 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray, scheme: tuple[int, int,
     return np.concatenate(values), np.concatenate(docs).astype(np.uint32)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            ids.append(FIRST_ID if i is None else i)
-            texts.append(t or b"")
-            size += len(texts[-1]) + 1
-            if size >= limit:
-                yield np.array(ids, dtype=np.int64), texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, dtype=np.int64), texts
-
-
 def hot_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that a fixed share of all documents has: at most (shingles a document) / share of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches, COUNT_BYTES):
+        for ids, texts in batched(batches, COUNT_BYTES):
             found, n = np.unique(np.concatenate(shingle_sets(texts, shingle)), return_counts=True)
             often = n >= max(HOT_LEAST, HOT_SHARE * len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), len(ids)))], ["h", "n", "docs"])
@@ -370,7 +353,7 @@ def _found(texts: DataFrame, shingle: int, hot: Broadcast, blocks: int, scheme:
     """Documents (kind 0) and what connects families (kind 1), materialised."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, some in _batches(batches, BATCH_BYTES * 6 // math.comb(*scheme[:2])):
+        for ids, some in batched(batches, BATCH_BYTES * 6 // math.comb(*scheme[:2])):
             for block, data in _signature_rows(ids, some, shingle, hot.value, blocks, scheme):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], _ROW.names)
 

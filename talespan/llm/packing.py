@@ -32,7 +32,7 @@ from talespan.runtime import materialize, ship
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces that the encoder keeps.
+#: Pieces that the encoder keeps; a pipeline may keep fewer, since its stages' data share the workers.
 CACHE_PIECES = 800_000
 #: Rests that are used up before an index drops them.
 BLOCK_RESTS = 512
@@ -60,13 +60,13 @@ def lexical_key(ids: np.ndarray) -> int:
     return int(mix(pairs + np.uint64(1)).min() >> np.uint64(1)) if len(pairs) else 0
 
 
-def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row a document: its length, the checksums of its full windows, and the ids that are left."""
     ship(documents.sparkSession)
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, "<u2", cache_pieces=CACHE_PIECES)
+        encode = encoder(tokenizer, "<u2", cache_pieces=cache_pieces)
         for batch in batches:
             for rows, _ in chunks(batch):
                 total, full, left, key = [], [], [], []
@@ -217,10 +217,10 @@ def fill(block: list[Rest], window: int, last: bool, corpus: tuple[int, np.ndarr
     return windows, kept
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, block_rests: int = BLOCK_RESTS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, block_rests: int = BLOCK_RESTS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
-    encoded = materialize(rests(documents, tokenizer, window, end_id))
+    encoded = materialize(rests(documents, tokenizer, window, end_id, cache_pieces))
     counted = statistics(encoded)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted[0] // SHARD_RESTS))
     corpus = spark.sparkContext.broadcast(counted)

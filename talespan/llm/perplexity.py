@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talespan.llm import planes
-from talespan.llm.words import Words, byte_table, mix, texts_of
+from talespan.llm.words import FIRST_ID, Words, batched, byte_table, mix
 from talespan.runtime import materialize, release, ship
 
 QUANTILE = 0.995
@@ -47,7 +47,7 @@ FOLDS = 5
 LEAST_TRUSTED = 30
 PRIOR_WORDS = 20
 #: Bytes of text in a batch whose n-grams are sorted together.
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 5 << 20
 #: Rows up to which a counted table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Contexts with this share of a shard's fair load are dealt over all shards, so there are at most shards / HOT_LOAD of them.
@@ -56,7 +56,6 @@ HOT_LOAD = 0.25
 HELD_SUMS = 1 << 20
 #: Rounds in which the documents meet the shards; more rounds take less disk and more hashing of words.
 ROUNDS = 3
-FIRST_ID = -(1 << 63)
 START, END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -68,22 +67,6 @@ def _row(kind: int, block: int, *parts: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([b"".join(parts)], pa.binary())], _NAMES)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            ids.append(FIRST_ID if i is None else i)
-            texts.append(t or b"")
-            size += len(texts[-1]) + 1
-            if size >= limit:
-                yield np.array(ids, dtype=np.int64), texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, dtype=np.int64), texts
-
-
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Context << 32 | word of every n-gram of the texts that have words, and the text of each."""
     words = Words(texts, byte_table("space-lower"))
@@ -150,7 +133,7 @@ def _hot_contexts(trusted: DataFrame, blocks: int) -> np.ndarray:
     share = HOT_LOAD / blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches, BATCH_BYTES):
+        for _, texts in batched(batches, BATCH_BYTES):
             word, n = np.unique(grams(texts)[0] >> np.uint64(32), return_counts=True)
             often = n >= share / 2 * n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], 0).astype(np.int64)), pa.array(np.append(n[often], n.sum()))], ["word", "n"])
@@ -186,7 +169,7 @@ def _count(trusted: DataFrame, hot: Broadcast, blocks: int) -> DataFrame:
     """OWN, ASK, OFTEN and HOT rows of every shard, materialised."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches, BATCH_BYTES):
+        for _, texts in batched(batches, BATCH_BYTES):
             key, n = np.unique(grams(texts)[0], return_counts=True)
             for b, at in _dealt(key, hot.value, blocks):
                 yield _row(OWN, b, _pack_keys(key[at]), planes.pack(n[at].astype(np.uint32)))
@@ -335,7 +318,7 @@ def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadc
     """What the shards from low to high add to every text, materialised."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches, BATCH_BYTES):
+        for ids, texts in batched(batches, BATCH_BYTES):
             key, doc = grams(texts)
             shard = shard_of(key, hot.value, blocks)
             mine = np.flatnonzero((shard >= low) & (shard < high))

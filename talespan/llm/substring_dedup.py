@@ -31,34 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talespan.llm import planes
-from talespan.llm.words import CHUNK_BYTES, Words, byte_table, mix, texts_of
+from talespan.llm.words import CHUNK_BYTES, FIRST_ID, Words, batched, byte_table, mix, texts_of
 from talespan.runtime import ship
 
 SPAN = 13
 #: Bytes of text in a batch whose windows are sorted together.
 BATCH_BYTES = 10 << 20
-FIRST_ID = -(1 << 63)
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
 _HITS = T.StructType().add("__talespan_id", "long").add("__talespan_crc", "long").add("__talespan_found", "binary")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            ids.append(FIRST_ID if i is None else i)
-            texts.append(t or b"")
-            size += len(texts[-1]) + 1
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def window_hashes(texts: list[bytes], span: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of all texts, and the number of windows of each text."""
     found, counts = [np.empty(0, np.uint64)], []
@@ -187,7 +170,7 @@ def found_windows(documents: DataFrame, span: int = SPAN, blocks: int | None = N
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches, BATCH_BYTES):
+        for ids, texts in batched(batches, BATCH_BYTES):
             for block, data in index_rows(ids, texts, span, n):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
 

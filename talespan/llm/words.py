@@ -127,3 +127,28 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         part = batch.slice(at, stop - at)
         yield part, texts_of(part.column(column))
         at = stop
+
+
+#: Stands for a null id, before all others.
+FIRST_ID = -(1 << 63)
+
+
+def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and texts of (id, text) batches, anew in batches of about limit bytes of text; null texts are empty.
+
+    Texts become bytes slice by slice, so that a large batch is never held twice.
+    """
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for part, some in chunks(batch):
+            for i, t in zip(part.column(0).to_pylist(), some, strict=True):
+                ids.append(FIRST_ID if i is None else i)
+                texts.append(t or b"")
+                size += len(texts[-1]) + 1
+                if size >= limit:
+                    yield np.array(ids, dtype=np.int64), texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield np.array(ids, dtype=np.int64), texts
