@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from talespan.llm import decontaminate, near_duplicates, packing, perplexity, substring_dedup
 from talespan.runtime import ensure_checkpoint_dir, table
 
-#: Pieces that packing's encoder keeps: half of what it may, since it runs in workers that hold other stages' data.
-CACHE_PIECES = 400_000
+#: Pieces that packing's encoder keeps: a quarter of what it may, since it runs in workers that hold other stages' data.
+CACHE_PIECES = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
