@@ -55,7 +55,7 @@ HOT_LOAD = 0.25
 #: Sums that a scoring task holds before it sends them.
 HELD_SUMS = 1 << 20
 #: Rounds in which the documents meet the shards; more rounds take less disk and more hashing of words.
-ROUNDS = 3
+ROUNDS = 4
 START, END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -357,9 +357,9 @@ def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadc
             yield from sums(held)
 
     def sums(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, crc, log, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, crc, log, n = _merged(held)
         bucket = (mix(ids) % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((crc, ids, bucket))
+        order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(blocks + 1)).tolist()
         for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
             if y > x:
@@ -367,13 +367,28 @@ def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadc
                 yield _row(0, b, planes.pack_sorted(ids[at]), planes.pack(crc[at]), planes.pack(log[at].astype(np.float32).view(np.uint32)), planes.pack(n[at].astype(np.uint32)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             for data in batch.column(2).to_pylist():
                 ids, at = planes.unpack_sorted(data)
                 crc, at = planes.unpack(data, np.uint32, at=at)
                 log, at = planes.unpack(data, np.uint32, at=at)
                 n, _ = planes.unpack(data, np.uint32, at=at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(crc.astype(np.int64)), pa.array(log.view(np.float32).astype(np.float64)), pa.array(n.astype(np.int64))], ["id", "crc", "log", "n"])
+                held.append((ids, crc, log.view(np.float32).astype(np.float64), n.astype(np.int64)))
+                size += len(ids)
+                if size >= HELD_SUMS:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size >= HELD_SUMS // 2:  # so many different texts go on as they are
+                        yield from whole(held)
+                        held, size = [], 0
+        if held:
+            yield from whole(held)
+
+    def whole(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, crc, log, n = _merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(crc.astype(np.int64)), pa.array(log), pa.array(n)], ["id", "crc", "log", "n"])
 
     requests = documents.mapInArrow(send, _ROW)
     # the model's rows of a shard come before its requests
@@ -382,6 +397,15 @@ def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadc
     return materialize(parts.groupBy("id", "crc").agg(F.sum("log").alias("log"), F.sum("n").alias("n")))
 
 
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Ids, crcs, and the sums of two values for each."""
+    ids, crc, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((crc, ids))
+    ids, crc = ids[order], crc[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (crc[1:] != crc[:-1]))))
+    return ids[first], crc[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
 def _beside(documents: DataFrame, other: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join to a materialised table: broadcast when its counted size is within the bound."""
     return documents.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
