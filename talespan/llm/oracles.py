@@ -86,4 +86,26 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(node) AS component_id FROM reach GROUP BY id) m USING (doc_id)
 """
 
-SQL = {"op5_ngram_jaccard_join": OP5, "op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}
+OP12 = f"""
+WITH lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_SPACE_WORDS} AS w FROM documents),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+     coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN lab USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter, fails, n, good, toxic, fails[ascii(substr(filter_order, step, 1)) - 64] AS bad,
+    len(list_filter(range(1, step + 1), lambda k: fails[ascii(substr(filter_order, k, 1)) - 64])) AS so_far, len(list_filter(fails, lambda x: x)) AS in_all
+  FROM m, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, filter, CAST(sum(CASE WHEN so_far = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN bad AND so_far = 1 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN bad AND so_far > 1 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN bad AND in_all = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN bad AND so_far = 1 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN bad AND so_far = 1 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
+
+SQL = {"op12_filter_audit": OP12, "op5_ngram_jaccard_join": OP5, "op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}
