@@ -108,4 +108,15 @@ r AS (
 SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
 """
 
-SQL = {"op12_filter_audit": OP12, "op5_ngram_jaccard_join": OP5, "op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}
+OP11 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, v.id, a.label = v.label AS same, CAST(list_dot_product(a.vec, v.vec) AS BIGINT) AS score FROM v a JOIN v ON a.id <> v.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+SQL = {"op11_hard_negatives": OP11, "op12_filter_audit": OP12, "op5_ngram_jaccard_join": OP5, "op3_quality_rules": OP3, "op9_chat_rotation": OP9, "op6_substring_dedup": OP6, "op1_decontaminate": OP1}

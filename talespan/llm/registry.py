@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespan.llm import attribution, chat, decontaminate, filter_audit, mixture, near_duplicates, oracles, packing, perplexity, quality_rules, substring_dedup, token_store, toxicity
+from talespan.llm import attribution, chat, decontaminate, filter_audit, hard_negatives, mixture, near_duplicates, oracles, packing, perplexity, quality_rules, substring_dedup, token_store, toxicity
 from talespan.runtime import table
 
 
@@ -57,5 +57,9 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op8_toxicity, op9_chat_rotation, op10_lexical_packing, op12_filter_audit, op13_source_mix)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_store, op8_toxicity, op9_chat_rotation, op10_lexical_packing, op11_hard_negatives, op12_filter_audit, op13_source_mix)}
 ORACLES = oracles.SQL
