@@ -1,5 +1,7 @@
 """DuckDB SQL for the archive queries."""
 
+from talespan.plans import scoring_sql
+
 STATEMENTS = "SELECT conv_id AS interview, printf('st%d_%d', conv_id, turn) AS uid, role AS speaker, text, turn * 10.0::DOUBLE AS start_time, turn * 10.0::DOUBLE + least(12.0::DOUBLE, 1.0::DOUBLE + length(text) / 20.0::DOUBLE) AS end_time, turn FROM conversations"
 TICKS = "SELECT event_id, user_id, event_type, value, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - 1704067200 AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS seq FROM events"
 WORDS = "SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS idx, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
@@ -37,8 +39,6 @@ SELECT id, round(sum(part), 8) AS wrrf FROM (SELECT id, 1.0::DOUBLE / (60 + rank
     "word_time_carry": f"SELECT doc_id, round(sum(greatest(coalesce(m, 0.25::DOUBLE), 0.25::DOUBLE) * (idx % 3 + 1)), 3) AS weighted_starts FROM (SELECT *, max(CASE WHEN idx % 7 <> 3 THEN idx * 0.5::DOUBLE - (idx % 5) * 0.25::DOUBLE END) OVER (PARTITION BY doc_id ORDER BY idx) AS m FROM ({WORDS})) GROUP BY doc_id",
     "drift_fit": "WITH p AS (SELECT o_custkey % 10 AS tape, o_orderkey, o_orderkey / 100.0::DOUBLE AS x, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000.0::DOUBLE END AS y FROM orders), f AS (SELECT tape, regr_slope(y, x) AS s, regr_intercept(y, x) AS c FROM p WHERE y IS NOT NULL GROUP BY tape) SELECT o_orderkey, round(s, 6) AS slope, coalesce(round(y - (s * x + c), 4), -999) AS residual FROM p JOIN f USING (tape)",
     "structure_stats": f"WITH s AS (SELECT *, end_time - start_time AS l FROM ({STATEMENTS})) SELECT interview, count(*) AS segments, count(*) FILTER (WHERE l <= 0) AS no_duration, count(*) FILTER (WHERE contains(text, '[_')) AS control, count(*) FILTER (WHERE l > greatest(2.0, length(text) / 4.0)) AS too_long, list_sort(list(round(l, 6)))[count(*) // 2 + 1] AS upper_median, round(avg(CASE WHEN least(start_time % 30, 30 - start_time % 30) < 0.1 THEN 1.0 ELSE 0.0 END), 6) AS on_grid FROM s GROUP BY interview",
-    "wer_from_ops": f"WITH {OPS} SELECT conv_id, turn, count(*) FILTER (WHERE op = 'sub') AS sub, count(*) FILTER (WHERE op = 'del') AS del, count(*) FILTER (WHERE op = 'ins') AS ins, count(*) FILTER (WHERE op <> 'ins') AS truth_tokens, round(coalesce(count(*) FILTER (WHERE op <> 'match')::DOUBLE / nullif(count(*) FILTER (WHERE op <> 'ins'), 0), 0), 6) AS wer FROM ops GROUP BY conv_id, turn",
-    "error_taxonomy": f"WITH {OPS}, c AS (SELECT op, coalesce(truth, '') AS truth, coalesce(heard, '') AS heard, count(*) AS n FROM ops WHERE op <> 'match' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY op ORDER BY n DESC, truth, heard) AS rn FROM c QUALIFY rn <= 40",
     "lexicon_recall": "WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS term FROM documents), c AS (SELECT term, count(*) FILTER (WHERE doc_id % 2 = 0) AS expected, count(*) FILTER (WHERE doc_id % 2 = 1) AS heard FROM t GROUP BY term) SELECT term, pos, expected, least(heard, expected) AS found, expected - least(heard, expected) AS missed FROM c JOIN (VALUES (0, 'the'), (1, 'that'), (2, 'nicht'), (3, 'pour'), (4, 'para'), (5, 'tion'), (6, 'zzzz')) v(pos, term) USING (term) WHERE expected > 0",
     "diagonal_votes": f"WITH {SIDES}, rare AS (SELECT * FROM tt QUALIFY count(*) OVER (PARTITION BY conv_id, turn, truth) <= 4), v AS (SELECT rare.conv_id, rare.turn, rare.idx - hh.idx AS off, count(*) AS votes FROM rare JOIN hh ON rare.conv_id = hh.conv_id AND rare.turn = hh.turn AND truth = heard GROUP BY ALL), pl AS (SELECT *, CAST(sum(votes) OVER (PARTITION BY conv_id, turn ORDER BY off RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS pooled FROM v) SELECT conv_id, turn, off AS \"offset\", votes, pooled FROM pl QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pooled DESC, abs(off), off) = 1",
     "speaker_boundaries": f"WITH w AS (SELECT doc_id, idx AS pos, idx // 11 AS speaker, CASE WHEN length(word) % 3 > 0 THEN idx // 7 END AS seg FROM ({WORDS})), r AS (SELECT *, lag(speaker) OVER o AS was, last_value(seg IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING) AS lo, first_value(seg IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS hi FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, count(*) AS changes, count(*) FILTER (WHERE hi > lo) AS covered FROM r WHERE was <> speaker AND lo IS NOT NULL AND hi IS NOT NULL GROUP BY doc_id",
@@ -78,3 +78,4 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "ingest_edges": f"SELECT interview, uid AS statement_uid, speaker AS speaker_label, CASE WHEN speaker = 'system' THEN '' ELSE printf('p%d_%s', interview, speaker) END AS person_uid, start_time, round(end_time, 3) AS end_time FROM ({STATEMENTS})",
     "search_hits": f"WITH s AS ({STATEMENTS}), t AS (SELECT uid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM s), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t), post AS (SELECT uid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT uid, len(terms) AS l, unnest(terms) AS term FROM t) WHERE term IN ('nicht', 'the', 'pour') GROUP BY uid, term), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), ts AS (SELECT uid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))), 6) AS score FROM post JOIN df USING (term), st GROUP BY uid), b AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM ts QUALIFY rank <= 15) SELECT rank, uid, interview, speaker, start_time, score FROM b JOIN s USING (uid)",
 }
+ORACLES |= scoring_sql.ORACLES

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespan.functions import text as tx
-from talespan.operators import archive, assembly, corpus, evaluate, intervals, signals, speakers, words
+from talespan.operators import archive, assembly, corpus, evaluate, intervals, scoring, signals, speakers, words
 from talespan.plans import views
-from talespan.runtime import ship, table
+from talespan.runtime import materialize, ship, table
 from talespan.sources import sinks
 from talespan.streaming import jobs
 
@@ -149,12 +149,14 @@ def structure_stats(spark, d):
 
 @query
 def wer_from_ops(spark, d):
-    return evaluate.word_errors(views.positional_ops(spark, d), ["conv_id", "turn"])
+    ship(spark)
+    return evaluate.word_errors(evaluate.ops_table(views.turn_pairs(spark, d), ["conv_id", "turn"]), ["conv_id", "turn"])
 
 
 @query
 def error_taxonomy(spark, d):
-    return evaluate.taxonomy(views.positional_ops(spark, d))
+    ship(spark)
+    return evaluate.taxonomy(evaluate.ops_table(views.turn_pairs(spark, d), ["conv_id", "turn"]))
 
 
 @query
@@ -269,8 +271,10 @@ def align_ops(spark, d):
 @query
 def insertion_classes(spark, d):
     ship(spark)
-    ops = views.turn_pairs(spark, d).select("conv_id", "turn", evaluate.align("truth", "heard").alias("ops"))
-    return ops.select("conv_id", "turn", evaluate.classify_insertions("ops").alias("k")).select("conv_id", "turn", "k.filler", "k.content")
+    ops = evaluate.ops_table(views.turn_pairs(spark, d), ["conv_id", "turn"])
+    script = F.transform(F.array_sort(F.collect_list(F.struct("idx", "op", "truth", "heard"))), lambda o: F.struct(o["op"].alias("op"), o["truth"].alias("truth"), o["heard"].alias("heard")))
+    rows = ops.groupBy("conv_id", "turn").agg(script.alias("ops"))
+    return rows.select("conv_id", "turn", evaluate.classify_insertions("ops").alias("k")).select("conv_id", "turn", "k.filler", "k.content")
 
 
 @query
@@ -404,8 +408,63 @@ def diarization_score(spark, d):
     return assembly.diarization_score(truth, guess, "user_id", 43200.0, 3600.0)
 
 
+KEY = ["conv_id"]
+
+
+def _scored(spark, d):
+    """Recordings, their common ranges and edit scripts; kept, since every report reads them."""
+    ship(spark)
+    rows = views.recordings(spark, d)
+    ranges = materialize(scoring.spans(rows, KEY))
+    return rows, ranges, materialize(scoring.edits(rows, ranges, KEY))
+
+
+@query
+def recording_edits(spark, d):
+    return _scored(spark, d)[2]
+
+
+@query
+def speaker_report(spark, d):
+    rows, _, ops = _scored(spark, d)
+    known = lambda *names: [F.coalesce(F.round(c, 6), F.lit(-1)).alias(c) for c in names]
+    return rows.select(*KEY).join(scoring.speaker_report(rows, ops, KEY), KEY, "left").select(*KEY, *known("changes", "covered", "bleed", "expected_by_chance", "lift", "mean_segment_tokens"))
+
+
+@query
+def lexicon_report(spark, d):
+    rows, ranges, ops = _scored(spark, d)
+    each, _ = scoring.lexicon_report(rows, ranges, ops, views.lexicon(spark), KEY)
+    return each.withColumn("confusions", F.array_join("confusions", " "))
+
+
+@query
+def lexicon_overall(spark, d):
+    rows, ranges, ops = _scored(spark, d)
+    _, whole = scoring.lexicon_report(rows, ranges, ops, views.lexicon(spark), KEY)
+    return whole.withColumn("recall", F.round("recall", 6))
+
+
+@query
+def tape_drift(spark, d):
+    rows, slope = scoring.drift_report(scoring.located(views.recordings(spark, d), KEY), KEY)
+    every = lambda c, n: F.coalesce(F.round(c, n), F.lit(-999.0)).alias(c)
+    return rows.join(slope, KEY, "left").select(*KEY, F.col("at").alias("mark"), "tape", "label", "tape_seconds", every("media_seconds", 3), (every("residual", 4) + 0.0).alias("residual"), every("time_slope", 5))
+
+
+@query
+def structure_words(spark, d):
+    rows = scoring.structure_report(views.recordings(spark, d), KEY)
+    return rows.withColumns({c: F.round(c, 6) for c in ("boundary_quantization", "median_segment_seconds")})
+
+
 @query
 def scorecards(spark, d):
-    errors = evaluate.word_errors(views.positional_ops(spark, d), ["conv_id"])
-    stats = evaluate.structure(views.statements(spark, d), ["interview"]).withColumnRenamed("interview", "conv_id")
-    return assembly.scorecard(errors, stats, "conv_id")
+    rows, ranges, ops = _scored(spark, d)
+    card = scoring.scorecards(rows, views.lexicon(spark), KEY, ranges, ops)
+    first = F.element_at("taxonomy.substitutions", 1)
+    known = {"time_slope": F.round("structure.time_slope", 5), "covered": F.col("structure.speaker.covered"), "recall": F.round("lexicon.recall", 6)}
+    return card.select(
+        *KEY, "harness_version", "wer.subs", "wer.dels", (F.col("wer.ins_filler") + F.col("wer.ins_content")).alias("ins"), "wer.truth_tokens", "wer.hyp_tokens", F.round("wer.rate", 6).alias("rate"), *(F.coalesce(c, F.lit(-1)).alias(name) for name, c in known.items()),
+        F.size("lexicon.terms").alias("terms"), F.size(F.filter("drift", lambda a: a["media_seconds"].isNotNull())).alias("found_anchors"), "structure.words", "anchor_confidence", "partial_coverage", F.coalesce(F.concat(first["truth"], F.lit(">"), first["heard"]), F.lit("")).alias("top_substitution"),
+    )

@@ -53,3 +53,29 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     tag = F.when((F.col("p") == 0) & (F.col("role") == "user"), "US: ").when((F.col("p") == 0) & (F.col("role") == "assistant"), "AS: ").otherwise("")
     return rows.select("conv_id", (F.col("turn") * 1000 + F.col("p")).alias("line_no"), F.concat(tag, "line").alias("line"))
+
+
+#: A lexicon, with terms of several tokens, one that is never said and one without tokens.
+LEXICON = ["of", "the", "and", "to", "of of", "an the", "the of", "to to", "is", "zzzz", ""]
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    rows = [(i, term, term.split()) for i, term in enumerate(LEXICON)]
+    return spark.createDataFrame(rows, "term_id int, term string, words array<string>")
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is the transcript, with its turns; the next one is what was heard, each turn a segment of timed words."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.split(F.lower("text"), " ").alias("tokens"), (F.col("turn") * 10.0).alias("begin"))
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(
+        F.when(i % 50 == 7, F.concat(w, F.lit("[_TT_"))).otherwise(w).alias("text"), (F.col("begin") + i * 0.25).alias("start"),
+        (F.col("begin") + i * 0.25 + ((F.length(w) * 3 + i) % 9 - 1) * 0.5).alias("end"), F.array(F.lower(w)).alias("tokens")))
+    segment = F.struct("turn", F.struct(F.col("begin").alias("start_time"), (F.col("begin") + F.least(F.lit(12.0), 1.0 + F.length("text") / 20.0)).alias("end_time"), "tokens", words.alias("words")).alias("s"))
+    in_order = lambda c, name: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[name])
+    said = c.groupBy("conv_id").agg(in_order(F.struct("turn", F.struct(F.col("role").alias("speaker"), "tokens").alias("t")), "t").alias("turns"))
+    heard = c.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(in_order(segment, "s").alias("segments"))
+    rows = said.join(heard, "conv_id").withColumn("_t", F.flatten("turns.tokens")).withColumn("_h", F.flatten("segments.tokens"))
+    # some phrases begin as they are heard and go on as in the transcript, some are never heard
+    mark = lambda j: F.struct((F.lit(j) % 2 + 1).alias("tape"), F.format_string("mark %d", F.lit(j)).alias("label"), F.lit(j * 30.0).alias("tape_seconds"), (F.concat(F.slice("_h", 40 * j + 1, 3), F.slice("_t", 40 * j + 1, 4)) if j < 6 else F.slice("_t", 1, j - 5)).alias("phrase"))
+    extra = F.when(F.col("conv_id") % 10 == 3, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("conv_id", F.concat("_t", extra).alias("truth"), "turns", "segments", F.array(*map(mark, range(9))).alias("anchors"))
