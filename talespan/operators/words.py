@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 LEAST_SAMPLES = 400
 
 
+def decoded(data: Column) -> Column:
+    """Bytes as text, U+FFFD for each longest part that can't be UTF-8."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def assemble(tokens: DataFrame, key: str) -> DataFrame:
     """Words of (key, idx, bytes, at, p): a token that begins with a space opens a word; the bytes of
     a word are joined before they are decoded, its time is its first token's, p its least."""
@@ -21,7 +26,7 @@ def assemble(tokens: DataFrame, key: str) -> DataFrame:
     opens = (F.substring("bytes", 1, 1) == F.lit(b" ")) | (F.row_number().over(w) == 1)
     grouped = tokens.withColumn("opens", opens.cast("int")).withColumn("word", F.sum("opens").over(w)).groupBy(key, "word").agg(F.sort_array(F.collect_list(F.struct("idx", "bytes"))).alias("parts"), F.min_by("at", "idx").alias("start"), F.min("p").alias("p"))
     joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    return grouped.select(key, "word", F.trim(F.try_to_binary(F.hex(joined), F.lit("hex")).cast("string")).alias("text"), "start", "p")
+    return grouped.select(key, "word", F.regexp_replace(decoded(joined), "^ +", "").alias("text"), "start", "p")
 
 
 def word_ends(words: DataFrame, key: list[str], segment_end: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespan.functions import text as tx
-from talespan.operators import archive, assembly, corpus, evaluate, intervals, scoring, signals, speakers, words
+from talespan.operators import archive, assembly, corpus, evaluate, frames, graph, intervals, scoring, signals, speakers, transcripts, words
 from talespan.plans import views
 from talespan.runtime import materialize, ship, table
 from talespan.sources import sinks
@@ -468,3 +468,63 @@ def scorecards(spark, d):
         *KEY, "harness_version", "wer.subs", "wer.dels", (F.col("wer.ins_filler") + F.col("wer.ins_content")).alias("ins"), "wer.truth_tokens", "wer.hyp_tokens", F.round("wer.rate", 6).alias("rate"), *(F.coalesce(c, F.lit(-1)).alias(name) for name, c in known.items()),
         F.size("lexicon.terms").alias("terms"), F.size(F.filter("drift", lambda a: a["media_seconds"].isNotNull())).alias("found_anchors"), "structure.words", "anchor_confidence", "partial_coverage", F.coalesce(F.concat(first["truth"], F.lit(">"), first["heard"]), F.lit("")).alias("top_substitution"),
     )
+
+
+TAGS, FURNITURE, REPAIRS = {"US": "SUBJECT", "AS": "INTERVIEWER"}, [r"^[0-9]{1,3}$"], [("thth", "th"), ("tiontion", "tion")]
+
+
+@query
+def rebuilt_turns(spark, d):
+    return transcripts.rebuilt(views.raw_lines(spark, d), "conv_id", TAGS, FURNITURE, REPAIRS)[0].withColumn("speaker", F.coalesce("speaker", F.lit("")))
+
+
+@query
+def tape_marks(spark, d):
+    return transcripts.rebuilt(views.raw_lines(spark, d), "conv_id", TAGS, FURNITURE, REPAIRS)[1]
+
+
+@query
+def clean_truth(spark, d):
+    text = transcripts.cleaned(F.col("text"), [("^Th[a-z]* ", ""), ("[0-9]+$", "")], [("^[0-9]{1,3}$", "page number"), ("^[A-Za-z.]{1,12}$", "debris"), ("[Ll]icen[sc]e", "license")], [(r"\{[^}]*\}", "", "stage directions"), ("tionti", "tion ti", "repairs"), ("ofof ", "of ", "more repairs")])
+    counts = F.array_join(F.transform("t.counts", lambda c: F.concat_ws("=", c["rule"], c["n"].cast("string"))), ";")
+    return table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", "t.text", counts.alias("counts"))
+
+
+@query
+def speech_segments(spark, d):
+    rec = (F.col("vec_id") / 40).cast("long")
+    rows = table(spark, d, "embeddings").select(rec.alias("recording"), F.floor(F.col("vec_id") % 40 / 10).alias("window"), (F.col("vec_id") % 10).alias("frame"), F.slice("embedding", 1, 3).alias("scores"), (F.lit(11000) - rec % 3 * 200).alias("total_samples"))
+    return frames.speech(rows, "recording", 16000).select("recording", F.round("start", 7).alias("start"), F.round("end", 7).alias("end"))
+
+
+@query
+def interview_paths(spark, d):
+    s = views.statements(spark, d)
+    people = s.where("speaker <> 'system'").select("interview", "speaker").distinct().select("interview", "speaker", F.format_string("p%d_%s", "interview", "speaker").alias("person_uid"))
+    contains, says = sinks.edges(s, people)
+    about = s.where("speaker = 'user'").select("interview", F.format_string("p%d_user", "interview").alias("person_uid"))
+    hops = [graph.Hop(contains, "interview", "statement_uid", "number", "statement", ("start_time",)), graph.Hop(says, "statement_uid", "person_uid", "statement", "person"), graph.Hop(about, "person_uid", "interview", "person", only_filter=True)]
+    return graph.paths(views.interviews(spark, d).select("number"), hops)
+
+
+@query
+def zipped_embeddings(spark, d):
+    rows = table(spark, d, "embeddings")
+    request = (F.col("vec_id") / 8).cast("long").alias("request")
+    texts = rows.select(request, (F.col("vec_id") * 3 + 1).alias("pos"), F.format_string("st%d", "vec_id").alias("uid"))
+    both = graph.zipped(texts, rows.select(request, F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")), "request")
+    return both.select("request", "uid", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+@query
+def signal_offsets(spark, d):
+    ship(spark)
+    rows = views.delayed_signals(spark, d).withColumn("lag", signals.global_offset(F.col("a"), F.col("b"), 16))
+    both = rows.withColumn("s", signals.shifted(F.col("a"), F.col("b"), F.col("lag")))
+    return both.select("signal", "lag", F.size("s.a").alias("overlap"), F.round(signals.correlation(F.col("s.a"), F.col("s.b")), 6).alias("correlation"))
+
+
+@query
+def decoded_bytes(spark, d):
+    cut = F.substring(F.col("text").cast("binary"), 1, (F.col("doc_id") % 40 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", words.decoded(F.concat(cut, F.unhex(F.lit("C328FF61E282")))).alias("text"))

@@ -79,3 +79,25 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = lambda j: F.struct((F.lit(j) % 2 + 1).alias("tape"), F.format_string("mark %d", F.lit(j)).alias("label"), F.lit(j * 30.0).alias("tape_seconds"), (F.concat(F.slice("_h", 40 * j + 1, 3), F.slice("_t", 40 * j + 1, 4)) if j < 6 else F.slice("_t", 1, j - 5)).alias("phrase"))
     extra = F.when(F.col("conv_id") % 10 == 3, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))
     return rows.select("conv_id", F.concat("_t", extra).alias("truth"), "turns", "segments", F.array(*map(mark, range(9))).alias("anchors"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a printed transcript's raw lines: a tag line for each turn, pieces of text with blank lines,
+    page numbers, tape marks and editorial insertions between them."""
+    none = F.array().cast("array<string>")
+    tag = F.when(F.col("role") == "user", F.array(F.lit("US:"))).when(F.col("role") == "assistant", F.array(F.lit("AS:"))).otherwise(none)
+    turn = F.col("turn")
+    piece = lambda x, p: F.concat(
+        F.when((p > 0) & ((p + turn) % 3 == 0), F.array(F.lit(""))).otherwise(none), F.when(p % 7 == 5, F.array(p.cast("string"))).otherwise(none),
+        F.when((p == 2) & (turn % 3 == 1), F.array(F.lit("Tape II"), F.concat(F.lit("00:0"), turn % 10, F.lit(":15")))).otherwise(none),
+        F.array(F.when(p % 5 == 1, F.concat(x, F.lit(" [note] "))).otherwise(x)))
+    lines = F.concat(tag, F.flatten(F.transform(F.split("text", "[,\n]"), piece)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(lines).alias("p", "line")).select("conv_id", (turn * 100000 + F.col("p")).alias("line_no"), "line")
+
+
+def delayed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of vectors in a row, each vector with a loudness of its own, and the same ones begun some samples later."""
+    loud = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") * 7919 % 13))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 25).cast("long").alias("signal"), F.struct("vec_id", loud.alias("x")).alias("v"))
+    rows = rows.groupBy("signal").agg(F.flatten(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["x"])).alias("a"))
+    return rows.withColumn("b", F.concat(F.array_repeat(F.lit(0.0), (F.col("signal") * 37 % 200).cast("int")), "a"))
