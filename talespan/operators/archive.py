@@ -100,6 +100,13 @@ def vector_scores(embeddings: DataFrame, query: list[float], key: str = "vec_id"
     return embeddings.select(key, F.round(1 - cosine_distance(F.col(vector), q), 6).alias("score"))
 
 
+def similar(embeddings: DataFrame, query: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """Scores as in `vector_scores`, against the vector of the one row of `query`; more rows are an error, none finds nothing."""
+    one = query.limit(2).agg(F.count(F.lit(1)).alias("_n"), F.first(vector).alias("_q")).where("_n > 0")
+    q = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one query vector"))).otherwise(F.col("_q"))
+    return embeddings.join(F.broadcast(one)).select(key, F.round(1 - cosine_distance(F.col(vector), q), 6).alias("score"))  # one row
+
+
 def top(scored: DataFrame, key: str, k: int = SOURCE_K) -> DataFrame:
     """Best k, with their ranks from 1: the sort and limit come first, so the window sees k rows."""
     best = scored.orderBy(F.desc("score"), key).limit(k)

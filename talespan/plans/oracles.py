@@ -1,6 +1,6 @@
 """DuckDB SQL for the archive queries."""
 
-from talespan.plans import scoring_sql, transcript_sql
+from talespan.plans import scoring_sql, search_sql, transcript_sql
 
 STATEMENTS = "SELECT conv_id AS interview, printf('st%d_%d', conv_id, turn) AS uid, role AS speaker, text, turn * 10.0::DOUBLE AS start_time, turn * 10.0::DOUBLE + least(12.0::DOUBLE, 1.0::DOUBLE + length(text) / 20.0::DOUBLE) AS end_time, turn FROM conversations"
 TICKS = "SELECT event_id, user_id, event_type, value, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - 1704067200 AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS seq FROM events"
@@ -78,4 +78,4 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "ingest_edges": f"SELECT interview, uid AS statement_uid, speaker AS speaker_label, CASE WHEN speaker = 'system' THEN '' ELSE printf('p%d_%s', interview, speaker) END AS person_uid, start_time, round(end_time, 3) AS end_time FROM ({STATEMENTS})",
     "search_hits": f"WITH s AS ({STATEMENTS}), t AS (SELECT uid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM s), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t), post AS (SELECT uid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT uid, len(terms) AS l, unnest(terms) AS term FROM t) WHERE term IN ('nicht', 'the', 'pour') GROUP BY uid, term), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), ts AS (SELECT uid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))), 6) AS score FROM post JOIN df USING (term), st GROUP BY uid), b AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM ts QUALIFY rank <= 15) SELECT rank, uid, interview, speaker, start_time, score FROM b JOIN s USING (uid)",
 }
-ORACLES |= scoring_sql.ORACLES | transcript_sql.ORACLES
+ORACLES |= scoring_sql.ORACLES | search_sql.ORACLES | transcript_sql.ORACLES

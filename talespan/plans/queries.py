@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talespan.functions import text as tx
-from talespan.operators import archive, assembly, corpus, evaluate, frames, graph, intervals, scoring, signals, speakers, transcripts, words
+from talespan.operators import archive, assembly, corpus, evaluate, frames, fulltext, graph, intervals, scoring, signals, speakers, transcripts, words
 from talespan.plans import views
 from talespan.runtime import materialize, ship, table
 from talespan.sources import sinks
@@ -524,6 +525,35 @@ def signal_offsets(spark, d):
     return both.select("signal", "lag", F.size("s.a").alias("overlap"), F.round(signals.correlation(F.col("s.a"), F.col("s.b")), 6).alias("correlation"))
 
 
+#: Query strings of each kind: words, both, either and not, a phrase, prefixes, parentheses.
+SEARCHES = ["the", "nicht AND der", "para OR pour", "the NOT and", '"of the"', "verzu*", "(das OR les) AND -en", '+in "in the" OR tionen*']
+
+
+@query
+def fulltext_syntax(spark, d):
+    plain = fulltext.Analyzer(english=False)
+    rows = [fulltext.search(table(spark, d, "documents"), q, analyzer=plain).withColumn("query", F.lit(q)) for q in SEARCHES]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query
+def fulltext_english(spark, d):
+    ship(spark)
+    rows = [fulltext.search(views.statements(spark, d), q, "uid").withColumn("query", F.lit(q)) for q in ("tions OR erings", '"tion and"', "ering* NOT tions", "edly AND the")]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query
+def hybrid_statements(spark, d):
+    """Text and vector search over the same statements, fused, with the hits."""
+    s = views.statements(spark, d)
+    text = archive.top(archive.text_scores(s.select("uid", "text"), ["nicht", "the", "pour"], "uid"), "uid").withColumnRenamed("uid", "id")
+    vectors = table(spark, d, "embeddings").join(s.select((F.col("interview") * 7 + F.col("turn")).alias("vec_id"), "uid"), "vec_id")
+    near = archive.top(archive.similar(vectors, vectors.where("vec_id = 7").select("embedding"), "uid"), "uid").withColumnRenamed("uid", "id")
+    best = archive.fused([(text, archive.FULLTEXT_WEIGHT), (near, archive.VECTOR_WEIGHT)])
+    return archive.hits(best.withColumnRenamed("id", "uid"), s, "uid").select("uid", "interview", "speaker", "start_time", F.round("end_time", 3).alias("end_time"), "text", "wrrf")
+
+
 @query
 def decoded_bytes(spark, d):
     cut = F.substring(F.col("text").cast("binary"), 1, (F.col("doc_id") % 40 + 1).cast("int"))
