@@ -1,7 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney model of words and per-language perplexity quantiles.
 
 The model is of order 2 over lower-cased words, hashed to 32 bits, with a start and an end for every
-text. All trusted documents but the held-out fold are counted. The n-gram space is cut into shards by
+text. Documents fall in two halves by their id. Each half's trusted documents are counted for a model of
+their own, which scores all documents of the other half, so no document, trusted or not, is judged by its own counts.
+A model's n-gram space is cut into shards by
 context; contexts of a large share of all words, listed first, are dealt over all shards by the whole
 n-gram. A batch sends each shard its distinct n-grams, packed. A shard adds them up, asks the shards
 that own its words in how many contexts each word follows, and so has all counts of its n-grams: the
@@ -13,7 +15,7 @@ back-off weight g, discount d, freed mass f, and continuation share p. Every wor
 context once, and the start stands for the end, so the shard of v adds log g(v) + log p(v). Documents' n-grams
 travel to the shards with their document's place in the batch; sums by document come back.
 
-A document is rejected when its perplexity is above its language's quantile among held-out trusted
+A document is rejected when its perplexity is above its language's quantile among trusted
 documents, times a margin; languages with few of these use the quantile of all. Short texts are drawn
 towards their language's mean by PRIOR_WORDS words of it.
 
@@ -41,9 +43,9 @@ from talespan.runtime import materialize, release, ship
 
 QUANTILE = 0.995
 MARGIN = 1.1
-#: One of so many trusted documents, by crc32 of the id, is held out of the counts and sets the thresholds.
-FOLDS = 5
-#: Held-out documents of a language from which it has a threshold of its own.
+#: Halves of the documents, by crc32 of the id; each is judged by the other one's model.
+HALVES = 2
+#: Trusted documents of a language from which it has a threshold of its own.
 LEAST_TRUSTED = 30
 PRIOR_WORDS = 20
 #: Bytes of text in a batch whose n-grams are sorted together.
@@ -54,8 +56,8 @@ BROADCAST_ROWS = 200_000
 HOT_LOAD = 0.25
 #: Sums that a scoring task holds before it sends them.
 HELD_SUMS = 1 << 20
-#: Rounds in which the documents meet the shards; more rounds take less disk and more hashing of words.
-ROUNDS = 4
+#: Rounds in which a half of the documents meets its shards; more rounds take less disk and more hashing of words.
+ROUNDS = 2
 START, END = np.uint64(1), np.uint64(2)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -230,6 +232,25 @@ def _tell(counted: DataFrame, hot: Broadcast, blocks: int) -> DataFrame:
     return materialize(counted.where(F.col("kind") == ASK).repartitionById(blocks, F.col("block")).mapInArrow(run, _ROW))
 
 
+def _hot_sums(rows: DataFrame, kinds: list[type]) -> tuple[np.ndarray, np.ndarray]:
+    """Hot words and, for each, sums of the values that shards have for it; as many as there are hot words, not one for each shard."""
+    names = [f"v{i}" for i in range(len(kinds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                own, at = planes.unpack_sorted(data)
+                values = []
+                for kind in kinds:
+                    value, at = planes.unpack(data, kind, at=at)
+                    values.append(pa.array(value.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *values], ["word", *names])
+
+    schema = ", ".join(f"{n} long" for n in ["word", *names])
+    found = rows.where(F.col("kind") == HOT).select("data").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).orderBy("word").toArrow()
+    return found.column("word").to_numpy().astype(np.uint64), np.stack([found.column(n).to_numpy() for n in names], axis=1).reshape(-1, len(kinds))
+
+
 def _small(rows: DataFrame, kind: int) -> list[bytes]:
     """Rows of a kind that a shard makes one of, of bounded size."""
     return [bytes(r["data"]) for r in rows.where(F.col("kind") == kind).select("data").collect()]
@@ -244,21 +265,9 @@ class Shares:
         self.words, self.pairs = int(often[1][5]), max(int(often[1][6]), 1)
         self.freed = float(self.word.by[1:] @ np.array([often[1][0], often[1][1], often[1][4]])) / self.pairs
         self.any = self.freed / (self.words + 1) if self.words else 1.0
-        sums: dict[int, np.ndarray] = {}
-        for data in _small(counted, HOT):
-            own, at = planes.unpack_sorted(data)
-            parts = []
-            for _ in range(4):
-                part, at = planes.unpack(data, np.uint32, at=at)
-                parts.append(part)
-            for c, *row in zip(own.tolist(), *parts, strict=True):
-                sums[c] = sums.get(c, 0) + np.array(row, dtype=np.int64)
-        follows = {}
-        for data in _small(told, HOT):
-            own, at = planes.unpack_sorted(data)
-            follows |= dict(zip(own.tolist(), planes.unpack(data, np.uint64, at=at)[0].tolist(), strict=True))
-        self.hot = np.array(sorted(sums), dtype=np.uint64)
-        rows = np.array([sums[c] for c in self.hot.tolist()], dtype=np.int64).reshape(-1, 4)
+        self.hot, rows = _hot_sums(counted, [np.uint32] * 4)
+        words, n = _hot_sums(told, [np.uint64])
+        follows = dict(zip(words.tolist(), n[:, 0].tolist(), strict=True))
         self.hot_freed = rows[:, 1:] @ self.bigram.by[1:]
         self.hot_base = np.log(self.hot_freed / np.maximum(rows[:, 0], 1)) + np.log(self.share(np.array([follows.get(int(END) if c == START else c, 0) for c in self.hot.tolist()], dtype=np.int64)))
 
@@ -358,7 +367,7 @@ def _sums(documents: DataFrame, model: DataFrame, shares: Broadcast, hot: Broadc
 
     def sums(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         ids, crc, log, n = _merged(held)
-        bucket = (mix(ids) % np.uint64(blocks)).astype(np.int64)
+        bucket = (mix(ids ^ mix(crc.astype(np.uint64))) % np.uint64(blocks)).astype(np.int64)  # many texts may have one id, or none
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(blocks + 1)).tolist()
         for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
@@ -420,17 +429,22 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     spark = documents.sparkSession
     ship(spark)
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0).alias("held")).distinct())
-    texts = documents.select(_key()[0], "text")
-    trusted = _beside(texts, materialize(ids.where(~F.col("held")).select("id")), "id", "left_semi")
-    hot = spark.sparkContext.broadcast(_hot_contexts(trusted, n))
-    counted = _count(trusted, hot, n)
-    told = _tell(counted, hot, n)
-    release(spark)
-    shares = spark.sparkContext.broadcast(Shares(counted, told))
-    found = _scores(texts, counted.where(F.col("kind") == OWN).unionByName(told.where(F.col("kind") == TOLD)), shares, hot, n, rounds)
+    half = F.crc32(F.col("id").cast("string").cast("binary")) % HALVES
+    ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct())
+    texts = documents.select(_key()[0], "text").withColumn("half", half)
+    parts = []
+    for k in range(HALVES):
+        trusted = _beside(texts.where(F.col("half") == k), ids, "id", "left_semi").select("id", "text")
+        hot = spark.sparkContext.broadcast(_hot_contexts(trusted, n))
+        counted = _count(trusted, hot, n)
+        told = _tell(counted, hot, n)
+        release(spark)
+        shares = spark.sparkContext.broadcast(Shares(counted, told))
+        model = counted.where(F.col("kind") == OWN).unionByName(told.where(F.col("kind") == TOLD))
+        parts.append(_scores(texts.where(F.col("half") != k).select("id", "text"), model, shares, hot, n, rounds))
+    found = reduce(DataFrame.unionByName, parts)
     rows = documents.select(*_key(), F.col("lang").cast("string").alias("lang")).join(found, ["id", "crc"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rows = materialize(rows.join(ids.where("held").withColumnRenamed("held", "sets"), "id", "left").withColumn("language", F.coalesce("lang", F.lit(""))))
+    rows = materialize(rows.join(ids.withColumn("sets", F.lit(True)), "id", "left").withColumn("language", F.coalesce("lang", F.lit(""))))
     sets = rows.where("sets and n > 0")
     mean = sets.groupBy("language").agg((F.sum("log") / F.sum("n")).alias("mean"))
     all_mean = sets.agg(F.sum("log") / F.sum("n")).first()[0]

@@ -279,8 +279,8 @@ def test_bm25_scores():
         assert np.allclose(index.scores(seed), want)
 
 
-def held(doc):
-    return zlib.crc32(str(doc).encode()) % perplexity.FOLDS == 0
+def half(doc):
+    return zlib.crc32(str(perplexity.FIRST_ID if doc is None else doc).encode()) % perplexity.HALVES
 
 
 @pytest.mark.parametrize("blocks", [1, 3, 40])
@@ -294,9 +294,9 @@ def test_perplexity_and_thresholds_equal_definition(spark, blocks, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(240)], "doc_id long, quality int, toxic int")
     good = {i for i in range(240) if i % 3}
-    p = brute.kneser_ney([t for d, t, _ in rows if d in good and not held(d)])
-    logs = [(d, t, lang or "", *brute.log_probability(p, t)) for d, t, lang in rows]
-    sets = [x for x in logs if x[0] in good and held(x[0]) and x[4]]
+    models = [brute.kneser_ney([t for d, t, _ in rows if d in good and half(d) == k]) for k in range(2)]
+    logs = [(d, t, lang or "", *brute.log_probability(models[1 - half(d)], t)) for d, t, lang in rows]
+    sets = [x for x in logs if x[0] in good and x[4]]
     total = lambda some: sum(x[3] for x in some) / sum(x[4] for x in some)
     mean = {lang: total(some) for lang in {x[2] for x in sets} if (some := [x for x in sets if x[2] == lang])}
     entropy = lambda x: -(x[3] + perplexity.PRIOR_WORDS * mean.get(x[2], total(sets))) / (x[4] + perplexity.PRIOR_WORDS) if x[4] else None
