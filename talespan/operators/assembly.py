@@ -111,7 +111,7 @@ def locate(tokens: pd.Series, phrase: pd.Series) -> pd.Series:
 
 
 def diarization_score(reference: DataFrame, predicted: DataFrame, key: str, width: float, reach: float = 3.0) -> DataFrame:
-    """Dominant-speaker accuracy and boundary recall of each recording.
+    """Dominant-speaker accuracy, the naming of labels that it counts by, and boundary recall of each recording.
 
     reference: (key, segment, l_start, l_end, name); predicted: (key, speaker, r_start, r_end).
     """
@@ -119,12 +119,12 @@ def diarization_score(reference: DataFrame, predicted: DataFrame, key: str, widt
     # a label that never dominates still needs a name
     labels = predicted.groupBy(key).agg(F.collect_set("speaker").alias("labels"))
     shares = said.groupBy(key, F.col("speaker").alias("label"), "name").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").cast("int").alias("turns"), F.collect_set("name").alias("names"), F.collect_list(F.struct("label", "name", "n")).alias("rows"))
-    right = speakers.most_named_right(F.coalesce("labels", F.array().cast("array<string>")), "names", "rows")
-    named = shares.join(labels, key, "left").select(key, "turns", F.round(right / F.col("turns"), 6).alias("accuracy"))
+    known = [F.coalesce("labels", F.array().cast("array<string>")), "names", "rows"]
+    named = shares.join(labels, key, "left").select(key, "turns", F.round(speakers.most_named_right(*known) / F.col("turns"), 6).alias("accuracy"), speakers.best_names(*known).alias("mapping"))
     real = intervals.changes(reference, [key], ["l_start", "segment"], "name").select(key, F.col("l_start").alias("t")).distinct()
     guess = intervals.changes(predicted, [key], ["r_start", "speaker"], "speaker").select(key, F.col("r_start").alias("m"))
     recall = intervals.within(real, guess, [key], reach).groupBy(key).agg(F.count(F.lit(1)).alias("changes"), F.count_if("hit").alias("detected"))
-    return named.join(recall, key, "left").select(key, "turns", "accuracy", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("detected", F.lit(0)).alias("detected"))
+    return named.join(recall, key, "left").select(key, "turns", "accuracy", "mapping", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("detected", F.lit(0)).alias("detected"))
 
 
 def scorecard(errors: DataFrame, stats: DataFrame, key: str) -> DataFrame:

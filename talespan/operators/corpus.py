@@ -38,6 +38,23 @@ def group_roster(documents: DataFrame, key: str, groups: dict[str, str], text: s
     return documents.select(key, F.explode(found).alias("grp"))
 
 
+def flattened(text: Column) -> Column:
+    """A text as one line, white space as single spaces."""
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n\f]+", " "))
+
+
+def members(documents: DataFrame, key: str, groups: list[str], text: str = "text") -> DataFrame:
+    """(key, grp) where a group's name stands as words of its own in the flattened text; one pass for all groups."""
+    bound = r"(^|[^A-Za-z0-9_])(?:%s)($|[^A-Za-z0-9_])"
+    found = F.array_compact(F.array(*(F.when(F.col("_flat").rlike(bound % g), g) for g in groups)))
+    return documents.select(key, flattened(F.col(text)).alias("_flat")).select(key, F.explode(found).alias("grp"))
+
+
+def roster_totals(roster: DataFrame, key: str) -> DataFrame:
+    """One row: memberships, and different people and groups in them."""
+    return roster.agg(F.count(F.lit(1)).alias("memberships"), F.count_distinct(key).alias("people"), F.count_distinct("grp").alias("groups"))
+
+
 def bridges(roster: DataFrame, key: str) -> DataFrame:
     """Documents in more than one group, with the groups' names."""
     return roster.groupBy(key).agg(F.count(F.lit(1)).alias("n_groups"), F.array_join(F.array_sort(F.collect_list("grp")), ", ").alias("groups")).where("n_groups > 1")

@@ -87,6 +87,31 @@ def assignment(gain: np.ndarray) -> list[int]:
     return out
 
 
+def diagnostic(segments: DataFrame, key: list[str], order: str, vector: str, speaker: str) -> DataFrame:
+    """One row a recording: vectors and their norms, and mean distances of pairs of one speaker and of two."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    norms = segments.groupBy(*key).agg(F.count(F.lit(1)).alias("vectors"), *(f(norm).alias(f"{name}_norm") for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
+    pairs = pair_distances(segments, key, order, vector, speaker).groupBy(*key).agg(F.count_if("same").alias("same_pairs"), F.count_if(~F.col("same")).alias("other_pairs"), F.avg(F.when(F.col("same"), F.col("distance"))).alias("same_distance"), F.avg(F.when(~F.col("same"), F.col("distance"))).alias("other_distance"))
+    zero = F.lit(0).cast("long")
+    return norms.join(pairs, key, "left").withColumns({c: F.coalesce(c, zero) for c in ("same_pairs", "other_pairs")})
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def best_names(labels: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Series:
+    """The naming of labels under which most turns are right; labels and names in order decide ties. Empty if there are more labels than names."""
+
+    def one(own: list[str], names: list[str], rows: list[dict]) -> dict[str, str]:
+        if not own or len(own) > len(names):
+            return {}
+        gain = np.zeros((len(own), len(names)))
+        for r in rows:
+            if r["label"] is not None:
+                gain[own.index(r["label"]), names.index(r["name"])] = r["n"]
+        return {own[i]: names[j] for i, j in enumerate(assignment(gain))}
+
+    return pd.Series([one(sorted(x), sorted(y), z) for x, y, z in zip(labels, names, turns, strict=True)])
+
+
 @F.pandas_udf(T.LongType())
 def most_named_right(labels: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Series:
     """Turns named right under the best naming of labels; turns are (label, name, n). More labels than names name none."""

@@ -1,6 +1,6 @@
 """DuckDB SQL for the archive queries."""
 
-from talespan.plans import scoring_sql, search_sql, transcript_sql
+from talespan.plans import roster_sql, scoring_sql, search_sql, transcript_sql
 
 STATEMENTS = "SELECT conv_id AS interview, printf('st%d_%d', conv_id, turn) AS uid, role AS speaker, text, turn * 10.0::DOUBLE AS start_time, turn * 10.0::DOUBLE + least(12.0::DOUBLE, 1.0::DOUBLE + length(text) / 20.0::DOUBLE) AS end_time, turn FROM conversations"
 TICKS = "SELECT event_id, user_id, event_type, value, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - 1704067200 AS t, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS seq FROM events"
@@ -65,7 +65,7 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "collapse_repeats": f"SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE pre IS DISTINCT FROM lower(word)) AS INTEGER) AS n_kept FROM (SELECT *, lag(lower(word)) OVER (PARTITION BY doc_id ORDER BY idx) AS pre FROM ({WORDS})) GROUP BY doc_id",
     "ingest_statements": f"WITH s AS (SELECT interview, CAST(row_number() OVER (PARTITION BY interview ORDER BY turn) - 1 AS INTEGER) AS pos, CASE WHEN speaker = 'system' THEN 'SPEAKER_??' ELSE speaker END AS speaker, text FROM ({STATEMENTS})) SELECT interview, pos, substring(sha256(interview || '|' || pos || '|' || text), 1, 12) AS uid, speaker, text FROM s",
     "upsert_parts": "SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 4 <> 0",
-    "embedding_parameters": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:3] AS w FROM documents) SELECT doc_id, coalesce(w[1], '') || coalesce(upper(w[2][1]) || w[2][2:], '') || coalesce(upper(w[3][1]) || w[3][2:], '') AS name FROM w",
+    "embedding_parameters": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda x: x <> '')[1:3] AS w FROM documents) SELECT doc_id, coalesce(w[1], '') || coalesce(replace(upper(w[2][1]), 'ẞ', 'SS') || w[2][2:], '') || coalesce(replace(upper(w[3][1]), 'ẞ', 'SS') || w[3][2:], '') AS name FROM w",
     "mean_to_mono": "SELECT l_orderkey, (l_linenumber - 1) // 2 AS frame, avg(l_quantity) AS value FROM lineitem GROUP BY ALL HAVING count(*) = 2",
     "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "vad_regions": "WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT conv_id, turn, least(turn * 4.0::DOUBLE + 0.25, 25) AS a, turn * 4.0::DOUBLE + 2.5 + CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 0 ELSE 0.1::DOUBLE END AS e FROM c), n AS (SELECT conv_id, turn, a, floor(least(greatest(e, a), 25) * 16000) - floor(a * 16000) AS k FROM s) SELECT conv_id, round(a, 6) AS orig_start, round(coalesce(sum(k + 1600) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 16000, 6) AS filtered_start, round(k / 16000, 6) AS duration FROM n WHERE k > 0",
@@ -78,4 +78,4 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "ingest_edges": f"SELECT interview, uid AS statement_uid, speaker AS speaker_label, CASE WHEN speaker = 'system' THEN '' ELSE printf('p%d_%s', interview, speaker) END AS person_uid, start_time, round(end_time, 3) AS end_time FROM ({STATEMENTS})",
     "search_hits": f"WITH s AS ({STATEMENTS}), t AS (SELECT uid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM s), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t), post AS (SELECT uid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT uid, len(terms) AS l, unnest(terms) AS term FROM t) WHERE term IN ('nicht', 'the', 'pour') GROUP BY uid, term), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), ts AS (SELECT uid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))), 6) AS score FROM post JOIN df USING (term), st GROUP BY uid), b AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM ts QUALIFY rank <= 15) SELECT rank, uid, interview, speaker, start_time, score FROM b JOIN s USING (uid)",
 }
-ORACLES |= scoring_sql.ORACLES | search_sql.ORACLES | transcript_sql.ORACLES
+ORACLES |= roster_sql.ORACLES | scoring_sql.ORACLES | search_sql.ORACLES | transcript_sql.ORACLES

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talespan.functions import normal
 from talespan.functions import text as tx
 from talespan.operators import archive, assembly, corpus, evaluate, frames, fulltext, graph, intervals, scoring, signals, speakers, transcripts, words
 from talespan.plans import views
 from talespan.runtime import materialize, ship, table
-from talespan.sources import sinks
+from talespan.sources import manifests, sinks
 from talespan.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +36,7 @@ def hybrid_wrrf(spark, d):
 
 def _near_seven(spark, d):
     vectors = table(spark, d, "embeddings")
-    stored = vectors.where("vec_id = 7").select("embedding").first()
-    return archive.vector_scores(vectors, list(stored[0]))
+    return archive.similar(vectors, vectors.where("vec_id = 7").select("embedding"), "vec_id")
 
 
 @query
@@ -281,7 +281,7 @@ def insertion_classes(spark, d):
 @query
 def normalize_tokens(spark, d):
     ship(spark)
-    return table(spark, d, "documents").select("doc_id", tx.normalize("text").alias("tokens"))
+    return normal.normalized(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
 
 
 @query
@@ -406,7 +406,8 @@ def diarization_score(spark, d):
     spans = t.withColumn("stop", F.lead("t").over(w)).where("stop > t")
     truth = spans.select("user_id", F.col("seq").alias("segment"), F.col("t").cast("double").alias("l_start"), F.col("stop").cast("double").alias("l_end"), F.when(F.col("value") > 50, "high").otherwise("low").alias("name"))
     guess = spans.select("user_id", F.when(F.col("event_type").isin("purchase", "signup"), "S1").otherwise("S0").alias("speaker"), F.col("t").cast("double").alias("r_start"), F.col("stop").cast("double").alias("r_end"))
-    return assembly.diarization_score(truth, guess, "user_id", 43200.0, 3600.0)
+    score = assembly.diarization_score(truth, guess, "user_id", 43200.0, 3600.0)
+    return score.withColumn("mapping", F.array_join(F.transform(F.array_sort(F.map_entries("mapping")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
 
 
 KEY = ["conv_id"]
@@ -554,6 +555,42 @@ def hybrid_statements(spark, d):
     return archive.hits(best.withColumnRenamed("id", "uid"), s, "uid").select("uid", "interview", "speaker", "start_time", F.round("end_time", 3).alias("end_time"), "text", "wrrf")
 
 
+GROUP_NAMES = ["The", "und", "de la", "of the", "queque"]
+
+
+@query
+def group_members(spark, d):
+    return corpus.members(table(spark, d, "documents"), "doc_id", GROUP_NAMES)
+
+
+@query
+def roster_totals(spark, d):
+    return corpus.roster_totals(corpus.members(table(spark, d, "documents"), "doc_id", GROUP_NAMES), "doc_id")
+
+
+@query
+def embedding_diagnostic(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("recording", F.floor(F.col("vec_id") / 40))
+    card = speakers.diagnostic(rows, ["recording"], "vec_id", "embedding", "label")
+    return card.withColumns({c: F.coalesce(F.round(c, 5), F.lit(-1.0)) for c in ("mean_norm", "least_norm", "most_norm", "same_distance", "other_distance")})
+
+
+@query
+def vector_parameters(spark, d):
+    rows = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    few = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 8) / 8)
+    return rows.select("vec_id", sinks.vector_parameter(F.col("text"), few, 4).alias("parameter"))
+
+
+@query
+def manifest_entries(spark, d):
+    """Pages as a YAML manifest and read again, with dates parsed."""
+    p = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("2003-0"), F.col("page_id") % 10, F.lit("-30"))).alias("date"))
+    lists = p.groupBy(F.col("page_id") % 10).agg(F.concat(F.lit("# made from pages\npages:\n"), F.array_join(F.array_sort(F.collect_list(manifests.entry_text(["page_id", "url", "date"]))), "\n")).alias("value"))
+    rows = manifests.entries(lists.select(F.col("(page_id % 10)").alias("file"), "value"), "file")
+    return rows.select(F.col("fields")["page_id"].cast("long").alias("page_id"), F.col("section"), F.col("fields")["url"].alias("url"), F.coalesce(manifests.plain_date(F.col("fields")["date"]).cast("string"), F.lit("")).alias("date"))
+
+
 @query
 def decoded_bytes(spark, d):
     cut = F.substring(F.col("text").cast("binary"), 1, (F.col("doc_id") % 40 + 1).cast("int"))

@@ -53,6 +53,12 @@ def parameter(text: Column) -> Column:
     return F.format_string(":param %s => %s", camel_name(text), F.to_json(F.struct(text.alias("text"))))
 
 
+def vector_parameter(text: Column, vector: Column, dimensions: int = 1024) -> Column:
+    """A text's vector as a named parameter statement; null for a null vector."""
+    numbers = F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), ", ")
+    return F.when(vector.isNotNull(), F.concat(F.lit(":param "), camel_name(text), F.lit("Embedding => vector(["), numbers, F.lit(f"], {dimensions}, FLOAT64);")))
+
+
 def edges(statements: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edge rows of ingested statements: what each interview contains, with its times, and who says it.
 
