@@ -1,8 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-Test items are normalised to words and put into one suffix automaton over word numbers. Training
-texts are streamed through it; the automaton gives, at every word, the length of the longest match
-with any item. A match of at least `span` words marks the last `span` words as hit; an item with
+Test items are normalised to words and put into suffix automata over word numbers, one for each
+block of items; tasks make them from the words' hashes, which are broadcast up to a checked bound. Training
+texts are streamed through one after the other; an automaton gives, at every word, the length of the longest match
+with any of its items. A match of at least `span` words marks the last `span` words as hit; an item with
 fewer words than `span` marks an occurrence of the whole item.
 
 Defined results: null text and empty text have no words and are never contaminated; null items and
@@ -17,18 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talespan.llm.words import Words, byte_table, chunks
-from talespan.runtime import ship
+from talespan.llm.words import CHUNK_BYTES, Words, byte_table, chunks
+from talespan.runtime import materialize, ship
 
 SPAN = 13
 #: Share of hit words, in percent, from which a document counts as contaminated.
 COVERAGE_PERCENT = 5
-#: Words of items in one automaton; larger benchmarks are scanned block by block.
-BLOCK_WORDS = 2_000_000
+#: Words of items in one automaton. Texts pass the automata of a larger benchmark one after the other, a task holds one.
+BLOCK_WORDS = 50_000
+#: Words of all items together; their hashes are broadcast, eight bytes each. More are an error.
+MAX_WORDS = 8_000_000
+#: Bytes of texts that pass all automata together where there are several.
+PASS_BYTES = 16 << 20
 _ADDED = ["__talespan_n_words", "__talespan_spans", "__talespan_items"]
 
 
@@ -123,13 +129,13 @@ class SuffixAutomaton:
 
 
 class Index:
-    """A broadcast block of items: word numbers by hash, the automaton, and the item ids."""
+    """A block of items, given by the hashes of their words: word numbers by hash, the automaton, and the item ids."""
 
-    def __init__(self, items: list[tuple[str, bytes]], span: int):
-        words = Words([t for _, t in items], byte_table("alnum-lower"))
-        self.vocabulary, numbers = np.unique(words.hashes, return_inverse=True)
+    def __init__(self, items: list[tuple[str, np.ndarray]], span: int):
+        hashes = [h for _, h in items]
+        self.vocabulary, numbers = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True)
         self.ids, self.least, self.automaton = [i for i, _ in items], span, SuffixAutomaton()
-        streams = [numbers[words.first[i] : words.first[i + 1]].tolist() for i in range(len(items))]
+        streams = [x.tolist() for x in np.split(numbers, np.cumsum([len(h) for h in hashes])[:-1])] if items else []
         for i, s in enumerate(streams):
             self.automaton.add(i, s)
         for i, s in enumerate(streams):
@@ -162,50 +168,94 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks(benchmark: DataFrame, span: int, block_words: int) -> Iterator[Index]:
-    """Automata over whole items with about block_words words each; items are never cut."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
-    held: list[tuple[str, bytes]] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        held.append((row["item"], bytes(row["text"])))
-        size += row["text"].count(b" ") + 1
-        if size >= block_words:
-            yield Index(held, span)
-            held, size = [], 0
-    yield Index(held, span)
+class Blocks:
+    """All items' word hashes in blocks of bounded size, to be broadcast; automata are made where texts are."""
+
+    def __init__(self, items: Iterator[tuple[str, np.ndarray]], span: int, block_words: int):
+        self.blocks: list[list[tuple[str, np.ndarray]]] = [[]]
+        size = 0
+        for item, hashes in items:
+            # pieces of a very long item share what a window needs
+            most = max(block_words, 2 * span)
+            cuts = range(0, max(len(hashes) - span + 1, 1), most) if len(hashes) > most else range(1)
+            for at in cuts:
+                piece = hashes[at : at + most + span - 1] if len(hashes) > most else hashes
+                if size and size + len(piece) > block_words:
+                    self.blocks.append([])
+                    size = 0
+                self.blocks[-1].append((item, piece))
+                size += len(piece)
+        self.span, self.kept = span, None
+
+    def automata(self) -> Iterator[Index]:
+        """One after the other; a single one is made once in a worker."""
+        if len(self.blocks) > 1:
+            for block in self.blocks:
+                yield Index(block, self.span)
+            return
+        if self.kept is None:
+            self.kept = Index(self.blocks[0], self.span)
+        yield self.kept
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": None}
+
+    @property
+    def pass_bytes(self) -> int:
+        return PASS_BYTES if len(self.blocks) > 1 else CHUNK_BYTES
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item, words): the hashes of the words of every different item that has some."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table("alnum-lower")
+        for batch in batches:
+            for rows, texts in chunks(batch):
+                words = Words(texts, table)
+                own = [words.hashes[words.first[i] : words.first[i + 1]].tobytes() for i in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(own, pa.binary())], ["item", "words"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct()
+    return rows.mapInArrow(run, "item string, words binary").where("octet_length(words) > 0")
 
-def _found(parts: list, words: Words, texts: int, span: int) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+
+def _found(blocks: Blocks, words: Words, texts: int) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
     """Number of words, merged hit ranges and item ids of each text."""
+    ranges: list[list[tuple[int, int]]] = [[] for _ in range(texts)]
+    items: list[set[str]] = [set() for _ in range(texts)]
+    for index in blocks.automata():
+        for i in range(texts):
+            r, f = index.scan(words.hashes[words.first[i] : words.first[i + 1]], blocks.span)
+            ranges[i] += r
+            items[i] |= f
     for i in range(texts):
-        h = words.hashes[words.first[i] : words.first[i + 1]]
-        ranges, items = [], set()
-        for part in parts:
-            r, f = part.value.scan(h, span)
-            ranges, items = ranges + r, items | f
-        yield len(h), merged(ranges), sorted(items)
+        yield int(words.first[i + 1] - words.first[i]), merged(ranges[i]), sorted(items[i])
 
 
-def _broadcast(documents: DataFrame, benchmark: DataFrame, span: int, block_words: int) -> list:
+def _broadcast(documents: DataFrame, benchmark: DataFrame, span: int, block_words: int) -> Broadcast:
     spark = documents.sparkSession
     ship(spark)
-    return [spark.sparkContext.broadcast(x) for x in blocks(benchmark, span, block_words)]
+    items = materialize(item_words(benchmark))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    if total > MAX_WORDS:
+        raise ValueError(f"the benchmark has {total} words; {MAX_WORDS} are the limit, clean against parts of it one after the other")
+    return spark.sparkContext.broadcast(Blocks(((r["item"], np.frombuffer(bytes(r["words"]), np.uint64)) for r in items.toLocalIterator()), span, block_words))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents with their number of words, spans (hit word ranges) and items (ids found).
 
-    The items are broadcast in blocks of bounded size; a map over the documents needs no shuffle.
+    The hashes of the items' words are broadcast, at most MAX_WORDS of them; a map over the documents needs no shuffle.
     """
-    parts = _broadcast(documents, benchmark, span, block_words)
+    blocks = _broadcast(documents, benchmark, span, block_words)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table("alnum-lower")
         for batch in batches:
-            for rows, texts in chunks(batch):
-                found = list(_found(parts, Words(texts, table), len(texts), span))
+            for rows, texts in chunks(batch, limit=blocks.value.pass_bytes):
+                found = list(_found(blocks.value, Words(texts, table), len(texts)))
                 added = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in r] for _, r, _ in found], spans), pa.array([i for _, _, i in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, *_ADDED])
 
@@ -227,15 +277,15 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage
     A text without hits stays as it is, byte for byte. A cut takes the bytes from the first word of
     a span to the last.
     """
-    parts = _broadcast(documents, benchmark, span, BLOCK_WORDS)
+    blocks = _broadcast(documents, benchmark, span, BLOCK_WORDS)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table("alnum-lower")
         for batch in batches:
-            for rows, texts in chunks(batch):
+            for rows, texts in chunks(batch, limit=blocks.value.pass_bytes):
                 words, keep, changed = Words(texts, table), [], {}
-                for i, (n, hit, _) in enumerate(_found(parts, words, len(texts), span)):
+                for i, (n, hit, _) in enumerate(_found(blocks.value, words, len(texts))):
                     n_hit = sum(b - a for a, b in hit)
                     keep.append(not hit or 100 * n_hit < coverage_percent * n)
                     if hit and keep[-1]:

@@ -66,6 +66,20 @@ def test_decontamination(docs, items, block_words):
     assert not any(v[1] for v in after.values())
 
 
+def test_long_items_are_cut_and_large_benchmarks_refused(spark, docs, monkeypatch):
+    """Pieces of an item keep all its windows; a benchmark beyond the bound is an error, not a part of itself."""
+    passages = prose(900)
+    w = passages.split()
+    texts = [(i, prose(5) + " " + " ".join(w[a : a + 20]) + " " + prose(5)) for i, a in enumerate(range(0, 880, 7))] + [(999, passages)]
+    items = [(1, passages), (2, " ".join(w[100:112])), (3, prose(15))]
+    got = decontaminate.scan(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=50).collect()
+    want = brute.contamination(texts, items)
+    assert {r["doc_id"]: (r["__talespan_n_words"], sum(s["stop"] - s["start"] for s in r["__talespan_spans"]), list(r["__talespan_items"])) for r in got} == {d: v[:3] for d, v in want.items()}
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 100)
+    with pytest.raises(ValueError, match="limit"):
+        decontaminate.verdicts(docs, spark.createDataFrame(items, "item_id long, text string"))
+
+
 def test_near_duplicates(docs):
     want = brute.links(ROWS)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(docs).collect()}
