@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
+from tokenizers import Tokenizer
 
 from talespan.llm.tokens import encoder
 from talespan.llm.words import chunks, mix
@@ -36,9 +37,11 @@ END_ID = 1
 CACHE_PIECES = 800_000
 #: Rests that are used up before an index drops them.
 BLOCK_RESTS = 512
-#: Rests a shard on average at most, so that a task's index is bounded. Only where one repeated id makes a shard
-#: larger than twice that, it is filled in parts.
-SHARD_RESTS = 8192
+#: Rests a shard on average at most, whatever the session's settings, so that a task's index is bounded and equal tables are packed alike. A
+#: seed's neighbours are those of its shard; more rests a shard find more of the true ones at a cost that grows as much.
+SHARD_RESTS = 5000
+#: Rests from which a shard is filled in parts, which range partitions reach only where very many rests are equal.
+MOST_RESTS = 16384
 #: Ids fit in 16 bits.
 IDS = 1 << 16
 #: Ids in more than this share of an index's rests have dense rows.
@@ -63,6 +66,9 @@ def lexical_key(ids: np.ndarray) -> int:
 def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row a document: its length, the checksums of its full windows, and the ids that are left."""
     ship(documents.sparkSession)
+    size = Tokenizer.from_file(tokenizer).get_vocab_size()
+    if max(size, end_id + 1) > IDS:
+        raise ValueError(f"the tokenizer has {size} ids and the end id is {end_id}; ids are kept in 16 bits")
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +228,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     spark = documents.sparkSession
     encoded = materialize(rests(documents, tokenizer, window, end_id, cache_pieces))
     counted = statistics(encoded)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted[0] // SHARD_RESTS))
+    shards = max(1, -(-counted[0] // SHARD_RESTS))
     corpus = spark.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +259,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                 ids = np.frombuffer(row["rest"], "<u2")
                 if len(ids):
                     held.append(Rest(row["doc_id"], row["doc_tokens"] - len(ids), row["doc_tokens"], ids))
-                if len(held) >= 2 * SHARD_RESTS:
+                if len(held) >= MOST_RESTS:
                     windows, held = fill(held, window, False, corpus.value, block_rests)
                     put(windows)
             yield flush()
@@ -264,4 +270,6 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     schema = T.StructType()
     for name in _PIECE_NAMES:
         schema = schema.add(name, "long")
-    return encoded.repartitionByRange(shards, "lexical", "doc_id").sortWithinPartitions("lexical", "doc_id").mapInArrow(run, schema)
+    # the ids' checksum orders rests of one doc_id, so that a task that runs again packs as before
+    order = [F.col("lexical"), F.col("doc_id"), F.crc32("rest"), F.col("doc_tokens")]
+    return encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
