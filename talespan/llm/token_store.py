@@ -68,7 +68,9 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             yield _chunk(shard, number, docs, ids, block_ids, bits)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    # rows of one doc_id, or of none, are ordered and dealt by their text
+    order = ["doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(encode, _CHUNK_TYPE).write.option("compression", "uncompressed").parquet(path)
 
 
