@@ -10,7 +10,8 @@ by partial sums. `dialogues()` joins runs of `turns_each` turn numbers into text
 Defined results: a turn with a null or empty role, or with role "system", is no participant's; null
 text is rendered as empty. A conversation without participants gives no rows. Repeated turns (equal
 conv_id, turn, role and text) are each rendered; ties of turn are ordered by role and text. A null conv_id
-is a conversation of its own. Other columns are dropped.
+is a conversation of its own. Other columns are dropped. Marks that a role or a text has itself are not escaped: they are
+rendered as they are, and places are counted with them.
 """
 
 from __future__ import annotations
