@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -339,7 +339,7 @@ def _exact_sets(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.select("family", "part", "parts", "id", "text").mapInArrow(run, T.StructType().add("family", "long").add("part", "integer").add("parts", "integer").add("id", "long").add("members", "binary"))
 
 
-def _beside(frame: DataFrame, other: DataFrame, on: str, how: str) -> DataFrame:
+def _beside(frame: DataFrame, other: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join to a materialised table: broadcast when its counted size is within the bound."""
     return frame.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other.hint("shuffle_hash"), on, how)
 
@@ -407,7 +407,27 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
     return out.select(given("id").alias("doc_id"), F.col("size").alias("n_shingles"), given("component").alias("component_id"))
 
 
+def _row_key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("__talespan_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__talespan_text")]
+
+
+def one_row_each(documents: DataFrame) -> DataFrame:
+    """Documents with one row for each doc_id and text; which one of several stays is left open if other columns differ.
+
+    Repeated rows are counted by their text's sha256, so that only their own texts are shuffled.
+    """
+    names = documents.columns
+    keys = [F.col("__talespan_id"), F.col("__talespan_text")]
+    many = materialize(documents.select(*_row_key()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    keyed = documents.select("*", *_row_key())
+    on = ["__talespan_id", "__talespan_text"]
+    single, several = _beside(keyed, many, on, "left_anti"), _beside(keyed, many, on, "left_semi")
+    # first() of whole rows is added up in each task before it is shuffled, so a row that is a third of all is no burden
+    whole = several.groupBy(*on).agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return single.select(*names).unionByName(whole)
+
+
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Documents without those that link, over links, to one with a smaller doc_id."""
+    """Documents without those that link, over links, to one with a smaller doc_id, and without repeated rows."""
     drop = materialize(classes(documents, shingle).where("component_id < doc_id or (component_id is null and doc_id is not null)").select("doc_id").distinct())
-    return _beside(documents, drop, "doc_id", "left_anti").select(*documents.columns)
+    return _beside(one_row_each(documents), drop, "doc_id", "left_anti").select(*documents.columns)

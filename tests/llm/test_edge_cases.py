@@ -89,6 +89,22 @@ def test_near_duplicates(docs):
     assert near_duplicates.one_of_each(docs).columns == docs.columns
 
 
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "a b c", 7), (1, "a b c", 7), (1, "a b c", 8), (2, None, 1), (2, None, 1), (2, "", 1), (None, "x", 1), (None, "x", 1), (None, "y", 1), (3, "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    got = near_duplicates.one_of_each(docs).collect()
+    assert sorted(str((r["doc_id"], r["text"] or "")) for r in got) == sorted(map(str, [(1, "a b c"), (2, ""), (3, "z"), (None, "x"), (None, "y")]))
+    assert near_duplicates.one_row_each(docs.limit(0)).count() == 0
+
+
+def test_packing_refuses_wide_ids(docs, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, "w0")).save(str(tmp_path / "wide.json"))
+    with pytest.raises(ValueError, match="16 bits"):
+        packing.rests(docs, str(tmp_path / "wide.json"))
+
+
 def test_near_duplicates_random_families(spark):
     rng, rows = random.Random(11), []
     for f in range(14):
