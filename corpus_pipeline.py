@@ -2,6 +2,11 @@
 
 Stages take (spark, docs, sf_dir) and work on all that their predecessor kept. All but the last
 return the columns of documents; the last returns packed pieces.
+
+Defined results: null and empty texts pass the filters and are packed as their end id alone; a null doc_id is a document
+without labels and counts as the smallest among near copies; rows with equal doc_id and text stay once, whichever of them if other columns
+differ; other columns pass up to packing, whatever their names. No documents give no rows. Texts of any
+length pass whole. Each stage's files go once the next stage is written; those of the last stay, since the result reads them.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from talespan.llm import decontaminate, near_duplicates, packing, perplexity, substring_dedup
-from talespan.runtime import ensure_checkpoint_dir, table
+from talespan.runtime import drop_files, ensure_checkpoint_dir, table
 
 #: Pieces that packing's encoder keeps: a quarter of what it may, since it runs in workers that hold other stages' data.
 CACHE_PIECES = 200_000
@@ -58,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if i:
+            drop_files(spark, f"{folder}/{i - 1}")
     return docs

@@ -46,6 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_files(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a step wrote and nothing reads any more, by Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more.
 
