@@ -79,3 +79,10 @@ FROM x LEFT JOIN a p ON p.user_id = x.user_id AND p.seq = po LEFT JOIN a n ON n.
     "search_hits": f"WITH s AS ({STATEMENTS}), t AS (SELECT uid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM s), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t), post AS (SELECT uid, term, count(*) AS tf, any_value(l) AS l FROM (SELECT uid, len(terms) AS l, unnest(terms) AS term FROM t) WHERE term IN ('nicht', 'the', 'pour') GROUP BY uid, term), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), ts AS (SELECT uid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))), 6) AS score FROM post JOIN df USING (term), st GROUP BY uid), b AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM ts QUALIFY rank <= 15) SELECT rank, uid, interview, speaker, start_time, score FROM b JOIN s USING (uid)",
 }
 ORACLES |= roster_sql.ORACLES | scoring_sql.ORACLES | search_sql.ORACLES | transcript_sql.ORACLES
+ORACLES |= {
+    "speaker_turns": f"""WITH x AS ({ORACLES["sticky_speaker"]}), o AS (SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY conv_id ORDER BY seq) THEN 0 ELSE 1 END AS opens FROM x), n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS turn FROM o)
+SELECT conv_id, turn, any_value(speaker) AS speaker, string_agg(line, ' ' ORDER BY seq) AS text FROM n GROUP BY conv_id, turn""",
+    "phrase_places": f"""WITH p AS (SELECT conv_id, turn, heard AS h, truth[1:5] AS p FROM ({TURN_PAIRS})),
+t AS (SELECT conv_id, turn, list_filter(list_transform(range(len(p), greatest(least(len(p), 3), 1) - 1, -1), lambda n: list_min(list_filter(range(1, len(h) - n + 2), lambda i: h[i:i + n - 1] = p[1:n]))), lambda x: x IS NOT NULL) AS hit FROM p)
+SELECT conv_id, turn, coalesce(hit[1] - 1, -1) AS place FROM t""",
+}
