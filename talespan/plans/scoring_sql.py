@@ -1,5 +1,7 @@
 """DuckDB SQL of the scoring queries: tokens, anchoring, edit scripts and what the reports derive from them."""
 
+from talespan.functions.text import FILLER_PHRASES, FILLERS
+
 #: (k, truth, heard) of the turn pairs, and of recordings.
 TURN_PAIRS = "SELECT a.conv_id * 1000 + a.turn AS k, string_split(lower(a.text), ' ') AS truth, string_split(lower(b.text), ' ') AS heard FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
@@ -103,8 +105,21 @@ SELECT k AS conv_id, 4 AS harness_version, coalesce(subs, 0) AS subs, coalesce(d
   CAST((SELECT count(*) FROM lr WHERE lr.k = rec.k) AS INT) AS terms, CAST((SELECT count(*) FROM place WHERE place.k = rec.k) AS INT) AS found_anchors, CAST(words AS INT) AS words, CAST(confidence AS INT) AS anchor_confidence, partial AS partial_coverage, coalesce(top_substitution, '') AS top_substitution
 FROM rec JOIN sp USING (k) JOIN overall USING (k) JOIN stats USING (k) LEFT JOIN err USING (k) LEFT JOIN spk USING (k) LEFT JOIN longest USING (k) LEFT JOIN top USING (k)"""
 
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+INSERTIONS = f"""{TURN_OPS},
+around AS (SELECT k, idx, op, heard, lag(CASE WHEN op = 'match' THEN truth END) OVER o AS b, lead(CASE WHEN op = 'match' THEN truth END) OVER o AS a FROM ops WINDOW o AS (PARTITION BY k ORDER BY idx)),
+runs AS MATERIALIZED (SELECT k, grp, list(heard ORDER BY idx) AS w, arg_min(b, idx) AS b, arg_max(a, idx) AS a FROM (SELECT *, idx - row_number() OVER (PARTITION BY k ORDER BY idx) AS grp FROM around WHERE op = 'ins') GROUP BY k, grp),
+walk AS (
+  SELECT k, grp, w, a, b, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS filler, CAST(0 AS BIGINT) AS content FROM runs
+  UNION ALL
+  SELECT k, grp, w, a, b, pos + greatest(light, 1), filler + light, content + CAST(light = 0 AS BIGINT) FROM (
+    SELECT *, CAST(coalesce(list_max(list_transform(list_filter([{", ".join(_list(p) for p in FILLER_PHRASES)}], lambda p: w[pos:pos + len(p) - 1] = p), lambda p: len(p))), CAST(list_contains({_list(FILLERS)}, w[pos]) OR coalesce(w[pos] = a, false) OR coalesce(w[pos] = b, false) AS INT)) AS BIGINT) AS light FROM walk WHERE pos <= len(w))),
+done AS (SELECT k, sum(filler) AS filler, sum(content) AS content FROM walk WHERE pos > len(w) GROUP BY k)
+SELECT p.k // 1000 AS conv_id, p.k % 1000 AS turn, CAST(coalesce(filler, 0) AS BIGINT) AS filler, CAST(coalesce(content, 0) AS BIGINT) AS content FROM (SELECT DISTINCT k FROM ops) p LEFT JOIN done USING (k)"""
+
 ORACLES = {
     "scorecards": CARD,
+    "insertion_classes": INSERTIONS,
     "align_ops": f"{TURN_OPS} SELECT k // 1000 AS conv_id, k % 1000 AS turn, CAST(idx AS INT) AS idx, op, truth, heard FROM ops",
     "wer_from_ops": f"{TURN_OPS} SELECT k // 1000 AS conv_id, k % 1000 AS turn, {_WER} FROM ops GROUP BY k",
     "error_taxonomy": f"{TURN_OPS}, n AS (SELECT op, coalesce(truth, '') AS truth, coalesce(heard, '') AS heard, count(*) AS n FROM ops WHERE op <> 'match' GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY op ORDER BY n DESC, truth, heard) AS INT) AS rn FROM n QUALIFY rn <= 40",

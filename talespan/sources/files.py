@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talespan import schema
+from talespan.functions.normal import normalized
 from talespan.functions.text import timecode_seconds
 from talespan.runtime import ship
 
@@ -35,9 +36,11 @@ def config(json: Column) -> Column:
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """pos and term of a word list: comments and blanks left out, the first of equal terms kept."""
+    """pos, term and words (its tokens) of a word list: comments and blanks left out, the first of terms with equal tokens kept."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "term")).withColumn("term", F.trim("term"))
-    return rows.where("term <> '' and term not like '#%'").groupBy(F.lower("term").alias("token")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos")).select("pos", "term")
+    ship(spark)
+    tokens = normalized(rows.where("term <> '' and term not like '#%'"), "term", "words").where(F.size("words") > 0)
+    return tokens.groupBy("words").agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos")).select("pos", "term", "words")
 
 
 def turns(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +64,19 @@ def terms(spark: SparkSession, path: str, tier: str = "1") -> list[str]:
     return [r["pattern"] for r in spark.read.schema("tier string, pattern string").csv(path, sep="\t").where(F.col("tier") == tier).collect()]
 
 
+def _pcm(data: bytes, width: int) -> np.ndarray:
+    """Samples in -1..1 of PCM data of one to four bytes a sample; single bytes are unsigned."""
+    if width == 1:
+        return np.frombuffer(data, dtype=np.uint8) / 128.0 - 1.0
+    if width == 3:
+        wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+        wide[:, 1:] = np.frombuffer(data, dtype=np.uint8)[: len(data) // 3 * 3].reshape(-1, 3)
+        return wide.reshape(-1).view("<i4") / 2147483648.0
+    return np.frombuffer(data, dtype=f"<i{width}") / float(1 << (8 * width - 1))
+
+
 def wav(spark: SparkSession, path: str) -> DataFrame:
-    """file, rate, channels and interleaved samples in -1..1 of 16-bit PCM files."""
+    """file, rate, channels and interleaved samples in -1..1 of PCM files of 8, 16, 24 or 32 bits; another file is an error."""
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,8 +84,7 @@ def wav(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 with wave.open(io.BytesIO(content)) as w:
-                    data = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2") / 32768.0
-                    rows.append((name, w.getframerate(), w.getnchannels(), data.tolist()))
+                    rows.append((name, w.getframerate(), w.getnchannels(), _pcm(w.readframes(w.getnframes()), w.getsampwidth()).tolist()))
             yield pd.DataFrame(rows, columns=["file", "rate", "channels", "samples"])
 
     out = T.StructType().add("file", "string").add("rate", "long").add("channels", "long").add("samples", T.ArrayType(T.DoubleType()))

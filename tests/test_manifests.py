@@ -1,6 +1,7 @@
 """Normalisation as columns, rosters, manifests, differences, results, parameters and diagnostics on small cases."""
 
 import random
+import wave
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from talespan.functions import normal
 from talespan.functions.text import normalize_text
 from talespan.operators import corpus, speakers
 from talespan.runtime import ship
-from talespan.sources import manifests, sinks
+from talespan.sources import files, manifests, sinks
 
 
 def test_normalized_columns_equal_the_plain_function(spark):
@@ -56,6 +57,23 @@ def test_differences_and_results_are_written_once(spark, tmp_path):
         assert sorted((r["file"], r["n"]) for r in done.collect()) == [("x", 1), ("y", 2)]
 
 
+def test_lexicons_keep_the_first_of_equal_tokens(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("# list\nSilence = Death\n\nSILENCE = DEATH\nsilence equals death\nSilence Death\n...\nACT UP\n")
+    rows = files.lexicon(spark, str(tmp_path / "l.txt")).orderBy("pos").collect()
+    assert [(r["term"], r["words"]) for r in rows] == [("Silence = Death", ["silence", "equals", "death"]), ("Silence Death", ["silence", "death"]), ("ACT UP", ["act", "up"])]
+
+
+def test_wav_of_all_widths(spark, tmp_path):
+    for width, data in ((1, bytes([0, 128, 255])), (2, b"\x00\x80\x00\x00\x00\x40"), (3, b"\x00\x00\x80\x00\x00\x00\x00\x00\x40"), (4, b"\x00\x00\x00\x80\x00\x00\x00\x00\x00\x00\x00\x40")):
+        with wave.open(str(tmp_path / f"{width}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            w.writeframes(data)
+    got = {r["file"][-5]: (r["rate"], r["channels"], r["samples"]) for r in files.wav(spark, str(tmp_path)).collect()}
+    assert got == {"1": (8000, 1, [-1.0, 0.0, 127 / 128]), **{w: (8000, 1, [-1.0, 0.0, 0.5]) for w in "234"}}
+
+
 def test_vector_parameters_and_names(spark):
     rows = spark.createDataFrame([("Größe über alles hinaus", [0.5, -1.0]), ("one", None), ("", [1.0])], "t string, v array<double>")
     got = [r[0] for r in rows.select(sinks.vector_parameter(F.col("t"), F.col("v"), 2)).collect()]
