@@ -40,7 +40,7 @@ def _tokens(text: Column) -> Column:
 
 
 def normalized(rows: DataFrame, text: str, out: str = "tokens") -> DataFrame:
-    """Rows with the tokens of a text, as `functions.text.normalize` makes them; none for null. Python gets each row's different numerals."""
+    """Rows with the tokens of a text, as `functions.text.normalize_text` makes them; none for null. Python gets each row's different numerals."""
     parts = rows.withColumn("__tokens", _tokens(F.col(text))).withColumn("__numerals", F.array_distinct(F.filter("__tokens", lambda w: w.rlike("^[0-9]+$")))).withColumn("__spelled", _spelled("__numerals"))
     names = F.map_from_arrays("__numerals", "__spelled")
     named = parts.withColumn("__names", names).withColumn(out, F.flatten(F.transform("__tokens", lambda w: F.coalesce(F.try_element_at("__names", w), F.array(w)))))

@@ -98,7 +98,8 @@ def diagnostic(segments: DataFrame, key: list[str], order: str, vector: str, spe
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def best_names(labels: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Series:
-    """The naming of labels under which most turns are right; labels and names in order decide ties. Empty if there are more labels than names."""
+    """The naming of labels under which most turns are right; of equal ones the first, labels and names in order. Empty if there are
+    more labels than names, or none names a turn right."""
 
     def one(own: list[str], names: list[str], rows: list[dict]) -> dict[str, str]:
         if not own or len(own) > len(names):
@@ -107,7 +108,11 @@ def best_names(labels: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Seri
         for r in rows:
             if r["label"] is not None:
                 gain[own.index(r["label"]), names.index(r["name"])] = r["n"]
-        return {own[i]: names[j] for i, j in enumerate(assignment(gain))}
+        n, m = gain.shape
+        # among equal sums an early name for an early label counts most; with very many of both, ties are left as they come
+        early = (m - 1 - np.arange(m)) * float(m) ** (n - 1 - np.arange(n))[:, None] if n * np.log2(m) < 40 else 0.0
+        found = assignment(gain * float(m) ** n + early if n * np.log2(m) < 40 else gain)
+        return {own[i]: names[j] for i, j in enumerate(found)} if sum(gain[i, j] for i, j in enumerate(found)) else {}
 
     return pd.Series([one(sorted(x), sorted(y), z) for x, y, z in zip(labels, names, turns, strict=True)])
 

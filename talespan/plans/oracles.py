@@ -7,7 +7,6 @@ TICKS = "SELECT event_id, user_id, event_type, value, CAST(floor(epoch_us(ts) /
 WORDS = "SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS idx, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
 TURN_PAIRS = "SELECT a.conv_id, a.turn, string_split(lower(a.text), ' ') AS truth, string_split(lower(b.text), ' ') AS heard FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 SIDES = f"p AS ({TURN_PAIRS}), tt AS (SELECT conv_id, turn, unnest(range(len(truth))) AS idx, unnest(truth) AS truth FROM p), hh AS (SELECT conv_id, turn, unnest(range(len(heard))) AS idx, unnest(heard) AS heard FROM p)"
-OPS = f"{SIDES}, ops AS (SELECT coalesce(tt.conv_id, hh.conv_id) AS conv_id, coalesce(tt.turn, hh.turn) AS turn, coalesce(tt.idx, hh.idx) AS idx, CASE WHEN heard IS NULL THEN 'del' WHEN truth IS NULL THEN 'ins' WHEN truth = heard THEN 'match' ELSE 'sub' END AS op, truth, heard FROM tt FULL JOIN hh ON tt.conv_id = hh.conv_id AND tt.turn = hh.turn AND tt.idx = hh.idx)"
 TEXT_SCORES = """
 t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS terms FROM documents),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t),
@@ -85,4 +84,11 @@ SELECT conv_id, turn, any_value(speaker) AS speaker, string_agg(line, ' ' ORDER
     "phrase_places": f"""WITH p AS (SELECT conv_id, turn, heard AS h, truth[1:5] AS p FROM ({TURN_PAIRS})),
 t AS (SELECT conv_id, turn, list_filter(list_transform(range(len(p), greatest(least(len(p), 3), 1) - 1, -1), lambda n: list_min(list_filter(range(1, len(h) - n + 2), lambda i: h[i:i + n - 1] = p[1:n]))), lambda x: x IS NOT NULL) AS hit FROM p)
 SELECT conv_id, turn, coalesce(hit[1] - 1, -1) AS place FROM t""",
+    "diarization_score": f"""WITH t AS ({TICKS}), sp AS (SELECT user_id, seq, t, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS name, CASE WHEN event_type IN ('purchase', 'signup') THEN 'S1' ELSE 'S0' END AS label FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY seq) AS stop FROM t) WHERE stop > t),
+g AS (SELECT user_id, CAST(count(*) AS INT) AS turns, count(*) FILTER (WHERE label = 'S0' AND name = 'high') AS a, count(*) FILTER (WHERE label = 'S0' AND name = 'low') AS b, count(*) FILTER (WHERE label = 'S1' AND name = 'high') AS c, count(*) FILTER (WHERE label = 'S1' AND name = 'low') AS d FROM sp GROUP BY user_id),
+m AS (SELECT *, CASE WHEN a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0 THEN CASE WHEN a + d >= b + c THEN 'S0=high;S1=low' ELSE 'S0=low;S1=high' END WHEN a + b > 0 AND c + d > 0 THEN '' WHEN a + b > 0 THEN CASE WHEN a >= b THEN 'S0=high' ELSE 'S0=low' END ELSE CASE WHEN c >= d THEN 'S1=high' ELSE 'S1=low' END END AS mapping FROM g),
+r AS (SELECT DISTINCT user_id, t FROM (SELECT *, lag(name) OVER (PARTITION BY user_id ORDER BY t, seq) AS was FROM sp) WHERE was <> name),
+q AS (SELECT user_id, t FROM (SELECT *, lag(label) OVER (PARTITION BY user_id ORDER BY t, label) AS was FROM sp) WHERE was <> label),
+h AS (SELECT user_id, count(*) AS changes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM q WHERE q.user_id = r.user_id AND abs(q.t - r.t) <= 3600)) AS detected FROM r GROUP BY user_id)
+SELECT user_id, turns, round(CASE mapping WHEN 'S0=high;S1=low' THEN a + d WHEN 'S0=low;S1=high' THEN b + c WHEN 'S0=high' THEN a WHEN 'S0=low' THEN b WHEN 'S1=high' THEN c WHEN 'S1=low' THEN d ELSE 0 END / turns, 6) AS accuracy, mapping, coalesce(changes, 0) AS changes, coalesce(detected, 0) AS detected FROM m LEFT JOIN h USING (user_id)""",
 }

@@ -40,14 +40,6 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("w").alias("truth")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard")), ["conv_id", "turn"])
 
 
-def positional_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits by place: an ops table that SQL can make too."""
-    pairs = turn_pairs(spark, sf_dir)
-    side = lambda c: pairs.select("conv_id", "turn", F.posexplode(c).alias("idx", c))
-    op = F.when(F.col("heard").isNull(), "del").when(F.col("truth").isNull(), "ins").when(F.col("truth") == F.col("heard"), "match").otherwise("sub")
-    return side("truth").join(side("heard"), ["conv_id", "turn", "idx"], "full").select("conv_id", "turn", "idx", op.alias("op"), "truth", "heard")
-
-
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations; a participant's first line has a tag, system lines have none."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("p", "line"))

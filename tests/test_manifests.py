@@ -86,5 +86,5 @@ def test_diagnostic_and_best_names(spark):
     got = {r["rec"]: r for r in speakers.diagnostic(rows, ["rec"], "i", "v", "who").collect()}
     assert (got[1]["vectors"], got[1]["mean_norm"], got[1]["same_pairs"], got[1]["other_pairs"], got[1]["same_distance"], got[1]["other_distance"]) == (3, 5.0, 1, 2, 0.0, 1.0)
     assert (got[2]["vectors"], got[2]["same_pairs"], got[2]["same_distance"]) == (1, 0, None)
-    cases = spark.createDataFrame([(["S0", "S1"], ["x", "y"], [("S0", "y", 5), ("S1", "y", 6), ("S1", "x", 4)]), (["S0", "S1"], ["x"], [("S0", "x", 1)]), ([], ["x"], [])], "l array<string>, n array<string>, t array<struct<label:string,name:string,n:long>>")
-    assert [r[0] for r in cases.select(speakers.best_names("l", "n", "t")).collect()] == [{"S0": "y", "S1": "x"}, {}, {}]
+    cases = spark.createDataFrame([(["S0", "S1"], ["x", "y"], [("S0", "y", 5), ("S1", "y", 6), ("S1", "x", 4)]), (["S0", "S1"], ["x"], [("S0", "x", 1)]), ([], ["x"], []), (["S0", "S1"], ["x", "y", "z"], [("S0", "y", 2), ("S0", "x", 2), ("S1", "x", 2), ("S1", "y", 2)]), (["S0"], ["x"], [(None, "x", 3)])], "l array<string>, n array<string>, t array<struct<label:string,name:string,n:long>>")
+    assert [r[0] for r in cases.select(speakers.best_names("l", "n", "t")).collect()] == [{"S0": "y", "S1": "x"}, {}, {}, {"S0": "x", "S1": "y"}, {}]
