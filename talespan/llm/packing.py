@@ -65,7 +65,7 @@ def lexical_key(ids: np.ndarray) -> int:
     return int(mix(pairs + np.uint64(1)).min() >> np.uint64(1)) if len(pairs) else 0
 
 
-def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     """One row a document: its length, the checksums of its full windows, and the ids that are left."""
     ship(documents.sparkSession)
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
@@ -76,7 +76,7 @@ def rests(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, "<u2", cache_pieces=cache_pieces)
         for batch in batches:
-            for rows, _ in chunks(batch, limit=ENCODED_BYTES):
+            for rows, _ in chunks(batch, limit=encoded_bytes):
                 total, full, left, key = [], [], [], []
                 for data in encode.encode(rows.column(1).to_pylist()):
                     data += end
@@ -225,10 +225,10 @@ def fill(block: list[Rest], window: int, last: bool, corpus: tuple[int, np.ndarr
     return windows, kept
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, block_rests: int = BLOCK_RESTS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, block_rests: int = BLOCK_RESTS, cache_pieces: int = CACHE_PIECES, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
-    encoded = materialize(rests(documents, tokenizer, window, end_id, cache_pieces))
+    encoded = materialize(rests(documents, tokenizer, window, end_id, cache_pieces, encoded_bytes))
     counted = statistics(encoded)
     shards = max(1, -(-counted[0] // SHARD_RESTS))
     corpus = spark.sparkContext.broadcast(counted)
