@@ -312,13 +312,15 @@ class Search:
 
     def best(self, queries: DataFrame, k: int) -> DataFrame:
         """The first k rows (anchor, top, score, id, rank) of each window of the queries (row, id, label, vector, windows), materialised."""
+        rank = F.row_number().over(_by("anchor", "top"))
         near = materialize(self._ask(queries, True))
+        if self.index.shards == 1:  # there is no other one to ask
+            return materialize(near.withColumn("rank", rank))
         full = near.groupBy("anchor", "top").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("found"))
         window = queries.select("row", F.explode("windows").alias("w")).select("row", "w.top", "w.need")
         known = window.join(full, (window["row"] == full["anchor"]) & window["top"].eqNullSafe(full["top"]), "left")
         windows = known.select(window["row"], F.struct(window["top"], F.greatest("need", "found").alias("need")).alias("w")).groupBy("row").agg(F.collect_list("w").alias("windows"))
         far = self._ask(queries.drop("windows").join(windows, "row"), False)
-        rank = F.row_number().over(_by("anchor", "top"))
         return materialize(near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k))
 
 
