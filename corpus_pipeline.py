@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from talespan.llm import decontaminate, near_duplicates, packing, perplexity, substring_dedup
 from talespan.runtime import drop_files, ensure_checkpoint_dir, table
 
-#: Pieces that packing's encoder keeps: a quarter of what it may, since it runs in workers that hold other stages' data.
-CACHE_PIECES = 200_000
+#: Pieces that packing's encoder keeps and bytes of texts that it takes at once: less than it may, since it runs in workers that hold other stages' data.
+CACHE_PIECES, ENCODED_BYTES = 100_000, 2 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into windows of token ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_pieces=CACHE_PIECES)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_pieces=CACHE_PIECES, encoded_bytes=ENCODED_BYTES)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", shared_passages), ("benchmark decontamination", benchmark_passages), ("lexical packing", windows)]
