@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talespan.operators import evaluate
+from talespan.runtime import materialize
 
 # Fixed values of the reports.
 VERSION, CONFUSIONS, RANKED, GRID_SECONDS, GRID_SLACK, LEAST_PREFIX = 4, 6, 40, 30.0, 0.1, 3
@@ -28,7 +29,7 @@ def _array(name: str, kind: str = _TOKENS) -> Column:
 
 def heard_tokens(segments: Column) -> Column:
     """Tokens of all segments."""
-    return F.coalesce(F.flatten(F.transform(segments, lambda s: F.coalesce(s["tokens"], F.array().cast(_TOKENS)))), F.array().cast(_TOKENS))
+    return F.coalesce(F.flatten(F.transform(segments["tokens"], lambda t: F.coalesce(t, F.array().cast(_TOKENS)))), F.array().cast(_TOKENS))
 
 
 def pairs(recordings: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,13 +44,11 @@ def spans(recordings: DataFrame, keys: list[str]) -> DataFrame:
 
 def edits(recordings: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Edit script between the ranges: idx, op, truth, heard, and the places `truth_pos` and `heard_pos` in the
-    whole streams before which the edit stands, from running counts of what each edit uses up."""
+    whole streams before which the edit stands."""
     cut = pairs(recordings, keys).join(ranges, keys)
     part = lambda c, x, y: F.slice(c, F.col(x) + 1, F.col(y) - F.col(x))
-    ops = cut.select(*keys, "t0", "h0", F.posexplode(evaluate.align(part("truth", "t0", "t1"), part("heard", "h0", "h1"))).alias("idx", "o"))
-    before = W.partitionBy(*keys).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    used = lambda base, skip: F.col(base) + F.coalesce(F.count_if(F.col("o.op") != skip).over(before), F.lit(0))
-    return ops.select(*keys, "idx", "o.*", used("t0", "ins").alias("truth_pos"), used("h0", "del").alias("heard_pos"))
+    ops = evaluate.scripts(cut.select(*keys, "t0", "h0", part("truth", "t0", "t1").alias("truth"), part("heard", "h0", "h1").alias("heard")), [*keys, "t0", "h0"])
+    return ops.select(*keys, "idx", "op", "truth", "heard", (F.col("t0") + F.col("truth_pos")).alias("truth_pos"), (F.col("h0") + F.col("heard_pos")).alias("heard_pos"))
 
 
 # --- terms ---------------------------------------------------------------------------------
@@ -79,7 +78,7 @@ def lexicon_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, ter
     expected = _occurrences(part("truth", "t0", "t1"), keys, sought, most).withColumnRenamed("n", "expected")
     heard = _occurrences(part("heard", "h0", "h1"), keys, sought, most).withColumnRenamed("n", "heard")
     rows = expected.join(heard, [*keys, "term_id"], "left").withColumn("found", F.least(F.coalesce("heard", F.lit(0)), "expected")).drop("heard")
-    rows = rows.join(sought.select("term_id", "term", "words"), "term_id")
+    rows = materialize(rows.join(sought.select("term_id", "term", "words"), "term_id"))  # a row for each recording and term that it has; both tables read it
     wrong = ops.where("op = 'sub'").select(*keys, F.col("truth").alias("token"), F.col("heard").alias("wrote")).distinct()
     missed = rows.where("found < expected").select(*keys, "term_id", F.explode(F.array_distinct("words")).alias("token"))
     confused = missed.join(wrong, [*keys, "token"]).groupBy(*keys, "term_id").agg(F.slice(F.array_sort(F.collect_set("wrote")), 1, CONFUSIONS).alias("confusions"))
@@ -194,7 +193,8 @@ def taxonomy_report(ops: DataFrame, keys: list[str]) -> DataFrame:
 def scorecards(recordings: DataFrame, terms: DataFrame, keys: list[str], ranges: DataFrame | None = None, ops: DataFrame | None = None) -> DataFrame:
     """One nested row a recording: wer, lexicon, drift, structure with speaker and time_slope, taxonomy, and how it was anchored.
 
-    ranges and ops: as `spans` and `edits` give them, where the caller has kept them; every part reads both.
+    ranges and ops: as `spans` and `edits` give them, where the caller has kept them; every part reads both. Each part, a row for a
+    recording, is kept before they are joined: one plan of all of them is more than a driver of common size holds.
     """
     ranges = spans(recordings, keys) if ranges is None else ranges
     ops = edits(recordings, ranges, keys) if ops is None else ops
@@ -205,5 +205,5 @@ def scorecards(recordings: DataFrame, terms: DataFrame, keys: list[str], ranges:
     out = ranges.select(*keys, "confidence", F.array("t0", "t1").alias("anchored_truth_range"), F.array("h0", "h1").alias("anchored_hyp_range"), F.col("partial").alias("partial_coverage"))
     parts = [named(error_report(recordings, ranges, ops, keys), "wer"), whole.select(*keys, "recall"), listed(each, "rank", "terms"), listed(drift, "at", "drift"), structure_report(recordings, keys).join(slope, keys, "left").join(named(speaker_report(recordings, ops, keys), "speaker"), keys, "left").transform(lambda df: named(df, "structure")), named(taxonomy_report(ops, keys), "taxonomy")]
     for part in parts:
-        out = out.join(part, keys, "left")
+        out = out.join(materialize(part), keys, "left")
     return out.select(*keys, F.lit(VERSION).alias("harness_version"), "wer", F.struct("recall", F.coalesce("terms", F.array().cast(out.schema["terms"].dataType)).alias("terms")).alias("lexicon"), "drift", "structure", F.col("confidence").alias("anchor_confidence"), "anchored_truth_range", "anchored_hyp_range", "partial_coverage", "taxonomy")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from talespan.operators import evaluate, scoring
@@ -127,3 +128,26 @@ def test_edit_script_is_that_of_the_whole_matrix():
         assert evaluate.edit_script(a, b) == plain_script(a, b)
     long = ["w%d" % (i % 700) for i in range(3000)]
     assert all(o[0] == "match" for o in evaluate.edit_script(long, long))
+
+
+def test_scripts_leave_a_task_some_edits_at_a_time(monkeypatch):
+    monkeypatch.setattr(evaluate, "EDITS_AT_ONCE", 50)
+    rng = random.Random(2)
+    pairs = [[[rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(0, 24))] for _ in range(2)] for _ in range(40)] + [[None, ["a"]], [["b"], None]]
+    given = pa.RecordBatch.from_pydict({"k": list(range(len(pairs))), "truth": pa.array([p[0] for p in pairs], pa.list_(pa.string())), "heard": pa.array([p[1] for p in pairs], pa.list_(pa.string()))})
+    out = list(evaluate._scripts([given]))
+    assert len(out) > 5 and max(b.num_rows for b in out) < 100
+    rows = [r for b in out for r in b.to_pylist()]
+    for k, (t, h) in enumerate(pairs):
+        mine = [r for r in rows if r["k"] == k]
+        assert [(r["op"], r["truth"], r["heard"]) for r in mine] == plain_script(t or [], h or [])
+        assert [r["idx"] for r in mine] == list(range(len(mine)))
+        assert [r["truth_pos"] for r in mine] == [sum(x["op"] != "ins" for x in mine[:i]) for i in range(len(mine))]
+
+
+def test_edit_script_in_blocks(monkeypatch):
+    monkeypatch.setattr(evaluate, "KEPT_CELLS", 1)
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 60))] for _ in range(2))
+        assert evaluate.edit_script(a, b) == plain_script(a, b)
