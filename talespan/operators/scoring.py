@@ -45,7 +45,7 @@ def spans(recordings: DataFrame, keys: list[str]) -> DataFrame:
 def edits(recordings: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Edit script between the ranges: idx, op, truth, heard, and the places `truth_pos` and `heard_pos` in the
     whole streams before which the edit stands."""
-    cut = pairs(recordings, keys).join(ranges, keys)
+    cut = pairs(recordings, keys).hint("merge").join(ranges, keys)
     part = lambda c, x, y: F.slice(c, F.col(x) + 1, F.col(y) - F.col(x))
     ops = evaluate.scripts(cut.select(*keys, "t0", "h0", part("truth", "t0", "t1").alias("truth"), part("heard", "h0", "h1").alias("heard")), [*keys, "t0", "h0"])
     return ops.select(*keys, "idx", "op", "truth", "heard", (F.col("t0") + F.col("truth_pos")).alias("truth_pos"), (F.col("h0") + F.col("heard_pos")).alias("heard_pos"))
@@ -73,7 +73,7 @@ def lexicon_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, ter
     """
     sought = terms.where(F.size("words") > 0).select("term_id", "term", "words", F.element_at("words", 1).alias("first"))
     most = sought.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
-    cut = pairs(recordings, keys).join(ranges, keys)
+    cut = pairs(recordings, keys).hint("merge").join(ranges, keys)
     part = lambda c, x, y: cut.select(*keys, F.slice(c, F.col(x) + 1, F.col(y) - F.col(x)).alias("tokens"))
     expected = _occurrences(part("truth", "t0", "t1"), keys, sought, most).withColumnRenamed("n", "expected")
     heard = _occurrences(part("heard", "h0", "h1"), keys, sought, most).withColumnRenamed("n", "heard")
@@ -81,7 +81,7 @@ def lexicon_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, ter
     rows = materialize(rows.join(sought.select("term_id", "term", "words"), "term_id"))  # a row for each recording and term that it has; both tables read it
     wrong = ops.where("op = 'sub'").select(*keys, F.col("truth").alias("token"), F.col("heard").alias("wrote")).distinct()
     missed = rows.where("found < expected").select(*keys, "term_id", F.explode(F.array_distinct("words")).alias("token"))
-    confused = missed.join(wrong, [*keys, "token"]).groupBy(*keys, "term_id").agg(F.slice(F.array_sort(F.collect_set("wrote")), 1, CONFUSIONS).alias("confusions"))
+    confused = missed.join(wrong.hint("merge"), [*keys, "token"]).groupBy(*keys, "term_id").agg(F.slice(F.array_sort(F.collect_set("wrote")), 1, CONFUSIONS).alias("confusions"))
     by = W.partitionBy(*keys).orderBy(F.desc(F.col("expected") - F.col("found")), F.desc("expected"), "term_id")
     each = rows.join(confused, [*keys, "term_id"], "left").select(*keys, F.row_number().over(by).alias("rank"), "term", "expected", "found", _array("confusions").alias("confusions"))
     sums = rows.groupBy(*keys).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"))
@@ -104,11 +104,11 @@ def located(recordings: DataFrame, keys: list[str]) -> DataFrame:
     ranges = evaluate.anchors(streams.select(*keys, "truth", F.col("timed.token").alias("heard")), keys)
     marks = recordings.select(*keys, F.posexplode("anchors").alias("at", "a")).select(*keys, "at", "a.*")
     most = marks.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
-    shared = streams.join(ranges, keys).select(*keys, F.slice("timed", F.col("h0") + 1, F.col("h1") - F.col("h0")).alias("s"))
+    shared = streams.hint("merge").join(ranges, keys).select(*keys, F.slice("timed", F.col("h0") + 1, F.col("h1") - F.col("h0")).alias("s"))
     near = F.transform("s", lambda w, i: F.struct(i.alias("pos"), w["token"].alias("token"), w["start"].alias("start"), F.slice(F.col("s.token"), i + 1, most).alias("next")))
     sought = marks.where(F.size("phrase") > 0).select(*keys, "at", "phrase", F.element_at("phrase", 1).alias("token"))
     equal = F.aggregate(F.arrays_zip("next", "phrase"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, z: F.struct((s["n"] + (s["on"] & (z["next"] == z["phrase"]).eqNullSafe(True)).cast("int")).alias("n"), (s["on"] & (z["next"] == z["phrase"]).eqNullSafe(True)).alias("on")))
-    met = shared.select(*keys, F.inline(near)).join(sought, [*keys, "token"]).withColumn("length", equal["n"]).where(F.col("length") >= F.least(F.lit(LEAST_PREFIX), F.size("phrase")))
+    met = shared.select(*keys, F.inline(near)).join(sought.hint("merge"), [*keys, "token"]).withColumn("length", equal["n"]).where(F.col("length") >= F.least(F.lit(LEAST_PREFIX), F.size("phrase")))
     best = met.groupBy(*keys, "at").agg(F.max(F.struct("length", -F.col("pos"), "start"))["start"].alias("media_seconds"))
     return marks.drop("phrase").join(best, [*keys, "at"], "left")
 
@@ -141,8 +141,8 @@ def speaker_report(recordings: DataFrame, ops: DataFrame, keys: list[str]) -> Da
     place = F.row_number().over(W.partitionBy(*keys).orderBy("part", "i")) - 1
     truth = run("turns", "speaker").withColumn("pos", place).select(*keys, "pos", "speaker")
     heard = run("segments", "part").withColumn("heard_pos", place).select(*keys, "heard_pos", F.col("of").alias("seg"))
-    matched = ops.where("op = 'match'").select(*keys, F.col("truth_pos").alias("pos"), "heard_pos").join(heard, [*keys, "heard_pos"])
-    positions = truth.join(fair.select(*keys), keys, "left_semi").join(matched, [*keys, "pos"], "left")
+    matched = ops.where("op = 'match'").select(*keys, F.col("truth_pos").alias("pos"), "heard_pos").join(heard.hint("merge"), [*keys, "heard_pos"])
+    positions = truth.join(fair.select(*keys), keys, "left_semi").join(matched.hint("merge"), [*keys, "pos"], "left")
     found = evaluate.speaker_boundaries(positions, keys).where("changes > 0").join(fair, keys)
     chance = F.col("changes") * F.col("segments") / F.col("m")
     return found.select(*keys, "changes", "covered", (F.col("changes") - F.col("covered")).alias("bleed"), chance.alias("expected_by_chance"), (F.col("covered") / chance).alias("lift"), (F.col("m") / F.col("segments")).alias("mean_segment_tokens"))
@@ -205,5 +205,5 @@ def scorecards(recordings: DataFrame, terms: DataFrame, keys: list[str], ranges:
     out = ranges.select(*keys, "confidence", F.array("t0", "t1").alias("anchored_truth_range"), F.array("h0", "h1").alias("anchored_hyp_range"), F.col("partial").alias("partial_coverage"))
     parts = [named(error_report(recordings, ranges, ops, keys), "wer"), whole.select(*keys, "recall"), listed(each, "rank", "terms"), listed(drift, "at", "drift"), structure_report(recordings, keys).join(slope, keys, "left").join(named(speaker_report(recordings, ops, keys), "speaker"), keys, "left").transform(lambda df: named(df, "structure")), named(taxonomy_report(ops, keys), "taxonomy")]
     for part in parts:
-        out = out.join(materialize(part), keys, "left")
+        out = out.join(materialize(part).hint("merge"), keys, "left")
     return out.select(*keys, F.lit(VERSION).alias("harness_version"), "wer", F.struct("recall", F.coalesce("terms", F.array().cast(out.schema["terms"].dataType)).alias("terms")).alias("lexicon"), "drift", "structure", F.col("confidence").alias("anchor_confidence"), "anchored_truth_range", "anchored_hyp_range", "partial_coverage", "taxonomy")

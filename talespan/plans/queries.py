@@ -12,7 +12,7 @@ from talespan.functions import normal
 from talespan.functions import text as tx
 from talespan.operators import archive, assembly, corpus, evaluate, frames, fulltext, graph, intervals, scoring, signals, speakers, transcripts, words
 from talespan.plans import views
-from talespan.runtime import materialize, ship, table
+from talespan.runtime import keep, materialize, ship, table
 from talespan.sources import manifests, sinks
 from talespan.streaming import jobs
 
@@ -414,11 +414,11 @@ KEY = ["conv_id"]
 
 
 def _scored(spark, d):
-    """Recordings, their common ranges and edit scripts; kept, since every report reads them."""
+    """Recordings and their common ranges, kept, since every report reads them, and edit scripts, which one report reads."""
     ship(spark)
-    rows = views.recordings(spark, d)
+    rows = keep(views.recordings(spark, d))
     ranges = materialize(scoring.spans(rows, KEY))
-    return rows, ranges, materialize(scoring.edits(rows, ranges, KEY))
+    return rows, ranges, scoring.edits(rows, ranges, KEY)
 
 
 @query
@@ -449,7 +449,7 @@ def lexicon_overall(spark, d):
 
 @query
 def tape_drift(spark, d):
-    rows, slope = scoring.drift_report(scoring.located(views.recordings(spark, d), KEY), KEY)
+    rows, slope = scoring.drift_report(scoring.located(keep(views.recordings(spark, d)), KEY), KEY)
     every = lambda c, n: F.coalesce(F.round(c, n), F.lit(-999.0)).alias(c)
     return rows.join(slope, KEY, "left").select(*KEY, F.col("at").alias("mark"), "tape", "label", "tape_seconds", every("media_seconds", 3), (every("residual", 4) + 0.0).alias("residual"), every("time_slope", 5))
 
@@ -463,7 +463,7 @@ def structure_words(spark, d):
 @query
 def scorecards(spark, d):
     rows, ranges, ops = _scored(spark, d)
-    card = scoring.scorecards(rows, views.lexicon(spark), KEY, ranges, ops)
+    card = scoring.scorecards(rows, views.lexicon(spark), KEY, ranges, keep(ops))
     first = F.element_at("taxonomy.substitutions", 1)
     known = {"time_slope": F.round("structure.time_slope", 5), "covered": F.col("structure.speaker.covered"), "recall": F.round("lexicon.recall", 6)}
     return card.select(

@@ -37,7 +37,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each turn of a conversation and of the next one, as truth and heard."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("w"))
     # joined on the turn too, so that one long conversation spreads over the tasks
-    return c.select("conv_id", "turn", F.col("w").alias("truth")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard")), ["conv_id", "turn"])
+    return c.select("conv_id", "turn", F.col("w").alias("truth")).hint("merge").join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard")), ["conv_id", "turn"])
 
 
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_order = lambda c, name: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[name])
     said = c.groupBy("conv_id").agg(in_order(F.struct("turn", F.struct(F.col("role").alias("speaker"), "tokens").alias("t")), "t").alias("turns"))
     heard = c.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(in_order(segment, "s").alias("segments"))
-    rows = said.join(heard, "conv_id").withColumn("_t", F.flatten("turns.tokens")).withColumn("_h", F.flatten("segments.tokens"))
+    rows = said.hint("merge").join(heard, "conv_id").withColumn("_t", F.flatten("turns.tokens")).withColumn("_h", F.flatten("segments.tokens"))
     # some phrases begin as they are heard and go on as in the transcript, some are never heard
     mark = lambda j: F.struct((F.lit(j) % 2 + 1).alias("tape"), F.format_string("mark %d", F.lit(j)).alias("label"), F.lit(j * 30.0).alias("tape_seconds"), (F.concat(F.slice("_h", 40 * j + 1, 3), F.slice("_t", 40 * j + 1, 4)) if j < 6 else F.slice("_t", 1, j - 5)).alias("phrase"))
     extra = F.when(F.col("conv_id") % 10 == 3, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))

@@ -151,3 +151,11 @@ def test_edit_script_in_blocks(monkeypatch):
     for _ in range(100):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 60))] for _ in range(2))
         assert evaluate.edit_script(a, b) == plain_script(a, b)
+
+
+def test_tokens_are_not_broadcast(spark):
+    rec = recording(spark, "a b c", [segment("a b c")], [("A", ["a", "b", "c"])])
+    ranges = scoring.spans(rec, KEY)
+    joins = lambda df: [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x and "token" in x for x in joins(ranges))
+    assert any("SortMergeJoin" in x and "heard_pos" in x for x in joins(scoring.speaker_report(rec, scoring.edits(rec, ranges, KEY), KEY)))
