@@ -43,10 +43,15 @@ def carry_time(words: DataFrame, key: list[str], at: str, segment_start: str) ->
 
 def suspects(words: Column, most: float = 0.05, around: int = 3) -> Column:
     """The first word with p at most `most` and its neighbours, the word itself in « »."""
-    place = F.array_position(F.transform(words, lambda w: (w["p"] <= most).cast("int")), 1)
-    first = F.greatest(place - around, F.lit(1))
-    context = F.transform(F.slice(words, first.cast("int"), (F.least(place + around, F.size(words)) - first + 1).cast("int")), lambda w, i: F.when(i + first == place, F.concat(F.lit("«"), w["word"], F.lit("»"))).otherwise(w["word"]))
-    return F.when(place > 0, F.array_join(context, " "))
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  a value inside a lambda is made anew for each word otherwise
+
+    def context(all_words: Column, place: Column) -> Column:
+        first = F.greatest(place - around, F.lit(1))
+        near = F.slice(all_words, first.cast("int"), (F.least(place + around, F.size(all_words)) - first + 1).cast("int"))
+        return F.array_join(F.transform(near, lambda w, i: F.when(i + first == place, F.concat(F.lit("«"), w["word"], F.lit("»"))).otherwise(w["word"])), " ")
+
+    place = lambda all_words: F.array_position(F.transform(all_words, lambda w: (w["p"] <= most).cast("int")), 1)
+    return once(words, lambda ws: once(place(ws), lambda at: F.when(at > 0, context(ws, at))))
 
 
 def to_mono(samples: DataFrame, key: list[str], channels: int) -> DataFrame:

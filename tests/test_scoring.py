@@ -4,8 +4,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from talespan.operators import evaluate, scoring
+from talespan.operators import evaluate, scoring, words
 from talespan.runtime import ship
 
 SCHEMA = """conv_id int, truth array<string>, turns array<struct<speaker:string,tokens:array<string>>>,
@@ -159,3 +160,10 @@ def test_tokens_are_not_broadcast(spark):
     joins = lambda df: [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
     assert any("SortMergeJoin" in x and "token" in x for x in joins(ranges))
     assert any("SortMergeJoin" in x and "heard_pos" in x for x in joins(scoring.speaker_report(rec, scoring.edits(rec, ranges, KEY), KEY)))
+
+
+def test_place_of_a_suspect_is_sought_once(spark):
+    rows = spark.createDataFrame([(1, [("a", 0.9), ("b", 0.01), ("c", 0.5)]), (2, [("a", 0.9)]), (3, None), (4, [])], "k int, w array<struct<word:string,p:double>>")
+    found = rows.select("k", words.suspects(F.col("w")).alias("context"))
+    assert [r["context"] for r in found.orderBy("k").collect()] == ["a «b» c", None, None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
