@@ -103,19 +103,20 @@ def located(recordings: DataFrame, keys: list[str]) -> DataFrame:
     streams = recordings.select(*keys, _array("truth").alias("truth"), F.coalesce(timed, F.array().cast("array<struct<token:string,start:double>>")).alias("timed"))
     ranges = evaluate.anchors(streams.select(*keys, "truth", F.col("timed.token").alias("heard")), keys)
     marks = recordings.select(*keys, F.posexplode("anchors").alias("at", "a")).select(*keys, "at", "a.*")
-    most = marks.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
-    shared = streams.hint("merge").join(ranges, keys).select(*keys, F.slice("timed", F.col("h0") + 1, F.col("h1") - F.col("h0")).alias("s"))
-    near = F.transform("s", lambda w, i: F.struct(i.alias("pos"), w["token"].alias("token"), w["start"].alias("start"), F.slice(F.col("s.token"), i + 1, most).alias("next")))
-    sought = marks.where(F.size("phrase") > 0).select(*keys, "at", "phrase", F.element_at("phrase", 1).alias("token"))
-    equal = F.aggregate(F.arrays_zip("next", "phrase"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, z: F.struct((s["n"] + (s["on"] & (z["next"] == z["phrase"]).eqNullSafe(True)).cast("int")).alias("n"), (s["on"] & (z["next"] == z["phrase"]).eqNullSafe(True)).alias("on")))
-    met = shared.select(*keys, F.inline(near)).join(sought.hint("merge"), [*keys, "token"]).withColumn("length", equal["n"]).where(F.col("length") >= F.least(F.lit(LEAST_PREFIX), F.size("phrase")))
-    best = met.groupBy(*keys, "at").agg(F.max(F.struct("length", -F.col("pos"), "start"))["start"].alias("media_seconds"))
-    return marks.drop("phrase").join(best, [*keys, "at"], "left")
+    heard = streams.hint("merge").join(ranges, keys).select(*keys, F.posexplode(F.slice("timed", F.col("h0") + 1, F.col("h1") - F.col("h0"))).alias("pos", "w")).select(*keys, "pos", "w.*")
+    # a phrase's tokens meet the stream one by one; places that agree on where the phrase begins are counted together
+    sought = marks.select(*keys, "at", F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "token"))
+    met = heard.join(sought.hint("merge"), [*keys, "token"]).groupBy(*keys, "at", "size", (F.col("pos") - F.col("i")).alias("begin"))
+    runs = met.agg(F.array_sort(F.collect_set("i")).alias("have"), F.max(F.when(F.col("i") == 0, F.col("start"))).alias("start"))
+    first = runs.withColumn("length", F.size(F.filter("have", lambda i, n: i == n))).where(F.col("length") >= F.least(F.lit(LEAST_PREFIX), F.col("size")))
+    best = first.groupBy(*keys, "at").agg(F.max(F.struct("length", -F.col("begin"), "start"))["start"].alias("media_seconds"))
+    return marks.drop("phrase").hint("merge").join(best, [*keys, "at"], "left")
 
 
 def drift_report(places: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Residuals of anchors from their tape's line (keys, at, tape, label, tape_seconds, media_seconds, residual), and a
     recording's time_slope: that of the tape with most points, the first of these on a tie. Two different points make a line."""
+    places = materialize(places)  # a row for each anchor; rows and slopes read it
     timed = places.where("media_seconds is not null")
     x, y = F.col("tape_seconds"), F.col("media_seconds")
     lines = timed.groupBy(*keys, "tape").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("points")).where("slope is not null")
@@ -203,7 +204,10 @@ def scorecards(recordings: DataFrame, terms: DataFrame, keys: list[str], ranges:
     each, whole = lexicon_report(recordings, ranges, ops, terms, keys)
     drift, slope = drift_report(located(recordings, keys), keys)
     out = ranges.select(*keys, "confidence", F.array("t0", "t1").alias("anchored_truth_range"), F.array("h0", "h1").alias("anchored_hyp_range"), F.col("partial").alias("partial_coverage"))
-    parts = [named(error_report(recordings, ranges, ops, keys), "wer"), whole.select(*keys, "recall"), listed(each, "rank", "terms"), listed(drift, "at", "drift"), structure_report(recordings, keys).join(slope, keys, "left").join(named(speaker_report(recordings, ops, keys), "speaker"), keys, "left").transform(lambda df: named(df, "structure")), named(taxonomy_report(ops, keys), "taxonomy")]
+    # each is kept before the next is planned
+    speaker = materialize(named(speaker_report(recordings, ops, keys), "speaker"))
+    structure = structure_report(recordings, keys).join(slope.hint("merge"), keys, "left").join(speaker.hint("merge"), keys, "left")
+    parts = [named(error_report(recordings, ranges, ops, keys), "wer"), whole.select(*keys, "recall"), listed(each, "rank", "terms"), listed(drift, "at", "drift"), named(structure, "structure"), named(taxonomy_report(ops, keys), "taxonomy")]
     for part in parts:
         out = out.join(materialize(part).hint("merge"), keys, "left")
     return out.select(*keys, F.lit(VERSION).alias("harness_version"), "wer", F.struct("recall", F.coalesce("terms", F.array().cast(out.schema["terms"].dataType)).alias("terms")).alias("lexicon"), "drift", "structure", F.col("confidence").alias("anchor_confidence"), "anchored_truth_range", "anchored_hyp_range", "partial_coverage", "taxonomy")

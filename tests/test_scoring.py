@@ -82,6 +82,15 @@ def test_prefix_of_three_is_enough_and_the_longest_wins(spark):
     assert got == {"L": 4.0, "P": 9.0, "N": None}
 
 
+def test_places_of_marks_are_made_once_and_carry_no_text(spark):
+    rec = recording(spark, "a b", [segment("a b", words=[("a", 0.0, 0.5), ("b", 1.0, 1.5)])], anchors=[(1, "L", 0.0, ["a", "b", None]), (1, "N", 0.0, [None, "b"])])
+    places = scoring.located(rec, KEY)
+    assert "slice(s#" not in places._jdf.queryExecution().optimizedPlan().toString()  # following tokens for each place
+    rows, slope = scoring.drift_report(places, KEY)
+    assert all("Generate" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, slope))
+    assert [r["media_seconds"] for r in rows.orderBy("at").collect()] == [None, None]
+
+
 def test_speaker_report(spark):
     turns = [("A", "one two three four".split()), ("B", "five six seven".split()), ("A", "eight nine ten".split())]
     rec = recording(spark, " ".join(" ".join(t) for _, t in turns), [segment("one two three four"), segment("five six seven eight nine ten")], turns)
