@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from talespan.functions.stem import porter, stems
 from talespan.operators.archive import BM25_B, BM25_K1
+from talespan.runtime import keep
 
 #: Letters, digits and marks of any script; an apostrophe joins letters.
 WORD = r"[\p{L}\p{N}\p{M}]+(?:['’][\p{L}\p{N}\p{M}]+)*"
@@ -147,32 +148,49 @@ def _head(term: str) -> str:
 
 
 def search(documents: DataFrame, text: str, key: str = "doc_id", column: str = "text", analyzer: Analyzer | None = None) -> DataFrame:
-    """(key, score) of the documents that the query string finds.
+    """(key, score) of the documents that the query string finds, see `searches`."""
+    return searches(documents, [text], key, column, analyzer).drop("query")
 
-    Only words that can be of the query's terms become postings, before anything is shuffled. A phrase is found where all its
-    words stand in their places. Terms and phrases score by BM25 with the frequency of the whole phrase, a prefix scores 1. Null
-    texts have no words; repeated keys are taken as one document. An empty query finds nothing.
+
+def searches(documents: DataFrame, texts: list[str], key: str = "doc_id", column: str = "text", analyzer: Analyzer | None = None) -> DataFrame:
+    """(key, score, query) of the documents that each different query string finds; texts become words once for all of them.
+
+    Only words that can be of the queries' terms become postings, before anything is shuffled; they are kept with the texts'
+    lengths. A phrase is found where all its words stand in their places. Terms and phrases score by BM25 with the frequency
+    of the whole phrase, a prefix scores 1. Null texts have no words; repeated keys are taken as one document. An empty query finds nothing.
     """
     analyzer = analyzer or Analyzer()
-    query = parse(text, analyzer)
     spark = documents.sparkSession
-    if query.test is None or not query.wanted:
-        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    rows = documents.select(key, analyzer.words(F.col(column)).alias("words"))
-    near = "^(" + "|".join(sorted({_head(t) if analyzer.english else re.escape(t) for kind, terms in query.leaves for _, t in terms})) + ")"
-    posts = rows.select(key, F.size("words").alias("len"), F.inline(F.filter("words", lambda x: x["word"].rlike(near))))
+    known = [(text, q) for text in dict.fromkeys(texts) for q in (parse(text, analyzer),) if q.test is not None and q.wanted]
+    if not known:
+        return documents.select(key, F.lit(0.0).alias("score"), F.lit("").alias("query")).limit(0)
+    # leaves are numbered through all queries
+    leaves = [(n, i, kind, terms) for n, (_, q) in enumerate(known) for i, (kind, terms) in enumerate(q.leaves)]
+    place = {(n, i): leaf for leaf, (n, i, _, _) in enumerate(leaves)}
+    sought = {(kind, t) for _, _, kind, terms in leaves for _, t in terms}
+    if analyzer.english:
+        near = "^(" + "|".join(sorted({_head(t) for _, t in sought})) + ")"
+        fit = lambda w: w.rlike(near)
+    else:
+        whole = sorted(t for kind, t in sought if kind == "phrase")
+        fit = lambda w: _any([*([w.isin(whole)] if whole else []), *(F.startswith(w, F.lit(t)) for kind, t in sorted(sought) if kind == "prefix")])
+    rows = keep(documents.select(key, analyzer.words(F.col(column)).alias("words")).select(key, F.size("words").alias("len"), F.filter("words", lambda x: fit(x["word"])).alias("posts")))
+    posts = rows.select(key, "len", F.inline("posts"))
     posts = posts.withColumn("term", stems("word") if analyzer.english else F.col("word"))
-    elements = spark.createDataFrame([(i, kind, len(terms), offset, term) for i, (kind, terms) in enumerate(query.leaves) for offset, term in terms], "leaf int, kind string, parts int, offset int, sought string")
+    elements = spark.createDataFrame([(n, leaf, kind, len(terms), offset, term) for leaf, (n, _, kind, terms) in enumerate(leaves) for offset, term in terms], "q int, leaf int, kind string, parts int, offset int, sought string")
     fits = ((F.col("kind") == "phrase") & (F.col("term") == F.col("sought"))) | ((F.col("kind") == "prefix") & F.startswith("term", F.col("sought")))
-    met = posts.join(F.broadcast(elements), fits)  # as many rows as the query has words
-    places = met.groupBy(key, "leaf", "parts", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n"), F.max("len").alias("len")).where("n = parts")
-    found = places.groupBy(key, "leaf").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    met = posts.join(F.broadcast(elements), fits)  # as many rows as the queries have words
+    places = met.groupBy(key, "q", "leaf", "parts", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n"), F.max("len").alias("len")).where("n = parts")
+    found = keep(places.groupBy(key, "q", "leaf").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")))
     df = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("df"))
-    stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
+    stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     weighed = found.join(F.broadcast(df), "leaf").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("mean")))
-    prefix = [i for i, (kind, _) in enumerate(query.leaves) if kind == "prefix"]
-    scored = F.when(~F.col("leaf").isin(sorted(query.wanted)), 0.0).when(F.col("leaf").isin(prefix), 1.0).otherwise(part)
-    each = weighed.groupBy(key).agg(F.sum(scored).alias("score"), F.collect_set("leaf").alias("has"))
-    return each.where(query.test(lambda i: F.array_contains("has", i)) & F.arrays_overlap("has", F.array(*map(F.lit, sorted(query.wanted))))).select(key, F.round("score", 6).alias("score"))
+    prefix = [leaf for leaf, (_, _, kind, _) in enumerate(leaves) if kind == "prefix"]
+    wanted = [leaf for leaf, (n, i, _, _) in enumerate(leaves) if i in known[n][1].wanted]
+    scored = F.when(~F.col("leaf").isin(wanted), 0.0).when(F.col("leaf").isin(prefix), 1.0).otherwise(part)
+    each = weighed.groupBy(key, "q").agg(F.sum(scored).alias("score"), F.collect_set("leaf").alias("has"))
+    tests = [(F.col("q") == n) & q.test(lambda i, n=n: F.array_contains("has", place[n, i])) for n, (_, q) in enumerate(known)]
+    names = F.array(*(F.lit(text) for text, _ in known))
+    return each.where(_any(tests) & F.arrays_overlap("has", F.array(*map(F.lit, wanted)))).select(key, F.round("score", 6).alias("score"), F.get(names, F.col("q")).alias("query"))

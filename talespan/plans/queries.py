@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -532,16 +531,13 @@ SEARCHES = ["the", "nicht AND der", "para OR pour", "the NOT and", '"of the"', "
 
 @query
 def fulltext_syntax(spark, d):
-    plain = fulltext.Analyzer(english=False)
-    rows = [fulltext.search(table(spark, d, "documents"), q, analyzer=plain).withColumn("query", F.lit(q)) for q in SEARCHES]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return fulltext.searches(table(spark, d, "documents"), SEARCHES, analyzer=fulltext.Analyzer(english=False))
 
 
 @query
 def fulltext_english(spark, d):
     ship(spark)
-    rows = [fulltext.search(views.statements(spark, d), q, "uid").withColumn("query", F.lit(q)) for q in ("tions OR erings", '"tion and"', "ering* NOT tions", "edly AND the")]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return fulltext.searches(views.statements(spark, d), ["tions OR erings", '"tion and"', "ering* NOT tions", "edly AND the"], "uid")
 
 
 @query

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from talespan.functions.stem import porter
 from talespan.operators import fulltext
@@ -53,3 +54,20 @@ def test_rarer_and_more_frequent_terms_score_more(spark):
     docs = spark.createDataFrame(DOCS, "doc_id int, text string")
     got = {r["doc_id"]: r["score"] for r in fulltext.search(docs, "silence OR activism").collect()}
     assert got[9] > got[1] and got[3] > got[10]
+
+
+def test_queries_share_one_pass_over_the_texts(spark):
+    ship(spark)
+    docs = spark.createDataFrame(DOCS + DOCS[:1], "doc_id int, text string").repartition(2)
+    texts = ["silence", "", "activist AND marched", '"silence death" OR activ*', "NOT silence", "death NOT silence", "silence"]
+    found = fulltext.searches(docs, texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1  # the queries' words; texts are read before
+    want = {(r["query"], r["doc_id"], r["score"]) for q in texts for r in fulltext.search(docs, q).withColumn("query", F.lit(q)).collect()}
+    assert {(r["query"], r["doc_id"], r["score"]) for r in found.collect()} == want
+    assert found.count() == len(want)
+
+
+def test_plain_words_and_prefixes(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
+    got = fulltext.searches(docs, ["signs OR größe", "activ*", '"of the"', "and -marches"], analyzer=fulltext.Analyzer(english=False)).collect()
+    assert {q: {r["doc_id"] for r in got if r["query"] == q} for q in {r["query"] for r in got}} == {"signs OR größe": {1, 6, 10}, "activ*": {1, 2, 9}, '"of the"': {3}, "and -marches": {8}}
