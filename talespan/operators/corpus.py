@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ FURNITURE = [
 ]
 SPEAKER_TAG = r"^([A-Z]{2,3}):[ \t]*"
 LEAST_SIMILARITY = 0.5
+#: No letter, digit or underscore beside a group's name.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Candidates that a name is compared to in one call.
 CANDIDATES_AT_ONCE = 1000
 
@@ -43,11 +47,25 @@ def flattened(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n\f]+", " "))
 
 
+def _stands_in(name: str, text: str) -> Column:
+    """Whether a group's name stands in a text as words of its own, the text taken as flattened.
+
+    A name of plain words is sought in the text as it is, and by a pattern only where the text has each of them.
+    Other names are patterns and need the flattened text.
+    """
+    parts = name.split(" ")
+    if not all(re.fullmatch(r"[^\s\\.^$|?*+()\[\]{}]+", w) for w in parts):
+        return F.col("_flat").rlike(f"{BEFORE}(?:{name}){AFTER}")
+    has = F.lit(True)
+    for w in parts:
+        has = has & F.contains(F.col(text), F.lit(w))
+    return has & F.col(text).rlike(BEFORE + r"[ \t\r\n\f]+".join(parts) + AFTER)
+
+
 def members(documents: DataFrame, key: str, groups: list[str], text: str = "text") -> DataFrame:
     """(key, grp) where a group's name stands as words of its own in the flattened text; one pass for all groups."""
-    bound = r"(^|[^A-Za-z0-9_])(?:%s)($|[^A-Za-z0-9_])"
-    found = F.array_compact(F.array(*(F.when(F.col("_flat").rlike(bound % g), g) for g in groups)))
-    return documents.select(key, flattened(F.col(text)).alias("_flat")).select(key, F.explode(found).alias("grp"))
+    found = F.array_compact(F.array(*(F.when(_stands_in(g, text), g) for g in groups)))
+    return documents.select(key, text, flattened(F.col(text)).alias("_flat")).select(key, F.explode(found).alias("grp"))
 
 
 def roster_totals(roster: DataFrame, key: str) -> DataFrame:

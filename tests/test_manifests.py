@@ -1,6 +1,7 @@
 """Normalisation as columns, rosters, manifests, differences, results, parameters and diagnostics on small cases."""
 
 import random
+import re
 import wave
 
 from pyspark.sql import functions as F
@@ -88,3 +89,14 @@ def test_diagnostic_and_best_names(spark):
     assert (got[2]["vectors"], got[2]["same_pairs"], got[2]["same_distance"]) == (1, 0, None)
     cases = spark.createDataFrame([(["S0", "S1"], ["x", "y"], [("S0", "y", 5), ("S1", "y", 6), ("S1", "x", 4)]), (["S0", "S1"], ["x"], [("S0", "x", 1)]), ([], ["x"], []), (["S0", "S1"], ["x", "y", "z"], [("S0", "y", 2), ("S0", "x", 2), ("S1", "x", 2), ("S1", "y", 2)]), (["S0"], ["x"], [(None, "x", 3)])], "l array<string>, n array<string>, t array<struct<label:string,name:string,n:long>>")
     assert [r[0] for r in cases.select(speakers.best_names("l", "n", "t")).collect()] == [{"S0": "y", "S1": "x"}, {}, {}, {"S0": "x", "S1": "y"}, {}]
+
+
+def test_members_by_plain_words_and_by_pattern(spark):
+    texts = ["of the", "of \n\t the", "of\u00a0the", "xof the", "of thex", "of_ the of the_", "é" + "of the" + "é", "ofthe of  the.", None, "", " ", "A.B a+b", "AxB", "A.B_", "the of\r", "of the\u2028"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    roster = corpus.members(docs, "doc_id", ["of the", "of", "A.B", "x?of the"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan(roster) and "regexp_replace" not in plan(corpus.members(docs, "doc_id", ["of the", "of"]))  # plain words need no flattened text
+    flat = [re.sub("[ \t\r\n\f]+", " ", t or "").strip(" ") for t in texts]
+    want = {(i, g) for i, t in enumerate(flat) for g in ("of the", "of", "A.B", "x?of the") if re.search(f"(^|[^A-Za-z0-9_])(?:{g})($|[^A-Za-z0-9_])", t)}
+    assert {tuple(r) for r in roster.collect()} == want and roster.count() == len(want)
