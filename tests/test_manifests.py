@@ -100,3 +100,10 @@ def test_members_by_plain_words_and_by_pattern(spark):
     flat = [re.sub("[ \t\r\n\f]+", " ", t or "").strip(" ") for t in texts]
     want = {(i, g) for i, t in enumerate(flat) for g in ("of the", "of", "A.B", "x?of the") if re.search(f"(^|[^A-Za-z0-9_])(?:{g})($|[^A-Za-z0-9_])", t)}
     assert {tuple(r) for r in roster.collect()} == want and roster.count() == len(want)
+
+
+def test_totals_of_plain_words_need_no_flattened_text(spark):
+    docs = spark.createDataFrame([(1, "a of the b"), (1, "of the"), (2, "the"), (3, None)], "doc_id int, text string")
+    totals = corpus.roster_totals(corpus.members(docs, "doc_id", ["of the", "the"]), "doc_id")
+    assert "regexp_replace" not in totals._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(totals.first()) == (5, 2, 2)
