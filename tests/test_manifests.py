@@ -107,3 +107,14 @@ def test_totals_of_plain_words_need_no_flattened_text(spark):
     totals = corpus.roster_totals(corpus.members(docs, "doc_id", ["of the", "the"]), "doc_id")
     assert "regexp_replace" not in totals._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(totals.first()) == (5, 2, 2)
+
+
+def test_normalized_makes_no_map_for_each_token(spark):
+    ship(spark)
+    rng = random.Random(7)
+    parts = ["n", "t", " ", " ", "i", "s", "é", "😀", "'", "a", "you", "don", " n t", "n t", "i m", "😀a", "we ", "-", "cannot", "=", "7", "1999", *"\n\t\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u2005\u2028\u202f\u205f\u3000\u200b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    rows = normal.normalized(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text")
+    assert "map_from_arrays" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["i"]: r["tokens"] for r in rows.collect()}
+    assert [got[i] for i in range(len(texts))] == [normalize_text(t) for t in texts]
