@@ -27,9 +27,14 @@ def _array(name: str, kind: str = _TOKENS) -> Column:
     return F.coalesce(F.col(name), F.array().cast(kind))
 
 
+def _whole(parts: Column) -> Column:
+    """The arrays of an array as one; null ones among them count as empty."""
+    return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
+
+
 def heard_tokens(segments: Column) -> Column:
     """Tokens of all segments."""
-    return F.coalesce(F.flatten(F.transform(segments["tokens"], lambda t: F.coalesce(t, F.array().cast(_TOKENS)))), F.array().cast(_TOKENS))
+    return F.coalesce(_whole(segments["tokens"]), F.array().cast(_TOKENS))
 
 
 def pairs(recordings: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,7 +104,7 @@ def located(recordings: DataFrame, keys: list[str]) -> DataFrame:
     The stream is that of the timed words, within what it shares with the truth. A prefix has three tokens at
     least, or all of a shorter phrase. One row an anchor: keys, at (its place), tape, label, tape_seconds, media_seconds.
     """
-    timed = F.flatten(F.transform("segments", lambda s: F.flatten(F.transform(s["words"], lambda w: F.transform(w["tokens"], lambda t: F.struct(t.alias("token"), w["start"].alias("start")))))))
+    timed = _whole(F.transform("segments", lambda s: _whole(F.transform(s["words"], lambda w: F.transform(w["tokens"], lambda t: F.struct(t.alias("token"), w["start"].alias("start")))))))
     streams = recordings.select(*keys, _array("truth").alias("truth"), F.coalesce(timed, F.array().cast("array<struct<token:string,start:double>>")).alias("timed"))
     ranges = evaluate.anchors(streams.select(*keys, "truth", F.col("timed.token").alias("heard")), keys)
     marks = recordings.select(*keys, F.posexplode("anchors").alias("at", "a")).select(*keys, "at", "a.*")
@@ -156,7 +161,7 @@ def structure_report(recordings: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of words with control marks, without duration, too long to be true and ending before they begin; the
     upper median of segment durations, and the share of segments that begin on the 30 s grid. All within a row."""
     segments = F.coalesce(F.col("segments"), F.array().cast(recordings.schema["segments"].dataType))
-    words = F.flatten(F.transform(segments, lambda s: s["words"]))
+    words = _whole(F.transform(segments, lambda s: s["words"]))
     count = lambda test: F.size(F.filter("_words", test))
     long = lambda w: (w["end"] - w["start"] > 2.0) & (w["end"] - w["start"] > F.char_length(w["text"]) / 4.0)
     phase = lambda s: F.least(s["start_time"] % GRID_SECONDS, F.lit(GRID_SECONDS) - s["start_time"] % GRID_SECONDS)

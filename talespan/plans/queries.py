@@ -463,7 +463,7 @@ def structure_words(spark, d):
 def scorecards(spark, d):
     rows, ranges, ops = _scored(spark, d)
     card = scoring.scorecards(rows, views.lexicon(spark), KEY, ranges, keep(ops))
-    first = F.element_at("taxonomy.substitutions", 1)
+    first = F.get("taxonomy.substitutions", F.lit(0))  # null where nothing was substituted
     known = {"time_slope": F.round("structure.time_slope", 5), "covered": F.col("structure.speaker.covered"), "recall": F.round("lexicon.recall", 6)}
     return card.select(
         *KEY, "harness_version", "wer.subs", "wer.dels", (F.col("wer.ins_filler") + F.col("wer.ins_content")).alias("ins"), "wer.truth_tokens", "wer.hyp_tokens", F.round("wer.rate", 6).alias("rate"), *(F.coalesce(c, F.lit(-1)).alias(name) for name, c in known.items()),

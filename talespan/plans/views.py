@@ -58,7 +58,8 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is the transcript, with its turns; the next one is what was heard, each turn a segment of timed words."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.split(F.lower("text"), " ").alias("tokens"), (F.col("turn") * 10.0).alias("begin"))
+    tokens = F.coalesce(F.split(F.lower("text"), " "), F.array().cast("array<string>"))  # a null text has none
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", tokens.alias("tokens"), (F.col("turn") * 10.0).alias("begin"))
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(
         F.when(i % 50 == 7, F.concat(w, F.lit("[_TT_"))).otherwise(w).alias("text"), (F.col("begin") + i * 0.25).alias("start"),
         (F.col("begin") + i * 0.25 + ((F.length(w) * 3 + i) % 9 - 1) * 0.5).alias("end"), F.array(F.lower(w)).alias("tokens")))

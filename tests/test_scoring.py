@@ -176,3 +176,34 @@ def test_place_of_a_suspect_is_sought_once(spark):
     found = rows.select("k", words.suspects(F.col("w")).alias("context"))
     assert [r["context"] for r in found.orderBy("k").collect()] == ["a «b» c", None, None, None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
+
+
+def odd_conversations(spark, tmp_path):
+    """Conversations that repeat the one before, or a part of it, with one where a turn has no text."""
+    said = [(0, 0, "user", "a b c"), (1, 0, "user", "a b c"), (2, 0, "user", "the a b c the"), (3, 0, "user", None), (3, 1, "assistant", "a b d"), (4, 0, "user", "d b"), (4, 1, "user", None), (4, 2, "user", "d")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_scorecards_query_where_nothing_is_substituted_or_said(spark, tmp_path):
+    import duckdb
+
+    from talespan import catalog
+
+    d = odd_conversations(spark, tmp_path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM read_parquet('{d}/conversations.parquet/*.parquet')")
+    want = con.sql(catalog.ORACLES["scorecards"])
+    rows = catalog.QUERIES["scorecards"](spark, d).select(*want.columns).collect()
+    plain = lambda r: tuple(str(x) for x in r)
+    assert len(rows) == 4 and sorted(map(plain, rows)) == sorted(map(plain, want.fetchall()))
+    assert [r["top_substitution"] for r in sorted(rows)][:2] == ["", ""]
+
+
+def test_null_words_of_a_segment_leave_those_of_the_others(spark):
+    words = [(i, i / 2, i / 2 + 0.4, [t] if t else None) for i, t in enumerate(("a", None, "b"))]
+    silent = (0.0, 1.0, None, None)
+    spoken = (1.0, 2.0, ["a", "b"], [(str(w), x, y, t) for w, x, y, t in words])
+    rec = recording(spark, "a b", [silent, spoken], anchors=[(1, "L", 0.0, ["b"])])
+    assert scoring.structure_report(rec, KEY).first()["words"] == 3
+    assert scoring.located(rec, KEY).first()["media_seconds"] == 1.0
