@@ -50,8 +50,9 @@ def flattened(text: Column) -> Column:
 def _stands_in(name: str, text: str) -> Column:
     """Whether a group's name stands in a text as words of its own, the text taken as flattened.
 
-    A name of plain words is sought in the text as it is, and by a pattern only where the text has each of them.
-    Other names are patterns and need the flattened text.
+    A name of plain words is sought in the text as it is, and by a pattern only where the text has each of them. That pattern
+    begins with the first word and looks back from its end, so that it fails at once at most places. Other names are patterns
+    and need the flattened text.
     """
     parts = name.split(" ")
     if not all(re.fullmatch(r"[^\s\\.^$|?*+()\[\]{}]+", w) for w in parts):
@@ -59,7 +60,8 @@ def _stands_in(name: str, text: str) -> Column:
     has = F.lit(True)
     for w in parts:
         has = has & F.contains(F.col(text), F.lit(w))
-    return has & F.col(text).rlike(BEFORE + r"[ \t\r\n\f]+".join(parts) + AFTER)
+    first, *others = parts
+    return has & F.col(text).rlike(r"[ \t\r\n\f]++".join([f"{first}(?<![A-Za-z0-9_]{first})", *others]) + AFTER)
 
 
 def members(documents: DataFrame, key: str, groups: list[str], text: str = "text") -> DataFrame:

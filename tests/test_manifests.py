@@ -118,3 +118,19 @@ def test_normalized_makes_no_map_for_each_token(spark):
     assert "map_from_arrays" not in rows._jdf.queryExecution().optimizedPlan().toString()
     got = {r["i"]: r["tokens"] for r in rows.collect()}
     assert [got[i] for i in range(len(texts))] == [normalize_text(t) for t in texts]
+
+
+def test_patterns_of_plain_words_begin_with_a_word(spark):
+    rng = random.Random(12)
+    names = ["of the", "of", "ofof", "😀 of", "😀", "é", "-", "the"]
+    parts = ["of", "the", "ofof", " ", " ", "\n", "\t \r", "\u00a0", "_", "x", "é", "😀", "-", "7", ".", "𝒳"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(2500)] + ["of", "of the", None]
+    roster = corpus.members(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", names)
+    totals = corpus.roster_totals(roster, "doc_id")
+    for df in (roster, totals):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "of(?<!" in plan and "(?<![A-Za-z0-9_])" not in plan  # a look back at each place of a text costs several times as much
+    flat = [re.sub("[ \t\r\n\f]+", " ", t or "").strip(" ") for t in texts]
+    want = {(i, g) for i, t in enumerate(flat) for g in names if re.search(f"(^|[^A-Za-z0-9_])(?:{re.escape(g)})($|[^A-Za-z0-9_])", t)}
+    assert {tuple(r) for r in roster.collect()} == want and len(want) > 1000
+    assert tuple(totals.first()) == (len(want), len({i for i, _ in want}), len({g for _, g in want}))
