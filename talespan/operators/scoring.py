@@ -77,14 +77,18 @@ def lexicon_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, ter
     Second table: keys, expected, found and recall, which is 1 where nothing is expected.
     """
     sought = terms.where(F.size("words") > 0).select("term_id", "term", "words", F.element_at("words", 1).alias("first"))
-    most = sought.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
+    many, most = sought.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("words")), F.lit(1))).first()
+    # the terms go to the tokens, so that these stay where they are; a long lexicon is joined
+    sent = F.broadcast if many <= evaluate.BROADCAST_TERMS else lambda df: df
+    sought = sent(sought)
     cut = pairs(recordings, keys).hint("merge").join(ranges, keys)
     part = lambda c, x, y: cut.select(*keys, F.slice(c, F.col(x) + 1, F.col(y) - F.col(x)).alias("tokens"))
     expected = _occurrences(part("truth", "t0", "t1"), keys, sought, most).withColumnRenamed("n", "expected")
     heard = _occurrences(part("heard", "h0", "h1"), keys, sought, most).withColumnRenamed("n", "heard")
     rows = expected.join(heard, [*keys, "term_id"], "left").withColumn("found", F.least(F.coalesce("heard", F.lit(0)), "expected")).drop("heard")
-    rows = materialize(rows.join(sought.select("term_id", "term", "words"), "term_id"))  # a row for each recording and term that it has; both tables read it
-    wrong = ops.where("op = 'sub'").select(*keys, F.col("truth").alias("token"), F.col("heard").alias("wrote")).distinct()
+    rows = materialize(rows.join(sent(sought.select("term_id", "term", "words")), "term_id"))  # a row for each recording and term that it has; both tables read it
+    asked = sent(sought.select(F.explode("words").alias("token")).distinct())
+    wrong = ops.where("op = 'sub'").select(*keys, F.col("truth").alias("token"), F.col("heard").alias("wrote")).join(asked, "token").distinct()
     missed = rows.where("found < expected").select(*keys, "term_id", F.explode(F.array_distinct("words")).alias("token"))
     confused = missed.join(wrong.hint("merge"), [*keys, "token"]).groupBy(*keys, "term_id").agg(F.slice(F.array_sort(F.collect_set("wrote")), 1, CONFUSIONS).alias("confusions"))
     by = W.partitionBy(*keys).orderBy(F.desc(F.col("expected") - F.col("found")), F.desc("expected"), "term_id")
@@ -98,15 +102,19 @@ def lexicon_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, ter
 # --- tape drift ----------------------------------------------------------------------------
 
 
-def located(recordings: DataFrame, keys: list[str]) -> DataFrame:
+def located(recordings: DataFrame, keys: list[str], ranges: DataFrame | None = None) -> DataFrame:
     """Anchors with the media time of the first place where their phrase, or else its longest possible prefix, is heard.
 
     The stream is that of the timed words, within what it shares with the truth. A prefix has three tokens at
     least, or all of a shorter phrase. One row an anchor: keys, at (its place), tape, label, tape_seconds, media_seconds.
+    ranges, as `spans` gives them, hold for recordings whose timed words have the tokens of their segments; the others get their own.
     """
     timed = _whole(F.transform("segments", lambda s: _whole(F.transform(s["words"], lambda w: F.transform(w["tokens"], lambda t: F.struct(t.alias("token"), w["start"].alias("start")))))))
-    streams = recordings.select(*keys, _array("truth").alias("truth"), F.coalesce(timed, F.array().cast("array<struct<token:string,start:double>>")).alias("timed"))
-    ranges = evaluate.anchors(streams.select(*keys, "truth", F.col("timed.token").alias("heard")), keys)
+    streams = recordings.select(*keys, _array("truth").alias("truth"), F.coalesce(timed, F.array().cast("array<struct<token:string,start:double>>")).alias("timed"), heard_tokens(F.col("segments")).alias("said"))
+    streams = streams.select(*keys, "truth", "timed", F.col("timed.token").eqNullSafe(F.col("said")).alias("same"))
+    own = streams if ranges is None else materialize(streams.where("not same"))
+    made = evaluate.anchors(own.select(*keys, "truth", F.col("timed.token").alias("heard")), keys)
+    ranges = made if ranges is None else ranges.join(own.select(*keys), keys, "left_anti").unionByName(made)
     marks = recordings.select(*keys, F.posexplode("anchors").alias("at", "a")).select(*keys, "at", "a.*")
     heard = streams.hint("merge").join(ranges, keys).select(*keys, F.posexplode(F.slice("timed", F.col("h0") + 1, F.col("h1") - F.col("h0"))).alias("pos", "w")).select(*keys, "pos", "w.*")
     # a phrase's tokens meet the stream one by one; places that agree on where the phrase begins are counted together
@@ -141,15 +149,15 @@ def speaker_report(recordings: DataFrame, ops: DataFrame, keys: list[str]) -> Da
     boundaries as dense but anywhere. No row where there are no turns or segments, where nothing was heard, where the
     turns' tokens are not as many as the truth's, or where no change can be placed.
     """
-    sizes = recordings.select(*keys, F.size(_array("truth")).alias("n"), F.size(heard_tokens(F.col("segments"))).alias("m"), F.coalesce(F.size("segments"), F.lit(0)).alias("segments"), F.aggregate("turns", F.lit(0), lambda n, t: n + F.coalesce(F.size(t["tokens"]), F.lit(0))).alias("said"))
-    fair = sizes.where("n = said and m > 0 and segments > 0").select(*keys, "m", "segments")
-    run = lambda c, name: recordings.select(*keys, F.posexplode(c).alias("part", "p")).select(*keys, "part", F.col(f"p.{name}").alias(name) if name != "part" else F.col("part").alias("of"), F.posexplode("p.tokens").alias("i", "token"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("part", "i")) - 1
-    truth = run("turns", "speaker").withColumn("pos", place).select(*keys, "pos", "speaker")
-    heard = run("segments", "part").withColumn("heard_pos", place).select(*keys, "heard_pos", F.col("of").alias("seg"))
+    sizes = recordings.select(*keys, "turns", "segments", F.size(_array("truth")).alias("n"), F.size(heard_tokens(F.col("segments"))).alias("m"), F.coalesce(F.size("segments"), F.lit(0)).alias("parts"), F.aggregate("turns", F.lit(0), lambda n, t: n + F.coalesce(F.size(t["tokens"]), F.lit(0))).alias("said"))
+    fair = sizes.where("n = said and m > 0 and parts > 0")
+    # what holds for a turn or segment, at the place of each of its tokens
+    spread = lambda c, what: F.posexplode(F.flatten(F.transform(c, lambda p, i: F.array_repeat(what(p, i), F.coalesce(F.size(p["tokens"]), F.lit(0))))))
+    truth = fair.select(*keys, spread("turns", lambda p, i: p["speaker"]).alias("pos", "speaker"))
+    heard = fair.select(*keys, spread("segments", lambda p, i: i).alias("heard_pos", "seg"))
     matched = ops.where("op = 'match'").select(*keys, F.col("truth_pos").alias("pos"), "heard_pos").join(heard.hint("merge"), [*keys, "heard_pos"])
-    positions = truth.join(fair.select(*keys), keys, "left_semi").join(matched.hint("merge"), [*keys, "pos"], "left")
-    found = evaluate.speaker_boundaries(positions, keys).where("changes > 0").join(fair, keys)
+    positions = truth.join(matched.hint("merge"), [*keys, "pos"], "left")
+    found = evaluate.speaker_boundaries(positions, keys).where("changes > 0").join(fair.select(*keys, "m", F.col("parts").alias("segments")), keys)
     chance = F.col("changes") * F.col("segments") / F.col("m")
     return found.select(*keys, "changes", "covered", (F.col("changes") - F.col("covered")).alias("bleed"), chance.alias("expected_by_chance"), (F.col("covered") / chance).alias("lift"), (F.col("m") / F.col("segments")).alias("mean_segment_tokens"))
 
@@ -179,11 +187,11 @@ def structure_report(recordings: DataFrame, keys: list[str]) -> DataFrame:
 
 def error_report(recordings: DataFrame, ranges: DataFrame, ops: DataFrame, keys: list[str]) -> DataFrame:
     """Word errors within the common ranges; insertions count apart as fillers and content."""
-    counts = ops.groupBy(*keys).agg(F.count_if(F.col("op") == "sub").alias("subs"), F.count_if(F.col("op") == "del").alias("dels"), F.count_if(F.col("op") == "ins").alias("ins"))
     script = F.transform(F.array_sort(F.collect_list(F.struct("idx", "op", "truth", "heard"))), lambda o: F.struct(o["op"].alias("op"), o["truth"].alias("truth"), o["heard"].alias("heard")))
-    kinds = ops.groupBy(*keys).agg(script.alias("script")).select(*keys, evaluate.classify_insertions("script").alias("k"))
+    counts = ops.groupBy(*keys).agg(F.count_if(F.col("op") == "sub").alias("subs"), F.count_if(F.col("op") == "del").alias("dels"), F.count_if(F.col("op") == "ins").alias("ins"), script.alias("script"))
+    kinds = counts.select(*keys, "subs", "dels", "ins", evaluate.classify_insertions("script").alias("k"))
     zero = F.lit(0).cast("long")
-    rows = ranges.select(*keys, (F.col("t1") - F.col("t0")).alias("truth_tokens"), (F.col("h1") - F.col("h0")).alias("hyp_tokens")).join(counts, keys, "left").join(kinds, keys, "left")
+    rows = ranges.select(*keys, (F.col("t1") - F.col("t0")).alias("truth_tokens"), (F.col("h1") - F.col("h0")).alias("hyp_tokens")).join(kinds, keys, "left")
     rows = rows.select(*keys, "truth_tokens", "hyp_tokens", *(F.coalesce(c, zero).alias(c) for c in ("subs", "dels", "ins")), F.coalesce("k.filler", zero).alias("ins_filler"), F.coalesce("k.content", zero).alias("ins_content"))
     return rows.withColumn("rate", F.when(F.col("truth_tokens") > 0, (F.col("subs") + F.col("dels") + F.col("ins")) / F.col("truth_tokens")).otherwise(0.0)).drop("ins")
 
@@ -207,7 +215,7 @@ def scorecards(recordings: DataFrame, terms: DataFrame, keys: list[str], ranges:
     named = lambda df, name: df.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name))
     listed = lambda df, by, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *(c for c in df.columns if c not in (*keys, by))))).alias(name))
     each, whole = lexicon_report(recordings, ranges, ops, terms, keys)
-    drift, slope = drift_report(located(recordings, keys), keys)
+    drift, slope = drift_report(located(recordings, keys, ranges), keys)
     out = ranges.select(*keys, "confidence", F.array("t0", "t1").alias("anchored_truth_range"), F.array("h0", "h1").alias("anchored_hyp_range"), F.col("partial").alias("partial_coverage"))
     # each is kept before the next is planned
     speaker = materialize(named(speaker_report(recordings, ops, keys), "speaker"))

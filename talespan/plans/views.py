@@ -58,16 +58,19 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is the transcript, with its turns; the next one is what was heard, each turn a segment of timed words."""
-    tokens = F.coalesce(F.split(F.lower("text"), " "), F.array().cast("array<string>"))  # a null text has none
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", tokens.alias("tokens"), (F.col("turn") * 10.0).alias("begin"))
-    words = F.transform(F.split("text", " "), lambda w, i: F.struct(
-        F.when(i % 50 == 7, F.concat(w, F.lit("[_TT_"))).otherwise(w).alias("text"), (F.col("begin") + i * 0.25).alias("start"),
-        (F.col("begin") + i * 0.25 + ((F.length(w) * 3 + i) % 9 - 1) * 0.5).alias("end"), F.array(F.lower(w)).alias("tokens")))
-    segment = F.struct("turn", F.struct(F.col("begin").alias("start_time"), (F.col("begin") + F.least(F.lit(12.0), 1.0 + F.length("text") / 20.0)).alias("end_time"), "tokens", words.alias("words")).alias("s"))
-    in_order = lambda c, name: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[name])
-    said = c.groupBy("conv_id").agg(in_order(F.struct("turn", F.struct(F.col("role").alias("speaker"), "tokens").alias("t")), "t").alias("turns"))
-    heard = c.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(in_order(segment, "s").alias("segments"))
-    rows = said.hint("merge").join(heard, "conv_id").withColumn("_t", F.flatten("turns.tokens")).withColumn("_h", F.flatten("segments.tokens"))
+    # texts travel, tokens and words are made where they arrive
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("_said"))
+    tokens = lambda x: F.coalesce(F.split(F.lower(x["text"]), " "), F.array().cast("array<string>"))  # noqa: E731  a null text has none
+    begin = lambda x: x["turn"] * 10.0
+    words = lambda x: F.transform(F.split(x["text"], " "), lambda w, i: F.struct(
+        F.when(i % 50 == 7, F.concat(w, F.lit("[_TT_"))).otherwise(w).alias("text"), (begin(x) + i * 0.25).alias("start"),
+        (begin(x) + i * 0.25 + ((F.length(w) * 3 + i) % 9 - 1) * 0.5).alias("end"), F.array(F.lower(w)).alias("tokens")))
+    turn = lambda x: F.struct(x["role"].alias("speaker"), tokens(x).alias("tokens"))
+    segment = lambda x: F.struct(begin(x).alias("start_time"), (begin(x) + F.least(F.lit(12.0), 1.0 + F.length(x["text"]) / 20.0)).alias("end_time"), tokens(x).alias("tokens"), words(x).alias("words"))
+    in_order = lambda c, part: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["turn"].alias("turn"), part(x).alias("p")))), lambda y: y["p"])
+    heard = said.select((F.col("conv_id") - 1).alias("conv_id"), F.col("_said").alias("_heard"))
+    rows = said.hint("merge").join(heard, "conv_id").select("conv_id", in_order("_said", turn).alias("turns"), in_order("_heard", segment).alias("segments"))
+    rows = rows.withColumn("_t", F.flatten("turns.tokens")).withColumn("_h", F.flatten("segments.tokens"))
     # some phrases begin as they are heard and go on as in the transcript, some are never heard
     mark = lambda j: F.struct((F.lit(j) % 2 + 1).alias("tape"), F.format_string("mark %d", F.lit(j)).alias("label"), F.lit(j * 30.0).alias("tape_seconds"), (F.concat(F.slice("_h", 40 * j + 1, 3), F.slice("_t", 40 * j + 1, 4)) if j < 6 else F.slice("_t", 1, j - 5)).alias("phrase"))
     extra = F.when(F.col("conv_id") % 10 == 3, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))

@@ -207,3 +207,26 @@ def test_null_words_of_a_segment_leave_those_of_the_others(spark):
     rec = recording(spark, "a b", [silent, spoken], anchors=[(1, "L", 0.0, ["b"])])
     assert scoring.structure_report(rec, KEY).first()["words"] == 3
     assert scoring.located(rec, KEY).first()["media_seconds"] == 1.0
+
+
+def test_marks_use_known_ranges_unless_the_timed_words_differ(spark):
+    heard = [f"t{i}" for i in range(90)]
+    words = lambda said: [(t, i / 2, i / 2 + 0.4, [t]) for i, t in enumerate(said)]
+    rows = [(k, heard, None, [(0.0, 50.0, heard, words(said))], [(1, "L", 0.0, ["t70", "t71", "t72"]), (1, "M", 9.0, ["t3", "zz", "t5"])]) for k, said in enumerate((heard, heard[60:], []))]
+    kind = recording(spark, "a", []).schema
+    rec = spark.createDataFrame([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
+    places = lambda *ranges: sorted((r["conv_id"], r["at"], r["media_seconds"]) for r in scoring.located(rec, KEY, *ranges).collect())
+    found = places(scoring.spans(rec, KEY))
+    assert found == places() and [m for _, at, m in found if at == 0] == [35.0, 5.0, None]
+
+
+def test_only_insertions_and_what_stands_beside_them_become_objects(monkeypatch):
+    seen, real = [], evaluate.insertion_kinds
+    monkeypatch.setattr(evaluate, "insertion_kinds", lambda ops: seen.append(len(ops)) or real(ops))
+    same = [("match", t, t) for t in "abcdefgh"]
+    scripts = [[*same, ("ins", None, "h"), ("ins", None, "x"), ("match", "y", "y"), ("ins", None, "y"), *same], None, [], [*same, ("ins", None, "um")], same, [("ins", None, "a"), *same]]
+    kind = pa.list_(pa.struct([("op", pa.string()), ("truth", pa.string()), ("heard", pa.string())]))
+    column = pa.array([s and [dict(zip(("op", "truth", "heard"), o, strict=True)) for o in s] for s in scripts], kind)
+    found = evaluate.classify_insertions.func(column).to_pylist()
+    assert [(x["filler"], x["content"]) for x in found] == [real(s or []) for s in scripts] == [(2, 1), (0, 0), (0, 0), (1, 0), (0, 0), (1, 0)]
+    assert sum(seen) < 14 < sum(map(len, filter(None, scripts)))
