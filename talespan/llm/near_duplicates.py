@@ -7,7 +7,9 @@ and the next one. A band cuts the shingle domain into first-level partitions, an
 second-level ones. A signature is the content of a subset of the second-level partitions of one
 first-level partition; all subsets of one size are enumerated. D differing members change the
 most signatures when they are spread evenly over the first-level partitions. So among any one more than that, taken in an order that both sets share, one is equal. The order puts subsets
-with rare shingles first, those of passages that very many documents share next, and empty ones last.
+with rare shingles first, those of passages that HOT_DOCS documents share next, and empty ones last.
+How many documents share a shingle is counted over all of them. The limit is a number and no share of the table: passages
+of a share would connect ever more documents to one family as the table grows.
 
 Signatures travel packed: a batch sends each block of the signature space one row. A block joins all
 documents with an equal signature to the least one of its groups, and sends each document's row to
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 from talespan.llm import planes
 from talespan.llm.components import components
 from talespan.llm.words import CHUNK_BYTES, FIRST_ID, PLACE, Words, batched, byte_table, mix, texts_of
-from talespan.runtime import materialize, ship
+from talespan.runtime import materialize, release, ship
 
 SHINGLE = 5
 #: The threshold 75/100 as a fraction.
@@ -59,10 +61,15 @@ PART_MEMBERS = 1 << 18
 BROADCAST_ROWS = 200_000
 #: Texts with this share of all rows, at most 1000 of them, are joined apart from the others.
 HOT_COPIES = 1 / 1000
-#: A shingle in this share of all documents, seen in batches of COUNT_BYTES, is put late in the order; changes speed only.
-HOT_SHARE = 0.0004
-HOT_LEAST = 3
+#: A shingle in so many documents is put late in the order; changes speed only.
+HOT_DOCS = 32
+#: Hot shingles that are broadcast, 8 bytes each; of more, those in the most documents are.
+HOT_MOST = 1 << 22
+#: Bits of a shingle by which documents are counted, and bytes of text that are counted together.
+HOT_BITS = 40
 COUNT_BYTES = 24 << 20
+#: Seconds between two collections of the driver's garbage, of which the second finds the last step's files.
+RELEASE_S = 2
 
 _ROW = T.StructType().add("block", "integer").add("data", "binary")
 _FOUND = T.StructType().add("kind", "byte").add("a", "long").add("b", "long").add("n", "long")
@@ -113,7 +120,8 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray, scheme: tuple[int, int,
     size = np.array([len(s) for s in sets], dtype=np.int64)
     own = np.concatenate(sets)
     mixed = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    cold = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] != own if len(hot) else np.ones(len(own), bool)
+    hot, short = hot >> np.uint64(64 - HOT_BITS), own >> np.uint64(64 - HOT_BITS)
+    cold = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] != short if len(hot) else np.ones(len(own), bool)
     most = size * OF // LIKE
     greatest = bands(int(most.max()))
     band = np.searchsorted(greatest, size)
@@ -154,21 +162,53 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray, scheme: tuple[int, int,
     return np.concatenate(values), np.concatenate(docs).astype(np.uint32)
 
 
-def hot_shingles(documents: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that a fixed share of all documents has: at most (shingles a document) / share of them."""
+def hot_shingles(documents: DataFrame, shingle: int, blocks: int) -> np.ndarray:
+    """Ascending shingles, of which the first HOT_BITS count, that HOT_DOCS documents have; HOT_MOST at most."""
+    unused = np.uint64(64 - HOT_BITS)
+    edges = np.array([b * ((1 << HOT_BITS) // blocks + 1) for b in range(1, blocks)], dtype=np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batched(batches, COUNT_BYTES):
-            found, n = np.unique(np.concatenate(shingle_sets(texts, shingle)), return_counts=True)
-            often = n >= max(HOT_LEAST, HOT_SHARE * len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), len(ids)))], ["h", "n", "docs"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batched(batches, COUNT_BYTES):
+            keys, n = np.unique(np.concatenate(shingle_sets(texts, shingle)) >> unused, return_counts=True)
+            cut = np.searchsorted(keys, edges).tolist()
+            for b, (x, y) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)):
+                if y > x:
+                    own, more = keys[x:y], n[x:y] > 1
+                    data = planes.pack_sorted(own) + planes.pack_sorted(own[more]) + planes.pack(n[x:y][more].astype(np.uint32) - np.uint32(1))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], _ROW.names)
 
-    schema = T.StructType().add("h", "long").add("n", "long").add("docs", "long")
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, schema).groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    found = materialize(found)
-    total = found.agg(F.sum("docs")).first()[0] or 0
-    rows = found.where(F.col("n") >= max(4 * HOT_LEAST, int(HOT_SHARE * total / 2))).select("h").toArrow().column("h").to_numpy()
-    return np.sort(rows.view(np.uint64))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, several, more = [], [], []
+        for batch in batches:
+            for x in batch.column(1):
+                data = x.as_py()
+                own, at = planes.unpack_sorted(data)
+                keys.append(own)
+                own, at = planes.unpack_sorted(data, at)
+                several.append(own)
+                more.append(planes.unpack(data, np.uint32, at=at)[0])
+        if keys:
+            keys = np.sort(np.concatenate(keys))
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            n = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            np.add.at(n, np.searchsorted(keys, np.concatenate(several)), np.concatenate(more))
+            often = n >= HOT_DOCS
+            yield pa.RecordBatch.from_arrays([pa.array((keys[often] << unused).view(np.int64)), pa.array(n[often])], ["h", "n"])
+
+    sent = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _ROW)
+    found = materialize(sent.repartitionById(blocks, F.col("block")).mapInArrow(count, T.StructType().add("h", "long").add("n", "long")))
+    if found.count() > HOT_MOST:
+        # the least count that no more than HOT_MOST shingles reach
+        least = F.floor(F.log2("n") * 8)
+        steps, total, limit = found.groupBy(least.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect(), 0, 0
+        for r in steps:
+            total += r["n"]
+            if total > HOT_MOST:
+                limit = r["step"] + 1
+                break
+        found = found.where(least >= limit)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def _signature_rows(ids: np.ndarray, texts: list[bytes], shingle: int, hot: np.ndarray, blocks: int, scheme: tuple[int, int, int, int]) -> Iterator[tuple[int, bytes]]:
@@ -382,16 +422,19 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
     spark = documents.sparkSession
     ship(spark)
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = spark.sparkContext.broadcast(hot_shingles(documents, shingle))
+    hot = spark.sparkContext.broadcast(hot_shingles(documents, shingle, n))
+    release(spark, RELEASE_S)
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), "text")
     found = _found(texts, shingle, hot, n, COARSE)
     nodes = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("size"), F.col("n").alias("print"))
     unlike = materialize(_copies(nodes))
+    release(spark, RELEASE_S)  # signatures take most of the disk
     dealt = _parted(unlike, found.where("kind = 1").select("a", "b"), part_members)
     large = materialize(dealt.where("parts > 1").select("id").distinct())
     fine = _found(_beside(texts, large, "id", "inner"), shingle, hot, n, FINE)
     again = _parted(unlike.join(large.withColumnRenamed("id", "least"), "least", "left_semi"), fine.where("kind = 1").select("a", "b"), part_members)
     dealt = materialize(dealt.where("parts = 1").unionByName(again).select("id", "family", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).distinct())
+    release(spark)
     exact = _exact_sets(_beside(texts, dealt, "id", "inner"), shingle)
     # every pair of parts; a family of one part stays by itself
     other = F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> part))"))
@@ -401,7 +444,9 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, blocks: int | None = N
     several = unlike.where("copies > 1")
     many = F.lit(int(HOT_COPIES * nodes.count()) + 1)
     copies = nodes.join(F.broadcast(several.where(F.col("copies") >= many)), ["size", "print"]).unionByName(nodes.join(F.broadcast(several.where(F.col("copies") >= many).select("size", "print")), ["size", "print"], "left_anti").join(several.where(F.col("copies") < many), ["size", "print"])).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    final = components(links.unionByName(copies))
+    edges = materialize(links.unionByName(copies))  # components() reads them twice
+    final = components(edges)
+    release(spark)
     out = nodes.join(final, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
     given = lambda c: F.when(F.col(c) != FIRST_ID, F.col(c))
     return out.select(given("id").alias("doc_id"), F.col("size").alias("n_shingles"), given("component").alias("component_id"))
@@ -430,4 +475,5 @@ def one_row_each(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Documents without those that link, over links, to one with a smaller doc_id, and without repeated rows."""
     drop = materialize(classes(documents, shingle).where("component_id < doc_id or (component_id is null and doc_id is not null)").select("doc_id").distinct())
+    release(documents.sparkSession)
     return _beside(one_row_each(documents), drop, "doc_id", "left_anti").select(*documents.columns)

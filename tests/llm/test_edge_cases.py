@@ -500,6 +500,33 @@ def test_families_in_parts(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(frame, part_members=members).collect()} == want
 
 
+def passages(spark, files):
+    """One document a partition, all with one passage of 20 words and 20 words of their own."""
+    rows = [(i, " ".join([*(f"p{k}" for k in range(20)), *(f"d{i}x{k}" for k in range(20))])) for i in range(files)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(files, "doc_id"), rows
+
+
+def test_shingles_of_many_documents_are_found_wherever_they_lie(spark, monkeypatch):
+    """The limit is a number of documents, counted over all batches, however many other documents there are."""
+    monkeypatch.setattr(near_duplicates, "HOT_DOCS", 12)
+    frame, rows = passages(spark, 16)
+    passage = near_duplicates.shingle_sets([" ".join(rows[0][1].split()[:20]).encode()], 5)[0]
+    unused = np.uint64(64 - near_duplicates.HOT_BITS)
+    for others in (0, 3000):
+        more = spark.range(100, 100 + others).selectExpr("id as doc_id", "array_join(transform(sequence(0, 9), k -> concat('o', id, 'y', k)), ' ') as text")
+        assert np.array_equal(near_duplicates.hot_shingles(frame.unionByName(more), 5, 3) >> unused, np.sort(passage >> unused))
+    monkeypatch.setattr(near_duplicates, "HOT_MOST", 10)
+    assert len(near_duplicates.hot_shingles(frame, 5, 3)) <= 10
+
+
+def test_exact_sets_are_made_once(spark, monkeypatch):
+    """The search for components reads its edges twice, so they must be a stored table."""
+    plans, search = [], near_duplicates.components
+    monkeypatch.setattr(near_duplicates, "components", lambda edges: (plans.append(edges._jdf.queryExecution().optimizedPlan().toString()), search(edges))[1])
+    near_duplicates.classes(passages(spark, 4)[0]).collect()
+    assert plans and not any("MapInArrow" in p for p in plans)
+
+
 def test_links_of_a_family():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64) * np.uint64(4))
