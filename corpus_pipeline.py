@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from talespan.llm import decontaminate, near_duplicates, packing, perplexity, substring_dedup
-from talespan.runtime import drop_files, ensure_checkpoint_dir, table
+from talespan.runtime import drop_files, ensure_checkpoint_dir, release, table
 
 #: Pieces that packing's encoder keeps and bytes of texts that it takes at once: less than it may, since it runs in workers that hold other stages' data.
 CACHE_PIECES, ENCODED_BYTES = 100_000, 2 << 20
@@ -65,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(out)
         if i:
             drop_files(spark, f"{folder}/{i - 1}")
+        release(spark)  # shuffle files of this stage
     return docs

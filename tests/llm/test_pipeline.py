@@ -105,6 +105,15 @@ def test_stages(spark, folder):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
 
 
+def test_stages_let_their_shuffle_files_go(spark, folder, monkeypatch):
+    """Before a stage begins, those of its predecessors are released."""
+    seen, stub = [], lambda name: lambda spark, docs, sf_dir: (seen.append(name), docs)[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stub("a")), ("b", stub("b"))])
+    monkeypatch.setattr(corpus_pipeline, "release", lambda spark: seen.append("release"))
+    corpus_pipeline.run(spark, folder)
+    assert seen[:3] == ["a", "release", "b"]
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
     for name in ("documents", "labels", "benchmark"):
